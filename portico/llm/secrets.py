@@ -46,7 +46,8 @@ def train(documents: DataFrame, labels: DataFrame, most: int = TRAIN_DOCUMENTS)
 
     The sample is the ``most`` documents labelled as good that come first by hash. Random strings:
     what the fixed patterns find there, and digests of the sample's ids in hexadecimal and base 64.
-    Ordinary identifiers: all other tokens of six or more characters.
+    Ordinary identifiers: all other tokens of six or more characters, as they are, in capitals, and
+    each joined with the next as ``a_b`` and ``aB``.
     """
     picked = labels.filter("quality = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     sample = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id", "left_semi")  # at most ``most`` ids
@@ -61,6 +62,10 @@ def train(documents: DataFrame, labels: DataFrame, most: int = TRAIN_DOCUMENTS)
             F.array(F.lower(F.hex(digest)), F.base64(digest)),
         ).alias("random"),
     )
+    joined = "zip_with(ordinary, slice(ordinary, 2, size(ordinary)), (a, b) -> concat(a, {}))"
+    strings = strings.withColumn("ordinary", F.expr(
+        f"concat(ordinary, transform(ordinary, s -> upper(s)), {joined.format("'_', b")}, {joined.format("initcap(b)")})"
+    ))
     long = strings.select(F.lit(0).alias("random"), F.explode("ordinary").alias("s")).unionAll(strings.select(F.lit(1), F.explode("random")))
     pairs = long.select("random", F.explode(F.expr("transform(sequence(0, length(s) - 1), i -> struct(if(i = 0, '', substring(s, i, 1)) AS a, substring(s, i + 1, 1) AS b))")).alias("p"))
     counts = pairs.groupBy("random", "p.a", "p.b").agg(F.count("*").alias("n"))
