@@ -5,6 +5,7 @@ from __future__ import annotations
 from .audio import op1_telephony_audio
 from .chat import op5_chat_masks
 from .licences import OP6_SQL, op6_license_scan
+from .minhash import OP4_SQL, op4_near_duplicates
 from .packing import op2_packed_sequences
 from .quality import OP7_SQL, op7_quality_rules
 from .secrets import op10_secret_spans
@@ -15,10 +16,11 @@ QUERIES = {
     "op1_telephony_audio": op1_telephony_audio,
     "op2_packed_sequences": op2_packed_sequences,
     "op3_content_archive": op3_content_archive,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_chat_masks": op5_chat_masks,
     "op6_license_scan": op6_license_scan,
     "op7_quality_rules": op7_quality_rules,
     "op9_hash_tree_shards": op9_hash_tree_shards,
     "op10_secret_spans": op10_secret_spans,
 }
-SQL = {"op3_content_archive": OP3_SQL, "op6_license_scan": OP6_SQL, "op7_quality_rules": OP7_SQL}
+SQL = {"op3_content_archive": OP3_SQL, "op4_near_duplicates": OP4_SQL, "op6_license_scan": OP6_SQL, "op7_quality_rules": OP7_SQL}
