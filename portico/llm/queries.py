@@ -7,6 +7,7 @@ from .chat import op5_chat_masks
 from .licences import OP6_SQL, op6_license_scan
 from .minhash import OP4_SQL, op4_near_duplicates
 from .packing import op2_packed_sequences
+from .pieces import op8_merge_dropout
 from .quality import OP7_SQL, op7_quality_rules
 from .secrets import op10_secret_spans
 from .sharding import op9_hash_tree_shards
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_chat_masks": op5_chat_masks,
     "op6_license_scan": op6_license_scan,
     "op7_quality_rules": op7_quality_rules,
+    "op8_merge_dropout": op8_merge_dropout,
     "op9_hash_tree_shards": op9_hash_tree_shards,
     "op10_secret_spans": op10_secret_spans,
 }
