@@ -38,7 +38,7 @@ from .graph import components
 WORDS, PER_CENT = 4, 80
 PERMUTATIONS, BANDS, ROWS = 64, 32, 4
 #: Rows of a block in step 4, and the share of equal values below which no link is possible.
-BLOCK, SURE = 128, 0.62
+BLOCK, SURE = 512, 0.62
 _SEED = 20240229
 
 
@@ -166,8 +166,13 @@ def _compared(words: int, per_cent: int):
         where = block.column("block").to_numpy()
         comps = block.column("comp").to_pylist()
         band = block.column("band")[0].as_py()
-        marks = np.stack([np.frombuffer(x, np.uint32) for x in block.column("signature").to_pylist()])
-        texts, sets, memo = block.column("text").to_pylist(), {}, _Hashes()
+        # Signatures are made again from the texts: that costs less than moving them.
+        sets, marks, memo = [], [], _Hashes()
+        for i, j in slices(block, [len(x.as_buffer()) for x in block.column("text")], 1 << 20):
+            own = shingles(block.column("text").slice(i, j - i).to_pylist(), memo, words)
+            sets += own
+            marks.append(signatures(own))
+        marks = np.concatenate(marks)
         left = np.flatnonzero(where == where.min())
         right = np.flatnonzero(where == where.max())
         code = {c: i for i, c in enumerate(dict.fromkeys(comps))}
@@ -178,11 +183,6 @@ def _compared(words: int, per_cent: int):
                 parent[i] = i = parent[parent[i]]
             return i
 
-        def of(i: int) -> np.ndarray:
-            if i not in sets:
-                sets[i] = shingles([texts[i]], memo, words)[0]
-            return sets[i]
-
         found, names = [], list(code)
         for i in left:
             others = right[(code_of[right] != code_of[i]) & ((right > i) | (where[right] != where[i]))]
@@ -191,7 +191,7 @@ def _compared(words: int, per_cent: int):
             first = same[close].reshape(int(close.sum()), BANDS, ROWS).all(axis=2).argmax(axis=1)
             for j in others[close][first == band]:
                 a, b = root(int(code_of[i])), root(int(code_of[j]))
-                if a != b and linked(of(int(i)), of(int(j)), per_cent):
+                if a != b and linked(sets[i], sets[j], per_cent):
                     parent[a] = b
                     found.append((names[code_of[i]], names[code_of[j]]))
         return pa.table({"u": pa.array([x for x, _ in found], pa.int64()), "v": pa.array([x for _, x in found], pa.int64())})
@@ -217,12 +217,12 @@ def near_duplicates(docs: DataFrame, path: str | None = None, words: int = WORDS
     centre = met.join(weight, "rep").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("c")).select("bucket", (-F.col("c.minus")).alias("centre"))
     pairs = keep(met.join(centre, "bucket").filter("rep <> centre").select(F.col("centre").alias("u"), F.col("rep").alias("v")).distinct(), f"{path}/pairs")
 
-    # Texts and signatures of the nodes that meet others; rows of one id and text count once.
+    # Texts of the nodes that meet others; rows of one id and text count once. A text without shingles
+    # may share the id of one with some.
     needed = pairs.select(F.col("u").alias("doc_id")).unionAll(pairs.select(F.col("v").alias("doc_id"))).distinct()
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = text.join(needed, "doc_id", "left_semi").withColumn("h", F.xxhash64("text")).groupBy("doc_id", "h").agg(F.first("text").alias("text"))
-    marks = nodes.groupBy("rep").agg(F.first("signature").alias("signature")).withColumnRenamed("rep", "doc_id")
-    texts = keep(texts.join(marks, "doc_id").select("doc_id", "text", "signature"), f"{path}/texts")
+    texts = keep(texts.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", "text"), f"{path}/texts")
     side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
     links = _confirmed(pairs.join(side("v"), "v").join(side("u"), "u"), words, per_cent)
     first = components(links, f"{path}/first")
