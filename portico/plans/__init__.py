@@ -1,6 +1,6 @@
 """Registered queries: importing a module registers its queries."""
 
-from . import code_queries
+from . import code_queries, pass_queries
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "code_queries"]
+__all__ = ["QUERIES", "SQL", "code_queries", "pass_queries"]
