@@ -22,8 +22,8 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -165,7 +165,9 @@ def encode_many(texts: list[str], keys: list[int], model: Pieces, rate: float =
     """The ids of each text; keys vary the segmentation."""
     split = [_CHUNK.findall(f" {t}") if t else [] for t in texts]
     counts = np.array([len(c) for c in split])
-    code, names = pd.factorize(np.array([c for chunks in split for c in chunks], dtype=object))
+    seen: dict[str, int] = {}
+    code = np.fromiter((seen.setdefault(c, len(seen)) for chunks in split for c in chunks), dtype=np.int64, count=int(counts.sum()))
+    names = np.array([*seen, None], dtype=object)
     first = np.repeat(np.cumsum(counts) - counts, counts)
     place = np.arange(len(code)) - first
     key = np.repeat(np.array(keys, dtype=np.uint64), counts)
@@ -173,7 +175,8 @@ def encode_many(texts: list[str], keys: list[int], model: Pieces, rate: float =
     unique, which = np.unique(code * variants + variant, return_inverse=True)
     words = names[unique // variants]
     lengths = np.array([len(w) for w in words])
-    hashes = pd.util.hash_array(np.asarray(names, dtype=object), categorize=False)[unique // variants]
+    digests = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in seen], dtype=np.uint64)
+    hashes = digests[unique // variants]
     own = _mixed(hashes + _mixed((unique % variants).astype(np.uint64) * _PLACES[0] + np.uint64(seed & (1 << 64) - 1)))
     points = model.of_char[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")]
     offsets = np.cumsum(lengths) - lengths
@@ -246,8 +249,6 @@ class _Encode:
         self.path, self.column, self.key, self.rate, self.seed, self.variants = path, column, key, rate, seed, variants
 
     def __call__(self, model: Pieces, part: pa.RecordBatch) -> list[bytes | None]:
-        import xxhash
-
         texts = part.column(part.schema.get_field_index(self.column)).to_pylist()
         keys = [xxhash.xxh64_intdigest(str(k)) for k in part.column(part.schema.get_field_index(self.key)).to_pylist()]
         there = [i for i, t in enumerate(texts) if t is not None]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, table
+from .common import keep, shared_dir, slices, table
 
 #: The patterns, the group that is measured, and the least length.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -51,6 +51,8 @@ def train(documents: DataFrame, labels: DataFrame, most: int = TRAIN_DOCUMENTS)
     """
     picked = labels.filter("quality = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     sample = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id", "left_semi")  # at most ``most`` ids
+    # Written first: else the optimizer moves the patterns below the join, onto every document.
+    sample = keep(sample, shared_dir(documents.sparkSession))
     fixed = F.lit(f"(?:(?i){ASSIGN})|(?:{ACCESS})|(?:[0-9a-f]{{16,}})")
     token = F.lit("[A-Za-z0-9+/_=-]{6,}")
     digest = F.unhex(F.sha2(F.col("doc_id").cast("string"), 256))
