@@ -221,7 +221,8 @@ def near_duplicates(docs: DataFrame, path: str | None = None, words: int = WORDS
     # may share the id of one with some.
     needed = pairs.select(F.col("u").alias("doc_id")).unionAll(pairs.select(F.col("v").alias("doc_id"))).distinct()
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = text.join(needed, "doc_id", "left_semi").withColumn("h", F.xxhash64("text")).groupBy("doc_id", "h").agg(F.first("text").alias("text"))
+    # The ids grow with the corpus; the hint keeps one plan at every size and spares sorting the texts.
+    texts = text.join(needed.hint("shuffle_hash"), "doc_id", "left_semi").withColumn("h", F.xxhash64("text")).groupBy("doc_id", "h").agg(F.first("text").alias("text"))
     texts = keep(texts.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", "text"), f"{path}/texts")
     side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
     links = _confirmed(pairs.join(side("v"), "v").join(side("u"), "u"), words, per_cent)
