@@ -86,12 +86,14 @@ def scan(df: DataFrame, text: str = "text", templates: list[tuple[str, str]] | N
 
     out = out.withColumn("__best", F.transform(pairs, best)).withColumn("__found", F.filter("__best", lambda x: x >= threshold * 10 * 1000))
     names = F.array(*[F.lit(name) for _, name, _ in known])
-    return out.withColumns({
+    found = {
         "n_units": F.size("__units").cast("long"),
         "n_licensed": F.size("__found").cast("long"),
         "licenses": F.array_join(F.array_sort(F.array_distinct(F.transform("__found", lambda x: F.element_at(names, (1000 - x % 1000).cast("int"))))), ","),
         "best_permille": F.coalesce(F.floor(F.array_max("__best") / 1000), F.lit(0)).cast("long"),
-    }).drop("__lines", "__units", "__best", "__found")
+    }
+    # A generator of one row keeps filters on its columns from being pushed into the arrays below.
+    return out.select(*df.drop(*COLUMNS).columns, F.inline(F.array(F.struct(*[c.alias(n) for n, c in found.items()]))))
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,13 +51,16 @@ def with_counts(df: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumn("__places", F.expr(f"sort_array(filter(zip_with(__sorted, {twice}, (s, t) -> if(t, s.i, -1)), i -> i >= 0))"))
     covered = "aggregate(zip_with(__places, slice(__places, 2, size(__places)), (a, b) -> least(3, coalesce(b - a, 3))), 0L, (x, y) -> x + y)"
     out = out.withColumn("__lines", F.expr(rf"filter(split(__text, '\n', -1), l -> l rlike r'[^{BLANKS}]')"))
-    return out.withColumns({
+    counts = {
         "n_words": F.size("__words").cast("long"),
         "word_chars": F.length(F.translate("__text", " \t\n\x0b\x0c\r", "")).cast("long"),
         "n_symbols": (F.length("__text") - F.length(F.translate("__text", "#*$%&|<>", ""))).cast("long"),
         "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
         "n_repeat_words": F.expr(covered),
-    }).drop("__text", "__words", "__hashes", "__sorted", "__same", "__places", "__lines")
+    }
+    # A generator of one row: filters on the counts stay above it. Pushed below, they would repeat the
+    # nested arrays once for every mention.
+    return out.select(*df.columns, F.inline(F.array(F.struct(*[c.alias(n) for n, c in counts.items()]))))
 
 
 def base_failed() -> Column:
