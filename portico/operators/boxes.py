@@ -191,3 +191,41 @@ def shrink_boxes(df: DataFrame) -> DataFrame:
     dy = F.least(F.greatest((F.col("y2") - F.col("y1")) * 0.1, F.lit(1.0)), F.lit(5.0))
     ok = (F.col("x1") + dx < F.col("x2") - dx) & (F.col("y1") + dy < F.col("y2") - dy)
     return df.withColumns({c: F.when(ok, F.col(c) + ((dx if c[0] == "x" else dy) * (1 if c[1] == "1" else -1))).otherwise(F.col(c)) for c in CORNERS})
+
+
+def segment_boxes(df: DataFrame, width: float, height: float, points: str = "points") -> DataFrame:
+    """Bounding boxes of the points that lie inside the picture; zeros if none do."""
+    inside = F.filter(points, lambda p: (p["x"] >= 0) & (p["y"] >= 0) & (p["x"] <= width) & (p["y"] <= height))
+    out = df.withColumn("__in", inside)
+    value = lambda f, c: F.coalesce(f(F.transform("__in", lambda p: p[c])), F.lit(0.0))
+    return out.withColumns({"x1": value(F.array_min, "x"), "y1": value(F.array_min, "y"), "x2": value(F.array_max, "x"), "y2": value(F.array_max, "y")}).drop("__in")
+
+
+def resample_polygon(df: DataFrame, n: int, points: str = "points") -> DataFrame:
+    """The closed polygon as n points at even steps of its vertex numbers."""
+    closed = df.withColumn("__c", F.concat(points, F.slice(points, 1, 1)))
+    at = lambda i: F.lit(float(i)) * (F.size("__c") - 1) / (n - 1)
+    def point(i: int) -> Column:
+        low = F.least(F.floor(at(i)), F.size("__c") - 2).cast("int")
+        part = at(i) - low
+        mix = lambda c: F.get("__c", low)[c] * (1 - part) + F.get("__c", low + 1)[c] * part
+        return F.struct(mix("x").alias("x"), mix("y").alias("y"))
+
+    return closed.withColumn("resampled", F.array(*[point(i) for i in range(n)])).drop("__c")
+
+
+def order_quads(df: DataFrame, width: float, height: float, least: float = 3, points: str = "points") -> DataFrame:
+    """Quads as upper left, upper right, lower right, lower left, clipped; sides of ``least`` pixels or less go.
+
+    The upper left corner has the smallest sum of coordinates and the lower right the largest; of the
+    other two the upper right has the smaller difference y - x.
+    """
+    by = lambda f: F.array_sort(F.transform(points, lambda p, i: F.struct(f(p).alias("v"), i.alias("i"), p.alias("p"))))
+    out = df.withColumn("__s", by(lambda p: p["x"] + p["y"]))
+    rest = F.array_sort(F.transform(F.slice("__s", 2, 2), lambda s: F.struct((s["p"]["y"] - s["p"]["x"]).alias("v"), s["i"].alias("i"), s["p"].alias("p"))))
+    out = out.withColumn("__r", rest)
+    clip = lambda p: F.struct(F.least(F.greatest(p["x"], F.lit(0.0)), F.lit(width - 1.0)).alias("x"), F.least(F.greatest(p["y"], F.lit(0.0)), F.lit(height - 1.0)).alias("y"))
+    quad = F.array(clip(F.get("__s", F.lit(0))["p"]), clip(F.get("__r", F.lit(0))["p"]), clip(F.get("__s", F.lit(3))["p"]), clip(F.get("__r", F.lit(1))["p"]))
+    out = out.withColumn("quad", quad)
+    side = lambda i, j: F.sqrt(F.pow(F.get("quad", F.lit(i))["x"] - F.get("quad", F.lit(j))["x"], 2) + F.pow(F.get("quad", F.lit(i))["y"] - F.get("quad", F.lit(j))["y"], 2))
+    return out.filter((side(0, 1) > least) & (side(0, 3) > least)).drop("__s", "__r")

@@ -187,3 +187,18 @@ def tag_map(labels: DataFrame, place: str = "place") -> DataFrame:
     pairs = names.withColumn("k", k).select(F.explode(F.array(F.struct((F.col("k") * 2 + 1).alias("id"), F.concat(F.lit("B-"), F.upper("label")).alias("tag")), F.struct((F.col("k") * 2 + 2).alias("id"), F.concat(F.lit("I-"), F.upper("label")).alias("tag")))).alias("t"))
     spark: SparkSession = labels.sparkSession
     return spark.createDataFrame([(0, "O")], "id int, tag string").unionByName(pairs.select("t.id", "t.tag"))
+
+
+def choose_variant(items: DataFrame, paths: str, key: str, seed: int = 0) -> DataFrame:
+    """One path of each array of variants, chosen by hash of the key."""
+    n = F.size(paths)
+    return items.withColumn("path", F.when(n > 0, F.get(F.col(paths), F.floor(uniform(key, seed) * n).cast("int"))))
+
+
+def review_table(labels: DataFrame, names: dict[int, str], width: float, height: float) -> DataFrame:
+    """Per image the classes that occur by id, and its boxes in pixels in order of line."""
+    table = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    px = lambda c, s, sign, side: F.round((F.col(c) + F.col(s) * sign / 2) * side).cast("int")
+    box = F.struct("line_no", "cls", px("xc", "w", -1, width).alias("x1"), px("yc", "h", -1, height).alias("y1"), px("xc", "w", 1, width).alias("x2"), px("yc", "h", 1, height).alias("y2"))
+    kinds = F.array_sort(F.collect_set(F.struct("cls", F.try_element_at(table, F.col("cls")).alias("name"))))
+    return labels.groupBy("image_path").agg(F.map_from_entries(kinds).alias("classes"), F.array_sort(F.collect_list(box)).alias("boxes"))

@@ -114,3 +114,9 @@ def image_confidence(df: DataFrame, least: float = 0.25) -> DataFrame:
     """Per image and class the summed confidence of boxes above a limit over their count, one at least."""
     good = F.col("conf") >= least
     return df.groupBy("image_id", "cls").agg((F.sum(F.when(good, F.col("conf")).otherwise(0.0)) / F.greatest(F.lit(1), F.sum(good.cast("int")))).alias("confidence"))
+
+
+def convert_labels(items: DataFrame, truth: bool, least: float = 0.5) -> DataFrame:
+    """Label items (transcription, score) as evaluation fields: ideographic blanks plain, ``###`` ignored, weak guesses left out."""
+    out = items if truth else items.filter(F.coalesce(F.col("score").try_cast("double"), F.lit(1.0)) >= least)
+    return out.withColumns({"ignore": F.lit(truth) & (F.col("transcription") == "###"), "text": F.translate("transcription", "　", " ")})

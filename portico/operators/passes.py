@@ -218,3 +218,35 @@ def fuse_passes(sides: DataFrame, faces: DataFrame) -> DataFrame:
     b = faces.withColumn("h", hours()).alias("b")
     hit = a.join(b, "h").filter("a.start_ts <= b.end_ts AND b.start_ts <= a.end_ts")
     return hit.select(F.col("a.direction").alias("side"), F.col("a.pass_no").alias("pass_no"), F.col("b.direction").alias("face"), F.col("b.seg").alias("face_seg")).distinct()
+
+
+def boundaries_face(obs: DataFrame, gap: int = 10) -> DataFrame:
+    """One second per pass of a face camera: the first pass gives its earliest idle second, later ones the latest before them.
+
+    Idle seconds are those of empty frames between the pass before and this one.
+    """
+    seen = runs(_chunked(obs.filter("state <> 'skipped'")), "direction", "chunk", ORDER, "state")
+    marks = seen.withColumn("is_close", F.when((F.col("state") == "empty") & (F.col("pos") == gap + 1), 1).otherwise(0))
+    out = running(marks, "direction", "chunk", ORDER, sums={"closes": F.col("is_close")}).withColumn("seg", F.col("closes") - F.col("is_close"))
+    start = obs.groupBy("direction").agg(F.min("ts").alias("t0"))
+    second = F.round(micros(F.col("ts")) / 1e6 - micros(F.col("t0")) / 1e6, 2)
+    idle = out.join(start, "direction").withColumn("s", F.when(F.col("state") == "empty", second))
+    seg = idle.groupBy("direction", "seg").agg(F.min("s").alias("low"), F.max("s").alias("high"), F.max("is_close").alias("closed"), F.sum(F.when(F.col("state") == "present", 1).otherwise(0)).alias("present"))
+    w = Window.partitionBy("direction").orderBy("seg")  # one row per pass
+    good = seg.filter("closed = 1 AND present > 0").withColumn("n", F.row_number().over(w))
+    return good.select("direction", "n", F.when(F.col("n") == 1, F.col("low")).otherwise(F.col("high")).alias("t"))
+
+
+def best_reading_frame(readings: DataFrame, key: str, frame: str) -> DataFrame:
+    """Of the frames of each group the one with the most readings, then the highest mean score, then the first."""
+    per = readings.groupBy(key, frame).agg(F.count("*").alias("n"), F.avg("score").alias("mean"))
+    return per.groupBy(key).agg(F.max_by(F.struct(frame, "n", "mean"), F.struct("n", F.round("mean", 9), -F.col(frame))).alias("b")).select(key, f"b.{frame}", "b.n", "b.mean")
+
+
+def final_pairs(pairs: DataFrame, key: str, a: str, b: str, order: str) -> DataFrame:
+    """With more than one pair those with both parts; with more than two of those each once, at its first place."""
+    counted = pairs.groupBy(key).agg(F.count("*").alias("__n"))
+    full = pairs.join(counted, key).filter((F.col("__n") == 1) | ((F.col(a) != "") & (F.col(b) != "")))
+    left = full.groupBy(key).agg(F.count("*").alias("__m"))
+    once = full.join(left, key).withColumn("__k", F.when(F.col("__m") > 2, F.lit(0)).otherwise(F.col(order)))
+    return once.groupBy(key, a, b, "__k").agg(F.min(order).alias(order)).drop("__k")
