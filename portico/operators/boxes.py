@@ -142,7 +142,7 @@ def merge_nms(df: DataFrame, conf: float = 0.25, iou_limit: float = 0.45) -> Dat
 
 
 def reading_order(df: DataFrame) -> DataFrame:
-    return df.withColumn("place", F.row_number().over(Window.partitionBy("image_id").orderBy("y1", "x1", "det_id")))
+    return df.withColumn("place", F.row_number().over(Window.partitionBy("image_id").orderBy("y1", "x1", "det_id")).cast("long"))
 
 
 def crop_plan(df: DataFrame, width: float, height: float, pad: float = 10) -> DataFrame:

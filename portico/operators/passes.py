@@ -59,7 +59,7 @@ def passes(obs: DataFrame, enter: int = 4, leave: int = 3, min_frames: int = 5)
     grouped = seg.withColumn("carry", carry).withColumn("grp", ended)
     carried = F.sum("carry").over(Window.partitionBy("direction", "grp"))
     done = grouped.withColumn("carried", carried).filter("entered = 1 AND closed = 1")
-    return done.select("direction", F.row_number().over(order).alias("pass_no"), "seg", "start_ts", "end_ts", "present", "carried")
+    return done.select("direction", F.row_number().over(order).cast("long").alias("pass_no"), "seg", "start_ts", "end_ts", "present", "carried")
 
 
 def lane_events(obs: DataFrame, enter: int = 4, leave: int = 3) -> DataFrame:
@@ -193,7 +193,7 @@ def choose_timeline(times: DataFrame, group: list[str], direction: str = "direct
 def clip_plan(times: DataFrame, key: str, time: str = "t", pre: float = 8, post: float = 3) -> DataFrame:
     """Clips between neighbouring boundaries, widened and cut to whole seconds."""
     w = Window.partitionBy(key).orderBy(time)
-    pairs = times.withColumn("__next", F.lead(time).over(w)).filter("__next IS NOT NULL").withColumn("clip", F.row_number().over(w))
+    pairs = times.withColumn("__next", F.lead(time).over(w)).filter("__next IS NOT NULL").withColumn("clip", F.row_number().over(w).cast("long"))
     begin = F.when(F.col(time) - pre > 0, F.col(time) - pre).otherwise(F.col(time))
     return pairs.select(key, "clip", begin.cast("int").alias("begin"), (F.col("__next") + post).cast("int").alias("end"))
 
@@ -233,7 +233,7 @@ def boundaries_face(obs: DataFrame, gap: int = 10) -> DataFrame:
     idle = out.join(start, "direction").withColumn("s", F.when(F.col("state") == "empty", second))
     seg = idle.groupBy("direction", "seg").agg(F.min("s").alias("low"), F.max("s").alias("high"), F.max("is_close").alias("closed"), F.sum(F.when(F.col("state") == "present", 1).otherwise(0)).alias("present"))
     w = Window.partitionBy("direction").orderBy("seg")  # one row per pass
-    good = seg.filter("closed = 1 AND present > 0").withColumn("n", F.row_number().over(w))
+    good = seg.filter("closed = 1 AND present > 0").withColumn("n", F.row_number().over(w).cast("long"))
     return good.select("direction", "n", F.when(F.col("n") == 1, F.col("low")).otherwise(F.col("high")).alias("t"))
 
 

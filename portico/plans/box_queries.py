@@ -141,7 +141,7 @@ _CONF = _GREEDY.replace("FROM f_box a JOIN", "FROM (SELECT * FROM f_box WHERE co
  UNION ALL SELECT -1, cls FROM f_gt WHERE det_id NOT IN (SELECT gt_id FROM gm) UNION ALL SELECT cls, -1 FROM f_box WHERE conf>0.25 AND det_id NOT IN (SELECT det_id FROM gm)) x GROUP BY ALL)"""
 
 
-@query(oracle("BOX GT", _CONF + """ SELECT pred, "true", n, round(CASE WHEN n/(sum(n) OVER (PARTITION BY "true")+1e-9)>=0.005 THEN n/(sum(n) OVER (PARTITION BY "true")+1e-9) END,6) AS share FROM cf""").replace("WITH ", "WITH RECURSIVE ", 1))
+@query(oracle("BOX GT", _CONF + """ SELECT CAST(pred AS BIGINT) AS pred, CAST("true" AS BIGINT) AS "true", n, round(CASE WHEN n/(sum(n) OVER (PARTITION BY "true")+1e-9)>=0.005 THEN n/(sum(n) OVER (PARTITION BY "true")+1e-9) END,6) AS share FROM cf""").replace("WITH ", "WITH RECURSIVE ", 1))
 def confusion_matrix(spark, sf_dir):
     return _round(E.normalize_confusion(E.ranked_confusion(fixture(spark, sf_dir, "GT"), fixture(spark, sf_dir, "BOX"))), "share")
 

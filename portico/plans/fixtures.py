@@ -19,7 +19,7 @@ SELECT pass_id, seq, score, distance, true_code, size_true,
  CASE WHEN m=4 THEN substr(size_true,1,3) WHEN m=5 THEN '' ELSE size_true END AS size_text
 FROM (SELECT *, base10||CAST((({VALUES})%11)%10 AS {STR}) AS true_code FROM (
  SELECT l_orderkey AS pass_id,
-  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber,l_partkey,l_suppkey) AS seq,
+  CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber,l_partkey,l_suppkey) AS BIGINT) AS seq,
   1-l_discount AS score, l_quantity AS distance, (l_partkey*31+l_suppkey)%10 AS m,
   CASE l_orderkey%4 WHEN 0 THEN '22G1' WHEN 1 THEN '42G1' WHEN 2 THEN '45G1' ELSE '22R1' END AS size_true,
   substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ',CAST(l_orderkey%26 AS INT)+1,1)

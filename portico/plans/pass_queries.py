@@ -21,7 +21,7 @@ s AS (SELECT direction, seg, max(ent) AS entered, max(is_close) AS closed, count
 
 @query(oracle("OBS", _SEG + """, q AS (SELECT *, CASE WHEN entered=0 AND present>=5 THEN present ELSE 0 END AS carry, coalesce(sum(entered) OVER (PARTITION BY direction ORDER BY seg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS grp FROM s),
 w AS (SELECT *, sum(carry) OVER (PARTITION BY direction, grp) AS carried FROM q)
-SELECT direction, row_number() OVER (PARTITION BY direction ORDER BY seg) AS pass_no, seg, start_ts, end_ts, present, carried FROM w WHERE entered=1 AND closed=1"""))
+SELECT direction, row_number() OVER (PARTITION BY direction ORDER BY seg) AS pass_no, seg, start_ts, end_ts, present, CAST(carried AS BIGINT) AS carried FROM w WHERE entered=1 AND closed=1"""))
 def pass_segments(spark, sf_dir):
     return P.passes(fixture(spark, sf_dir, "OBS"))
 
