@@ -21,13 +21,13 @@ def shared_dir(spark: SparkSession) -> str:
     Where the setting is missing a temporary folder takes its place, but only in local mode,
     where driver and executors are one process.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        if not context.master.startswith("local[") and context.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="portico-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="portico-"))
+        base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/portico-{uuid.uuid4().hex}"
 
 
