@@ -119,3 +119,27 @@ def match_against(codes: DataFrame, expected: DataFrame, code: str, reference: s
     pairs = left.join(right, "key").select(code, reference, "rank").distinct().filter(C.code_matches(code, reference))
     first = pairs.groupBy(code).agg(F.min_by(reference, F.struct("rank", reference)).alias("matched"))
     return codes.select(code).join(first, code, "left").withColumn("found", F.col("matched").isNotNull())
+
+
+def pick_nearest(tokens: DataFrame, key: str, least: float | None = None) -> DataFrame:
+    """The text nearest to the reference centre; with ``least`` the nearest of those scored above it, if any."""
+    sure = F.lit(0) if least is None else F.when(F.col("score") > least, 0).otherwise(1)
+    return tokens.groupBy(key).agg(F.min_by("text", F.struct(sure, "distance", "seq")).alias("picked"))
+
+
+def pick_confident(tokens: DataFrame, key: str) -> DataFrame:
+    """The most confident valid code, or the most confident text where none is valid."""
+    valid = C.is_valid_code("text").cast("int")
+    return tokens.groupBy(key).agg(F.max_by("text", F.struct(valid, "score", -F.col("seq"))).alias("picked"))
+
+
+def code_window(text: Column | str) -> Column:
+    """Four characters up to the last U and seven after it, of texts longer than a code; null if that is no whole code."""
+    c = F.col(text) if isinstance(text, str) else text
+    whole = F.concat(F.regexp_extract(c, "^.*([A-Z0-9]{3}U)([^U]{7})[^U]*$", 1), F.regexp_extract(c, "^.*([A-Z0-9]{3}U)([^U]{7})[^U]*$", 2))
+    return F.when(F.length(whole) == 11, whole)
+
+
+def join_short_numbers(numbers: Column, most: int = 7) -> Column:
+    """Numbers put together in order as long as the result has no more than ``most`` digits."""
+    return F.aggregate(numbers, F.lit(""), lambda s, x: F.when(F.length(s) + F.length(x) <= most, F.concat(s, x)).otherwise(s))

@@ -250,3 +250,9 @@ def final_pairs(pairs: DataFrame, key: str, a: str, b: str, order: str) -> DataF
     left = full.groupBy(key).agg(F.count("*").alias("__m"))
     once = full.join(left, key).withColumn("__k", F.when(F.col("__m") > 2, F.lit(0)).otherwise(F.col(order)))
     return once.groupBy(key, a, b, "__k").agg(F.min(order).alias(order)).drop("__k")
+
+
+def front_epochs(rows: DataFrame, is_close: Column) -> DataFrame:
+    """rows with ``epoch``, the number of front closes up to them; what lies in an earlier epoch is void."""
+    keyed = _chunked(rows).withColumn("__k", F.lit(0))
+    return running(keyed, "__k", "chunk", ORDER, sums={"epoch": F.when(is_close, 1).otherwise(0)}).drop("__k", "chunk")
