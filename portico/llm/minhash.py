@@ -203,7 +203,9 @@ def near_duplicates(docs: DataFrame, path: str | None = None, words: int = WORDS
     """doc_id, n_shingles and component_id of every row of docs (doc_id, text)."""
     path = path or shared_dir(docs.sparkSession)
     signed = keep(_signed(docs, words), f"{path}/signed")
-    heads = signed.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    # Written, so that the joins with these small tables have an exchange on both sides: only then can
+    # Spark split a digest or bucket that a large part of all rows share.
+    heads = keep(signed.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep")), f"{path}/heads")
     member = signed.join(heads, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"), F.when(F.col("doc_id") == F.col("rep"), F.col("signature")).alias("signature"))
     member = keep(member, f"{path}/members")
     nodes = member.filter("signature IS NOT NULL").select("rep", "signature")
@@ -212,9 +214,11 @@ def near_duplicates(docs: DataFrame, path: str | None = None, words: int = WORDS
     band = F.explode(F.expr(f"transform(sequence(0, {BANDS - 1}), b -> struct(b AS band, xxhash64(b, substring(signature, b * {4 * ROWS} + 1, {4 * ROWS})) AS bucket))")).alias("b")
     rows = nodes.select("rep", band).select("rep", "b.band", "b.bucket")
     shared = rows.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("n")).filter("low <> high").select("bucket", "n")
+    shared = keep(shared, f"{path}/shared")
     met = keep(rows.join(shared, "bucket"), f"{path}/met")
     weight = met.groupBy("rep").agg(F.sum("n").alias("weight"))
     centre = met.join(weight, "rep").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("c")).select("bucket", (-F.col("c.minus")).alias("centre"))
+    centre = keep(centre, f"{path}/centres")
     pairs = keep(met.join(centre, "bucket").filter("rep <> centre").select(F.col("centre").alias("u"), F.col("rep").alias("v")).distinct(), f"{path}/pairs")
 
     # Texts of the nodes that meet others; rows of one id and text count once. A text without shingles
