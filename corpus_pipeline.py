@@ -16,8 +16,9 @@ from portico.llm.common import shared_dir, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and keep most of their lines."""
-    return quality.judge(docs).filter("kept").select(*docs.columns)
+    """Documents that pass the base rules and keep most of their lines, without the lines above the limits; n_chars brought up to date."""
+    clean = quality.judge(docs).filter("kept").withColumn("text", F.col("cleaned"))
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

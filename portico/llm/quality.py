@@ -3,8 +3,9 @@
 Lines are normalised (blanks collapsed, lower case) and hashed; per host the distinct documents with
 a line are counted, where documents with equal texts are one. A line is above the limits if more than
 ``line_share`` per cent of the host's documents and at least ``line_documents`` have it. It is removed
-from every document but the first (smallest doc_id) of the host that has it. A document of which less
-than ``keep_percent`` per cent of the words remain is depleted and rejected.
+from every document but the first (smallest doc_id) of the host that has it: ``judge`` gives the text
+without it as ``cleaned``. A document of which less than ``keep_percent`` per cent of the words remain
+is depleted and rejected.
 
 Everything is DataFrame operations. Line counts are aggregated per task before each shuffle, and the
 join with the few frequent lines is one that Spark can split, so a line that all documents share
@@ -36,6 +37,14 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
+def _line_hash(line: Column) -> Column:
+    return F.xxhash64(F.lower(F.trim(F.regexp_replace(line, f"[{BLANKS}]+", " "))))
+
+
+def _has_word(line: Column) -> Column:
+    return line.rlike(f"[^{BLANKS}]")
+
+
 def with_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """df with the base counts of its text column."""
     df = df.drop(*COUNTS)
@@ -72,14 +81,13 @@ def _keyed(df: DataFrame) -> DataFrame:
     return df.select(F.col("doc_id").alias("__id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("__host"), F.xxhash64("text").alias("__hash"), "text")
 
 
-def removed_words(docs: DataFrame, line_share: int = LINE_SHARE, line_documents: int = LINE_DOCUMENTS) -> DataFrame:
-    """Words that lose their line: (__id, __host, __hash, __removed), of documents that lose any."""
+def removed_lines(docs: DataFrame, line_share: int = LINE_SHARE, line_documents: int = LINE_DOCUMENTS) -> DataFrame:
+    """Words that lose their line, and the hashes of those lines: (__id, __host, __hash, __removed, __gone), of documents that lose any."""
     keyed = _keyed(docs)
-    line = F.lower(F.trim(F.regexp_replace(F.col("l"), f"[{BLANKS}]+", " ")))
     lines = (
         keyed.select("__id", "__host", "__hash", F.explode(F.split("text", "\n", -1)).alias("l"))
-        .filter(F.col("l").rlike(f"[^{BLANKS}]"))
-        .select("__id", "__host", "__hash", F.xxhash64(line).alias("__line"), F.size(_words(F.col("l"))).alias("__n"))
+        .filter(_has_word(F.col("l")))
+        .select("__id", "__host", "__hash", _line_hash(F.col("l")).alias("__line"), F.size(_words(F.col("l"))).alias("__n"))
     )
     once = lines.groupBy("__host", "__line", "__hash").agg(F.min("__id").alias("__id"))
     counts = once.groupBy("__host", "__line").agg(F.count("*").alias("n"), F.min("__id").alias("__first")).filter(F.col("n") >= line_documents)
@@ -88,22 +96,25 @@ def removed_words(docs: DataFrame, line_share: int = LINE_SHARE, line_documents:
     lost = lines.join(frequent, ["__host", "__line"]).filter(~F.col("__id").eqNullSafe(F.col("__first")))
     # Equal rows are counted together here and shared out again by the count of rows.
     rows = keyed.groupBy("__id", "__host", "__hash").agg(F.count("*").alias("__rows")).filter("__rows > 1")
-    sums = lost.groupBy("__id", "__host", "__hash").agg(F.sum("__n").alias("__removed"))
+    sums = lost.groupBy("__id", "__host", "__hash").agg(F.sum("__n").alias("__removed"), F.collect_set("__line").alias("__gone"))
     same = F.col("a.__id").eqNullSafe(F.col("b.__id")) & (F.col("a.__host") == F.col("b.__host")) & F.col("a.__hash").eqNullSafe(F.col("b.__hash"))
     return sums.alias("a").join(rows.alias("b"), same, "left").select(
-        "a.__id", "a.__host", "a.__hash", F.expr("__removed div coalesce(__rows, 1)").alias("__removed")
+        "a.__id", "a.__host", "a.__hash", F.expr("__removed div coalesce(__rows, 1)").alias("__removed"), "__gone"
     )
 
 
 def judge(docs: DataFrame, line_share: int = LINE_SHARE, line_documents: int = LINE_DOCUMENTS, keep_percent: int = KEEP_PERCENT) -> DataFrame:
-    """docs (doc_id, text, source, ...) with the base counts, ``base_failed`` and ``kept``."""
-    counted = with_counts(docs.drop("base_failed", "kept")).withColumn("base_failed", base_failed())
+    """docs (doc_id, text, source, ...) with the base counts, ``base_failed``, ``kept`` and ``cleaned``, the text without its removed lines."""
+    counted = with_counts(docs.drop("base_failed", "kept", "cleaned")).withColumn("base_failed", base_failed())
     keyed = counted.withColumn("__host", F.coalesce(F.col("source").cast("string"), F.lit(""))).withColumn("__hash", F.xxhash64("text"))
-    lost = removed_words(docs, line_share, line_documents)
+    lost = removed_lines(docs, line_share, line_documents)
     same = keyed["doc_id"].eqNullSafe(lost["__id"]) & (keyed["__host"] == lost["__host"]) & (keyed["__hash"] == lost["__hash"])
     left = F.col("n_words") - F.coalesce(F.col("__removed"), F.lit(0))
     kept = ~F.col("base_failed") & (F.lit(100) * left >= F.lit(keep_percent) * F.col("n_words"))
-    return keyed.join(lost, same, "left").withColumn("__kept", kept).select(*counted.columns, F.col("__kept").alias("kept"))
+    stays = F.filter(F.split("text", "\n", -1), lambda x: ~(_has_word(x) & F.array_contains("__gone", _line_hash(x))))
+    cleaned = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
+    joined = keyed.join(lost, same, "left").withColumn("__kept", kept).withColumn("__cleaned", cleaned)
+    return joined.select(*counted.columns, F.col("__kept").alias("kept"), F.col("__cleaned").alias("cleaned"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
