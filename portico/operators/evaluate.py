@@ -15,26 +15,44 @@ def candidate_matches(truth: DataFrame, found: DataFrame, least: float = 0.45) -
     return pairs.withColumn("iou", iou()).filter(F.col("iou") > least).select("image_id", F.col("a_gt_id").alias("gt_id"), F.col("a_cls").alias("gt_cls"), F.col("b_det_id").alias("det_id"), F.col("b_cls").alias("det_cls"), F.col("b_conf").alias("conf"), "iou")
 
 
-def greedy_match(pairs: DataFrame, rounds: int = 64) -> DataFrame:
+def greedy_match(pairs: DataFrame, rounds: int | None = None) -> DataFrame:
     """One-to-one pairs by falling IoU per image (ties: gt_id, det_id).
 
     A pair that is the best of both its sides is in the greedy result; taking all of them and dropping
-    what they block is repeated until nothing is left. Each round is two windows by image; rounds are
-    few, as a round settles the best open pair of every image at least.
+    what they block is repeated until nothing is left. Boxes whose best pairs are tied and join every
+    one of them with every other (copies) are settled in one round, equal ranks together. A round
+    settles the best open pair of every image at least, so rounds end; with a bound on ``rounds`` a
+    match that needs more fails.
     """
-    done, left = None, pairs
-    spark = pairs.sparkSession
-    order = [F.desc("iou"), F.col("gt_id"), F.col("det_id")]
-    for _ in range(rounds):
-        left = left.checkpoint() if spark.sparkContext.getCheckpointDir() else left.persist()
-        if left.isEmpty():
-            break
-        a = F.row_number().over(Window.partitionBy("image_id", "gt_id").orderBy(*order))
-        b = F.row_number().over(Window.partitionBy("image_id", "det_id").orderBy(*order))
-        taken = left.withColumn("__a", a).withColumn("__b", b).filter("__a = 1 AND __b = 1").drop("__a", "__b")
-        done = taken if done is None else done.unionByName(taken)
-        left = left.join(taken.select("image_id", "gt_id"), ["image_id", "gt_id"], "left_anti").join(taken.select("image_id", "det_id"), ["image_id", "det_id"], "left_anti")
-    return done if done is not None else pairs.limit(0)
+    done, spark = [], pairs.sparkSession
+
+    def kept(df: DataFrame) -> DataFrame:
+        return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.persist()
+
+    left = kept(pairs)
+    while not left.isEmpty():
+        if rounds is not None and len(done) >= rounds:
+            raise RuntimeError(f"greedy_match: pairs are left after {rounds} rounds")
+        ranked, tied = left, []
+        for own, other in (("gt_id", "det_id"), ("det_id", "gt_id")):
+            box = Window.partitionBy("image_id", own)
+            level = Window.partitionBy("image_id", own, "iou")
+            ranked = ranked.withColumns({
+                f"__rank_{own}": F.row_number().over(box.orderBy(F.desc("iou"), other)), f"__top_{own}": F.max("iou").over(box),
+                f"__n_{own}": F.count("*").over(level), f"__set_{own}": F.bit_xor(F.xxhash64(other)).over(level),
+            })
+            tied += [f"__n_{own}", f"__set_{own}"]
+        ranked = kept(ranked.filter((F.col("iou") == F.col("__top_gt_id")) & (F.col("iou") == F.col("__top_det_id"))))
+        # Tied boxes with the same partners on both sides; complete if all their best pairs are here.
+        groups = ranked.groupBy("image_id", "iou", *tied).agg(F.count("*").alias("__pairs")).filter("__pairs = __n_gt_id * __n_det_id AND __pairs > 1")
+        both = ranked.join(groups, ["image_id", "iou", *tied], "left")
+        best = F.expr("__rank_gt_id = __rank_det_id AND (__rank_gt_id = 1 OR __pairs IS NOT NULL)")
+        taken = kept(both.filter(best).select(*pairs.columns))
+        done.append(taken)
+        left = kept(left.join(taken.select("image_id", "gt_id"), ["image_id", "gt_id"], "left_anti").join(taken.select("image_id", "det_id"), ["image_id", "det_id"], "left_anti"))
+    while len(done) > 1:
+        done = [a.unionByName(b) for a, b in zip(done[::2], done[1::2], strict=False)] + done[len(done) // 2 * 2 :]
+    return done[0] if done else pairs.limit(0)
 
 
 def ranked_confusion(truth: DataFrame, found: DataFrame, conf: float = 0.25, least: float = 0.45) -> DataFrame:
