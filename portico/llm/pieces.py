@@ -35,6 +35,8 @@ RATE, SEED, VARIANTS, LONG = 0.1, 7, 4, 48
 _CHUNK = re.compile(" +[^ ]*")
 #: Ids from here on stand for characters without a piece.
 _OUT = 1 << 17
+#: Bits of the right symbol in a pair's key; symbols go up to _OUT + 0x10FFFF.
+_BITS = 32
 _NONE = np.int64(1 << 40)
 
 
@@ -64,7 +66,7 @@ class Pieces:
             self.data[self.bytes_from + b] = bytes([b])
         order = sorted(plain.values(), key=lambda i: (-model.get_score(i), i))
         rank = {i: k for k, i in enumerate(order)}
-        pairs = [(plain[p[:c]] << 18 | plain[p[c:]], rank[i], i) for p, i in plain.items() for c in range(1, len(p)) if p[:c] in plain and p[c:] in plain]
+        pairs = [(plain[p[:c]] << _BITS | plain[p[c:]], rank[i], i) for p, i in plain.items() for c in range(1, len(p)) if p[:c] in plain and p[c:] in plain]
         pairs.sort()
         self.keys = np.array([k for k, _, _ in pairs] + [1 << 62], dtype=np.int64)
         self.ranks = np.array([r for _, r, _ in pairs] + [0], dtype=np.int64)
@@ -102,7 +104,7 @@ def agenda(symbols: list[int], chunk: int, rate: float, model: Pieces) -> list[i
         places = [i for i in places if i >= 0 and right[i] >= 0]
         if not places:
             return
-        keys = np.array([value[i] << 18 | value[right[i]] for i in places], dtype=np.int64)
+        keys = np.array([value[i] << _BITS | value[right[i]] for i in places], dtype=np.int64)
         hit, at = model.look_up(keys)
         skip = dropped(key, np.array(places), np.array([ends[i] for i in places]), np.array([ends[right[i]] for i in places]), rate) if rate else np.zeros(len(places), bool)
         for i, h, a, s in zip(places, hit, at, skip, strict=True):
@@ -135,7 +137,7 @@ def together(symbols: np.ndarray, sizes: np.ndarray, chunks: np.ndarray, rate: f
         if width < 2:
             break
         sym, at = symbols[live, :width], starts[live, : width + 1]
-        key = np.where(column[1:width] < sizes[live, None], sym[:, :-1] << 18 | sym[:, 1:], -1)
+        key = np.where(column[1:width] < sizes[live, None], sym[:, :-1] << _BITS | sym[:, 1:], -1)
         rank = np.full(key.shape, _NONE)
         hit, where = model.look_up(key.ravel())
         hit = np.flatnonzero(hit)

@@ -1,7 +1,9 @@
 """Whole jobs: cases in which an operator once did less."""
 
+import public_tokenizers
+
 import corpus_pipeline
-from portico.llm import quality
+from portico.llm import pieces, quality
 
 from .test_operators import docs
 
@@ -14,3 +16,13 @@ def test_frequent_lines_leave_the_text(spark):
     assert {r["doc_id"]: r["cleaned"] for r in quality.judge(docs(spark, rows, extra=True)).collect()} == want
     got = corpus_pipeline.quality_rules(spark, docs(spark, rows), "").collect()
     assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in got} == {i: (t, len(t)) for i, t in want.items()}
+
+
+def test_characters_of_all_planes_like_the_library():
+    import sentencepiece
+
+    path = public_tokenizers.path(pieces.MODEL)
+    lib, model = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Pieces(path)
+    texts = [f"a {chr(c)}b {chr(c)} in{chr(c)} {chr(c) * 60}" for c in (0x20106, 0x2A6D6, 0xE0100, 0x10FFFF, *range(0x20000, 0x27D00, 97))]
+    assert [x.tolist() for x in pieces.encode_many(texts, [1] * len(texts), model, 0.0)] == [lib.encode(t) for t in texts]
+    assert [pieces.decode_ids(x, model) for x in pieces.encode_many(texts, [1] * len(texts), model, 0.1)] == texts
