@@ -1,5 +1,9 @@
 """Whole jobs: cases in which an operator once did less."""
 
+import random
+from collections import Counter
+
+import numpy as np
 import public_tokenizers
 
 import corpus_pipeline
@@ -26,3 +30,45 @@ def test_characters_of_all_planes_like_the_library():
     texts = [f"a {chr(c)}b {chr(c)} in{chr(c)} {chr(c) * 60}" for c in (0x20106, 0x2A6D6, 0xE0100, 0x10FFFF, *range(0x20000, 0x27D00, 97))]
     assert [x.tolist() for x in pieces.encode_many(texts, [1] * len(texts), model, 0.0)] == [lib.encode(t) for t in texts]
     assert [pieces.decode_ids(x, model) for x in pieces.encode_many(texts, [1] * len(texts), model, 0.1)] == texts
+
+
+def test_dropout_draws_for_every_occurrence():
+    model = pieces.Pieces(public_tokenizers.path(pieces.MODEL))
+    n = 4000
+    got = pieces.encode_many(["international"] * n, list(range(n)), model, 0.1)
+    found = {tuple(x.tolist()) for x in got}
+    assert len(found) > 40 and {pieces.decode_ids(np.array(x), model) for x in found} == {"international"}
+    # Shares are those of a plain loop with draws of its own.
+    rng = random.Random(5)
+
+    def plain():
+        symbols = [(int(model.of_char[ord(c)]), k, k + 1) for k, c in enumerate(" international")]
+        drawn = {}
+        while True:
+            open_ = []
+            for k, ((a, start, middle), (b, _, end)) in enumerate(zip(symbols, symbols[1:], strict=False)):
+                hit, at = model.look_up(np.array([a << 32 | b]))
+                if hit[0] and not drawn.setdefault((start, middle, end), rng.random() < 0.1):
+                    open_.append((int(model.ranks[at[0]]), k, int(model.merged[at[0]])))
+            if not open_:
+                return tuple(s for s, _, _ in symbols)
+            _, k, piece = min(open_)
+            symbols[k : k + 2] = [(piece, symbols[k][1], symbols[k + 1][2])]
+
+    mine, theirs = Counter(tuple(x.tolist()) for x in got), Counter(plain() for _ in range(n))
+    assert max(abs(mine[x] - theirs[x]) for x in mine | theirs) < 0.04 * n
+    same = pieces.encode_many([" ".join(["international"] * n)], [1], model, 0.1)[0]
+    assert len({tuple(x) for x in np.split(same, np.flatnonzero([model.data[i].startswith(b" ") for i in same.tolist()])) if len(x)}) > 40
+
+
+def test_occurrences_like_the_heap():
+    rng, model = np.random.default_rng(4), pieces.Pieces(public_tokenizers.path(pieces.MODEL))
+    for length in (1, 2, 3, 7, 20, 48):
+        words = [" " + "".join(rng.choice(list("etaonihsrd"), length - 1)) for _ in range(20)]
+        points = np.array([model.of_char[[ord(c) for c in w]] for w in words])
+        state, keys = rng.integers(0, 20, 500), rng.integers(0, 1 << 62, 500).astype(np.uint64)
+        for rate in (0.0, 0.1, 0.6):
+            flat, sizes, result = pieces.walk(points, np.full(20, length), state, keys, rate, model)
+            ends = np.cumsum(sizes)
+            for s, k, r in zip(state.tolist(), keys.tolist(), result.tolist(), strict=True):
+                assert pieces.agenda(points[s].tolist(), k, rate, model) == flat[ends[r] - sizes[r] : ends[r]].tolist()
