@@ -35,7 +35,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as pieces of sequences of 1024 tokens."""
-    return packing.pack(docs, public_tokenizers.path(packing.VOCABULARY))
+    return packing.pack(docs, public_tokenizers.path(packing.VOCABULARY), added=True)
 
 
 STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("secret_scans", secret_scans), ("packing", packed)]

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -38,17 +39,22 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def encoder(path: str):
-    """A function from text to ids by the byte-level vocabulary in path (tokenizers' JSON format)."""
+def encoder(path: str, added: bool = False):
+    """A function from text to ids by the byte-level vocabulary in path (tokenizers' JSON format).
+
+    With ``added``, the library's default, the file's added tokens are single ids where a text has
+    them; without, as with the library's ``encode_special_tokens``, they are ordinary text.
+    """
     import public_tokenizers
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
         content = json.load(f)
     byte = _byte_letters()
-    special = {x["content"] for x in content["added_tokens"]}
+    special = {x["content"]: x["id"] for x in content["added_tokens"]}
     ranks = {bytes(byte[c] for c in piece): i for piece, i in content["model"]["vocab"].items() if piece not in special}
-    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    coding = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special if added else {})
+    return partial(coding.encode, allowed_special="all") if added else coding.encode_ordinary
 
 
 class Packer:
@@ -128,9 +134,11 @@ class Packer:
 PIECES = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 
 
-def pack(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", size: int = WINDOW, max_open: int = MAX_OPEN) -> DataFrame:
+def pack(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", size: int = WINDOW, max_open: int = MAX_OPEN, added: bool = False) -> DataFrame:
     """Pieces of packed sequences: key, place in the document, ids (little-endian 32-bit), place in the sequence.
 
+    ``added`` as in ``encoder``.
+
     sequence_id is the task's number times 2**33 plus the sequence's number in it.
     """
     rows = df.select(key, F.coalesce(text, F.lit("")).alias("text"))
@@ -141,7 +149,7 @@ def pack(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text"
         from pyspark import TaskContext
         from pyspark.sql.pandas.types import to_arrow_type
 
-        encode, packer, number, held, tokens = encoder(vocabulary), Packer(size, max_open), TaskContext.get().partitionId() << 33, [], 0
+        encode, packer, number, held, tokens = encoder(vocabulary, added), Packer(size, max_open), TaskContext.get().partitionId() << 33, [], 0
         kinds = [to_arrow_type(key_type), pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 4]
 
         def table_of(windows: list[list]) -> pa.RecordBatch:
@@ -179,7 +187,7 @@ def op2_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 1024 tokens."""
     import public_tokenizers
 
-    return packed_digests(pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY)))
+    return packed_digests(pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), added=True))
 
 
 def packed_digests(pieces: DataFrame) -> DataFrame:

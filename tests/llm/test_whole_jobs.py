@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers
 
 import corpus_pipeline
-from portico.llm import pieces, quality
+from portico.llm import packing, pieces, quality
 
 from .test_operators import docs
 
@@ -72,3 +72,18 @@ def test_occurrences_like_the_heap():
             ends = np.cumsum(sizes)
             for s, k, r in zip(state.tolist(), keys.tolist(), result.tolist(), strict=True):
                 assert pieces.agenda(points[s].tolist(), k, rate, model) == flat[ends[r] - sizes[r] : ends[r]].tolist()
+
+
+def test_packed_ids_like_the_library_as_it_comes(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(packing.VOCABULARY)
+    tok = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n", "<|endoftext |> plain", "", "é <|endoftext|>"]
+    want = {i: [*tok.encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+    assert 50256 in want[0]
+    rows = docs(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    got = corpus_pipeline.packed(spark, rows, "").collect()
+    assert {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in got} == want
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"]: r["doc_tokens"] for r in packing.op2_packed_sequences(spark, str(tmp_path)).collect()} == {i: len(x) for i, x in want.items()}
