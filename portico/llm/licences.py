@@ -7,6 +7,13 @@ between ``t / (2 - t)`` and ``(2 - t) / t`` times |B|, so a unit meets only temp
 whose word counts rule out every template are dropped before bigrams are made. A unit's licence is
 its best template at or above the threshold; ties go to the earlier template.
 
+Notices inside longer documents, wrapped over lines or behind comment marks, are found by windows:
+runs of as many words as a template (of ``TEMPLATES`` or the full ``TEXTS``) has, at a stride of a
+twentieth of it, so a full copy agrees to 97 per cent at least. A window can reach the threshold only
+if the document has ``t / (2 - t)`` of the template's bigrams; others are not cut. Of overlapping
+windows the one that shares more bigrams counts. A licence found by windows only is one more of
+``n_licensed``. Bigrams of windows are compared by 64-bit hash.
+
 Everything happens inside the row: no shuffle, no join, nothing that a hot key could slow down.
 
 Defined cases: a null or empty text has no units and no licence; a text without letters or digits
@@ -16,7 +23,10 @@ through ``scan``, whose own columns replace ones of their name. Texts are compar
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pathlib import Path
+
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
@@ -45,14 +55,29 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("All-rights-reserved", "All rights reserved."),
 ]
+_AS_IS = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_BSD = next(body for name, body in TEMPLATES if name == "BSD-2-Clause")
+_STORED = Path(__file__).with_name("licence_texts")
+#: Full texts, for windows.
+TEXTS = [
+    ("ISC", next(body for name, body in TEMPLATES if name == "ISC") + ' THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
+    ("BSD-2-Clause", f"{_BSD} {_AS_IS}"),
+    ("BSD-3-Clause", f"{_BSD} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {_AS_IS}"),
+    ("Unlicense", 'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
+    *[(name, (_STORED / f"{name}.txt").read_text(encoding="utf-8")) for name in ("Apache-2.0", "GPL-2.0", "GPL-3.0")],
+]
 WORD = r"[\p{L}\p{N}]+"
 COLUMNS = ("n_units", "n_licensed", "licenses", "best_permille")
 
 
-def _bigrams(text: str) -> list[str]:
+def _words(text: str) -> list[str]:
     import re
 
-    words = re.findall(r"[^\W_]+", text.lower().replace("licence", "license"))
+    return re.findall(r"[^\W_]+", text.lower().replace("licence", "license"))
+
+
+def _bigrams(text: str) -> list[str]:
+    words = _words(text)
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
@@ -61,6 +86,43 @@ def bounds(n: int, threshold: int = THRESHOLD) -> tuple[int, int]:
     return -(-threshold * n // (200 - threshold)), (200 - threshold) * n // threshold
 
 
+def _longs(grams: list[str]) -> Column:
+    """The hashes of bigrams as Spark computes them, a literal."""
+    hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return F.expr(f"array({', '.join(f'{h - (h >> 63 << 64)}L' for h in hashes)})")
+
+
+def with_notices(df: DataFrame, words: str, templates: list[tuple[str, str]], threshold: int, out: str) -> DataFrame:
+    """df with the windows of its array of words that are a licence: structs of permille and the template's number."""
+    known = [(len(_words(body)) - 1, _bigrams(body)) for _, body in templates]
+    listed = F.array(*[
+        F.struct(F.lit(i).alias("i"), F.lit(bounds(len(g), threshold)[0]).alias("low"), F.lit(n).alias("n"), F.lit(max(1, n // 20)).alias("step"), _longs(g).alias("g"))
+        for i, (n, g) in enumerate(known)
+    ])
+    every, least = _longs(sorted({x for _, g in known for x in g})), min(bounds(len(g), threshold)[0] for _, g in known)
+    ends = F.size(words) - 1
+    pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(ends, F.lit(0))), F.slice(words, F.lit(2), F.greatest(ends, F.lit(0))), lambda a, b: F.xxhash64(F.concat(a, F.lit(" "), b)))
+    out_df = df.withColumn("__hashes", pairs).withColumn("__common", F.array_intersect("__hashes", every))
+    near = F.filter(listed, lambda t: F.size(F.array_intersect(F.col("__common"), t["g"])) >= t["low"])
+    out_df = out_df.withColumn("__near", F.when(F.size("__common") >= least, near))
+
+    def windows(t: Column) -> Column:
+        last = F.greatest(F.size("__hashes") - t["n"] + 1, F.lit(1))
+
+        def window(p: Column) -> Column:
+            part = F.slice("__hashes", p, t["n"])
+            both, size = F.size(F.array_intersect(part, t["g"])), F.size(F.array_distinct(part)) + F.size(t["g"])
+            return F.struct(both.alias("both"), F.floor(F.lit(2000) * both / size).cast("int").alias("permille"), p.alias("p"), (p + t["n"]).alias("e"), t["i"].alias("i"))
+
+        starts = F.array_distinct(F.concat(F.sequence(F.lit(1), last, t["step"]), F.array(last)))
+        return F.filter(F.transform(starts, window), lambda x: x["permille"] >= threshold * 10)
+
+    out_df = out_df.withColumn("__windows", F.flatten(F.transform("__near", windows)))
+    beaten = lambda x: F.exists("__windows", lambda y: (y["p"] < x["e"]) & (x["p"] < y["e"]) & (F.struct(y["both"], y["permille"]) > F.struct(x["both"], x["permille"])))
+    best = F.filter("__windows", lambda x: ~beaten(x))
+    return out_df.withColumn(out, F.coalesce(best, F.array().cast(out_df.schema["__windows"].dataType)))
+
+
 def scan(df: DataFrame, text: str = "text", templates: list[tuple[str, str]] | None = None, threshold: int = THRESHOLD) -> DataFrame:
     """df with the number of units and of licensed ones, the licences found and the best agreement."""
     known = [(i, name, _bigrams(body)) for i, (name, body) in enumerate(templates or TEMPLATES)]
@@ -86,11 +148,19 @@ def scan(df: DataFrame, text: str = "text", templates: list[tuple[str, str]] | N
 
     out = out.withColumn("__best", F.transform(pairs, best)).withColumn("__found", F.filter("__best", lambda x: x >= threshold * 10 * 1000))
     names = F.array(*[F.lit(name) for _, name, _ in known])
+    noticed = [*(templates or TEMPLATES), *([] if templates else TEXTS)]
+    all_names = F.array(*[F.lit(name) for name, _ in noticed])
+    out = out.withColumn("__names", F.array_distinct(F.transform("__found", lambda x: F.element_at(names, (1000 - x % 1000).cast("int")))))
+    text_words = F.regexp_extract_all(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), "licence", "license"), F.lit(WORD), F.lit(0))
+    out = with_notices(out.withColumn("__text_words", text_words), "__text_words", noticed, threshold, "__notices")
+    more = F.filter("__notices", lambda x: ~F.array_contains("__names", F.element_at(all_names, x["i"] + 1)))
+    out = out.withColumn("__more", more).withColumn("__more_names", F.array_distinct(F.transform("__more", lambda x: F.element_at(all_names, x["i"] + 1))))
+    by_window = F.coalesce(F.array_max(F.transform("__more", lambda x: x["permille"])), F.lit(0))
     found = {
         "n_units": F.size("__units").cast("long"),
-        "n_licensed": F.size("__found").cast("long"),
-        "licenses": F.array_join(F.array_sort(F.array_distinct(F.transform("__found", lambda x: F.element_at(names, (1000 - x % 1000).cast("int"))))), ","),
-        "best_permille": F.coalesce(F.floor(F.array_max("__best") / 1000), F.lit(0)).cast("long"),
+        "n_licensed": (F.size("__found") + F.size("__more_names")).cast("long"),
+        "licenses": F.array_join(F.array_sort(F.concat("__names", "__more_names")), ","),
+        "best_permille": F.greatest(F.coalesce(F.floor(F.array_max("__best") / 1000), F.lit(0)), by_window).cast("long"),
     }
     # A generator of one row keeps filters on its columns from being pushed into the arrays below.
     return out.select(*df.drop(*COLUMNS).columns, F.inline(F.array(F.struct(*[c.alias(n) for n, c in found.items()]))))

@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers
 
 import corpus_pipeline
-from portico.llm import packing, pieces, quality
+from portico.llm import licences, packing, pieces, quality
 
 from .test_operators import docs
 
@@ -87,3 +87,17 @@ def test_packed_ids_like_the_library_as_it_comes(spark, tmp_path):
     assert {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in got} == want
     rows.write.parquet(f"{tmp_path}/documents.parquet")
     assert {r["doc_id"]: r["doc_tokens"] for r in packing.op2_packed_sequences(spark, str(tmp_path)).collect()} == {i: len(x) for i, x in want.items()}
+
+
+def test_notices_inside_longer_documents(spark):
+    def wrapped(body, mark="", width=9):
+        words = body.split()
+        return "\n".join(mark + " ".join(words[k : k + width]) for k in range(0, len(words), width))
+
+    of = lambda name, last=-1: [t for n, t in [*licences.TEMPLATES, *licences.TEXTS] if n == name][last]
+    own = lambda i: "\n".join(f"int value{i}x{k} = other{k} + {k};" for k in range(150))
+    cases = [("MIT", wrapped(of("MIT"), " * ")), ("Apache-2.0", wrapped(of("Apache-2.0", 1), "# ")), ("GPL-3.0", wrapped(of("GPL-3.0", 1), "// ")), ("GPL-2.0", wrapped(of("GPL-2.0", 1)))]
+    cases += [(n, wrapped(of(n))) for n in ("ISC", "BSD-2-Clause", "BSD-3-Clause", "Unlicense", "Apache-2.0", "GPL-3.0", "GPL-2.0")] + [("", "permission to use the software")]
+    rows = [(i, f"{own(i)}\n{body}\n{own(i + 50)}", "s") for i, (_, body) in enumerate(cases)] + [(100 + i, body, "s") for i, (_, body) in enumerate(cases)]
+    got = {r["doc_id"]: r["licenses"] for r in licences.scan(docs(spark, rows, extra=True)).collect()}
+    assert got == {i + at: name for i, (name, _) in enumerate(cases) for at in (0, 100)}
