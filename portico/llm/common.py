@@ -37,6 +37,13 @@ def keep(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete tables that ``keep`` wrote and that no DataFrame in use reads any more."""
+    for path in paths:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def slices(batch, sizes, most: int = 4 << 20):
     """Ranges of rows of an Arrow batch whose sizes sum to about most bytes, one row at least."""
     start, total = 0, 0

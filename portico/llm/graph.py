@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, remove
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -30,6 +30,7 @@ def components(edges: DataFrame, path: str) -> DataFrame:
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         now = keep(small.select("e.u", "e.v").filter("u <> v").distinct(), f"{path}/{step}")
+        remove(edges.sparkSession, f"{path}/{step - 1}")
         last, mark = mark, _mark(now)
         if mark == last:
             break

@@ -10,8 +10,8 @@ bands of four a pair at similarity 0.8 shares no band with probability 5e-8.
 3. Confirmed links give components.
 4. Buckets whose members are not yet one component are finished exactly: the members outside the
    bucket's largest component meet all others, in blocks of bounded size that one task compares
-   without emitting pairs. There a pair is skipped if it is joined already, met in an earlier band, or
-   if the 128 values agree so little that a link is ruled out (five standard deviations).
+   without emitting pairs. There a pair is skipped only if it is joined already or met in an earlier
+   band; the full sets of all others are counted against each other.
 5. Components of the second links join the first.
 
 A link is always confirmed on full sets: ``100 * |A & B| >= 80 * |A | B|``.
@@ -32,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, shared_dir, slices, table
+from .common import keep, remove, shared_dir, slices, table
 from .graph import components
 
 WORDS, PER_CENT = 4, 80
 PERMUTATIONS, BANDS, ROWS = 64, 32, 4
-#: Rows of a block in step 4, and the share of equal values below which no link is possible.
-BLOCK, SURE = 512, 0.62
+#: Rows of a block in step 4.
+BLOCK = 512
 _SEED = 20240229
 
 
@@ -184,16 +184,30 @@ def _compared(words: int, per_cent: int):
             return i
 
         found, names = [], list(code)
+        # Shingles as places in the sorted list of all, so that one look-up per place counts an overlap.
+        sizes = np.array([len(s) for s in sets])
+        every, places = np.unique(np.concatenate(sets), return_inverse=True)
+        ends = np.cumsum(sizes)
+        held = np.zeros(len(every), bool)
         for i in left:
             others = right[(code_of[right] != code_of[i]) & ((right > i) | (where[right] != where[i]))]
-            same = marks[others] == marks[i]
-            close = same.mean(axis=1) >= SURE
-            first = same[close].reshape(int(close.sum()), BANDS, ROWS).all(axis=2).argmax(axis=1)
-            for j in others[close][first == band]:
+            low, high = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
+            others = others[100 * low >= per_cent * high]
+            if not len(others):
+                continue
+            first = (marks[others] == marks[i]).reshape(len(others), BANDS, ROWS).all(axis=2).argmax(axis=1)
+            others = others[first == band]
+            own = places[ends[i] - sizes[i] : ends[i]]
+            held[own] = True
+            for j in others:
                 a, b = root(int(code_of[i])), root(int(code_of[j]))
-                if a != b and linked(sets[i], sets[j], per_cent):
+                if a == b:
+                    continue
+                both = int(np.count_nonzero(held[places[ends[j] - sizes[j] : ends[j]]]))
+                if 100 * both >= per_cent * (int(sizes[i]) + int(sizes[j]) - both):
                     parent[a] = b
                     found.append((names[code_of[i]], names[code_of[j]]))
+            held[own] = False
         return pa.table({"u": pa.array([x for x, _ in found], pa.int64()), "v": pa.array([x for _, x in found], pa.int64())})
 
     return run
@@ -231,6 +245,7 @@ def near_duplicates(docs: DataFrame, path: str | None = None, words: int = WORDS
     side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
     links = _confirmed(pairs.join(side("v"), "v").join(side("u"), "u"), words, per_cent)
     first = components(links, f"{path}/first")
+    remove(docs.sparkSession, *(f"{path}/{x}" for x in ("signed", "heads", "shared", "centres", "pairs")))
 
     # Step 4: buckets of several components.
     placed = met.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
@@ -249,6 +264,7 @@ def near_duplicates(docs: DataFrame, path: str | None = None, words: int = WORDS
     full = spread.join(texts.withColumnRenamed("doc_id", "rep"), "rep")
     more = full.groupBy("bucket", "x", "y").applyInArrow(_compared(words, per_cent), "u long, v long")
     second = components(more, f"{path}/second")
+    remove(docs.sparkSession, f"{path}/met", f"{path}/texts")
 
     known = first.join(second.select(F.col("node").alias("component"), F.col("component").alias("above")), "component", "left")
     known = known.select(F.col("node").alias("rep"), F.coalesce("above", "component").alias("c"))
