@@ -3,12 +3,15 @@
 Every document is its token ids and a final id 0. Full windows of a document go out at once; its
 remainder is placed online where the sum of squared counts of partially filled windows, kept in an
 array by fill level, grows least (ties: the fullest level, and an open window before a new one).
-At the end of a task, or when ``max_open`` windows are open, the open windows are filled from the
-emptiest ones, cutting pieces, so a task leaves one partial window at most.
+At the end of a task the windows still open are filled from the emptiest ones, cutting pieces, so a
+task leaves one partial window at most. A sequence whose tokens are a power of two stays as long as
+it is; any other is padded to ``size``: ``padded_tokens`` is its length with padding.
 
-Each task packs the rows of its own partition: no shuffle, no state but its open windows. Ids are
-those of the ``tokenizers`` library for the given vocabulary; they are computed by ``tiktoken`` over
-the merges of the same file, which is several times faster and is tested to agree.
+Each task packs the rows of its own partition: no shuffle, no state but its open windows, which hold
+the ids of the partition's remainders. A partition is a file split, so its text, and with it the ids,
+is bounded by ``spark.sql.files.maxPartitionBytes``; a larger split means fewer partial windows. Ids
+are those of the ``tokenizers`` library for the given vocabulary; they are computed by ``tiktoken``
+over the merges of the same file, which is several times faster and is tested to agree.
 
 Defined cases: a null text is an empty one and gives the single id 0; repeated rows are packed
 each; an empty table gives no piece; a null id is kept; further columns are ignored. A text is
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, table
 
-WINDOW, MAX_OPEN = 1024, 8192
+WINDOW = 1024
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -63,8 +66,8 @@ class Packer:
     A piece is (key, start, ids, total) and a window a list of pieces.
     """
 
-    def __init__(self, size: int = WINDOW, max_open: int = MAX_OPEN):
-        self.size, self.max_open, self.n_open = size, max_open, 0
+    def __init__(self, size: int = WINDOW):
+        self.size = size
         self.levels = np.zeros(size + 1, np.int64)  # how many open windows have each fill
         self.open: list[list[list]] = [[] for _ in range(size)]
 
@@ -91,7 +94,6 @@ class Packer:
         if level:
             window = self.open[level].pop()
             self.levels[level] -= 1
-            self.n_open -= 1
         else:
             window = []
         window.append(piece)
@@ -100,9 +102,6 @@ class Packer:
         else:
             self.open[level + n].append(window)
             self.levels[level + n] += 1
-            self.n_open += 1
-        if self.n_open > self.max_open:
-            done += self.finish()
         return done
 
     def finish(self) -> list[list]:
@@ -110,7 +109,6 @@ class Packer:
         windows = [(level, w) for level in range(self.size - 1, 0, -1) for w in self.open[level]]
         self.open = [[] for _ in range(self.size)]
         self.levels[:] = 0
-        self.n_open = 0
         done, low, spare = [], len(windows), []
         for i, (level, window) in enumerate(windows):
             if i >= low:
@@ -131,10 +129,15 @@ class Packer:
         return [*done, spare] if spare else done
 
 
-PIECES = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
+PIECES = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_tokens long, padded_tokens long"
 
 
-def pack(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", size: int = WINDOW, max_open: int = MAX_OPEN, added: bool = False) -> DataFrame:
+def padded(tokens: int, size: int) -> int:
+    """The length of a sequence of so many tokens with its padding."""
+    return tokens if tokens & (tokens - 1) == 0 else size
+
+
+def pack(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", size: int = WINDOW, added: bool = False) -> DataFrame:
     """Pieces of packed sequences: key, place in the document, ids (little-endian 32-bit), place in the sequence.
 
     ``added`` as in ``encoder``.
@@ -149,8 +152,8 @@ def pack(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text"
         from pyspark import TaskContext
         from pyspark.sql.pandas.types import to_arrow_type
 
-        encode, packer, number, held, tokens = encoder(vocabulary, added), Packer(size, max_open), TaskContext.get().partitionId() << 33, [], 0
-        kinds = [to_arrow_type(key_type), pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 4]
+        encode, packer, number, held, tokens = encoder(vocabulary, added), Packer(size), TaskContext.get().partitionId() << 33, [], 0
+        kinds = [to_arrow_type(key_type), pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 5]
 
         def table_of(windows: list[list]) -> pa.RecordBatch:
             nonlocal number
@@ -158,7 +161,7 @@ def pack(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text"
             for window in windows:
                 full, at = sum(len(p[2]) for p in window), 0
                 for k, start, ids, total in window:
-                    out.append((k, start, len(ids), ids.tobytes(), total, number, at, full))
+                    out.append((k, start, len(ids), ids.tobytes(), total, number, at, full, padded(full, size)))
                     at += len(ids)
                 number += 1
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
@@ -191,4 +194,4 @@ def op2_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed_digests(pieces: DataFrame) -> DataFrame:
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens")
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens", "padded_tokens")
