@@ -1,8 +1,10 @@
 """Quality rules: base counts per document and line frequency across the documents of a host.
 
 Lines are normalised (blanks collapsed, lower case) and hashed; per host the distinct documents with
-a line are counted, where documents with equal texts are one. A line is above the limits if more than
-``line_share`` per cent of the host's documents and at least ``line_documents`` have it. It is removed
+a line are counted, where documents with equal texts are one and null texts none. A line is above the
+limits if at least ``line_documents`` of the host's documents and more than ``line_share`` per cent of
+them have it; the default share is 0, as a line that twenty pages of a host share is its furniture
+whether the host has a hundred pages or a million. It is removed
 from every document but the first (smallest doc_id) of the host that has it: ``judge`` gives the text
 without it as ``cleaned``. A document of which less than ``keep_percent`` per cent of the words remain
 is depleted and rejected.
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import BLANKS, table
 
 #: Limits of a line per host: per cent of its documents, documents; per cent of words that must remain.
-LINE_SHARE, LINE_DOCUMENTS, KEEP_PERCENT = 10, 20, 50
+LINE_SHARE, LINE_DOCUMENTS, KEEP_PERCENT = 0, 20, 50
 #: Fixed values of the base rules: fewest words, most per cent of repeated words.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 WORD = f"[^{BLANKS}]+"
@@ -76,9 +78,14 @@ def base_failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (F.lit(100) * F.col("n_repeat_words") > F.lit(MOST_REPEATED) * F.col("n_words"))
 
 
+def _host() -> Column:
+    """The source behind a mark; a null source is the only one without it."""
+    return F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
+
+
 def _keyed(df: DataFrame) -> DataFrame:
     """Columns by which equal rows are equal: id, host, hash of the text."""
-    return df.select(F.col("doc_id").alias("__id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("__host"), F.xxhash64("text").alias("__hash"), "text")
+    return df.filter("text IS NOT NULL").select(F.col("doc_id").alias("__id"), _host().alias("__host"), F.xxhash64("text").alias("__hash"), "text")
 
 
 def removed_lines(docs: DataFrame, line_share: int = LINE_SHARE, line_documents: int = LINE_DOCUMENTS) -> DataFrame:
@@ -106,7 +113,7 @@ def removed_lines(docs: DataFrame, line_share: int = LINE_SHARE, line_documents:
 def judge(docs: DataFrame, line_share: int = LINE_SHARE, line_documents: int = LINE_DOCUMENTS, keep_percent: int = KEEP_PERCENT) -> DataFrame:
     """docs (doc_id, text, source, ...) with the base counts, ``base_failed``, ``kept`` and ``cleaned``, the text without its removed lines."""
     counted = with_counts(docs.drop("base_failed", "kept", "cleaned")).withColumn("base_failed", base_failed())
-    keyed = counted.withColumn("__host", F.coalesce(F.col("source").cast("string"), F.lit(""))).withColumn("__hash", F.xxhash64("text"))
+    keyed = counted.withColumn("__host", _host()).withColumn("__hash", F.xxhash64("text"))
     lost = removed_lines(docs, line_share, line_documents)
     same = keyed["doc_id"].eqNullSafe(lost["__id"]) & (keyed["__host"] == lost["__host"]) & (keyed["__hash"] == lost["__hash"])
     left = F.col("n_words") - F.coalesce(F.col("__removed"), F.lit(0))
@@ -124,7 +131,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP7_SQL = rf"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, text, coalesce(text, '') AS t,
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || source, '') AS host, text, coalesce(text, '') AS t,
   regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
 g AS (SELECT r, unnest(range(1, len(w) - 1)) AS p, w FROM d WHERE len(w) > 2),
 v AS (SELECT r, p, count(*) OVER (PARTITION BY r, w[p], w[p + 1], w[p + 2]) AS n FROM g),
