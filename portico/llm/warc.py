@@ -10,7 +10,7 @@ Of records with equal payloads of at least ``least`` bytes the one with the larg
 response and the others revisit it; smaller ones are all responses.
 
 Defined cases: a null html is an empty payload; a null url leaves its header out; line breaks in a
-url are percent-encoded; a null page_id ranks below all others and is written without an id, and if
+url are percent-encoded in the header and come back as they were; a null page_id ranks below all others and is written without an id, and if
 a group has no other it is a response; repeated rows of the largest page_id are all responses; an
 empty table gives an empty archive; further columns are ignored.
 """
@@ -29,7 +29,12 @@ LINE, BLOCK_END, RECORD_END = "\r\n", "\r\n\r\n", "\r\n\r\n"
 
 
 def _uri(url: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(url, "%(?=0[dDaA])", "%25"), "\r", "%0D"), "\n", "%0A")
+    """A url on one line; a per cent sign that would read as an escape of this kind is escaped itself."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(url, "%(?=(?:25)*0[DA])", "%25"), "\r", "%0D"), "\n", "%0A")
+
+
+def _url(uri: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(uri, "%0D", "\r"), "%0A", "\n"), "%25(?=(?:25)*0[DA])", "%")
 
 
 def _urn(page: Column) -> Column:
@@ -80,7 +85,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     kind = field("WARC-Type", "([a-z]+)")
     return head.select(
         field("WARC-Record-ID", "<urn:page:(-?[0-9]+)>").cast("long").alias("page_id"),
-        field("WARC-Target-URI", "([^\r\n]*)").alias("url"),
+        _url(field("WARC-Target-URI", "([^\r\n]*)")).alias("url"),
         kind.alias("record_type"),
         field("WARC-Refers-To", "<urn:page:(-?[0-9]+)>").cast("long").alias("refers_to"),
         field("WARC-Payload-Digest", "sha1:([0-9a-f]+)").alias("header_digest"),
@@ -89,12 +94,37 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def parse_records(df: DataFrame) -> DataFrame:
+    """df (record, payload, ...) with what the record's own bytes say.
+
+    Adds ``parsed_type``, ``parsed_page``, ``parsed_refers_to``, ``parsed_digest`` and ``parsed_payload``
+    (of a revisit null). A record whose lengths do not add up, or whose payload is not that of its
+    digest, fails the job.
+    """
+    # One character per byte, so places in the text are places in the record.
+    head_end = F.instr(F.decode("record", "ISO-8859-1"), BLOCK_END)
+    out = df.withColumn("__end", head_end).withColumn("__head", F.decode(F.expr("substring(record, 1, __end + 1)"), "UTF-8"))
+    field = lambda name, pattern: F.nullif(F.regexp_extract("__head", rf"\r\n{name}: {pattern}\r\n", 1), F.lit(""))
+    length = field("Content-Length", "([0-9]+)").cast("int")
+    out = out.withColumn("__length", length).withColumn("__block", F.expr("substring(record, __end + 4, __length)"))
+    out = out.withColumn("__http", F.instr(F.decode("__block", "ISO-8859-1"), BLOCK_END)).withColumn("parsed_type", field("WARC-Type", "([a-z]+)"))
+    payload = F.when(F.col("parsed_type") == "response", F.expr("substring(__block, __http + 4)"))
+    out = out.withColumn("parsed_digest", field("WARC-Payload-Digest", "sha1:([0-9a-f]+)")).withColumn("__payload", payload)
+    whole = (F.octet_length("record") == F.col("__end") + 3 + F.col("__length") + 4) & (F.sha1(F.coalesce("__payload", "payload")) == F.col("parsed_digest"))
+    checked = F.when(whole, F.col("__payload")).otherwise(F.raise_error(F.concat(F.lit("damaged record "), F.coalesce("__head", F.lit("")))).cast("binary"))
+    page = lambda name: field(name, "<urn:page:(-?[0-9]+)>").cast("long")
+    return out.select(*df.columns, "parsed_type", page("WARC-Record-ID").alias("parsed_page"), page("WARC-Refers-To").alias("parsed_refers_to"), "parsed_digest", checked.alias("parsed_payload"))
+
+
 def op3_content_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A record per page, written to an archive and read back from it."""
+    """A record per page, written to an archive, rebuilt from it and parsed."""
     path = shared_dir(spark)
     write_archive(table(spark, sf_dir, "pages"), path)
-    return read_archive(spark, path).select(
-        "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", "refers_to",
+    # What a response says comes out of its own bytes; a revisit's payload is the one that it refers to.
+    full = F.coalesce("parsed_payload", "payload")
+    return parse_records(read_archive(spark, path).select("record", "payload")).select(
+        F.col("parsed_page").alias("page_id"), F.octet_length(full).cast("long").alias("payload_bytes"), F.col("parsed_digest").alias("payload_digest"),
+        F.col("parsed_type").alias("record_type"), F.col("parsed_refers_to").alias("refers_to"),
     )
 
 
