@@ -7,7 +7,7 @@ on text edges. Control strings inside roles and texts get a backslash after thei
 (``<|end|>`` becomes ``<\\|end|>``, which itself would become ``<\\\\|end|>``), which is undone exactly.
 
 Defined cases: turns are ordered by turn, role, text, null turns first; a null role or text is an
-empty one; rows with a null conv_id form one conversation; repeated rows are turns of their own; an
+empty one; a row with a null conv_id is a conversation by itself, as nothing says what it belongs to; repeated rows are turns of their own; an
 empty table gives no conversation; further columns are ignored.
 """
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: The control strings, each as first character and rest. They start with < or [, end
@@ -93,8 +93,10 @@ FORMATTED = "conv_id long, formatted string, ids array<int>, starts array<int>,
 def format_conversations(rows: DataFrame, vocabulary: str) -> DataFrame:
     """One row per conversation of rows (conv_id, turn, role, text): text, tokens, spans and mask."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    ready = whole.select("conv_id", F.expr("transform(turns, t -> struct(t.role AS role, t.text AS text))").alias("turns"))
+    whole = rows.filter("conv_id IS NOT NULL").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    alone = rows.filter("conv_id IS NULL").select("conv_id", F.array(turn).alias("turns"))
+    ready = whole.unionAll(alone).select(F.col("conv_id").cast("long"), F.expr("transform(turns, t -> struct(t.role AS role, t.text AS text))").alias("turns"))
+    ready = ready.withColumn("size", F.expr("cast(aggregate(turns, 0L, (n, t) -> n + octet_length(t.text)) as long)"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -102,8 +104,8 @@ def format_conversations(rows: DataFrame, vocabulary: str) -> DataFrame:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = tokenizer(vocabulary)
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            for i, j in slices(batch, batch.column(2).to_pylist(), 512 << 10):
+                part = batch.slice(i, j - i)
                 made = [render([(t["role"], t["text"]) for t in turns]) for turns in part.column(1).to_pylist()]
                 ids, starts, ends, masks = [], [], [], []
                 for e, (_, spans) in zip(encoder.encode_batch([t for t, _ in made], add_special_tokens=False), made, strict=True):
@@ -152,8 +154,25 @@ def op5_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return read_back(format_conversations(rows.unionByName(probe), public_tokenizers.path(VOCABULARY)))
+    found = read_back(format_conversations(rows.unionByName(probe), public_tokenizers.path(VOCABULARY)))
+    return found.drop("n_tokens", "loss_tokens")
+
+
+def _sql() -> str:
+    # RE2 has no names for the groups that do not take part: they are empty.
+    hide = lambda x: f"regexp_replace({x}, '{CONTROLS}', '\\1\\4\\\\\\2\\5\\3\\6', 'g')"
+    marks = len(TURN + TEXT + END)
+    return f"""
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+k AS (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS own FROM r),
+g AS (SELECT conv_id, own, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
+  coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
+  sum({marks} + length({hide('role')}) + length({hide('text')})) AS formatted FROM k GROUP BY conv_id, own)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
+  CAST(formatted AS BIGINT) AS formatted_chars FROM g
+"""
 
 
-#: Texts of the loss and turns without their digests' tokens: what SQL can say of the result.
-OP5_SQL = None
+#: Everything but the tokens: turns, loss text and length of the template.
+OP5_SQL = _sql()

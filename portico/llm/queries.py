@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from .audio import op1_telephony_audio
-from .chat import op5_chat_masks
+from .chat import OP5_SQL, op5_chat_masks
 from .licences import OP6_SQL, op6_license_scan
 from .minhash import OP4_SQL, op4_near_duplicates
 from .packing import op2_packed_sequences
 from .pieces import op8_merge_dropout
 from .quality import OP7_SQL, op7_quality_rules
-from .secrets import op10_secret_spans
-from .sharding import op9_hash_tree_shards
+from .secrets import OP10_SQL, op10_secret_spans
+from .sharding import OP9_SQL, op9_hash_tree_shards
 from .warc import OP3_SQL, op3_content_archive
 
 QUERIES = {
@@ -25,4 +25,12 @@ QUERIES = {
     "op9_hash_tree_shards": op9_hash_tree_shards,
     "op10_secret_spans": op10_secret_spans,
 }
-SQL = {"op3_content_archive": OP3_SQL, "op4_near_duplicates": OP4_SQL, "op6_license_scan": OP6_SQL, "op7_quality_rules": OP7_SQL}
+SQL = {
+    "op3_content_archive": OP3_SQL,
+    "op4_near_duplicates": OP4_SQL,
+    "op5_chat_masks": OP5_SQL,
+    "op6_license_scan": OP6_SQL,
+    "op7_quality_rules": OP7_SQL,
+    "op9_hash_tree_shards": OP9_SQL,
+    "op10_secret_spans": OP10_SQL,
+}

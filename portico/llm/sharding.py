@@ -8,7 +8,9 @@ move into it and nowhere else, and a change inside one subtree leaves all others
 region of its own. So each shard added beyond ``base`` takes rows only into itself.
 
 Defined cases: a null key draws as the text ``null``; repeated rows share a shard and get slots of
-their own; an empty table gives an empty result; further columns pass through ``place``.
+their own; an empty table gives an empty result; ``place`` gives a table of the key and the columns
+named in ``ties`` with shard and slot, ignores further columns, and lets its own replace ones of their
+name.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Rows of one numbering block; a block is the most that one task sorts.
+#: Distinct rows of one numbering block, which one task sorts, and equal rows that it numbers at a time.
 BLOCK_ROWS = 4096
 #: Fixed value: hexadecimal digits of a draw, 48 bits.
 DIGITS = 12
@@ -80,25 +82,35 @@ def shard_of(key: Column, tree: list[Leaf], seed: str = "tree") -> Column:
 
 
 def place(df: DataFrame, key: str, tree: list[Leaf], seed: str = "tree", ties: tuple[str, ...] = (), rows: int | None = None) -> DataFrame:
-    """df with ``shard`` and ``slot``, the place in the shard, gapless from 0.
+    """Key, ties, ``shard`` and ``slot``, the place in the shard, gapless from 0, of every row of df.
 
-    Slots follow the key's digest, then the key, then ``ties``. A shard is numbered in blocks of
-    leading digest digits, so no task sorts a whole shard; block offsets come from counts.
+    Slots follow the digest of the key and ``ties``. Equal rows are counted first, so the rows that a
+    hot key repeats are one row here; a shard's distinct rows are numbered in blocks of leading digest
+    digits, so no task sorts a whole shard; block offsets come from counts. In the end a count becomes
+    rows again, in parts of ``BLOCK_ROWS``.
     """
     rows = df.count() if rows is None else rows
     digits = 1
     while 16**digits * len(tree) * BLOCK_ROWS < rows:
         digits += 1
-    digest = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("null")))
-    placed = df.withColumn("shard", shard_of(F.col(key), tree, seed)).withColumn("__digest", digest).withColumn("__block", F.substring("__digest", 1, digits))
+    names = [key, *ties]
+    said = [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in names]
+    own = df.select(*names).withColumns({"shard": shard_of(F.col(key), tree, seed), "__digest": F.md5(F.concat_ws("/", *said))})
+    values = own.groupBy("shard", "__digest", *names).agg(F.count("*").alias("__n")).withColumn("__block", F.substring("__digest", 1, digits))
     before = Window.partitionBy("shard").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        placed.groupBy("shard", "__block").agg(F.count("*").alias("__n"))
-        .select("shard", "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+        values.groupBy("shard", "__block").agg(F.sum("__n").alias("__rows"))
+        .select("shard", "__block", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
     )
-    inside = Window.partitionBy("shard", "__block").orderBy("__digest", key, *ties)
-    ranked = placed.withColumn("__rank", F.row_number().over(inside))
-    return ranked.join(offsets, ["shard", "__block"]).withColumn("slot", F.col("__before") + F.col("__rank") - 1).drop("__digest", "__block", "__rank", "__before")
+    inside = Window.partitionBy("shard", "__block").orderBy("__digest", *names).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = values.withColumn("__first", F.coalesce(F.sum("__n").over(inside), F.lit(0)))
+    firsts = ranked.join(offsets, ["shard", "__block"]).select(*names, "shard", (F.col("__before") + F.col("__first")).alias("__at"), "__n")
+    few = firsts.filter(F.col("__n") <= BLOCK_ROWS).select("*", F.lit(0).cast("long").alias("__part"))
+    # Equal rows beyond a block: their parts go to tasks of their own.
+    many = firsts.filter(F.col("__n") > BLOCK_ROWS).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(__n - 1) div {BLOCK_ROWS}"))).alias("__part"))
+    many = many.repartition(*names, "__part")
+    place_of = F.explode(F.expr(f"sequence(__at + __part * {BLOCK_ROWS}, __at + least(__n, (__part + 1) * {BLOCK_ROWS}) - 1)"))
+    return few.unionAll(many).select(*names, "shard", place_of.alias("slot"))
 
 
 def op9_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,3 +126,44 @@ def op9_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long"),
         shard_of(F.col("doc_id"), default_tree(41)).alias("grown_shard"),
     )
+
+
+def _sql_shard(n: int, name: str) -> str:
+    """CTEs that walk the default tree of n shards: the last one, name, has k (a key's text) and shard."""
+    tree, rows = default_tree(n), []
+    seen: dict[str, float] = {}
+    for leaf in tree:
+        for path, child in (("", leaf.region), (f"/{leaf.region}", leaf.rack), (f"/{leaf.region}/{leaf.rack}", str(leaf.shard))):
+            seen[f"{path}/{child}"] = seen.get(f"{path}/{child}", 0.0) + leaf.weight
+    for full, weight in seen.items():
+        path, _, child = full.rpartition("/")
+        rows.append(f"('{path}', '{child}', {weight})")
+    at = "(SELECT k, '' AS path FROM keys)"
+    out = f"{name}_t(path, child, weight) AS (VALUES {', '.join(rows)})"
+    for level in range(3):
+        u = f"((('0x' || substr(md5('tree/' || p.path || '/' || t.child || '/' || p.k), 1, {DIGITS}))::BIGINT + 0.5) / {float(16**DIGITS)})"
+        out += f", {name}_{level} AS (SELECT p.k, p.path || '/' || arg_min(t.child, -ln({u}) / t.weight) AS path FROM {at} p JOIN {name}_t t ON t.path = p.path GROUP BY p.k, p.path)"
+        at = f"{name}_{level}"
+    return out + f", {name} AS (SELECT k, CAST(split_part(path, '/', 4) AS INTEGER) AS shard FROM {name}_2)"
+
+
+def _sql() -> str:
+    # CRC-32 by its table of 256 values, one byte at a time.
+    step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    value = "i"
+    for _ in range(8):
+        value = f"list_transform([{value}], lambda c: {step})[1]"
+    return f"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: {value}) AS t),
+d AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS k, encode(coalesce(text, '')) AS b, coalesce(octet_length(encode(text)), 0) + 16 AS size FROM documents),
+c AS (SELECT doc_id, k, CAST(size AS BIGINT) AS size,
+  xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(b), '..'), lambda x: ('0x' || x)::BIGINT)),
+    lambda s, x: xor(s >> 8, t[xor(s & 255, x) + 1])), 4294967295) AS text_crc32 FROM d, crc),
+keys AS (SELECT DISTINCT k FROM d), {_sql_shard(40, 'a')}, {_sql_shard(41, 'b')}
+SELECT doc_id, size, text_crc32, 'key' AS law, a.shard,
+  row_number() OVER (PARTITION BY a.shard ORDER BY md5(c.k || '/' || size || '/' || text_crc32), doc_id, size, text_crc32) - 1 AS slot, b.shard AS grown_shard
+FROM c JOIN a ON a.k = c.k JOIN b ON b.k = c.k
+"""
+
+
+OP9_SQL = _sql()
