@@ -23,18 +23,24 @@ def positional_vote(readings: DataFrame, key: str, text: str, order: str, blank_
 
     Readings that are too short vote blank; with ``blank_last`` off they do not at the last position.
     Counting starts in the map tasks: what is shuffled is one row per pass, position and character,
-    however many readings a pass has.
+    however many readings a pass has, and then one array of those per pass.
     """
-    said = readings.filter(F.length(text) > 0).select(key, F.col(order).alias("o"), F.col(text).alias("t"))
-    longest = said.groupBy(key).agg(F.max(F.length("t")).alias("longest"))
-    chars = said.join(longest, key).select(key, "o", "longest", F.explode(F.sequence(F.lit(1), F.col("longest"))).alias("p"), "t")
-    chars = chars.withColumn("ch", F.substring(F.col("t"), F.col("p"), F.lit(1)))
-    if not blank_last:
-        chars = chars.filter("ch <> '' OR p < longest")
-    counted = chars.groupBy(key, "p", "ch").agg(F.count("*").alias("n"), F.min("o").alias("first"))
-    best = counted.groupBy(key, "p").agg(F.max_by("ch", F.struct("n", -F.col("first"))).alias("ch"))
-    ordered = F.array_sort(F.collect_list(F.struct("p", "ch")))
-    return best.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x["ch"]), "").alias("voted"))
+    # A reading votes its characters and marks behind its end where its blanks begin.
+    said = readings.filter(F.length(text) > 0).select(key, F.col(order).alias("o"), F.concat(F.split(text, ""), F.array(F.lit(""))).alias("c"))
+    counted = said.select(key, "o", F.posexplode("c").alias("p", "ch")).groupBy(key, "p", "ch").agg(F.count("*").alias("n"), F.min("o").alias("first"))
+    votes = counted.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("p", (-F.col("n")).alias("m"), "first", "ch"))).alias("v"))
+    v, longest = F.col("v"), F.element_at("v", -1)["p"]
+    total = lambda found: -F.aggregate(found, F.lit(0).cast("long"), lambda n, x: n + x["m"])
+    letters = lambda p: F.filter(v, lambda x: (x["p"] == p) & (x["ch"] != ""))
+
+    def best(p: Column) -> Column:
+        top = F.get(letters(p), F.lit(0))
+        blanks = total(letters(F.lit(0))) - total(letters(p))
+        since = F.array_min(F.transform(F.filter(v, lambda x: (x["ch"] == "") & (x["p"] <= p)), lambda x: x["first"]))
+        blank = (blanks > 0) & ((blanks > -top["m"]) | ((blanks == -top["m"]) & (since < top["first"])))
+        return F.when(blank if blank_last else blank & (p < longest - 1), "").otherwise(top["ch"])
+
+    return votes.select(key, F.array_join(F.transform(F.sequence(F.lit(0), longest - 1), best), "").alias("voted"))
 
 
 def vote_code(readings: DataFrame, key: str, text: str, order: str, most: int = 10) -> DataFrame:
@@ -93,31 +99,73 @@ def repair_size_types(codes: DataFrame, candidates: DataFrame, default: str = "2
     return out.select("code", repaired.alias("repaired"), F.when(known, 1).when(found, 2).otherwise(0).alias("flag"))
 
 
-def _without_one(s: Column) -> Column:
-    """The strings that s becomes when one character is left out."""
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
+def _without(s: Column, i: Column) -> Column:
+    """s without its i-th character."""
+    return F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s)))
+
+
+def _places(s: Column) -> Column:
+    """The numbers of the characters of s."""
+    return F.filter(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: i <= F.length(s))
+
+
+def _named(kind: str, place: Column, text: Column) -> Column:
+    return F.concat(F.lit(kind), place.cast("string"), F.lit("."), text)
+
+
+def _shared_keys(n: Column, head: Column, apart: Column) -> Column:
+    """Keys of a number for partners that are ``apart`` characters longer: equal keys are a match.
+
+    One edit under any heads: the same place changed, or a character more. Two under equal heads: two
+    places changed; one left out on each side; a character more and one place changed; two more.
+    """
+    none = F.array().cast("array<string>")
+    less = F.transform(_places(n), lambda i: _without(n, i))
+    changed = F.transform(_places(n), lambda i: _named("s", i, _without(n, i)))
+    twice = F.flatten(F.transform(_places(n), lambda i: F.transform(F.filter(_places(n), lambda j: j > i), lambda j: _named("t", i, _named("", j, _without(_without(n, j), i))))))
+    wild = lambda x: F.transform(_places(x), lambda k: _named("w", k, _without(x, k)))
+    plain = lambda kind, xs: F.transform(xs, lambda x: F.concat(F.lit(kind), x))
+    itself = F.array(n)
+    any_head = (
+        F.when(apart == 0, F.concat(changed, plain("=", itself)))
+        .when(apart == 1, plain("d", itself)).when(apart == -1, plain("d", less)).otherwise(none)
+    )
+    same_head = (
+        F.when(apart == 0, F.concat(twice, plain("x", less)))
+        .when(apart == 1, wild(n)).when(apart == -1, F.flatten(F.transform(less, wild)))
+        .when(apart == 2, plain("e", itself)).when(apart == -2, plain("e", F.flatten(F.transform(less, lambda x: F.transform(_places(x), lambda k: _without(x, k))))))
+        .otherwise(none)
+    )
+    return F.array_distinct(F.concat(plain("*|", any_head), F.transform(same_head, lambda x: F.concat(head, F.lit("|"), x))))
 
 
 def match_against(codes: DataFrame, expected: DataFrame, code: str, reference: str) -> DataFrame:
     """code, matched, found: the first expected code by rank that matches, else null.
 
-    Two strings within d edits share a string that each becomes by leaving out at most d characters.
-    So candidates meet by equality of such strings: two left out and the head under equal heads, one
-    under any heads. No pair of all codes is made, and edit distance is computed for candidates only.
+    Numbers match by keys that say where they were changed, so that equal keys are a match: no edit
+    distance is computed and of each key only the lowest rank is kept before the join. Rows grow with
+    the codes, not with their pairs. Keys are made for lengths that the other side has; there are no
+    more lengths than a code can have, so their list is broadcast.
     """
-    def keys(df: DataFrame, name: str) -> DataFrame:
-        c = F.col(name)
-        n = C.split_number(c)
-        once = F.concat(F.array(n), _without_one(n))
-        twice = F.flatten(F.transform(once, _without_one))
-        near = F.transform(F.array_distinct(once), lambda x: F.concat(F.lit("*|"), x))
-        same = F.transform(F.array_distinct(F.concat(once, twice)), lambda x: F.concat(C.split_head(c), F.lit("|"), x))
-        return df.withColumn("key", F.explode(F.concat(near, same)))
-
-    left = keys(codes.select(code), code)
-    right = keys(expected.select(reference, "rank"), reference)
-    pairs = left.join(right, "key").select(code, reference, "rank").distinct().filter(C.code_matches(code, reference))
-    first = pairs.groupBy(code).agg(F.min_by(reference, F.struct("rank", reference)).alias("matched"))
+    def parts(df: DataFrame, name: str) -> DataFrame:
+        return df.withColumns({"__head": C.split_head(name), "__number": C.split_number(name)}).withColumn("__n", F.length("__number"))
+
+    # A row becomes some dozen keys: dealt out in full first, as a few small partitions would be joined.
+    tasks = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def keys(df: DataFrame, other: DataFrame, sign: int) -> DataFrame:
+        lengths = F.broadcast(other.select(F.col("__n").alias("__other")).distinct())
+        apart = df.withColumn("__apart", F.explode(F.sequence(F.lit(-2), F.lit(2)))).withColumn("__other", F.col("__n") + F.col("__apart")).join(lengths, "__other")
+        apart = apart.repartition(tasks, "__number", "__apart").withColumn("__key", F.explode(_shared_keys(F.col("__number"), F.col("__head"), F.col("__apart"))))
+        # Which side is the longer one is a part of the key.
+        return apart.withColumn("key", F.concat((F.col("__apart") * sign).cast("string"), F.col("__key")))
+
+    left, right = parts(codes.select(code).filter(F.col(code).isNotNull()), code), parts(expected.select(reference, "rank"), reference)
+    lowest = keys(right, left, -1).groupBy("key").agg(F.min("rank").alias("rank"))
+    best = keys(left, right, 1).select(code, "key").join(lowest, "key").groupBy(code).agg(F.min("rank").alias("rank"))
+    # Several expected codes may share a rank: the first that matches.
+    named = best.join(expected.select(reference, "rank"), "rank").filter(C.code_matches(code, reference))
+    first = named.groupBy(code).agg(F.min(reference).alias("matched"))
     return codes.select(code).join(first, code, "left").withColumn("found", F.col("matched").isNotNull())
 
 
