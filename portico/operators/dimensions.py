@@ -2,58 +2,71 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import itertools
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: A subset of the ISO 6346 size-types; the later row of a repeated code wins.
-SIZE_TYPES = [
-    ("20G0", "general, openings at one end", 20.0, 8.0, "20GP"),
-    ("20G1", "general, passive vents", 20.0, 8.0, "20GP"),
-    ("20R1", "reefer and heated", 20.0, 8.0, "20RF"),
-    ("20T3", "tank, 2.65 bar", 20.0, 8.0, "20TD"),
-    ("22G0", "general, openings at one end", 20.0, 8.5, "22GP"),
-    ("22G1", "general", 20.0, 8.5, "22GP"),
-    ("22G1", "general, passive vents", 20.0, 8.5, "22GP"),
-    ("22P1", "flat, fixed ends", 20.0, 8.5, "22PF"),
-    ("22P3", "flat, folding ends", 20.0, 8.5, "22PC"),
-    ("22R1", "reefer and heated", 20.0, 8.5, "22RT"),
-    ("22T6", "tank, dangerous liquids", 20.0, 8.5, "22TD"),
-    ("22U1", "open top, removable members", 20.0, 8.5, "22UT"),
-    ("22V2", "ventilated", 20.0, 8.5, "22VH"),
-    ("25G1", "general, high", 20.0, 9.5, "25GP"),
-    ("42G1", "general, passive vents", 40.0, 8.5, "42GP"),
-    ("42P1", "flat, fixed ends", 40.0, 8.5, "42PF"),
-    ("42R1", "reefer and heated", 40.0, 8.5, "42RT"),
-    ("42T6", "tank, dangerous liquids", 40.0, 8.5, "42TD"),
-    ("42U1", "open top, removable members", 40.0, 8.5, "42UT"),
-    ("45G1", "general, high", 40.0, 9.5, "45GP"),
-    ("45R1", "reefer and heated, high", 40.0, 9.5, "45RT"),
-    ("45U1", "open top, high", 40.0, 9.5, "45UT"),
-    ("L5G1", "general, 45 feet", 45.0, 9.5, "L5GP"),
-    ("L5R1", "reefer, 45 feet", 45.0, 9.5, "L5RT"),
-]
-#: Completions of fragments of size-types in order of preference.
-SIZE_CANDIDATES = [
-    ("22G", ["22G1", "22G0"]), ("42G", ["42G1"]), ("45G", ["45G1"]), ("22R", ["22R1"]), ("2G1", ["22G1", "42G1"]), ("5G1", ["45G1", "25G1"]),
-    ("2R1", ["22R1", "42R1"]), ("5R1", ["45R1"]), ("2CG", ["2CG1"]), ("4T6", ["42T6", "40T6"]), ("2T6", ["22T6", "42T6"]), ("2U1", ["22U1", "42U1"]),
-    ("45U", ["45U1"]), ("L5G", ["L5G1"]), ("L5R", ["L5R1"]), ("22T", ["22T6"]), ("42U", ["42U1"]), ("22P", ["22P1", "22P3"]), ("22V", ["22V2"]), ("25G", ["25G1"]),
-]
+from ..functions.codes import LIVE
+
+#: Fixed values of ISO 6346: lengths and heights in feet, and the sizes in use, the frequent ones first.
+LENGTHS = {"2": 20.0, "4": 40.0, "L": 45.0}
+HEIGHTS = {"0": 8.0, "2": 8.5, "4": 9.0, "5": 9.5}
+SIZES = ("22", "42", "45", "20", "40", "L5", "25", "44", "24", "L2")
+#: Fixed values of ISO 6346: type letter -> description, group, last characters in use (digits, then those of group codes).
+TYPES = {
+    "G": ("Standard Dry", "GP", "0123P"), "V": ("Ventilated", "VH", "0234H"), "B": ("Dry Bulk", "BU", "013456KU"), "S": ("Named Cargo", "SN", "012N"),
+    "R": ("Thermal Refrigerated/Heated", "RT", "01239CEST"), "H": ("Thermal Insulated", "HR", "01256IR"), "U": ("Open Top", "UT", "012345T"), "P": ("Platform", "PF", "12345789LSFC"),
+    "T": ("Tank", "TN", "0123456789DGN"),
+}
+#: Types with a name or group of their own.
+NAMED = {"P3": ("Collapsible Flat Rack", "PC"), "P1": ("Flat Rack", "PF"), "R1": ("Reefer", "RT"), "H0": ("Insulated (Conair)", "HR"), "B0": ("Bulk", "BU")}
+
+
+def size_type_rows() -> list[tuple[str, str, float, float, str]]:
+    """(code, description, length, height, group) of every size with every type.
+
+    ``readers.read_size_types`` reads a list from a file where there is one.
+    """
+    rows = []
+    for size, (t, (name, group, last)) in itertools.product(SIZES, TYPES.items()):
+        for d in last:
+            own = NAMED.get(t + d, (name, group))
+            rows.append((size + t + d, own[0], LENGTHS[size[0]], HEIGHTS[size[1]], size + own[1]))
+    return rows
+
+
+SIZE_TYPES = size_type_rows()
 
 
 def size_types(spark: SparkSession) -> DataFrame:
-    """code, description, length, height, group; one row per code, later rows win."""
-    last = {row[0]: row for row in SIZE_TYPES}
-    return spark.createDataFrame(list(last.values()), "code string, description string, length double, height double, `group` string")
+    """code, description, length, height, group; one row per code."""
+    return spark.createDataFrame(SIZE_TYPES, "code string, description string, length double, height double, `group` string")
 
 
 def size_codes() -> list[str]:
-    return sorted({row[0] for row in SIZE_TYPES})
+    return sorted(row[0] for row in SIZE_TYPES)
+
+
+def type_candidates(dimension: DataFrame, most: int = 100) -> DataFrame:
+    """fragment, rank, candidate: the codes like a fragment of a size-type, ``most`` at most, in order of their place.
+
+    A fragment has characters that fit three or four places in order; likeness is twice the longest
+    common subsequence over the sum of lengths, 0.8 at least: so four characters are the code itself
+    and three are a code without one of its places. Fragments come from the codes' side.
+    """
+    places = ["".join(x) for n in (3, 4) for x in itertools.combinations(LIVE, n)]
+    code = F.col("code")
+    less = [F.concat(F.substring(code, 1, i), F.substring(code, i + 2, 4)) for i in range(4)]
+    rows = dimension.select("code", "place", F.explode(F.array_distinct(F.array(code, *less))).alias("fragment")).filter(F.col("fragment").rlike(f"^({'|'.join(places)})$"))
+    rank = F.row_number().over(Window.partitionBy("fragment").orderBy("place", code)) - 1
+    return rows.select("fragment", rank.alias("rank"), F.col("code").alias("candidate")).filter(F.col("rank") < most)
 
 
 def size_candidates(spark: SparkSession) -> DataFrame:
-    """fragment, rank, candidate."""
-    rows = [(f, i, c) for f, cs in SIZE_CANDIDATES for i, c in enumerate(cs)]
-    return spark.createDataFrame(rows, "fragment string, rank int, candidate string")
+    """fragment, rank, candidate of the dimension's own codes; ``readers.read_candidates`` reads a list from a file."""
+    placed = spark.createDataFrame([(row[0], i) for i, row in enumerate(SIZE_TYPES)], "code string, place int")
+    return type_candidates(placed)
 
 
 def owner_codes(readings: DataFrame, code: str = "true_code") -> DataFrame:

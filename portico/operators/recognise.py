@@ -20,15 +20,16 @@ OWNERS = 100
 def stitch_tokens(frames: DataFrame, key: str = "frame_id") -> DataFrame:
     """key, tokens: token arrays (struct of text and score, in reading order) with split codes joined.
 
-    A four-character token with a U waits and prefixes the next token; a token of six or seven digits
-    waits and suffixes the next one if that is such a head. The later token's score stands for both.
+    A four-character token with a U waits and prefixes the next token, unless that is such a head
+    itself, which takes its place; a token of six or seven digits waits and suffixes the next one if
+    that is a head. The later token's score stands for both.
     """
     empty = F.array().cast("array<struct<text:string,score:double>>")
     start = F.struct(empty.alias("out"), F.lit("").alias("head"), F.lit("").alias("digits"))
 
     def step(acc: Column, t: Column) -> Column:
         text = F.concat(acc["head"], t["text"])
-        is_head = (acc["head"] == "") & (F.length(t["text"]) == 4) & F.contains(t["text"], F.lit("U"))
+        is_head = (F.length(t["text"]) == 4) & F.contains(t["text"], F.lit("U"))
         is_digits = ~is_head & text.rlike("^[0-9]{6,7}$")
         done = F.when(is_head, F.concat(t["text"], acc["digits"])).otherwise(text)
         emit = (is_head & (acc["digits"] != "")) | (~is_head & ~is_digits)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from ..functions import codes as C
@@ -154,7 +156,9 @@ def plate_pass(spark, sf_dir):
 
 
 @query(oracle("READ", f"""
-, c(fragment,rank,candidate) AS (VALUES {", ".join(f"('{f}',{i},'{x}')" for f, xs in dim.SIZE_CANDIDATES for i, x in enumerate(xs))}),
+, dm(code,place) AS (VALUES {", ".join(f"('{r[0]}',{i})" for i, r in enumerate(dim.SIZE_TYPES))}),
+dp AS (SELECT DISTINCT code, place, unnest([code,substr(code,2),code[1]||substr(code,3),substr(code,1,2)||code[4],substr(code,1,3)]) AS fragment FROM dm),
+c AS (SELECT fragment, code AS candidate, row_number() OVER (PARTITION BY fragment ORDER BY place)-1 AS rank FROM dp WHERE regexp_full_match(fragment,'{"|".join("".join(x) for n in (3, 4) for x in itertools.combinations(C.LIVE, n))}')),
 d AS (SELECT DISTINCT size_text AS code FROM f_read),
 f AS (SELECT d.code, list(c.candidate ORDER BY c.rank) FILTER (c.candidate IS NOT NULL) AS l FROM d LEFT JOIN c ON c.fragment=d.code GROUP BY d.code),
 f4 AS (SELECT d.code, min_by(c.candidate,c.rank) AS x FROM d JOIN c ON c.fragment=substr(d.code,1,4) GROUP BY d.code),

@@ -12,15 +12,16 @@ from .registry import query
 
 
 def _frames(spark, sf_dir):
-    """Frames of tokens: whole codes, or head and number apart in either order, and a size-type."""
-    r = fixture(spark, sf_dir, "READ").filter("length(text) = 11")
+    """Frames of tokens: whole codes, or head and number apart in either order, and a size-type; some with a head that another replaces."""
+    r = fixture(spark, sf_dir, "READ")
     t = lambda x: F.struct(x.alias("text"), F.col("score").cast("double").alias("score"))
-    head, number, whole, size = t(F.substring("text", 1, 4)), t(F.substring("text", 5, 7)), t(F.col("text")), t(F.col("size_text"))
+    head, number, whole, size = t(F.substring("text", 1, 4)), t(F.expr("substr(text, 5)")), t(F.col("text")), t(F.col("size_text"))
     tokens = F.when(F.col("seq") % 3 == 0, F.array(whole, size)).when(F.col("seq") % 3 == 1, F.array(head, number, size)).otherwise(F.array(size, number, head))
+    tokens = F.when((F.col("seq") % 3 == 1) & (F.col("pass_id") % 5 == 0), F.array(t(F.lit("XYZU")), head, number, size)).otherwise(tokens)
     return r.select((F.col("pass_id") * 100 + F.col("seq")).alias("frame_id"), "pass_id", "seq", tokens.alias("tokens"))
 
 
-@query(oracle("READ", """ SELECT pass_id*100+seq AS frame_id, CASE WHEN seq%3=2 THEN size_text||','||text ELSE text||','||size_text END AS joined FROM f_read WHERE length(text)=11"""))
+@query(oracle("READ", """ SELECT pass_id*100+seq AS frame_id, CASE WHEN seq%3=2 THEN size_text||','||text ELSE text||','||size_text END AS joined FROM f_read"""))
 def stitched_tokens(spark, sf_dir):
     out = R.stitch_tokens(_frames(spark, sf_dir))
     return out.select("frame_id", F.array_join(F.transform("tokens", lambda t: t["text"]), ",").alias("joined"))
