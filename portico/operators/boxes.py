@@ -86,6 +86,19 @@ def iou(kind: str = "iou", a: str = "a_", b: str = "b_", eps: float = 1e-7) -> C
     return plain - (far + v * v / (v - plain + (1 + eps)))
 
 
+def ioa(a: str = "a_", b: str = "b_", eps: float = 1e-7) -> Column:
+    """The part of box b that box a covers."""
+    w, h = _side(b)
+    return intersection(a, b) / (w * h + eps)
+
+
+def wh_iou(a: str = "a_", b: str = "b_", eps: float = 1e-7) -> Column:
+    """IoU of two boxes laid corner on corner: of their sizes alone."""
+    (aw, ah), (bw, bh) = _side(a), _side(b)
+    both = F.least(aw, bw) * F.least(ah, bh)
+    return both / (aw * ah + bw * bh - both + eps)
+
+
 def _prefixed(df: DataFrame, prefix: str, *keep: str) -> DataFrame:
     return df.select("image_id", *[F.col(c).alias(prefix + c) for c in (*keep, *CORNERS)])
 
@@ -102,21 +115,38 @@ def overlap_join(a: DataFrame, b: DataFrame, keep_a: tuple[str, ...], keep_b: tu
     return hit.filter(F.col("cell") == F.floor(F.greatest("a_x1", "b_x1") / cell)).drop("cell")
 
 
-def candidates(df: DataFrame, conf: float = 0.25, most: int = 30000) -> DataFrame:
-    """The ``most`` most confident boxes of each image and class above ``conf``."""
-    w = Window.partitionBy("image_id", "cls").orderBy(F.desc("conf"), "det_id")
-    return df.filter(F.col("conf") > conf).withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= most).drop("__r")
+def class_boxes(df: DataFrame, conf: float = 0.25, multi: bool = False, classes: list[int] | None = None) -> DataFrame:
+    """Rows (cls, conf) of raw detections (obj, scores by class): the best class of each, or with ``multi`` all above conf.
+
+    A confidence is the objectness times the class's score.
+    """
+    scored = F.transform("scores", lambda s, i: F.struct((s * F.col("obj")).alias("conf"), (-i).alias("minus")))
+    kept = F.filter(scored, lambda x: x["conf"] > conf) if multi else F.array(F.array_max(scored))
+    rows = df.filter(F.col("obj") > conf).withColumn("__s", F.explode(kept)).filter(F.col("__s.conf") > conf)
+    out = rows.select(*[c for c in df.columns if c not in ("obj", "scores")], (-F.col("__s.minus")).alias("cls"), F.col("__s.conf").alias("conf"))
+    return out if classes is None else out.filter(F.col("cls").isin(classes))
+
+
+def candidates(df: DataFrame, conf: float = 0.25, most: int = 30000, classes: list[int] | None = None) -> DataFrame:
+    """The ``most`` most confident boxes of each image above ``conf``, of some classes if given."""
+    w = Window.partitionBy("image_id").orderBy(F.desc("conf"), "det_id")
+    good = df.filter(F.col("conf") > conf)
+    good = good if classes is None else good.filter(F.col("cls").isin(classes))
+    return good.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= most).drop("__r")
 
 
-def nms(df: DataFrame, conf: float = 0.25, iou_limit: float = 0.45, most: int = 30000, keep: int = 300, plus_one: bool = False) -> DataFrame:
+def nms(
+    df: DataFrame, conf: float = 0.25, iou_limit: float = 0.45, most: int = 30000, keep: int = 300, plus_one: bool = False, agnostic: bool = False, classes: list[int] | None = None
+) -> DataFrame:
     """Non-maximum suppression per image and class: a box goes if a kept, more confident one overlaps it.
 
-    The greedy step runs per group, which ``most`` bounds; ties go to the smaller det_id.
+    With ``agnostic`` boxes of other classes count too. The greedy step runs per group, which ``most``
+    bounds; ties go to the smaller det_id, then class. Further columns, such as landmarks, are carried along.
     """
     extra = 1.0 if plus_one else 0.0
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["conf", "det_id"], ascending=[False, True])
+        pdf = pdf.sort_values(["conf", "det_id", "cls"], ascending=[False, True, True])
         x1, y1, x2, y2 = (pdf[c].to_numpy() for c in CORNERS)
         area = (x2 - x1 + extra) * (y2 - y1 + extra)
         alive, kept = np.ones(len(pdf), bool), []
@@ -128,11 +158,26 @@ def nms(df: DataFrame, conf: float = 0.25, iou_limit: float = 0.45, most: int =
                 alive &= w * h / (area[i] + area - w * h) <= iou_limit
         return pdf.iloc[kept]
 
-    kept = candidates(df, conf, most).groupBy("image_id", "cls").applyInPandas(run, df.schema)
-    w = Window.partitionBy("image_id").orderBy(F.desc("conf"), "det_id")
+    kept = candidates(df, conf, most, classes).groupBy("image_id", *([] if agnostic else ["cls"])).applyInPandas(run, df.schema)
+    w = Window.partitionBy("image_id").orderBy(F.desc("conf"), "det_id", "cls")
     return kept.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= keep).drop("__r")
 
 
+def to_targets(df: DataFrame, most: int = 300) -> DataFrame:
+    """image_id, det_id, cls, centre, size and conf of the ``most`` most confident boxes of each image."""
+    r = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("conf"), "det_id"))
+    return to_xywh(df).withColumn("__r", r).filter(F.col("__r") <= most).select("image_id", "det_id", "cls", "xc", "yc", "w", "h", "conf")
+
+
+def unletterbox_points(df: DataFrame, width: float, height: float, side: int = 640, points: str = "points") -> DataFrame:
+    """Points of the fitted picture in the original's pixels, clipped to it; a missing point stays missing."""
+    gain = min(side / width, side / height)
+    dx, dy = (side - width * gain) / 2, (side - height * gain) / 2
+    clip = lambda v, top: F.least(F.greatest(v, F.lit(0.0)), F.lit(float(top)))
+    moved = F.transform(points, lambda p: F.when(p.isNotNull(), F.struct(clip((p["x"] - dx) / gain, width).alias("x"), clip((p["y"] - dy) / gain, height).alias("y"))))
+    return df.withColumn(points, moved)
+
+
 def merge_nms(df: DataFrame, conf: float = 0.25, iou_limit: float = 0.45) -> DataFrame:
     """Kept boxes moved to the score-weighted mean of all boxes of their class that overlap them; alone they go."""
     kept, all_ = nms(df, conf, iou_limit), candidates(df, conf)
@@ -141,8 +186,14 @@ def merge_nms(df: DataFrame, conf: float = 0.25, iou_limit: float = 0.45) -> Dat
     return pairs.groupBy("image_id", F.col("a_cls").alias("cls"), F.col("a_det_id").alias("det_id")).agg(*[mean(c) for c in CORNERS], F.count("*").alias("support")).filter("support > 1")
 
 
-def reading_order(df: DataFrame) -> DataFrame:
-    return df.withColumn("place", F.row_number().over(Window.partitionBy("image_id").orderBy("y1", "x1", "det_id")).cast("long"))
+#: Orders of reading: top edge and left edge, top edge alone, or the middle of the height.
+ORDERS = {"yx": ("y1", "x1"), "y": ("y1",), "sum": ("y1 + y2",)}
+
+
+def reading_order(df: DataFrame, by: str = "yx") -> DataFrame:
+    """df with its place in the image's reading order; ties go to the smaller det_id."""
+    keys = [F.expr(x) for x in ORDERS[by]]
+    return df.withColumn("place", F.row_number().over(Window.partitionBy("image_id").orderBy(*keys, "det_id")).cast("long"))
 
 
 def crop_plan(df: DataFrame, width: float, height: float, pad: float = 10) -> DataFrame:

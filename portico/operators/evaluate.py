@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.codes import to_half_width
 from .boxes import iou, overlap_join
-from .scans import running
+from .quads import quad_overlaps
+from .scans import cut, running
 
 
 def candidate_matches(truth: DataFrame, found: DataFrame, least: float = 0.45) -> DataFrame:
@@ -24,12 +28,8 @@ def greedy_match(pairs: DataFrame, rounds: int | None = None) -> DataFrame:
     settles the best open pair of every image at least, so rounds end; with a bound on ``rounds`` a
     match that needs more fails.
     """
-    done, spark = [], pairs.sparkSession
-
-    def kept(df: DataFrame) -> DataFrame:
-        return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.persist()
-
-    left = kept(pairs)
+    done = []
+    left = cut(pairs)
     while not left.isEmpty():
         if rounds is not None and len(done) >= rounds:
             raise RuntimeError(f"greedy_match: pairs are left after {rounds} rounds")
@@ -42,14 +42,14 @@ def greedy_match(pairs: DataFrame, rounds: int | None = None) -> DataFrame:
                 f"__n_{own}": F.count("*").over(level), f"__set_{own}": F.bit_xor(F.xxhash64(other)).over(level),
             })
             tied += [f"__n_{own}", f"__set_{own}"]
-        ranked = kept(ranked.filter((F.col("iou") == F.col("__top_gt_id")) & (F.col("iou") == F.col("__top_det_id"))))
+        ranked = cut(ranked.filter((F.col("iou") == F.col("__top_gt_id")) & (F.col("iou") == F.col("__top_det_id"))))
         # Tied boxes with the same partners on both sides; complete if all their best pairs are here.
         groups = ranked.groupBy("image_id", "iou", *tied).agg(F.count("*").alias("__pairs")).filter("__pairs = __n_gt_id * __n_det_id AND __pairs > 1")
         both = ranked.join(groups, ["image_id", "iou", *tied], "left")
         best = F.expr("__rank_gt_id = __rank_det_id AND (__rank_gt_id = 1 OR __pairs IS NOT NULL)")
-        taken = kept(both.filter(best).select(*pairs.columns))
+        taken = cut(both.filter(best).select(*pairs.columns))
         done.append(taken)
-        left = kept(left.join(taken.select("image_id", "gt_id"), ["image_id", "gt_id"], "left_anti").join(taken.select("image_id", "det_id"), ["image_id", "det_id"], "left_anti"))
+        left = cut(left.join(taken.select("image_id", "gt_id"), ["image_id", "gt_id"], "left_anti").join(taken.select("image_id", "det_id"), ["image_id", "det_id"], "left_anti"))
     while len(done) > 1:
         done = [a.unionByName(b) for a, b in zip(done[::2], done[1::2], strict=False)] + done[len(done) // 2 * 2 :]
     return done[0] if done else pairs.limit(0)
@@ -103,22 +103,201 @@ def average_precision(flags: DataFrame, totals: DataFrame) -> DataFrame:
     return at.groupBy("cls").agg(area.alias("ap")).join(best, "cls")
 
 
-def end_to_end_score(pairs: DataFrame) -> DataFrame:
-    """One row of totals from fields (image_id, truth, found), either of them null where unmatched."""
-    t, f = F.coalesce("truth", F.lit("")), F.coalesce("found", F.lit(""))
-    d = F.levenshtein(t, f)
-    per = pairs.select("image_id", (F.col("truth") == F.col("found")).cast("int").alias("hit"), d.alias("d"), F.greatest(F.length(t), F.length(f)).alias("chars"), F.col("truth").isNotNull().cast("int").alias("gt"), F.col("found").isNotNull().cast("int").alias("dt"))
-    s = per.agg(F.sum(F.coalesce("hit", F.lit(0))).alias("hits"), F.sum("gt").alias("truths"), F.sum("dt").alias("founds"), F.sum("d").alias("edits"), F.sum("chars").alias("chars"), F.count("*").alias("fields"), F.count_distinct("image_id").alias("images"))
-    p, r = F.col("hits") / F.col("founds"), F.col("hits") / F.col("truths")
-    return s.select("hits", "truths", "founds", p.alias("precision"), r.alias("recall"), (2 * p * r / (p + r)).alias("f_score"), (1 - F.col("edits") / F.col("chars")).alias("char_accuracy"), (F.col("edits") / F.col("fields")).alias("edit_per_field"), (F.col("edits") / F.col("images")).alias("edit_per_image"))
+def ap_ladder(matched: DataFrame, found: DataFrame, totals: DataFrame, levels: int = 10) -> DataFrame:
+    """cls, ap50, ap (mean over IoU 0.5, 0.55, ...) of greedily matched pairs of equal class (det_id, iou).
+
+    Greedy matching goes by falling IoU, so the pairs of a higher limit are the first ones of a lower:
+    one matching serves all levels.
+    """
+    flags = found.join(matched.select("image_id", "det_id", "iou"), ["image_id", "det_id"], "left")
+    steps = F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))
+    flags = flags.withColumn("level", steps).withColumn("tp", F.coalesce((F.col("iou") >= F.lit(0.5) + F.col("level") * 0.05 - 1e-9).cast("int"), F.lit(0)))
+    wide = lambda df: df.withColumn("cls", F.col("cls").cast("long") * levels + F.col("level"))
+    per = average_precision(wide(flags).select("cls", "conf", F.col("det_id").alias("seq"), "tp"), wide(totals.withColumn("level", steps)).select("cls", "n"))
+    level = F.pmod("cls", F.lit(levels))
+    per = per.select(F.floor(F.col("cls") / levels).alias("cls"), level.alias("level"), "ap")
+    return per.groupBy("cls").agg(F.max(F.when(F.col("level") == 0, F.col("ap"))).alias("ap50"), F.avg("ap").alias("ap"))
+
+
+GRID = 1000
+
+
+def best_f1(flags: DataFrame, totals: DataFrame, width: float = 0.1, eps: float = 1e-16) -> DataFrame:
+    """Per class precision, recall, F1, true and false positives at the confidence where mean F1 is highest.
+
+    Curves are read at ``GRID`` confidences by linear interpolation, F1 is averaged over classes and
+    smoothed by a box of ``width`` of the grid with its ends repeated. flags and totals as in
+    ``average_precision``; a class keeps the points next to each grid confidence only.
+    """
+    top = GRID - 1
+    ranked = flags.withColumns({"down": -F.col("conf"), "slice": F.floor((1 - F.col("conf")) * top)})
+    curve = running(ranked, "cls", "slice", ["down", "seq"], sums={"tps": F.col("tp"), "k": F.lit(1)}).join(totals, "cls")
+    curve = curve.select("cls", "conf", "k", (F.col("tps") / (F.col("n") + eps)).alias("r"), (F.col("tps") / F.col("k")).alias("p"))
+    # Between two grid confidences the highest and the lowest point matter; one on the grid is both.
+    cell = F.ceil(F.col("conf") * top)
+    ends = curve.groupBy("cls", cell.alias("cell")).agg(F.min_by(F.struct("conf", "r", "p"), "k").alias("high"), F.max_by(F.struct("conf", "r", "p"), "k").alias("low"))
+    grid = ends.select("cls").distinct().select("cls", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(top).cast("long"))).alias("cell"))
+    both = grid.join(ends, ["cls", "cell"], "left")
+    w = Window.partitionBy("cls").orderBy("cell")
+    # conf in (x(cell - 1), x(cell)]: the next point above x lies in a later cell, the one at or below in this or an earlier one.
+    above, below = F.first("low", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)), F.last("high", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    x = F.col("cell") / float(top)
+    at = both.select("cls", "cell", x.alias("x"), above.alias("a"), below.alias("b"))
+
+    def value(c: str, before: float):
+        part = (F.col("a.conf") - F.col("x")) / (F.col("a.conf") - F.col("b.conf"))
+        mixed = F.col(f"a.{c}") + (F.col(f"b.{c}") - F.col(f"a.{c}")) * part
+        exact = F.when(F.col("b.conf") == F.col("x"), F.col(f"b.{c}"))
+        return F.coalesce(exact, F.when(F.col("a").isNull(), F.lit(before)).when(F.col("b").isNull(), F.col(f"a.{c}")).otherwise(mixed))
+
+    read = at.select("cls", "cell", value("r", 0.0).alias("r"), value("p", 1.0).alias("p")).withColumn("f", 2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r") + eps))
+    mean = read.groupBy("cell").agg(F.avg("f").alias("f"))
+    half = int(round(GRID * width * 2) // 2 + 1) // 2
+    # The grid has GRID rows, whatever the input: its ends are repeated and a window slides over it.
+    padded = mean.withColumn("copies", F.when(F.col("cell").isin(0, top), F.lit(half)).otherwise(F.lit(0)))
+    padded = padded.select("cell", "f", F.explode(F.sequence(F.lit(0), F.col("copies"))).alias("c")).withColumn("place", F.when(F.col("cell") == 0, -F.col("c")).otherwise(F.col("cell") + F.col("c")))
+    slide = Window.partitionBy(F.lit(0)).orderBy("place").rowsBetween(-half, half)
+    best = padded.withColumn("smooth", F.avg("f").over(slide)).filter("c = 0").agg(F.max_by("cell", F.struct(F.round("smooth", 12), -F.col("cell"))).alias("cell"))
+    out = read.join(F.broadcast(best), "cell").join(totals, "cls")
+    tp = F.round(F.col("r") * F.col("n"))
+    return out.select("cls", "cell", F.col("p").alias("precision"), F.col("r").alias("recall"), F.col("f").alias("f1"), tp.alias("tp"), F.round(tp / (F.col("p") + eps) - tp).alias("fp"))
+
+
+def matched_fields(truth: DataFrame, found: DataFrame, least: float = 0.5) -> DataFrame:
+    """Fields (image_id, truth, found) of quads matched greedily by falling IoU, ``least`` at least.
+
+    truth: image_id, gt_id, quad, ignore, text; found: image_id, det_id, quad, text. A match with ignored
+    truth counts nowhere; what is unmatched has a null on the other side, ignored truth aside. Found
+    quads of images without a truth file are left out.
+    """
+    found = found.join(truth.select("image_id").distinct(), "image_id", "left_semi")
+    pairs = quad_overlaps(truth, found, "gt_id", "det_id").filter(F.col("iou") >= least).select("image_id", "gt_id", "det_id", "iou")
+    taken = greedy_match(pairs)
+    t = truth.select("image_id", "gt_id", "ignore", to_half_width("text").alias("truth"))
+    f = found.select("image_id", "det_id", to_half_width("text").alias("found"))
+    left = t.join(taken.select("image_id", "gt_id", "det_id"), ["image_id", "gt_id"], "left")
+    both = left.join(f, ["image_id", "det_id"], "full_outer")
+    return both.filter("coalesce(ignore, false) = false").select("image_id", "truth", "found")
+
+
+def end_to_end_score(fields: DataFrame, images: DataFrame | None = None, eps: float = 1e-9) -> DataFrame:
+    """One row of totals from fields (image_id, truth, found), either of them null where unmatched.
+
+    Edits per character and per field go by the truth, edits per image by the images (image_id) with a
+    truth file, those of the fields if not given.
+    """
+    d = F.levenshtein(F.coalesce("truth", F.lit("")), F.coalesce("found", F.lit("")))
+    sums = fields.agg(
+        F.coalesce(F.sum((F.col("truth") == F.col("found")).cast("int")), F.lit(0)).alias("hits"), F.count("truth").alias("truths"), F.count("found").alias("founds"),
+        F.coalesce(F.sum(d), F.lit(0)).alias("edits"), F.coalesce(F.sum(F.length("truth")), F.lit(0)).alias("chars"),
+    )
+    n = (fields if images is None else images).agg(F.count_distinct("image_id").alias("images"))
+    s = sums.crossJoin(n)  # one row each
+    p, r = F.col("hits") / (F.col("founds") + eps), F.col("hits") / (F.col("truths") + eps)
+    return s.select(
+        "hits", "truths", "founds", p.alias("precision"), r.alias("recall"), (2 * p * r / (p + r + eps)).alias("f_score"), (1 - F.col("edits") / (F.col("chars") + eps)).alias("char_accuracy"),
+        (F.col("edits") / (F.col("truths") + eps)).alias("edit_per_field"), F.try_divide("edits", "images").alias("edit_per_image"),
+    )
+
+
+def overlap_tables(truth: DataFrame, found: DataFrame, least: float = 0.5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Truth without ignored quads, found quads without those mostly on an ignored one, and their overlaps.
+
+    Overlaps (image_id, gt_id, det_id, sigma, tau): the common share of truth and of found, in hundredths.
+    """
+    ignored = quad_overlaps(truth.filter("ignore"), found, "gt_id", "det_id").filter(F.col("iod") > least)
+    good, left = truth.filter("NOT ignore"), found.join(ignored.select("image_id", "det_id").distinct(), ["image_id", "det_id"], "left_anti")
+    share = lambda over: F.round(F.col("inter") / F.col(over), 2)
+    pairs = quad_overlaps(good, left, "gt_id", "det_id").select("image_id", "gt_id", "det_id", share("area_a").alias("sigma"), share("area_b").alias("tau"))
+    return good, left, pairs
+
+
+def _image_credits(sigma: np.ndarray, tau: np.ndarray, same: np.ndarray, tr: float, tp: float, k: int, part: float) -> tuple[float, float, int]:
+    """Recall credit, precision credit and hits of one image; rows are truth, columns found."""
+    free_gt, free_det = np.ones(sigma.shape[0], bool), np.ones(sigma.shape[1], bool)
+    recall = precision = 0.0
+    hits = 0
+    strong, tight = sigma > tr, tau > tp
+    rows = np.flatnonzero((strong.sum(1) == 1) & (tight.sum(1) == 1))
+    for g in rows:  # one truth and one found quad have each other alone
+        s, t = int(np.argmax(strong[g])), int(np.argmax(tight[g]))
+        if strong[:, s].sum() == 1 and tight[:, t].sum() == 1:
+            recall, precision, hits = recall + 1, precision + 1, hits + int(same[g, s])
+            free_gt[g] = free_det[s] = False
+    for g in np.flatnonzero(free_gt):  # a truth in several found parts
+        parts = np.flatnonzero((tau[g] >= tp) & free_det)
+        if (sigma[g] > 0).sum() < k or not len(parts):
+            continue
+        alone = len(parts) == 1
+        if sigma[g, parts[0]] >= tr if alone else sigma[g, parts].sum() >= tr:
+            recall += 1 if alone else part
+            precision += 1 if alone else part * len(parts)
+            hits += int(same[g, parts[0]])
+            free_gt[g], free_det[parts] = False, False
+    for d in np.flatnonzero(free_det):  # several truths in one found quad
+        parts = np.flatnonzero((sigma[:, d] >= tp) & free_gt)
+        if (tau[:, d] > 0).sum() < k or not len(parts):
+            continue
+        alone = len(parts) == 1
+        if (tau[parts[0], d] >= tp and sigma[parts[0], d] >= tr) if alone else tau[parts, d].sum() >= tp:
+            recall += 1 if alone else part * len(parts)
+            precision += 1 if alone else part
+            hits += int(same[parts[0], d])
+            free_gt[parts], free_det[d] = False, False
+    return recall, precision, hits
+
+
+def area_match_score(truth: DataFrame, found: DataFrame, tr: float = 0.7, tp: float = 0.6, part: float = 0.8, k: int = 2) -> DataFrame:
+    """One row: area-match recall, precision and F, and the same end to end, by one-to-one, split and merged quads.
+
+    Texts are equal whatever their case. What depends on flags set before runs per image over its own
+    overlaps, as many as its quads have; sums and counts are aggregates.
+    """
+    good, left, pairs = overlap_tables(truth, found)
+    text = lambda df, i: df.select("image_id", i, F.lower(F.trim("text")).alias(f"__{i}"))
+    rows = pairs.join(text(good, "gt_id"), ["image_id", "gt_id"]).join(text(left, "det_id"), ["image_id", "det_id"])
+    rows = rows.select("image_id", "gt_id", "det_id", "sigma", "tau", F.coalesce(F.col("__gt_id") == F.col("__det_id"), F.lit(False)).alias("same"))
+    schema = f"image_id {rows.schema['image_id'].dataType.simpleString()}, recall double, precision double, hits long"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        (g, gts), (d, dets) = (pd.factorize(pdf[c], sort=True) for c in ("gt_id", "det_id"))
+        tables = [np.zeros((len(gts), len(dets))) for _ in range(3)]
+        for table, c in zip(tables, ("sigma", "tau", "same"), strict=True):
+            table[g, d] = pdf[c]
+        return pd.DataFrame([(pdf["image_id"].iloc[0], *_image_credits(*tables, tr, tp, k, part))], columns=["image_id", "recall", "precision", "hits"])
+
+    sums = rows.groupBy("image_id").applyInPandas(run, schema).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("recall", "precision", "hits")])
+    s = sums.crossJoin(good.agg(F.count("*").alias("truths"))).crossJoin(left.agg(F.count("*").alias("founds")))  # one row each
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    f = lambda p, r: F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
+    p, r, pe, re = share("precision", "founds"), share("recall", "truths"), share("hits", "founds"), share("hits", "truths")
+    return s.select(
+        "truths", "founds", "hits", F.col("recall").alias("recall_credit"), r.alias("recall"), p.alias("precision"), f(p, r).alias("f_score"),
+        F.when(F.col("recall") > 0, 1 - F.col("hits") / F.col("recall")).otherwise(1.0).alias("sequence_error"), re.alias("recall_e2e"), pe.alias("precision_e2e"), f(pe, re).alias("f_score_e2e"),
+    )
+
+
+#: Weights of precision, recall, mAP at 0.5 and mAP over the ladder; for boxes and masks both count alike.
+FITNESS = {"p": 0.0, "r": 0.0, "map50": 0.1, "map": 0.9}
+
+
+def fitness(df: DataFrame, masks: bool = False) -> DataFrame:
+    """df with its fitness; with ``masks`` the columns of the masks (mask_p, ...) are added to those of the boxes."""
+    terms = [F.col(f"{kind}{c}") * w for kind in (("", "mask_") if masks else ("",)) for c, w in FITNESS.items() if w]
+    total = terms[0]
+    for x in terms[1:]:
+        total = total + x
+    return df.withColumn("fitness", total)
 
 
-def fitness(df: DataFrame) -> DataFrame:
-    return df.withColumn("fitness", F.col("map50") * 0.1 + F.col("map") * 0.9)
+def best_run(df: DataFrame, masks: bool = False) -> DataFrame:
+    return fitness(df, masks).agg(F.max_by("generation", F.struct("fitness", -F.col("generation"))).alias("generation"), F.max("fitness").alias("fitness"))
 
 
-def best_run(df: DataFrame) -> DataFrame:
-    return fitness(df).agg(F.max_by("generation", F.struct("fitness", -F.col("generation"))).alias("generation"), F.max("fitness").alias("fitness"))
+def running_mean(df: DataFrame, key: str, chunk: str, order: list[str], value: str, n: str) -> DataFrame:
+    """df with ``mean``, the mean of value weighted by n over the rows up to this one, in two levels over chunks."""
+    out = running(df, key, chunk, order, sums={"__s": F.col(value) * F.col(n), "__w": F.col(n)})
+    return out.withColumn("mean", F.try_divide("__s", "__w")).drop("__s", "__w")
 
 
 def mean_iou(df: DataFrame) -> DataFrame:

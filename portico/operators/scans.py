@@ -7,10 +7,25 @@ Every step keeps the partitioning by key and chunk, so the rows are shuffled onc
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df from a checkpoint in the shared folder, so that rounds do not grow its lineage and lost executors cost nothing.
+
+    Without a checkpoint folder a temporary one is set, in local mode only.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="portico-"))
+    return df.checkpoint()
+
+
 def _windows(key: str, chunk: str, order: list[str]):
     inside = Window.partitionBy(key, chunk).orderBy(*order)
     before = Window.partitionBy(key).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)

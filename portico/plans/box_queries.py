@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import boxes as B
 from ..operators import evaluate as E
+from ..operators import quads as Q
 from .fixtures import fixture, oracle
 from .registry import query
 
@@ -47,10 +48,11 @@ u AS (SELECT *, i/((ax2-ax1)*(ay2-ay1)+(bx2-bx1)*(by2-by1)-i+1e-7) AS iou, (ax2-
 
 
 @query(oracle("BOX GT", _PAIR + """ SELECT image_id, a_id, b_id, round(iou,6) AS iou, round(iou-(cw*ch+1e-7-uni)/(cw*ch+1e-7),6) AS giou, round(iou-d2/(cw*cw+ch*ch+1e-7),6) AS diou,
- round(iou-(d2/(cw*cw+ch*ch+1e-7)+v*v/(v-iou+1+1e-7)),6) AS ciou FROM u"""))
+ round(iou-(d2/(cw*cw+ch*ch+1e-7)+v*v/(v-iou+1+1e-7)),6) AS ciou,
+ round(i/((bx2-bx1)*(by2-by1)+1e-7),6) AS ioa, round(least(ax2-ax1,bx2-bx1)*least(ay2-ay1,by2-by1)/((ax2-ax1)*(ay2-ay1)+(bx2-bx1)*(by2-by1)-least(ax2-ax1,bx2-bx1)*least(ay2-ay1,by2-by1)+1e-7),6) AS wh_iou FROM u"""))
 def iou_pairs(spark, sf_dir):
     pairs = B.overlap_join(fixture(spark, sf_dir, "BOX"), fixture(spark, sf_dir, "GT"), ("det_id",), ("det_id",))
-    return _round(pairs.select("image_id", F.col("a_det_id").alias("a_id"), F.col("b_det_id").alias("b_id"), *[B.iou(k).alias(k) for k in ("iou", "giou", "diou", "ciou")]), "iou", "giou", "diou", "ciou")
+    return _round(pairs.select("image_id", F.col("a_det_id").alias("a_id"), F.col("b_det_id").alias("b_id"), *[B.iou(k).alias(k) for k in ("iou", "giou", "diou", "ciou")], B.ioa().alias("ioa"), B.wh_iou().alias("wh_iou")), "iou", "giou", "diou", "ciou", "ioa", "wh_iou")
 
 
 _NMS = """, c AS (SELECT *, row_number() OVER (PARTITION BY image_id, cls ORDER BY conf DESC, det_id) AS k FROM f_box WHERE conf>0.25),
@@ -68,9 +70,12 @@ def suppressed_boxes(spark, sf_dir):
     return B.nms(fixture(spark, sf_dir, "BOX")).select("image_id", "cls", "det_id")
 
 
-@query(oracle("BOX", " SELECT image_id, det_id, row_number() OVER (PARTITION BY image_id ORDER BY y1, x1, det_id) AS place FROM f_box"))
+@query(oracle("BOX", " SELECT image_id, det_id, row_number() OVER (PARTITION BY image_id ORDER BY y1, x1, det_id) AS place, row_number() OVER (PARTITION BY image_id ORDER BY y1, det_id) AS by_top, row_number() OVER (PARTITION BY image_id ORDER BY y1+y2, det_id) AS by_middle FROM f_box"))
 def box_reading_order(spark, sf_dir):
-    return B.reading_order(fixture(spark, sf_dir, "BOX")).select("image_id", "det_id", "place")
+    b = fixture(spark, sf_dir, "BOX")
+    for name, by in (("by_top", "y"), ("by_middle", "sum")):
+        b = B.reading_order(b, by).withColumnRenamed("place", name)
+    return B.reading_order(b).select("image_id", "det_id", "place", "by_top", "by_middle")
 
 
 _CROP = "CAST(floor(least(greatest({c}{d},0),{m})) AS INT)"
@@ -112,12 +117,9 @@ def shrunk_cells(spark, sf_dir):
 
 
 @query(oracle("BOX", """, k AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY conf DESC, det_id) AS r FROM f_box)
-SELECT image_id, det_id, cls, round((x1+x2)/2,6) AS xc, round((y1+y2)/2,6) AS yc, round(x2-x1,6) AS w, round(y2-y1,6) AS h FROM k WHERE r<=10"""))
+SELECT image_id, det_id, cls, round((x1+x2)/2,6) AS xc, round((y1+y2)/2,6) AS yc, round(x2-x1,6) AS w, round(y2-y1,6) AS h, round(conf,6) AS conf FROM k WHERE r<=300"""))
 def target_table(spark, sf_dir):
-    from pyspark.sql import Window
-
-    r = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("conf"), "det_id"))
-    return _round(B.to_xywh(fixture(spark, sf_dir, "BOX")).withColumn("r", r).filter("r <= 10").select("image_id", "det_id", "cls", "xc", "yc", "w", "h"), "xc", "yc", "w", "h")
+    return _round(B.to_targets(fixture(spark, sf_dir, "BOX")), "xc", "yc", "w", "h", "conf")
 
 
 def _matched(spark, sf_dir):
@@ -146,30 +148,147 @@ def confusion_matrix(spark, sf_dir):
     return _round(E.normalize_confusion(E.ranked_confusion(fixture(spark, sf_dir, "GT"), fixture(spark, sf_dir, "BOX"))), "share")
 
 
-@query(oracle("BOX GT", """, fl AS (SELECT cls, conf, det_id AS seq, CASE WHEN det_id%5<>0 AND det_id%7<>3 THEN 1 ELSE 0 END AS tp FROM f_box), t AS (SELECT cls, count(*) AS n FROM f_gt GROUP BY cls),
-c AS (SELECT fl.cls, row_number() OVER w AS k, sum(tp) OVER (w ROWS UNBOUNDED PRECEDING) AS tps, n FROM fl JOIN t ON t.cls=fl.cls WINDOW w AS (PARTITION BY fl.cls ORDER BY conf DESC, seq)),
+_AP = """c AS (SELECT fl.cls, row_number() OVER w AS k, sum(tp) OVER (w ROWS UNBOUNDED PRECEDING) AS tps, n FROM fl JOIN t ON t.cls=fl.cls WINDOW w AS (PARTITION BY fl.cls ORDER BY conf DESC, seq)),
 e AS (SELECT cls, k, tps/n AS r, max(tps/k) OVER (PARTITION BY cls ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS p FROM c),
 a AS (SELECT * FROM e UNION ALL SELECT cls, 0, 0, 1 FROM t UNION ALL SELECT cls, 1000000, 1, 0 FROM t),
 x AS (SELECT cls, g, g/100 AS x FROM t, (SELECT unnest(range(101)) AS g) z),
 l AS (SELECT x.cls, g, max_by((r,p),k) AS lp FROM x JOIN a ON a.cls=x.cls AND a.r<=x.x AND NOT (a.k=1000000) GROUP BY ALL),
 h AS (SELECT x.cls, g, min_by((r,p),k) AS hp FROM x JOIN a ON a.cls=x.cls AND (a.r>x.x OR a.k=1000000) GROUP BY ALL),
-y AS (SELECT x.cls, x.g, CASE WHEN hp[1]>lp[1] THEN lp[2]+(hp[2]-lp[2])*(x.x-lp[1])/(hp[1]-lp[1]) ELSE hp[2] END AS y FROM x JOIN l ON l.cls=x.cls AND l.g=x.g JOIN h ON h.cls=x.cls AND h.g=x.g)
-SELECT y.cls, round(sum(CASE WHEN g IN (0,100) THEN y/2 ELSE y END)/100,6) AS ap, round(m.recall,6) AS recall FROM y JOIN (SELECT cls, max(r) AS recall FROM e GROUP BY cls) m ON m.cls=y.cls GROUP BY y.cls, m.recall"""))
-def average_precision(spark, sf_dir):
+y AS (SELECT x.cls, x.g, CASE WHEN hp[1]>lp[1] THEN lp[2]+(hp[2]-lp[2])*(x.x-lp[1])/(hp[1]-lp[1]) ELSE hp[2] END AS y FROM x JOIN l ON l.cls=x.cls AND l.g=x.g JOIN h ON h.cls=x.cls AND h.g=x.g),
+ap AS (SELECT y.cls, sum(CASE WHEN g IN (0,100) THEN y/2 ELSE y END)/100 AS ap, m.recall FROM y JOIN (SELECT cls, max(r) AS recall FROM e GROUP BY cls) m ON m.cls=y.cls GROUP BY y.cls, m.recall)"""
+_FLAGS = """, fl AS (SELECT cls, conf, det_id AS seq, CASE WHEN det_id%5<>0 AND det_id%7<>3 THEN 1 ELSE 0 END AS tp FROM f_box), t AS (SELECT cls, count(*) AS n FROM f_gt GROUP BY cls)"""
+
+
+def _flags(spark, sf_dir):
     tp = F.when((F.col("det_id") % 5 != 0) & (F.col("det_id") % 7 != 3), 1).otherwise(0)
     flags = fixture(spark, sf_dir, "BOX").select("cls", "conf", F.col("det_id").alias("seq"), tp.alias("tp"))
-    totals = fixture(spark, sf_dir, "GT").groupBy("cls").agg(F.count("*").alias("n"))
-    return _round(E.average_precision(flags, totals), "ap", "recall")
+    return flags, fixture(spark, sf_dir, "GT").groupBy("cls").agg(F.count("*").alias("n"))
+
+
+@query(oracle("BOX GT", f"{_FLAGS}, {_AP} SELECT cls, round(ap,6) AS ap, round(recall,6) AS recall FROM ap"))
+def average_precision(spark, sf_dir):
+    return _round(E.average_precision(*_flags(spark, sf_dir)), "ap", "recall")
+
+
+_SAME = _GREEDY.replace("b.det_id AS b_id, a.x1", "b.det_id AS b_id, a.cls AS a_cls, b.cls AS b_cls, a.x1").replace("FROM u WHERE iou>0.45", "FROM u WHERE iou>=0.5 AND a_cls=b_cls")
+
+
+@query(oracle("BOX GT", _SAME + f""", z AS (SELECT unnest(range(10)) AS lv), fl AS (SELECT b.cls*10+lv AS cls, conf, b.det_id AS seq, CASE WHEN coalesce(gm.iou,0)>=0.5+lv*0.05-1e-9 THEN 1 ELSE 0 END AS tp FROM f_box b LEFT JOIN gm ON gm.det_id=b.det_id, z),
+t AS (SELECT cls*10+lv AS cls, count(*) AS n FROM f_gt, z GROUP BY ALL), {_AP.replace("h AS (", "hh AS (").replace("JOIN h ON h.cls=x.cls AND h.g", "JOIN hh ON hh.cls=x.cls AND hh.g")}
+SELECT CAST(cls//10 AS BIGINT) AS cls, round(max(ap) FILTER (cls%10=0),6) AS ap50, round(avg(ap),6) AS ap FROM ap GROUP BY 1""").replace("WITH ", "WITH RECURSIVE ", 1))
+def precision_ladder(spark, sf_dir):
+    found, truth = fixture(spark, sf_dir, "BOX"), fixture(spark, sf_dir, "GT")
+    same = E.candidate_matches(truth, found, 0.4999999999).filter("gt_cls = det_cls AND iou >= 0.5")
+    return _round(E.ap_ladder(E.greedy_match(same), found, truth.groupBy("cls").agg(F.count("*").alias("n"))), "ap50", "ap")
 
 
-@query(oracle("READ", """, m AS (SELECT pass_id%500 AS image_id, CASE WHEN seq%9=0 THEN NULL ELSE true_code END AS truth, CASE WHEN seq%7=0 THEN NULL ELSE text END AS found FROM f_read WHERE seq%63<>0),
-q AS (SELECT *, coalesce(truth,'') AS t, coalesce(found,'') AS f FROM m),
-s AS (SELECT count(*) FILTER (truth=found) AS hits, count(truth) AS truths, count(found) AS founds, sum(levenshtein(t,f)) AS edits, sum(greatest(length(t),length(f))) AS chars, count(*) AS fields, count(DISTINCT image_id) AS images FROM q)
-SELECT hits, truths, founds, round(hits/founds,6) AS "precision", round(hits/truths,6) AS recall, round(2*(hits/founds)*(hits/truths)/(hits/founds+hits/truths),6) AS f_score, round(1-edits/chars,6) AS char_accuracy, round(edits/fields,6) AS edit_per_field, round(edits/images,6) AS edit_per_image FROM s"""))
+@query(oracle("BOX GT", _FLAGS + """, c AS (SELECT fl.cls, conf, row_number() OVER w AS k, sum(tp) OVER (w ROWS UNBOUNDED PRECEDING) AS tps, n FROM fl JOIN t ON t.cls=fl.cls WINDOW w AS (PARTITION BY fl.cls ORDER BY conf DESC, seq)),
+e AS (SELECT cls, conf, k, tps/(n+1e-16) AS r, tps/k AS p FROM c), x AS (SELECT cls, g, g/999 AS x FROM (SELECT DISTINCT cls FROM e) q, (SELECT unnest(range(1000)) AS g) z),
+a AS (SELECT x.cls, g, max_by((conf,r,p),k) AS a FROM x JOIN e ON e.cls=x.cls AND e.conf>x.x GROUP BY ALL), b AS (SELECT x.cls, g, min_by((conf,r,p),k) AS b FROM x JOIN e ON e.cls=x.cls AND e.conf<=x.x GROUP BY ALL),
+v AS (SELECT x.cls, x.g, CASE WHEN b[1]=x.x THEN b[2] WHEN a IS NULL THEN 0 WHEN b IS NULL THEN a[2] ELSE a[2]+(b[2]-a[2])*((a[1]-x.x)/(a[1]-b[1])) END AS r, CASE WHEN b[1]=x.x THEN b[3] WHEN a IS NULL THEN 1 WHEN b IS NULL THEN a[3] ELSE a[3]+(b[3]-a[3])*((a[1]-x.x)/(a[1]-b[1])) END AS p
+ FROM x LEFT JOIN a ON a.cls=x.cls AND a.g=x.g LEFT JOIN b ON b.cls=x.cls AND b.g=x.g),
+f AS (SELECT *, 2*p*r/(p+r+1e-16) AS f FROM v), m AS (SELECT g, avg(f) AS f FROM f GROUP BY g), s AS (SELECT m.g, avg(o.f) AS s FROM m, (SELECT unnest(range(-50,51)) AS d) d JOIN m o ON o.g=least(greatest(m.g+d,0),999) GROUP BY m.g),
+w AS (SELECT max_by(g,(round(s,12),-g)) AS g FROM s)
+SELECT f.cls, f.g AS cell, round(p,6) AS "precision", round(r,6) AS recall, round(f,6) AS f1, round(r*n) AS tp, round(round(r*n)/(p+1e-16)-round(r*n)) AS fp FROM f JOIN w ON w.g=f.g JOIN t ON t.cls=f.cls"""))
+def best_f1(spark, sf_dir):
+    return _round(E.best_f1(*_flags(spark, sf_dir)), "precision", "recall", "f1")
+
+
+_SCORE = """s AS (SELECT count(*) FILTER (truth=found) AS hits, count(truth) AS truths, count(found) AS founds, coalesce(sum(levenshtein(coalesce(truth,''),coalesce(found,''))),0) AS edits, coalesce(sum(length(truth)),0) AS chars, count(DISTINCT image_id) AS images FROM m),
+pr AS (SELECT *, hits/(founds+1e-9) AS p, hits/(truths+1e-9) AS r FROM s)
+SELECT hits, truths, founds, round(p,6) AS "precision", round(r,6) AS recall, round(2*p*r/(p+r+1e-9),6) AS f_score, round(1-edits/(chars+1e-9),6) AS char_accuracy, round(edits/(truths+1e-9),6) AS edit_per_field, round(edits/images,6) AS edit_per_image FROM pr"""
+_SCORES = ("precision", "recall", "f_score", "char_accuracy", "edit_per_field", "edit_per_image")
+
+
+@query(oracle("READ", f""", m AS (SELECT pass_id%500 AS image_id, CASE WHEN seq%9=0 THEN NULL ELSE true_code END AS truth, CASE WHEN seq%7=0 THEN NULL ELSE text END AS found FROM f_read), {_SCORE}"""))
 def ocr_score(spark, sf_dir):
-    r = fixture(spark, sf_dir, "READ").filter("seq % 63 <> 0")
+    r = fixture(spark, sf_dir, "READ")
     m = r.select((F.col("pass_id") % 500).alias("image_id"), F.expr("case when seq%9=0 then null else true_code end").alias("truth"), F.expr("case when seq%7=0 then null else text end").alias("found"))
-    return _round(E.end_to_end_score(m), "precision", "recall", "f_score", "char_accuracy", "edit_per_field", "edit_per_image")
+    return _round(E.end_to_end_score(m), *_SCORES)
+
+
+def _quads(spark, sf_dir):
+    """Truth and found boxes as quads whose corners come in several orders."""
+    def quad(df):
+        n = lambda *cs: F.array(*[F.col(c) for c in cs])
+        plain, mixed = n("x1", "y1", "x2", "y1", "x2", "y2", "x1", "y2"), n("x2", "y2", "x1", "y1", "x1", "y2", "x2", "y1")
+        return df.withColumn("quad", F.when(F.col("det_id") % 2 == 0, plain).otherwise(mixed)).drop("x1", "y1", "x2", "y2")
+
+    truth, found = fixture(spark, sf_dir, "QUAD"), fixture(spark, sf_dir, "FOUND")
+    return quad(truth).withColumnRenamed("det_id", "gt_id"), quad(found)
+
+
+_MET = """, pq AS (SELECT a.image_id, a.det_id AS gt_id, b.det_id, a.ignore, a.text AS truth, b.text AS found, (least(a.x2,b.x2)-greatest(a.x1,b.x1))*(least(a.y2,b.y2)-greatest(a.y1,b.y1)) AS i, (a.x2-a.x1)*(a.y2-a.y1) AS ga, (b.x2-b.x1)*(b.y2-b.y1) AS da
+ FROM f_quad a JOIN f_found b ON a.image_id=b.image_id AND a.x1<b.x2 AND b.x1<a.x2 AND a.y1<b.y2 AND b.y1<a.y2)"""
+
+
+@query(oracle("QUAD FOUND", _MET + " SELECT image_id, gt_id, det_id, round(i,3) AS inter, round(i,3) AS rough, round(i/(ga+da-i),6) AS iou, round(i/da,6) AS iod FROM pq"))
+def quad_pairs(spark, sf_dir):
+    pairs = Q.quad_overlaps(*_quads(spark, sf_dir), "gt_id", "det_id")
+    return pairs.select("image_id", "gt_id", "det_id", F.round("inter", 3).alias("inter"), F.round("rough", 3).alias("rough"), F.round("iou", 6).alias("iou"), F.round("iod", 6).alias("iod"))
+
+
+_QM = _MET + """, o AS (SELECT image_id, det_id, gt_id, row_number() OVER (PARTITION BY image_id ORDER BY i/(ga+da-i) DESC, gt_id, det_id) AS k FROM pq WHERE i/(ga+da-i)>=0.5),
+gw AS (SELECT image_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS ds, CAST([] AS BIGINT[]) AS gs, CAST([] AS BIGINT[]) AS ks FROM (SELECT DISTINCT image_id FROM o) z UNION ALL
+ SELECT o.image_id, o.k, CASE WHEN list_contains(ds,o.det_id) OR list_contains(gs,o.gt_id) THEN ds ELSE list_append(ds,o.det_id) END, CASE WHEN list_contains(ds,o.det_id) OR list_contains(gs,o.gt_id) THEN gs ELSE list_append(gs,o.gt_id) END,
+ CASE WHEN list_contains(ds,o.det_id) OR list_contains(gs,o.gt_id) THEN ks ELSE list_append(ks,o.k) END FROM gw JOIN o ON o.image_id=gw.image_id AND o.k=gw.k+1),
+gm AS (SELECT o.image_id, o.gt_id, o.det_id FROM o JOIN (SELECT image_id, max_by(ks,k) AS ks FROM gw GROUP BY image_id) f ON f.image_id=o.image_id WHERE list_contains(f.ks,o.k)),
+m AS (SELECT q.image_id, q.text AS truth, f.text AS found FROM f_quad q LEFT JOIN gm ON gm.gt_id=q.det_id LEFT JOIN f_found f ON f.det_id=gm.det_id WHERE NOT q.ignore
+ UNION ALL SELECT image_id, NULL, text FROM f_found WHERE det_id NOT IN (SELECT det_id FROM gm) AND image_id IN (SELECT image_id FROM f_quad) UNION ALL SELECT DISTINCT image_id, NULL, NULL FROM f_quad)"""
+
+
+@query(oracle("QUAD FOUND", f"{_QM}, {_SCORE}").replace("WITH ", "WITH RECURSIVE ", 1))
+def ocr_end_to_end(spark, sf_dir):
+    truth, found = _quads(spark, sf_dir)
+    return _round(E.end_to_end_score(E.matched_fields(truth, found), truth.select("image_id")), *_SCORES)
+
+
+@query(oracle("QUAD FOUND", _MET + " SELECT image_id, gt_id, det_id, round(i/ga,2) AS sigma, round(i/da,2) AS tau FROM pq WHERE NOT ignore AND det_id NOT IN (SELECT det_id FROM pq WHERE ignore AND i/da>0.5)"))
+def overlap_shares(spark, sf_dir):
+    return E.overlap_tables(*_quads(spark, sf_dir))[2]
+
+
+@query()
+def area_match(spark, sf_dir):
+    return E.area_match_score(*_quads(spark, sf_dir))
+
+
+@query(oracle("BOX", """, r AS (SELECT det_id, image_id, conf AS obj, [conf,1-conf,abs(x1)-floor(abs(x1))] AS sc FROM f_box), u AS (SELECT image_id, det_id, obj, unnest(sc) AS s, generate_subscripts(sc,1)-1 AS cls FROM r)
+SELECT image_id, det_id, CAST(cls AS BIGINT) AS cls, round(obj*s,6) AS conf FROM u WHERE obj>0.3 AND obj*s>0.3 AND cls IN (0,2)"""))
+def class_candidates(spark, sf_dir):
+    raw = fixture(spark, sf_dir, "BOX").selectExpr("image_id", "det_id", "conf as obj", "array(conf, 1-conf, abs(x1)-floor(abs(x1))) as scores")
+    return _round(B.class_boxes(raw, 0.3, multi=True, classes=[0, 2]).withColumn("cls", F.col("cls").cast("long")), "conf")
+
+
+_ANY = _NMS.replace("PARTITION BY image_id, cls", "PARTITION BY image_id").replace(" AND a.cls=b.cls", "").replace("a.cls, a.k", "0 AS cls, a.k").replace("SELECT DISTINCT image_id, cls FROM c", "SELECT DISTINCT image_id, 0 AS cls FROM c").replace(" AND c.cls=w.cls", "").replace(" AND bad.cls=c.cls", "")
+
+
+@query(oracle("BOX", _ANY + " SELECT c.image_id, c.cls, c.det_id FROM c JOIN kp ON kp.image_id=c.image_id WHERE list_contains(kp.kept, c.k)").replace("WITH ", "WITH RECURSIVE ", 1))
+def agnostic_boxes(spark, sf_dir):
+    return B.nms(fixture(spark, sf_dir, "BOX"), agnostic=True).select("image_id", "cls", "det_id")
+
+
+@query(oracle("BOX", _NMS + """ SELECT c.image_id, c.det_id, round(least(greatest((x1-0)/0.5,0),1280),6) AS ax, round(least(greatest((y1-80)/0.5,0),960),6) AS ay, round(least(greatest((x2-0)/0.5,0),1280),6) AS cx, round(least(greatest((y2-80)/0.5,0),960),6) AS cy
+ FROM c JOIN kp ON kp.image_id=c.image_id AND kp.cls=c.cls WHERE list_contains(kp.kept, c.k)""").replace("WITH ", "WITH RECURSIVE ", 1))
+def landmark_boxes(spark, sf_dir):
+    p = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    b = fixture(spark, sf_dir, "BOX").withColumn("points", F.array(p("x1", "y1"), p("x2", "y1"), p("x2", "y2"), p("x1", "y2")))
+    kept = B.unletterbox_points(B.nms(b), 1280, 960)
+    at = lambda i, c, name: F.round(F.col("points")[i][c], 6).alias(name)
+    return kept.select("image_id", "det_id", at(0, "x", "ax"), at(0, "y", "ay"), at(2, "x", "cx"), at(2, "y", "cy"))
+
+
+@query(oracle("LAT", " SELECT direction, seq, round(sum(seconds*depth) OVER w/nullif(sum(depth) OVER w,0),4) AS mean FROM f_lat WINDOW w AS (PARTITION BY direction ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)"))
+def running_means(spark, sf_dir):
+    rows = fixture(spark, sf_dir, "LAT").withColumn("hour", F.date_trunc("hour", "ts"))
+    out = E.running_mean(rows, "direction", "hour", ["ts", "seq"], "seconds", "depth")
+    return out.select("direction", "seq", F.round("mean", 4).alias("mean"))
+
+
+@query(oracle("EVOLVE", " SELECT max_by(generation,(round(map50*0.1+map*0.9+p*0.1+r*0.9,9),-generation)) AS generation, round(max(map50*0.1+map*0.9+p*0.1+r*0.9),6) AS fitness FROM f_evolve"))
+def best_mask_generation(spark, sf_dir):
+    runs = fixture(spark, sf_dir, "EVOLVE").withColumns({"mask_map50": F.col("p"), "mask_map": F.col("r")})
+    return _round(E.best_run(runs, masks=True), "fitness")
 
 
 @query(oracle("EVOLVE", " SELECT max_by(generation,(round(map50*0.1+map*0.9,9),-generation)) AS generation, round(max(map50*0.1+map*0.9),6) AS fitness FROM f_evolve"))

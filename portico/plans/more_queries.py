@@ -52,9 +52,11 @@ def polygon_boxes(spark, sf_dir):
     return B.segment_boxes(_quads(spark, sf_dir), 640.0, 480.0).select("det_id", *[F.round(c, 6).alias(c) for c in B.CORNERS])
 
 
-@query(oracle("BOX", """ SELECT det_id, round((x1+x2)/2,6) AS x1, round(y1,6) AS y1, round(x2,6) AS x4, round(y2,6) AS y4 FROM f_box WHERE det_id%2=1"""))
+# Nine points are the four corners, the middles of the sides and the first corner again.
+@query(oracle("BOX", """, q AS (SELECT det_id, CASE WHEN det_id%2=0 THEN [x2,x1,x1,x2] ELSE [x1,x2,x2,x1] END AS xs, CASE WHEN det_id%2=0 THEN [y1,y2,y1,y2] ELSE [y1,y1,y2,y2] END AS ys FROM f_box)
+SELECT det_id, round((xs[1]+xs[2])/2,6) AS x1, round((ys[1]+ys[2])/2,6) AS y1, round(xs[3],6) AS x4, round(ys[3],6) AS y4 FROM q"""))
 def resampled_polygons(spark, sf_dir):
-    r = B.resample_polygon(_quads(spark, sf_dir).filter("det_id % 2 = 1"), 9)
+    r = B.resample_polygon(_quads(spark, sf_dir), 9)
     return r.select("det_id", *[F.round(F.col("resampled")[i][c], 6).alias(f"{c}{i}") for i in (1, 4) for c in ("x", "y")])
 
 
@@ -64,6 +66,12 @@ def converted_labels(spark, sf_dir):
     return E.convert_labels(r, True).select("pass_id", "seq", "ignore", "text")
 
 
+@query(oracle("READ", """ SELECT pass_id, seq, false AS ignore, text FROM (SELECT pass_id, seq, CASE WHEN seq%5=0 THEN '###' ELSE substr(text,1,4)||' '||substr(text,5) END AS text, CASE WHEN seq%7=0 THEN NULL ELSE (pass_id*seq)%100/100 END AS s FROM f_read) t WHERE coalesce(s,1)>=0.5"""))
+def converted_predictions(spark, sf_dir):
+    r = fixture(spark, sf_dir, "READ").selectExpr("pass_id", "seq", "case when seq%5=0 then '###' else concat(substr(text,1,4), '　', substr(text,5)) end as transcription", "case when seq%7=0 then '' else cast((pass_id*seq)%100/100 as string) end as score")
+    return E.convert_labels(r, False).select("pass_id", "seq", "ignore", "text")
+
+
 @query(oracle("READ", """, v AS (SELECT pass_id, list(seq ORDER BY seq) AS paths FROM f_read GROUP BY pass_id)
 SELECT pass_id, paths[CAST(floor(('0x'||substr(md5('0:'||pass_id),1,12))::BIGINT/281474976710656.0*len(paths)) AS INT)+1] AS path FROM v"""))
 def chosen_variants(spark, sf_dir):
