@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scans import running, runs
+from .scans import cut, previous, running, runs
 
 ORDER = ["ts", "frame_no"]
 
@@ -128,13 +128,14 @@ def load_type(detections: DataFrame, key: str) -> DataFrame:
 
 
 def assign_pass(readings: DataFrame, terminators: DataFrame, key: str | None = None) -> DataFrame:
-    """readings (ts, ...) with pass_no, the number of terminators (ts) before them, per day and running.
+    """readings (ts, ...) with pass_no, the number of terminators (ts) of the same lane (key) before them.
 
-    Markers and readings are put in one order; a running count over chunks of a day needs no join.
+    Markers and readings are put in one order; a running count over chunks of an hour needs no join.
+    Without a key all readings are one lane's.
     """
     a = readings.withColumn("__mark", F.lit(0))
     b = terminators.select(*[F.col(c) if c in terminators.columns else F.lit(None).cast(readings.schema[c].dataType).alias(c) for c in readings.columns]).withColumn("__mark", F.lit(1))
-    both = a.unionByName(b).withColumn("__k", F.lit(0) if key is None else F.col(key)).withColumn("chunk", F.to_date("ts"))
+    both = a.unionByName(b).withColumn("__k", F.lit(0) if key is None else F.col(key)).withColumn("chunk", F.date_trunc("hour", "ts"))
     out = running(both, "__k", "chunk", ["ts", "__mark"], sums={"pass_no": F.col("__mark")})
     return out.filter("__mark = 0").drop("__mark", "__k", "chunk")
 
@@ -163,25 +164,44 @@ def outages(reads: DataFrame, n: int = 5) -> DataFrame:
     return seen.filter((F.col("ok") == 0) & (F.col("pos") % n == 0)).select("direction", "ts", "frame_no", (F.col("pos") / n).cast("long").alias("nth"))
 
 
-def boundaries_side(obs: DataFrame, idle: int = 3) -> DataFrame:
-    """Per segment the earliest and latest second, from the first frame of the recording."""
-    seg = segments(segment_frames(obs, leave=idle))
-    start = obs.groupBy("direction").agg(F.min("ts").alias("t0"))
-    secs = lambda c: F.round(micros(c) / 1e6 - micros(F.col("t0")) / 1e6, 2)
-    return seg.filter("entered = 1").join(start, "direction").select("direction", "seg", secs(F.col("start_ts")).alias("t_in"), secs(F.col("end_ts")).alias("t_out"))
+def boundaries_side(obs: DataFrame, enter: int = 10, idle: int = 3) -> DataFrame:
+    """direction, n, t: boundaries of a side camera in seconds from the start of its recording.
+
+    Idle seconds are those of empty frames from the ``idle``-th in a row on. The ``enter``-th present
+    frame of a run ends a stretch, which gives its earliest idle second, if any; what follows the last
+    one gives its latest. A recording without a vehicle gives 0 and its latest idle second.
+    """
+    seen = runs(_chunked(obs.filter("state <> 'skipped'")), "direction", "chunk", ORDER, "state")
+    marks = seen.withColumn("__end", F.when((F.col("state") == "present") & (F.col("pos") == enter), 1).otherwise(0))
+    out = running(marks, "direction", "chunk", ORDER, sums={"ends": F.col("__end")}).withColumn("stretch", F.col("ends") - F.col("__end"))
+    start = obs.groupBy("direction").agg(F.min("ts").alias("t0"), F.max((F.col("state") == "present").cast("int")).alias("any"))
+    second = F.round(micros(F.col("ts")) / 1e6 - micros(F.col("t0")) / 1e6, 2)
+    rows = out.join(start, "direction").withColumn("s", F.when((F.col("state") == "empty") & (F.col("pos") >= idle), second))
+    per = rows.groupBy("direction", "any", "stretch").agg(F.max("__end").alias("ended"), F.min("s").alias("low"), F.max("s").alias("high")).filter("low IS NOT NULL")
+    t = F.when(F.col("any") == 0, F.array(F.lit(0.0), F.col("high"))).when(F.col("ended") == 1, F.array("low")).otherwise(F.array("high"))
+    order = Window.partitionBy("direction").orderBy("stretch", "t")  # one row per vehicle is left here
+    return per.select("direction", "stretch", F.explode(t).alias("t")).withColumn("n", F.row_number().over(order).cast("long")).select("direction", "n", "t")
 
 
 def suppress_adjacent(times: DataFrame, key: str, time: str = "t", least: float = 50.0) -> DataFrame:
-    """Boundaries more than ``least`` seconds from the last kept one.
+    """key, n, time: boundaries more than ``least`` seconds from the last kept one, numbered from 0.
 
-    A recording has at most some hundred boundaries, so they are folded inside one array.
+    A boundary that far behind its predecessor is kept whatever came before, so the boundaries fall
+    into clusters that are folded apart; gaps and numbers go in two levels over stretches of time.
     """
-    lists = times.groupBy(key).agg(F.sort_array(F.collect_list(F.col(time).cast("double"))).alias("ts"))
+    rows = cut(times.select(key, F.col(time).cast("double").alias("t")).distinct())  # some rows per vehicle, from many scans
+    rows = rows.withColumn("__c", F.floor(F.col("t") / (least * 1000)))
+    rows = previous(rows, key, "__c", ["t"], "t", "__p")
+    apart = F.when(F.col("t") - F.col("__p") > least, 1).otherwise(0)
+    rows = running(rows, key, "__c", ["t"], sums={"cluster": apart})
+    lists = rows.groupBy(key, "cluster").agg(F.sort_array(F.collect_list("t")).alias("ts"))
     fold = F.aggregate(
         "ts", F.array().cast("array<double>"),
         lambda kept, t: F.when((F.size(kept) == 0) | (t - F.element_at(kept, -1) > least), F.concat(kept, F.array(t))).otherwise(kept),
     )
-    return lists.select(key, F.posexplode(fold).alias("n", time))
+    kept = lists.select(key, F.explode(fold).alias("t")).withColumn("__c", F.floor(F.col("t") / (least * 1000)))
+    out = running(kept, key, "__c", ["t"], sums={"n": F.lit(1)})
+    return out.select(key, (F.col("n") - 1).cast("int").alias("n"), F.col("t").alias(time))
 
 
 def choose_timeline(times: DataFrame, group: list[str], direction: str = "direction") -> DataFrame:
@@ -211,13 +231,100 @@ def retention(files: DataFrame, keep: int = 20) -> DataFrame:
     return files.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") > keep).drop("__r")
 
 
+def _hours(df: DataFrame) -> DataFrame:
+    return df.withColumn("h", F.explode(F.sequence(F.date_trunc("hour", "start_ts"), F.date_trunc("hour", "end_ts"), F.expr("interval 1 hour"))))
+
+
 def fuse_passes(sides: DataFrame, faces: DataFrame) -> DataFrame:
-    """Side passes joined with face passes that overlap them in time, by hour and then exactly."""
-    hours = lambda: F.explode(F.sequence(F.date_trunc("hour", "start_ts"), F.date_trunc("hour", "end_ts"), F.expr("interval 1 hour")))
-    a = sides.withColumn("h", hours()).alias("a")
-    b = faces.withColumn("h", hours()).alias("b")
-    hit = a.join(b, "h").filter("a.start_ts <= b.end_ts AND b.start_ts <= a.end_ts")
-    return hit.select(F.col("a.direction").alias("side"), F.col("a.pass_no").alias("pass_no"), F.col("b.direction").alias("face"), F.col("b.seg").alias("face_seg")).distinct()
+    """Side passes joined with face passes of the same lane that overlap them in time, by hour and then exactly."""
+    hit = _hours(sides).alias("a").join(_hours(faces).alias("b"), ["lane", "h"]).filter("a.start_ts <= b.end_ts AND b.start_ts <= a.end_ts")
+    return hit.select("lane", F.col("a.direction").alias("side"), F.col("a.pass_no").alias("pass_no"), F.col("b.direction").alias("face"), F.col("b.seg").alias("face_seg")).distinct()
+
+
+def best_parts(anchors: DataFrame, parts: DataFrame, columns: list[str]) -> DataFrame:
+    """lane, pass_no of anchors (with start_ts, end_ts) and the columns of the part of their lane that overlaps them most.
+
+    On ties the earlier part counts; anchors without one are left out. Parts meet anchors by lane and
+    hour, then exactly; what is grouped are the few parts of one anchor.
+    """
+    own = anchors.select("lane", "pass_no", F.col("start_ts").alias("__s"), F.col("end_ts").alias("__e"))
+    a = own.withColumn("h", F.explode(F.sequence(F.date_trunc("hour", "__s"), F.date_trunc("hour", "__e"), F.expr("interval 1 hour"))))
+    hit = a.join(_hours(parts), ["lane", "h"]).filter("start_ts <= __e AND __s <= end_ts")
+    common = micros(F.least("end_ts", "__e")) - micros(F.greatest("start_ts", "__s"))
+    best = hit.groupBy("lane", "pass_no").agg(F.max_by(F.struct(*columns), F.struct(common.alias("c"), (-micros(F.col("start_ts"))).alias("s"), F.struct(*columns).alias("p"))).alias("__p"))
+    return best.select("lane", "pass_no", *[F.col(f"__p.{c}").alias(c) for c in columns])
+
+
+def vehicle_records(anchors: DataFrame, views: dict[str, DataFrame], readings: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """One record per anchor pass: the pass of every other view, the texts read, and whether all views are there.
+
+    views: name -> passes (lane, start_ts, end_ts, seg); readings: name -> (results with lane, start_ts,
+    end_ts and texts, their columns). Adds seg_<name> per view, the texts and ``complete``.
+    """
+    out = anchors
+    parts = [(df.withColumnRenamed("seg", f"seg_{name}"), [f"seg_{name}"]) for name, df in views.items()]
+    for df, columns in [*parts, *readings.values()]:
+        out = out.join(best_parts(anchors, df, columns), ["lane", "pass_no"], "left")
+    there = F.lit(True)
+    for name in views:
+        there = there & F.col(f"seg_{name}").isNotNull()
+    return out.withColumn("complete", there)
+
+
+def segment_idle(obs: DataFrame, idle: int = 8) -> DataFrame:
+    """Readings of one vehicle: from the first present frame until ``idle`` empty frames in a row."""
+    return segment_presence(obs, idle - 1)
+
+
+def recording_durations(frames: DataFrame, fps: float = 25.0) -> DataFrame:
+    """direction, frames and seconds of each recording at a frame rate."""
+    return frames.groupBy("direction").agg(F.count("*").alias("frames")).withColumn("seconds", F.col("frames") / F.lit(fps))
+
+
+#: How far a match must move to count, and how little it may drop, per view; None is the mean of the middle.
+MOVES = {"right": (None, 10.0), "left": (-1.0, None), "top": (-10.0, 10.0)}
+
+
+def pair_offsets(matches: DataFrame, view: str, keys: list[str]) -> DataFrame:
+    """keys and offset: how far the picture moved between two frames, of matched points (x1, y1, x2, y2).
+
+    Points count by ``MOVES`` (to the right more than the mean of the middle 60 per cent, else less
+    than a limit); the offset is the rounded mean of the middle half of their moves, of all up to three,
+    and 0 where no point counts. A pair of frames has as many points as its detector gives.
+    """
+    limit, drop = MOVES[view]
+    rows = matches.withColumns({"dx": F.col("x2") - F.col("x1"), "dy": F.col("y2") - F.col("y1")})
+    pair = Window.partitionBy(*keys)
+
+    def middle(df: DataFrame, low: float, high: float, out: str) -> DataFrame:
+        k, n = F.row_number().over(pair.orderBy("dx", "dy")) - 1, F.count("*").over(pair)
+        inside = (F.col("__k") >= F.floor(F.col("__n") * low)) & (F.col("__k") < F.floor(F.col("__n") * high))
+        return df.withColumns({"__k": k, "__n": n}).withColumn(out, inside)
+
+    if limit is None:
+        rows = middle(rows, 0.2, 0.8, "__mid")
+        good = rows.withColumn("__mean", F.avg(F.when(F.col("__mid"), F.col("dx"))).over(pair)).filter(F.col("dx") > F.col("__mean"))
+    else:
+        good = rows.filter(F.col("dx") < limit)
+    if drop is not None:
+        good = good.filter(F.col("dy") < drop)
+    good = middle(good, 0.25, 0.75, "__mid")
+    kept = good.filter((F.col("__n") <= 3) | F.col("__mid")).groupBy(*keys).agg(F.bround(F.abs(F.avg("dx"))).cast("long").alias("offset"))
+    return matches.select(*keys).distinct().join(kept, keys, "left").select(*keys, F.coalesce("offset", F.lit(0)).alias("offset"))
+
+
+def stitch_plan(offsets: DataFrame, key: str, order: str, width: int) -> DataFrame:
+    """key, order, used, x, total: where each frame of a panorama is placed, and the panorama's width.
+
+    Offsets of 1 or less give way to the whole part of the mean of those that are not 0 (0 without
+    any). The frame at ``order`` 0 is left out, the next one stands at 0. A panorama is one pass, of
+    some thousand frames at most.
+    """
+    w = Window.partitionBy(key).orderBy(order)
+    mean = F.coalesce(F.avg(F.when(F.col("offset") != 0, F.col("offset"))).over(Window.partitionBy(key)).cast("long"), F.lit(0))
+    used = F.when(F.col("offset") > 1, F.col("offset")).otherwise(F.col("__mean"))
+    placed = offsets.withColumn("__mean", mean).filter(F.col(order) >= 1).withColumn("used", used).withColumn("x", F.sum("used").over(w))
+    return placed.withColumn("total", F.max("x").over(Window.partitionBy(key)) + F.lit(width)).select(key, order, "used", "x", "total")
 
 
 def boundaries_face(obs: DataFrame, gap: int = 10) -> DataFrame:
@@ -252,7 +359,14 @@ def final_pairs(pairs: DataFrame, key: str, a: str, b: str, order: str) -> DataF
     return once.groupBy(key, a, b, "__k").agg(F.min(order).alias(order)).drop("__k")
 
 
-def front_epochs(rows: DataFrame, is_close: Column) -> DataFrame:
-    """rows with ``epoch``, the number of front closes up to them; what lies in an earlier epoch is void."""
-    keyed = _chunked(rows).withColumn("__k", F.lit(0))
+def front_epochs(rows: DataFrame, is_close: Column, key: str | None = None) -> DataFrame:
+    """rows with ``epoch``, the number of front closes of their lane (key) up to them; streams are cut by the hour."""
+    keyed = rows.withColumn("chunk", F.date_trunc("hour", "ts")).withColumn("__k", F.lit(0) if key is None else F.col(key))
     return running(keyed, "__k", "chunk", ORDER, sums={"epoch": F.when(is_close, 1).otherwise(0)}).drop("__k", "chunk")
+
+
+def reset_on_front(rows: DataFrame, is_close: Column, record: list[str], key: str | None = None) -> DataFrame:
+    """rows without what a later front close of the same record makes void: those of its last epoch are left."""
+    epochs = front_epochs(rows, is_close, key)
+    last = epochs.groupBy(*record).agg(F.max("epoch").alias("__last"))
+    return epochs.join(last, record).filter(F.col("epoch") == F.col("__last")).drop("__last")

@@ -30,18 +30,18 @@ FROM (SELECT *, base10||CAST((({VALUES})%11)%10 AS {STR}) AS true_code FROM (
 """
 OBS = """
 SELECT CASE user_id%5 WHEN 0 THEN 'left' WHEN 1 THEN 'right' WHEN 2 THEN 'top' WHEN 3 THEN 'front' ELSE 'rear' END AS direction,
- ts, event_id AS frame_no,
+ ts, event_id AS frame_no, 'L'||CAST(user_id%2 AS {STR}) AS lane,
  CASE WHEN event_id%7=0 THEN 'skipped' WHEN event_type IN ('view','click','purchase') THEN 'present' ELSE 'empty' END AS state
 FROM {{events}}
 """
 BOX = """
-SELECT vec_id%25 AS image_id, vec_id AS det_id, label%2 AS cls, least(0.99,0.3+2*abs(e5)) AS conf,
+SELECT vec_id-vec_id%20 AS image_id, vec_id AS det_id, label%2 AS cls, least(0.99,0.3+2*abs(e5)) AS conf,
  500+1000*e1-(80+200*abs(e3))/2 AS x1, 500+1000*e2-(80+200*abs(e4))/2 AS y1,
  500+1000*e1+(80+200*abs(e3))/2 AS x2, 500+1000*e2+(80+200*abs(e4))/2 AS y2
 FROM ({VEC}) t
 """
 GT = """
-SELECT vec_id%25 AS image_id, vec_id AS det_id, label%2 AS cls,
+SELECT vec_id-vec_id%20 AS image_id, vec_id AS det_id, label%2 AS cls,
  500+1000*e1-(80+200*abs(e3))/2+20*e6 AS x1, 500+1000*e2-(80+200*abs(e4))/2+20*e7 AS y1,
  500+1000*e1+(80+200*abs(e3))/2+20*e6 AS x2, 500+1000*e2+(80+200*abs(e4))/2+20*e7 AS y2
 FROM ({VEC}) t WHERE vec_id%5<>0
@@ -53,18 +53,18 @@ FROM (SELECT CASE user_id%5 WHEN 0 THEN 'left' WHEN 1 THEN 'right' WHEN 2 THEN '
 WHERE frame_no%7<>0 AND event_type IN ('view','click','purchase')
 """
 LABEL = """
-SELECT 'set/images/'||CAST(vec_id%25 AS {STR})||'.jpg' AS image_path, label%4 AS cls, 0.5+e1 AS xc, 0.5+e2 AS yc,
+SELECT 'set/images/'||CAST(vec_id-vec_id%20 AS {STR})||'.jpg' AS image_path, label%4 AS cls, 0.5+e1 AS xc, 0.5+e2 AS yc,
  CASE WHEN vec_id%17=0 THEN -1 ELSE 1 END*(0.05+abs(e3)) AS w, 0.05+abs(e4) AS h, vec_id*2+k AS line_no
 FROM ({VEC}) t CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1) u WHERE k=0 OR vec_id%19=0
 """
 LOG = """
 SELECT event_id, ts, CASE WHEN event_type='error' THEN 'ERROR' ELSE 'INFO' END AS level,
  CASE user_id%5 WHEN 0 THEN 'left' WHEN 1 THEN 'right' WHEN 2 THEN 'top' WHEN 3 THEN 'front' ELSE 'rear' END AS camera,
- CASE WHEN event_type='error' OR event_id%13=0 THEN 'outage' ELSE 'panorama '||CAST(CAST(floor(abs(value)) AS BIGINT) AS {STR}) END AS message
+ CASE WHEN event_type='error' OR event_id%13=0 THEN 'outage' WHEN event_id%17=0 THEN 'archive V'||CAST(event_id AS {STR}) WHEN event_id%19=0 THEN 'read error' WHEN event_id%23=0 THEN 'ready' ELSE 'panorama '||CAST(CAST(floor(abs(value)) AS BIGINT) AS {STR}) END AS message
 FROM {{events}}
 """
 RES = """
-SELECT event_id AS seq, ts, 'cpu:'||CAST(event_id%101 AS {STR})||'% gpu:'||CAST((event_id*7)%101 AS {STR})||'% 显存:'
+SELECT event_id AS seq, ts, 'h'||CAST(user_id%3 AS {STR}) AS host, 'cpu:'||CAST(event_id%101 AS {STR})||'% gpu:'||CAST((event_id*7)%101 AS {STR})||'% 显存:'
  ||CAST((event_id*13)%101 AS {STR})||'% 内存:'||CAST((event_id*29)%101 AS {STR})||'%' AS line
 FROM {{events}}
 """
@@ -81,11 +81,29 @@ FROM (SELECT *, '冀'||substr('ABCDEFGHJK',CAST(o_custkey%10 AS INT)+1,1)||lpad(
 """
 TEXTS = "SELECT doc_id, text FROM {{documents}}"
 IDX = "SELECT vec_id AS row_id, " + ", ".join(f"CAST(floor(abs(e{i})*20) AS BIGINT)%4 AS i{i}, abs(e{i}) AS p{i}" for i in range(1, 17)) + " FROM ({VEC}) t"
+MATCH = """
+SELECT vec_id-vec_id%20 AS pair_id, vec_id AS point_id, 500+1000*e1 AS x1, 500+1000*e2 AS y1, 500+1000*e1+500*e6 AS x2, 500+1000*e2+100*e7 AS y2 FROM ({VEC}) t
+"""
+QUAD = """
+SELECT image_id, det_id, det_id%11=0 AS ignore, 'T'||CAST(det_id%50 AS {STR}) AS text, x1, y1, x2, y2 FROM (
+SELECT vec_id-vec_id%20 AS image_id, vec_id AS det_id,
+ 500+1000*e1-(80+200*abs(e3))/2+20*e6 AS x1, 500+1000*e2-(80+200*abs(e4))/2+20*e7 AS y1,
+ 500+1000*e1+(80+200*abs(e3))/2+20*e6 AS x2, 500+1000*e2+(80+200*abs(e4))/2+20*e7 AS y2
+FROM ({VEC}) v WHERE vec_id%5<>0) t
+"""
+FOUND = """
+SELECT image_id, det_id, CASE WHEN det_id%6=0 THEN 'T'||CAST((det_id+1)%50 AS {STR}) ELSE 'T'||CAST(det_id%50 AS {STR}) END AS text, x1, y1, x2, y2 FROM (
+SELECT vec_id-vec_id%20 AS image_id, vec_id AS det_id,
+ 500+1000*e1-(80+200*abs(e3))/2 AS x1, 500+1000*e2-(80+200*abs(e4))/2 AS y1,
+ 500+1000*e1+(80+200*abs(e3))/2 AS x2, 500+1000*e2+(80+200*abs(e4))/2 AS y2
+FROM ({VEC}) v) t
+"""
+STEPS = "SELECT vec_id AS row_id, CAST(floor(abs(e1)*1000) AS BIGINT) AS a FROM ({VEC}) t"
 EVOLVE = """
 SELECT p_partkey AS generation, CAST(p_size AS DOUBLE)/50 AS p, p_retailprice/(p_retailprice+1000) AS r,
  CAST((p_partkey*31)%1000 AS DOUBLE)/1000 AS map50, CAST((p_partkey*17)%1000 AS DOUBLE)/1000 AS map FROM {{part}}
 """
-ORDERED = {"READ": READ, "OBS": OBS, "BOX": BOX, "GT": GT, "FACE": FACE, "LABEL": LABEL, "LOG": LOG, "RES": RES, "LAT": LAT, "PLATE": PLATE, "TEXTS": TEXTS, "IDX": IDX, "EVOLVE": EVOLVE}
+ORDERED = {"READ": READ, "OBS": OBS, "BOX": BOX, "GT": GT, "FACE": FACE, "LABEL": LABEL, "LOG": LOG, "RES": RES, "LAT": LAT, "PLATE": PLATE, "TEXTS": TEXTS, "IDX": IDX, "MATCH": MATCH, "QUAD": QUAD, "FOUND": FOUND, "STEPS": STEPS, "EVOLVE": EVOLVE}
 _TABLES = ("lineitem", "events", "embeddings", "orders", "documents", "part")
 
 

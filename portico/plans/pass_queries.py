@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..operators import passes as P
+from ..operators.scans import cut
 from .fixtures import fixture, oracle
 from .registry import query
 
@@ -124,16 +127,20 @@ def stream_outages(spark, sf_dir):
     return P.outages(reads, 5)
 
 
-_SIDE = _SEG + """, t0 AS (SELECT direction, min(ts) AS t0 FROM f_obs GROUP BY direction),
-b AS (SELECT s.direction, seg, round(epoch_us(start_ts)/1e6-epoch_us(t0)/1e6,2) AS t_in, round(epoch_us(end_ts)/1e6-epoch_us(t0)/1e6,2) AS t_out FROM s JOIN t0 USING (direction) WHERE entered=1)"""
+_SIDE = _ISLANDS + """, e AS (SELECT *, CASE WHEN state='present' AND pos={enter} THEN 1 ELSE 0 END AS fin FROM p),
+st AS (SELECT *, coalesce(sum(fin) OVER (PARTITION BY direction ORDER BY ts,frame_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS stretch FROM e),
+t0 AS (SELECT direction, min(ts) AS t0, bool_or(state='present') AS seen FROM f_obs GROUP BY direction),
+se AS (SELECT st.direction, stretch, fin, seen, CASE WHEN state='empty' AND pos>=3 THEN round(epoch_us(ts)/1e6-epoch_us(t0)/1e6,2) END AS s FROM st JOIN t0 USING (direction)),
+w AS (SELECT direction, stretch, seen, max(fin) AS ended, min(s) AS low, max(s) AS high FROM se GROUP BY ALL HAVING min(s) IS NOT NULL),
+b AS (SELECT direction, stretch, unnest(CASE WHEN NOT seen THEN [0,high] WHEN ended=1 THEN [low] ELSE [high] END) AS t FROM w)"""
 
 
-@query(oracle("OBS", _SIDE + " SELECT * FROM b"))
+@query(oracle("OBS", _SIDE.format(enter=10) + " SELECT direction, row_number() OVER (PARTITION BY direction ORDER BY stretch, t) AS n, t FROM b"))
 def side_boundaries(spark, sf_dir):
     return P.boundaries_side(fixture(spark, sf_dir, "OBS"))
 
 
-_KEPT = _SIDE.replace("WITH ", "WITH RECURSIVE ") + """, q AS (SELECT direction, t_in AS t, row_number() OVER (PARTITION BY direction ORDER BY t_in) AS k FROM b),
+_KEPT = _SIDE.format(enter=4) + """, q AS (SELECT direction, t, row_number() OVER (PARTITION BY direction ORDER BY t) AS k FROM b),
 z AS (SELECT direction, t, k, t AS last, 1 AS kept FROM q WHERE k=1 UNION ALL
  SELECT q.direction, q.t, q.k, CASE WHEN q.t-z.last> 20000 THEN q.t ELSE z.last END, CASE WHEN q.t-z.last> 20000 THEN 1 ELSE 0 END FROM z JOIN q ON q.direction=z.direction AND q.k=z.k+1),
 y AS (SELECT direction, t, row_number() OVER (PARTITION BY direction ORDER BY t)-1 AS n FROM z WHERE kept=1)"""
@@ -144,7 +151,7 @@ def _recursive(sql: str) -> str:
 
 
 def _kept(spark, sf_dir):
-    side = P.boundaries_side(fixture(spark, sf_dir, "OBS")).select("direction", F.col("t_in").alias("t"))
+    side = P.boundaries_side(fixture(spark, sf_dir, "OBS"), enter=4)
     return P.suppress_adjacent(side, "direction", least=20000.0)
 
 
@@ -185,13 +192,98 @@ def retention_list(spark, sf_dir):
 
 @query(oracle("OBS", " SELECT direction, count(*) AS frames, CAST(count(*) AS DOUBLE)/25 AS seconds FROM f_obs GROUP BY direction"))
 def recording_durations(spark, sf_dir):
-    return fixture(spark, sf_dir, "OBS").groupBy("direction").agg(F.count("*").alias("frames")).withColumn("seconds", F.col("frames") / F.lit(25.0))
+    return P.recording_durations(fixture(spark, sf_dir, "OBS"))
+
+
+@query(oracle("OBS", _PRESENCE.format(gap=7) + " SELECT direction, seg, present, start_ts, end_ts FROM s WHERE present>0 AND closed=1"))
+def idle_segments(spark, sf_dir):
+    return P.segment_idle(fixture(spark, sf_dir, "OBS"))
+
+
+def _renamed(sql: str, mark: str) -> str:
+    """The common table expressions of sql under names of their own, over the lanes' streams."""
+    names = [n for n in ("o", "r", "i", "p", "c", "g", "s") if f"{n} AS (" in sql]
+    for n in names:
+        sql = re.sub(rf"(?<![a-z_.]){n} AS \(", f"{mark}{n} AS (", sql)
+        sql = re.sub(rf"(FROM|JOIN) {n}(?![a-z_0-9])", rf"\1 {mark}{n}", sql)
+    return sql.replace("f_obs f LEFT JOIN", "f_lane f LEFT JOIN").replace("FROM f_obs", "FROM f_lane").replace(f"JOIN {mark}p ON p.", f"JOIN {mark}p p ON p.")
+
+
+_LANES = ", f_lane AS (SELECT lane||'/'||direction AS direction, ts, frame_no, state FROM f_obs)" + _renamed(_SEG, "x") + _renamed(_PRESENCE.format(gap=3), "z") + """,
+sides AS (SELECT split_part(direction,'/',1) AS lane, split_part(direction,'/',2) AS side, row_number() OVER (PARTITION BY direction ORDER BY seg) AS pass_no, seg, start_ts, end_ts FROM xs WHERE entered=1 AND closed=1),
+faces AS (SELECT split_part(direction,'/',1) AS lane, split_part(direction,'/',2) AS face, seg, start_ts, end_ts FROM zs WHERE present>0 AND closed=1)"""
 
 
-@query(oracle("OBS", _SEG + """, a AS (SELECT direction AS side, row_number() OVER (PARTITION BY direction ORDER BY seg) AS pass_no, start_ts, end_ts FROM s WHERE entered=1 AND closed=1 AND direction IN ('left','right','top'))"""
- + _PRESENCE.format(gap=3).replace(", o AS", ", o2 AS").replace("FROM o)", "FROM o2)").replace("r AS (", "r2 AS (").replace("FROM r)", "FROM r2)").replace("i AS (", "i2 AS (").replace("FROM i)", "FROM i2)").replace("p AS (", "p2 AS (").replace("FROM p)", "FROM p2)").replace(", c AS (", ", c2 AS (").replace("FROM c)", "FROM c2)").replace("g AS (", "g2 AS (").replace("FROM g G", "FROM g2 G").replace("s AS (", "s2 AS (") + """
-SELECT a.side, a.pass_no, b.direction AS face, b.seg AS face_seg FROM a JOIN s2 b ON a.start_ts<=b.end_ts AND b.start_ts<=a.end_ts WHERE b.present>0 AND b.closed=1 AND b.direction IN ('front','rear')"""))
+def _lanes(spark, sf_dir):
+    """Passes of the side cameras and of the face cameras of each lane, whose streams are apart."""
+    obs = fixture(spark, sf_dir, "OBS").withColumn("direction", F.concat_ws("/", "lane", "direction"))
+    apart = lambda df: df.withColumn("lane", F.split("direction", "/")[0]).withColumn("direction", F.split("direction", "/")[1])
+    # Few rows that several joins read: made once.
+    return cut(apart(P.passes(obs))), cut(apart(P.segment_presence(obs, gap=3)))
+
+
+@query(oracle("OBS", _LANES + """ SELECT a.lane, a.side, a.pass_no, b.face, b.seg AS face_seg FROM sides a JOIN faces b ON a.lane=b.lane AND a.start_ts<=b.end_ts AND b.start_ts<=a.end_ts WHERE a.side IN ('left','right','top') AND b.face IN ('front','rear')"""))
 def fused_passes(spark, sf_dir):
-    obs = fixture(spark, sf_dir, "OBS")
-    sides = P.passes(obs.filter("direction IN ('left','right','top')"))
-    return P.fuse_passes(sides, P.segment_presence(obs.filter("direction IN ('front','rear')"), gap=3))
+    sides, faces = _lanes(spark, sf_dir)
+    return P.fuse_passes(sides.filter("direction IN ('left','right','top')"), faces.filter("direction IN ('front','rear')"))
+
+
+def _attached(name: str, source: str, column: str, where: str) -> str:
+    return f""", {name} AS (SELECT lane, pass_no, v FROM (SELECT a.lane, a.pass_no, {column} AS v, row_number() OVER (PARTITION BY a.lane, a.pass_no ORDER BY least(a.end_ts,b.end_ts)-greatest(a.start_ts,b.start_ts) DESC, b.start_ts, {column} DESC) AS k
+ FROM anc a JOIN {source} b ON a.lane=b.lane AND a.start_ts<=b.end_ts AND b.start_ts<=a.end_ts WHERE {where}) t WHERE k=1)"""
+
+
+_CODE, _PLATE = "'ABCU'||lpad(CAST(seg AS {STR}),7,'0')", "'冀A'||lpad(CAST(seg AS {STR}),5,'0')"
+_VIEWS = {"left": ("sides", "side"), "right": ("sides", "side"), "front": ("faces", "face"), "rear": ("faces", "face")}
+
+
+@query(oracle("OBS", _LANES + ", anc AS (SELECT * FROM sides WHERE side='top')" + "".join(_attached(f"a_{v}", t, "b.seg", f"b.{c}='{v}'") for v, (t, c) in _VIEWS.items())
+  + _attached("a_code", "faces", _CODE.format(STR="VARCHAR").replace("seg", "b.seg"), "b.face='rear'") + _attached("a_plate", "faces", _PLATE.format(STR="VARCHAR").replace("seg", "b.seg"), "b.face='front'") + """
+SELECT anc.lane, anc.pass_no, l.v AS seg_left, r.v AS seg_right, f.v AS seg_front, e.v AS seg_rear, c.v AS code, p.v AS plate, l.v IS NOT NULL AND r.v IS NOT NULL AND f.v IS NOT NULL AND e.v IS NOT NULL AS complete
+FROM anc LEFT JOIN a_left l USING (lane,pass_no) LEFT JOIN a_right r USING (lane,pass_no) LEFT JOIN a_front f USING (lane,pass_no) LEFT JOIN a_rear e USING (lane,pass_no) LEFT JOIN a_code c USING (lane,pass_no) LEFT JOIN a_plate p USING (lane,pass_no)"""))
+def vehicle_records(spark, sf_dir):
+    sides, faces = _lanes(spark, sf_dir)
+    part = lambda df, v: df.filter(F.col("direction") == v).select("lane", "start_ts", "end_ts", "seg")
+    views = {v: part(sides if t == "sides" else faces, v) for v, (t, _) in _VIEWS.items()}
+    read = {"ocr": (views["rear"].withColumn("code", F.expr(_CODE.format(STR="STRING"))), ["code"]), "plate": (views["front"].withColumn("plate", F.expr(_PLATE.format(STR="STRING"))), ["plate"])}
+    anchors = sides.filter("direction = 'top'").select("lane", "pass_no", "start_ts", "end_ts")
+    return P.vehicle_records(anchors, views, read).drop("start_ts", "end_ts")
+
+
+@query(oracle("OBS", """, k AS (SELECT lane, frame_no, ts, date_trunc('day',ts) AS day, count(*) FILTER (direction='front' AND state='empty') OVER (PARTITION BY lane ORDER BY ts,frame_no ROWS UNBOUNDED PRECEDING) AS epoch FROM f_obs),
+m AS (SELECT lane, day, max(epoch) AS last FROM k GROUP BY lane, day) SELECT k.lane, k.frame_no, epoch FROM k JOIN m ON m.lane=k.lane AND m.day=k.day WHERE epoch=last"""))
+def fresh_artifacts(spark, sf_dir):
+    obs = fixture(spark, sf_dir, "OBS").withColumn("day", F.date_trunc("day", "ts"))
+    close = (F.col("direction") == "front") & (F.col("state") == "empty")
+    return P.reset_on_front(obs, close, ["lane", "day"], "lane").select("lane", "frame_no", "epoch")
+
+
+_DX = ", v AS (SELECT *, x2-x1 AS dx, y2-y1 AS dy FROM f_match), n AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY dx, dy)-1 AS k, count(*) OVER (PARTITION BY pair_id) AS n FROM v), mu AS (SELECT pair_id, avg(dx) AS mu FROM n WHERE k>=floor(n*0.2) AND k<floor(n*0.8) GROUP BY pair_id)"
+_OK = {"right": "dx>mu AND dy<10", "left": "dx<-1", "top": "dx<-10 AND dy<10"}
+_OFFSETS = _DX + "".join(
+    f""", g_{v} AS (SELECT v.*, row_number() OVER (PARTITION BY v.pair_id ORDER BY dx, dy)-1 AS k, count(*) OVER (PARTITION BY v.pair_id) AS n FROM v LEFT JOIN mu ON mu.pair_id=v.pair_id WHERE {c}),
+h_{v} AS (SELECT pair_id, CAST(round_even(abs(avg(dx)),0) AS BIGINT) AS o FROM g_{v} WHERE n<=3 OR (k>=floor(n*0.25) AND k<floor(n*0.75)) GROUP BY pair_id)""" for v, c in _OK.items()
+) + ", all_o AS (" + " UNION ALL ".join(f"SELECT '{v}' AS view, p.pair_id, coalesce(o,0) AS \"offset\" FROM (SELECT DISTINCT pair_id FROM f_match) p LEFT JOIN h_{v} h ON h.pair_id=p.pair_id" for v in _OK) + ")"
+
+
+def _offsets(spark, sf_dir):
+    m = fixture(spark, sf_dir, "MATCH")
+    out = None
+    for v in P.MOVES:
+        part = P.pair_offsets(m, v, ["pair_id"]).select(F.lit(v).alias("view"), "pair_id", "offset")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(oracle("MATCH", _OFFSETS + " SELECT * FROM all_o"))
+def panorama_offsets(spark, sf_dir):
+    return _offsets(spark, sf_dir)
+
+
+@query(oracle("MATCH", _OFFSETS + """, pa AS (SELECT view||'/'||CAST(pair_id//200 AS VARCHAR) AS panorama, pair_id%200//20 AS place, "offset" AS o FROM all_o),
+u AS (SELECT panorama, place, CASE WHEN o>1 THEN o ELSE coalesce(CAST(trunc(avg(nullif(o,0)) OVER (PARTITION BY panorama)) AS BIGINT),0) END AS used FROM pa),
+x AS (SELECT *, sum(used) OVER (PARTITION BY panorama ORDER BY place ROWS UNBOUNDED PRECEDING) AS x FROM u WHERE place>=1)
+SELECT panorama, place, used, CAST(x AS BIGINT) AS x, CAST(max(x) OVER (PARTITION BY panorama)+640 AS BIGINT) AS total FROM x"""))
+def panorama_plan(spark, sf_dir):
+    o = _offsets(spark, sf_dir).select(F.concat_ws("/", "view", F.expr("pair_id div 200")).alias("panorama"), F.expr("pair_id % 200 div 20").alias("place"), "offset")
+    return P.stitch_plan(o, "panorama", "place", 640)
