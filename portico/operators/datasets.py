@@ -83,11 +83,13 @@ def weighted_sample(weights: DataFrame, key: str, k: int, seed: int = 0, bins: i
     """
     w = weights.select(F.col(key).alias("__key"), "weight").withColumn("slice", F.floor(uniform("__key", seed) * bins)).withColumn("one", F.lit(0))
     cum = running(w, "one", "slice", ["__key"], sums={"upto": F.col("weight")})
-    slices = cum.groupBy("slice").agg(F.min(F.col("upto") - F.col("weight")).alias("low"), F.max("upto").alias("high"))
-    total = slices.agg(F.max("high").alias("total"))
-    draws = weights.sparkSession.range(k).select(F.col("id").alias("draw"), uniform("id", seed + 1).alias("u")).crossJoin(F.broadcast(total))  # one row
-    placed = draws.withColumn("x", F.col("u") * F.col("total")).join(F.broadcast(slices), F.expr("x >= low AND x < high"))  # no more slices than ``bins``
-    hit = placed.select("draw", "x", "slice").join(cum, "slice").filter((F.col("x") >= F.col("upto") - F.col("weight")) & (F.col("x") < F.col("upto")))
+    slices = cum.groupBy("slice").agg(F.max("upto").alias("high"))
+    ends = slices.agg(F.array_sort(F.collect_list(F.struct("high", "slice"))).alias("ends"))  # no more slices than ``bins``
+    draws = weights.sparkSession.range(k).select(F.col("id").alias("draw"), uniform("id", seed + 1).alias("u")).crossJoin(F.broadcast(ends))  # one row
+    drawn = draws.withColumn("x", F.col("u") * F.element_at("ends", -1)["high"])
+    # The place of a draw among the ends of the slices is the number of ends at or below it.
+    placed = drawn.select("draw", "x", F.get("ends", F.size(F.filter("ends", lambda e: e["high"] <= F.col("x"))))["slice"].alias("slice"))
+    hit = placed.join(cum, "slice").filter((F.col("x") >= F.col("upto") - F.col("weight")) & (F.col("x") < F.col("upto")))
     return hit.select("draw", F.col("__key").alias(key))
 
 
@@ -99,13 +101,26 @@ def filter_dataset(labels: DataFrame, least: int = 0, classes: list[int] | None
     return out.withColumn("cls", F.lit(0)) if single else out
 
 
-def rect_batches(images: DataFrame, n: int, side: int = 640, stride: int = 32, pad: float = 0.5) -> DataFrame:
-    """Batches of n images in order of height over width, each with its padded shape.
+def _ordered(images: DataFrame, value: str, slices: int = 1000) -> DataFrame:
+    """images with ``k``, their place from 1 in the order of value, hash of the path and path.
 
-    The global order is cut in slices of the ratio, numbered apart and shifted by the slices before.
+    The order is cut at quantiles of the value; a value that fills several of them (one camera's
+    pictures share a ratio) is cut further by the hash. Places come from counts of the cuts.
     """
-    shaped = images.withColumn("ar", F.col("height") / F.col("width")).withColumns({"slice": F.floor(F.col("ar") * 64), "one": F.lit(0)})
-    placed = running(shaped, "one", "slice", ["ar", "image_path"], sums={"k": F.lit(1)}).withColumn("batch", F.floor((F.col("k") - 1) / n))
+    cuts = images.agg(F.percentile_approx(value, [i / slices for i in range(1, slices)]).alias("q")).first()["q"] or []  # as many numbers as slices
+    bounds = F.array(*[F.lit(x) for x in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
+    parts = F.create_map(*[F.lit(x) for v in sorted(set(cuts)) if cuts.count(v) > 1 for x in (v, cuts.count(v))]) if len(set(cuts)) < len(cuts) else None
+    below, v = F.size(F.filter(bounds, lambda q: q < F.col(value))), F.col(value)
+    many = F.coalesce(F.try_element_at(parts, v), F.lit(1)) if parts is not None else F.lit(1)
+    placed = images.withColumn("__u", uniform("image_path")).withColumn("__one", F.lit(0))
+    chunk = (below * 2 + F.array_contains(bounds, v).cast("int")).cast("long") * slices + F.floor(F.col("__u") * many)
+    return running(placed.withColumn("__slice", chunk), "__one", "__slice", [value, "__u", "image_path"], sums={"k": F.lit(1)}).drop("__u", "__one", "__slice")
+
+
+def rect_batches(images: DataFrame, n: int, side: int = 640, stride: int = 32, pad: float = 0.5) -> DataFrame:
+    """Batches of n images in order of height over width, each with its padded shape."""
+    shaped = images.withColumn("ar", F.col("height") / F.col("width"))
+    placed = _ordered(shaped, "ar").withColumn("batch", F.floor((F.col("k") - 1) / n))
     shape = placed.groupBy("batch").agg(F.count("*").alias("images"), F.min("ar").alias("low"), F.max("ar").alias("high"))
     h = F.when(F.col("high") < 1, F.col("high")).otherwise(1.0)
     w = F.when((F.col("high") >= 1) & (F.col("low") > 1), 1 / F.col("low")).otherwise(1.0)
@@ -115,11 +130,59 @@ def rect_batches(images: DataFrame, n: int, side: int = 640, stride: int = 32, p
 
 def width_batches(images: DataFrame, n: int, base: float) -> DataFrame:
     """Batches of n images in order of width over height, each with its largest ratio, ``base`` at least."""
-    shaped = images.withColumn("wh", F.col("width") / F.col("height")).withColumns({"slice": F.floor(F.col("wh") * 64), "one": F.lit(0)})
-    placed = running(shaped, "one", "slice", ["wh", "image_path"], sums={"k": F.lit(1)}).withColumn("batch", F.floor((F.col("k") - 1) / n))
+    placed = _ordered(images.withColumn("wh", F.col("width") / F.col("height")), "wh").withColumn("batch", F.floor((F.col("k") - 1) / n))
     return placed.groupBy("batch").agg(F.count("*").alias("images"), F.greatest(F.max("wh"), F.lit(base)).alias("ratio"))
 
 
+def scale_plan(scales: list[tuple[int, int]], first: int, fixed: bool = True, factor: tuple[int, int] = (8, 16)) -> list[tuple[int, int, int]]:
+    """(width, height, batch size) of each scale: sides are multiples of ``factor``; without ``fixed`` a batch has as many pixels as the first."""
+    pixels = scales[0][0] * scales[0][1] * first
+    down = [(w // factor[0] * factor[0], h // factor[1] * factor[1]) for w, h in scales]
+    return [(w, h, first if fixed else max(1, pixels // (w * h))) for w, h in down]
+
+
+def multi_scale_batches(images: DataFrame, plan: list[tuple[int, int, int]], widest: float = 480.0) -> DataFrame:
+    """batch, width, height, samples, ratio of batches that take the scales of plan in turn, in order of width over height.
+
+    A sample's batch follows from its place by division: a turn of the plan takes a fixed number of
+    samples. The last batch is filled up from the first samples. The ratio is the mean of its samples,
+    as far as the width stays under ``widest``.
+    """
+    starts, turn = [], 0
+    for _, _, size in plan:
+        starts.append(turn)
+        turn += size
+    placed = _ordered(images.withColumn("wh", F.col("width") / F.col("height")), "wh").withColumn("__p", F.col("k") - 1)
+    total = placed.agg(F.count("*").alias("__all"))
+    rows = placed.crossJoin(F.broadcast(total))  # one row
+    # The batch that the last sample is in may lack some: the first samples are seen again behind the last.
+    scale_of = lambda p: F.size(F.filter(F.array(*map(F.lit, starts)), lambda s: s <= p % turn)) - 1
+    size, start = F.array(*[F.lit(x[2]) for x in plan]), F.array(*map(F.lit, starts))
+    last = F.col("__all") - 1
+    end = F.floor(last / turn) * turn + F.get(start, scale_of(last)) + F.get(size, scale_of(last))
+    again = F.when(F.col("__p") < end - F.col("__all"), F.array("__p", F.col("__p") + F.col("__all"))).otherwise(F.array("__p"))
+    seen = rows.withColumn("__at", F.explode(again)).withColumn("__s", scale_of(F.col("__at")))
+    seen = seen.withColumn("batch", F.floor(F.col("__at") / turn) * len(plan) + F.col("__s"))
+    of = lambda i: F.get(F.array(*[F.lit(x[i]) for x in plan]), F.col("__s"))
+    per = seen.groupBy("batch", of(0).alias("width"), of(1).alias("height")).agg(F.count("*").alias("samples"), F.avg("wh").alias("mean"))
+    return per.select("batch", "width", "height", "samples", F.least(F.col("mean"), F.lit(widest) / F.col("height")).alias("ratio"))
+
+
+def log_density(labels: DataFrame, x: str, y: str, n: int = 100) -> DataFrame:
+    """labels with ``density``, the logarithm of the labels in their cell of an even grid of n edges each way."""
+    ends = labels.agg(*[f(c).alias(f"__{k}_{c}") for c in (x, y) for k, f in (("low", F.min), ("high", F.max))])
+    wide = lambda c: F.greatest(F.col(f"__high_{c}") - F.col(f"__low_{c}"), F.lit(1e-12))
+    cell = lambda c: F.least(F.greatest(F.floor((F.col(c) - F.col(f"__low_{c}")) / wide(c) * (n - 1)), F.lit(0)), F.lit(n - 2))
+    rows = labels.crossJoin(F.broadcast(ends)).withColumns({"__i": cell(x), "__j": cell(y)})  # one row
+    counts = rows.groupBy("__i", "__j").agg(F.log(F.count("*")).alias("density"))  # (n - 1)**2 cells at most
+    return rows.join(F.broadcast(counts), ["__i", "__j"]).select(*labels.columns, "density")
+
+
+def label_spread(labels: DataFrame) -> DataFrame:
+    """cls, n and mean and standard deviation of centre and size."""
+    return labels.groupBy("cls").agg(F.count("*").alias("n"), *[f(c).alias(f"{k}_{c}") for c in BOX[1:] for k, f in (("mean", F.avg), ("sd", F.stddev_pop))])
+
+
 def label_histograms(labels: DataFrame, bins: int = 50) -> DataFrame:
     """Counts by class, by bins of the centre and by bins of the size, in one table."""
     at = lambda c: F.least(F.floor(F.col(c) * bins), F.lit(bins - 1)).cast("long")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scans import running
@@ -12,14 +12,30 @@ RESOURCES = {"cpu": "cpu", "gpu": "gpu", "gpu_memory": "显存", "memory": "内
 
 def parse_log(lines: DataFrame) -> DataFrame:
     """ts, logger, level and message of lines ``time - name - level - message``; other lines give nulls."""
-    shape = r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d)(?:,\d+)? - (\S+) - ([A-Z]+) - (.*)$"
-    part = lambda i: F.nullif(F.regexp_extract("line", shape, i), F.lit(""))
-    return lines.withColumns({"ts": F.try_to_timestamp(part(1), F.lit("yyyy-MM-dd HH:mm:ss")), "logger": part(2), "level": part(3), "message": part(4)})
+    shape = r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d)(?:,(\d+))? - (\S+) - ([A-Z]+) - (.*)$"
+    part = lambda i: F.regexp_extract("line", shape, i)
+    there = F.col("line").rlike(shape)
+    # A missing fraction reads as zero.
+    ts = F.try_to_timestamp(F.concat(part(1), F.lit("."), F.rpad(part(2), 6, "0")), F.lit("yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    return lines.withColumns({"ts": F.when(there, ts), "logger": F.when(there, part(3)), "level": F.when(there, part(4)), "message": F.when(there, part(5))})
+
+
+#: Kinds of messages and how they are told, tried in this order.
+KINDS = {"panorama": r"^panorama \d+", "outage": "^outage", "archive": "^archive", "error": "(?i)error|exception"}
+
+
+def log_kind(message: Column | str) -> Column:
+    """The kind of a message, ``other`` if none fits."""
+    c = F.col(message) if isinstance(message, str) else message
+    out = None
+    for kind, shape in KINDS.items():
+        out = F.when(c.rlike(shape), kind) if out is None else out.when(c.rlike(shape), kind)
+    return out.otherwise("other")
 
 
 def log_counts(events: DataFrame) -> DataFrame:
-    """Counts over all combinations of level and camera, with their totals."""
-    return events.cube("level", "camera").agg(F.count("*").alias("n"), F.sum((F.col("message") == "outage").cast("int")).alias("outages"))
+    """Counts over all combinations of level, camera and kind, with their totals."""
+    return events.withColumn("kind", log_kind("message")).cube("level", "camera", "kind").agg(F.count("*").alias("n"))
 
 
 def panorama_stats(events: DataFrame) -> DataFrame:
@@ -36,15 +52,15 @@ def parse_resources(df: DataFrame, line: str = "line") -> DataFrame:
 
 
 def bucketed(df: DataFrame, n: int, key: str | None = None) -> DataFrame:
-    """df with the number of its n-sample bucket, in order of ts and seq."""
-    rows = df.withColumn("__key", F.lit(0) if key is None else F.col(key)).withColumn("__chunk", F.to_date("ts"))
+    """df with the number of its n-sample bucket, in order of ts and seq; streams are cut by the hour."""
+    rows = df.withColumn("__key", F.lit(0) if key is None else F.col(key)).withColumn("__chunk", F.date_trunc("hour", "ts"))
     out = running(rows, "__key", "__chunk", ["ts", "seq"], sums={"place": F.lit(1)})
     return out.withColumn("bucket", F.floor((F.col("place") - 1) / n)).drop("__key", "__chunk", "place")
 
 
-def resource_max(samples: DataFrame, n: int = 11) -> DataFrame:
-    """Largest values of every n samples."""
-    return bucketed(parse_resources(samples), n).groupBy("bucket").agg(*[F.max(c).alias(c) for c in RESOURCES], F.count("*").alias("samples"))
+def resource_max(samples: DataFrame, n: int = 11, key: str | None = None) -> DataFrame:
+    """Largest values of every n samples of each host (key); without a key all samples are one host's."""
+    return bucketed(parse_resources(samples), n, key).groupBy(*([key] if key else []), "bucket").agg(*[F.max(c).alias(c) for c in RESOURCES], F.count("*").alias("samples"))
 
 
 def batched_mean(samples: DataFrame, n: int, key: str = "direction") -> DataFrame:
@@ -73,7 +89,15 @@ def gpu_utilization(df: DataFrame) -> DataFrame:
     return df.withColumns({"memory_ratio": F.round(F.col("used_mb") / F.col("total_mb"), 3), "used_gib": F.round(F.col("used_mb") / 1024, 2)})
 
 
-def fit_batch_size(points: DataFrame, capacity: float, fraction: float = 0.8, group: str = "gpu") -> DataFrame:
-    """Batch size that uses a fraction of the memory, by a line through (batch, memory)."""
-    line = points.groupBy(group).agg(F.regr_slope("memory", "batch").alias("slope"), F.regr_intercept("memory", "batch").alias("intercept"))
-    return line.withColumn("batch", F.floor((F.lit(capacity * fraction) - F.col("intercept")) / F.col("slope")))
+def fit_batch_size(points: DataFrame, capacity: float, fraction: float = 0.8, group: str = "gpu", default: int = 16, most: int = 1024) -> DataFrame:
+    """Batch size that uses a fraction of the memory, by a line through (batch, memory).
+
+    A null memory is a batch that failed: at or beyond the smallest of them the largest good batch below
+    it counts, or else that smallest one. A batch outside 1 to ``most`` gives way to ``default``.
+    """
+    failed = F.min(F.when(F.col("memory").isNull(), F.col("batch")))
+    line = points.groupBy(group).agg(F.regr_slope("memory", "batch").alias("slope"), F.regr_intercept("memory", "batch").alias("intercept"), failed.alias("__fail"))
+    safe = points.join(line.select(group, "__fail"), group).filter("batch < __fail AND memory IS NOT NULL").groupBy(group).agg(F.max("batch").alias("__safe"))
+    fit = F.try_divide(F.lit(capacity * fraction) - F.col("intercept"), F.col("slope")).cast("long")  # towards zero
+    out = line.join(safe, group, "left").withColumn("batch", F.when(fit >= F.col("__fail"), F.coalesce("__safe", "__fail").cast("long")).otherwise(fit))
+    return out.withColumn("batch", F.when(F.col("batch").between(1, most), F.col("batch")).otherwise(default)).drop("__fail", "__safe")

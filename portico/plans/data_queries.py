@@ -11,12 +11,12 @@ from .registry import query
 
 _U = lambda k, seed=0: f"(('0x'||substr(md5('{seed}:'||CAST({k} AS VARCHAR)),1,12))::BIGINT/281474976710656.0)"
 _IMG = """, im AS (SELECT i AS image_no, 'set/images/'||i||'.jpg' AS image_path, CASE WHEN i%13=5 THEN 8 ELSE 640+(i*37)%400 END AS width, 480+(i*53)%500 AS height, i%4<>3 AS labelled
- FROM (SELECT DISTINCT vec_id%40 AS i FROM embeddings) z)"""
+ FROM (SELECT DISTINCT vec_id AS i FROM embeddings) z)"""
 
 
 def _images(spark, sf_dir):
-    """Forty images, some too small, some without labels."""
-    ids = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select((F.col("vec_id") % 40).alias("i")).distinct()
+    """An image per vector, some too small, most without labels."""
+    ids = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("i")).distinct()
     return ids.selectExpr("i as image_no", "concat('set/images/', i, '.jpg') as image_path", "if(i%13=5, 8, 640+(i*37)%400) as width", "480+(i*53)%500 as height", "i%4<>3 as labelled")
 
 
@@ -86,21 +86,21 @@ def weighted_draws(spark, sf_dir):
     return D.weighted_sample(D.image_weights(labels, D.class_weights(labels, 6)), "image_path", labels.count())
 
 
-@query(oracle("LABEL", ", k AS (SELECT * FROM f_label WHERE cls IN (0,2)), m AS (SELECT image_path FROM k GROUP BY image_path HAVING count(*)>=10) SELECT image_path, line_no, 0 AS cls FROM k WHERE image_path IN (SELECT image_path FROM m)"))
+@query(oracle("LABEL", ", k AS (SELECT * FROM f_label WHERE cls IN (0,2)), m AS (SELECT image_path FROM k GROUP BY image_path HAVING count(*)>=8) SELECT image_path, line_no, 0 AS cls FROM k WHERE image_path IN (SELECT image_path FROM m)"))
 def filtered_dataset(spark, sf_dir):
-    return D.filter_dataset(fixture(spark, sf_dir, "LABEL"), 10, [0, 2], single=True).select("image_path", "line_no", "cls")
+    return D.filter_dataset(fixture(spark, sf_dir, "LABEL"), 8, [0, 2], single=True).select("image_path", "line_no", "cls")
 
 
 _RATIO = _IMG + ", a AS (SELECT *, height/width AS ar, width/height AS wh FROM im)"
 
 
-@query(oracle("LABEL", _RATIO + """, b AS (SELECT *, (row_number() OVER (ORDER BY ar, image_path)-1)//6 AS batch FROM a), s AS (SELECT batch, count(*) AS images, min(ar) AS low, max(ar) AS high FROM b GROUP BY batch)
+@query(oracle("LABEL", _RATIO + f""", b AS (SELECT *, (row_number() OVER (ORDER BY ar, {_U('image_path')}, image_path)-1)//6 AS batch FROM a), s AS (SELECT batch, count(*) AS images, min(ar) AS low, max(ar) AS high FROM b GROUP BY batch)
 SELECT batch, images, CAST(ceil((CASE WHEN high<1 THEN high ELSE 1 END)*640/32+0.5)*32 AS INT) AS batch_h, CAST(ceil((CASE WHEN high>=1 AND low>1 THEN 1/low ELSE 1 END)*640/32+0.5)*32 AS INT) AS batch_w FROM s"""))
 def rectangular_batches(spark, sf_dir):
     return D.rect_batches(_images(spark, sf_dir), 6)
 
 
-@query(oracle("LABEL", _RATIO + ", b AS (SELECT *, (row_number() OVER (ORDER BY wh, image_path)-1)//6 AS batch FROM a) SELECT batch, count(*) AS images, round(greatest(max(wh),0.8),6) AS ratio FROM b GROUP BY batch"))
+@query(oracle("LABEL", _RATIO + f", b AS (SELECT *, (row_number() OVER (ORDER BY wh, {_U('image_path')}, image_path)-1)//6 AS batch FROM a) SELECT batch, count(*) AS images, round(greatest(max(wh),0.8),6) AS ratio FROM b GROUP BY batch"))
 def width_aware_batches(spark, sf_dir):
     return _round(D.width_batches(_images(spark, sf_dir), 6, 0.8), "ratio")
 
@@ -147,15 +147,16 @@ def mixed_sources(spark, sf_dir):
     return D.mix_sources([l, l], [0.5, 0.25], "line_no").groupBy("source_no", "image_path").agg(F.count("*").alias("n"))
 
 
-@query(oracle("LOG", " SELECT level, camera, count(*) AS n, count(*) FILTER (message='outage') AS outages FROM f_log GROUP BY CUBE (level, camera)"))
+@query(oracle("LOG", """, k AS (SELECT *, CASE WHEN message LIKE 'panorama %' THEN 'panorama' WHEN message LIKE 'outage%' THEN 'outage' WHEN message LIKE 'archive%' THEN 'archive' WHEN lower(message) LIKE '%error%' THEN 'error' ELSE 'other' END AS kind FROM f_log)
+SELECT level, camera, kind, count(*) AS n FROM k GROUP BY CUBE (level, camera, kind)"""))
 def log_totals(spark, sf_dir):
     return T.log_counts(fixture(spark, sf_dir, "LOG"))
 
 
-@query(oracle("LOG", r"""SELECT ts, level, camera, message FROM f_log"""))
+@query(oracle("LOG", r""" SELECT date_trunc('millisecond', ts) AS ts, level, camera, message FROM f_log"""))
 def parsed_log(spark, sf_dir):
     log = fixture(spark, sf_dir, "LOG")
-    lines = log.select(F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(",123 - "), "camera", F.lit(" - "), "level", F.lit(" - "), "message").alias("line"))
+    lines = log.select(F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss,SSS"), F.lit(" - "), "camera", F.lit(" - "), "level", F.lit(" - "), "message").alias("line"))
     return T.parse_log(lines).select(F.col("ts").cast("timestamp_ntz").alias("ts"), "level", F.col("logger").alias("camera"), "message")
 
 
@@ -168,9 +169,9 @@ def panorama_statistics(spark, sf_dir):
 _RES = ", ".join(f"CAST(regexp_extract(line,'{k}:([0-9.]+)',1) AS DOUBLE) AS {n}" for n, k in T.RESOURCES.items())
 
 
-@query(oracle("RES", f", v AS (SELECT {_RES}, (row_number() OVER (ORDER BY ts, seq)-1)//11 AS bucket FROM f_res) SELECT bucket, max(cpu) AS cpu, max(gpu) AS gpu, max(gpu_memory) AS gpu_memory, max(memory) AS memory, count(*) AS samples FROM v GROUP BY bucket"))
+@query(oracle("RES", f", v AS (SELECT host, {_RES}, (row_number() OVER (PARTITION BY host ORDER BY ts, seq)-1)//11 AS bucket FROM f_res) SELECT host, bucket, max(cpu) AS cpu, max(gpu) AS gpu, max(gpu_memory) AS gpu_memory, max(memory) AS memory, count(*) AS samples FROM v GROUP BY host, bucket"))
 def resource_maxima(spark, sf_dir):
-    return T.resource_max(fixture(spark, sf_dir, "RES"))
+    return T.resource_max(fixture(spark, sf_dir, "RES"), key="host")
 
 
 @query(oracle("LAT", ", b AS (SELECT *, (row_number() OVER (PARTITION BY direction ORDER BY ts, seq)-1)//100 AS bucket FROM f_lat) SELECT direction, bucket, round(avg(seconds),6) AS mean FROM b GROUP BY ALL HAVING count(*)=100"))
@@ -199,7 +200,51 @@ def gpu_usage(spark, sf_dir):
     return T.gpu_utilization(fixture(spark, sf_dir, "LAT").select("seq", (F.col("depth") * 100 + 7).alias("used_mb"), F.lit(8192).alias("total_mb"))).select("seq", "memory_ratio", "used_gib")
 
 
-@query(oracle("LAT", ", p AS (SELECT direction AS gpu, CAST(depth AS DOUBLE) AS batch, depth*0.25+1+seconds AS memory FROM f_lat), l AS (SELECT gpu, regr_slope(memory,batch) AS slope, regr_intercept(memory,batch) AS intercept FROM p GROUP BY gpu) SELECT gpu, round(slope,6) AS slope, round(intercept,6) AS intercept, CAST(floor((24*0.8-intercept)/slope) AS BIGINT) AS batch FROM l"))
+_POINTS = "SELECT direction AS gpu, CAST(depth AS DOUBLE) AS batch, CASE WHEN depth<CASE direction WHEN 'left' THEN 10 WHEN 'right' THEN 0 ELSE 30 END THEN depth*0.25+1+seconds END AS memory FROM"
+
+
+@query(oracle("LAT", f""", p AS ({_POINTS} f_lat), l AS (SELECT gpu, regr_slope(memory,batch) AS slope, regr_intercept(memory,batch) AS intercept, min(batch) FILTER (memory IS NULL) AS bad FROM p GROUP BY gpu),
+g AS (SELECT l.gpu, max(batch) AS safe FROM p JOIN l ON l.gpu=p.gpu WHERE batch<bad AND memory IS NOT NULL GROUP BY l.gpu), b AS (SELECT l.*, safe, CAST(trunc((24*0.8-intercept)/slope) AS BIGINT) AS fit FROM l LEFT JOIN g ON g.gpu=l.gpu),
+c AS (SELECT *, CASE WHEN fit>=bad THEN CAST(coalesce(safe,bad) AS BIGINT) ELSE fit END AS batch FROM b)
+SELECT gpu, round(slope,6) AS slope, round(intercept,6) AS intercept, CASE WHEN batch BETWEEN 1 AND 1024 THEN batch ELSE 16 END AS batch FROM c"""))
 def batch_size_fit(spark, sf_dir):
-    p = fixture(spark, sf_dir, "LAT").select(F.col("direction").alias("gpu"), F.col("depth").cast("double").alias("batch"), (F.col("depth") * 0.25 + 1 + F.col("seconds")).alias("memory"))
-    return _round(T.fit_batch_size(p, 24.0), "slope", "intercept")
+    """Some batches fail: those from 10, 0 or 30 on."""
+    points = spark.sql(f"{_POINTS} {{lat}}", lat=fixture(spark, sf_dir, "LAT"))
+    return _round(T.fit_batch_size(points, 24.0), "slope", "intercept")
+
+
+_SCALES = [(320, 32), (256, 48), (320, 64)]
+_PLAN = D.scale_plan(_SCALES, 6, fixed=False)
+_TURN = sum(x[2] for x in _PLAN)
+_STARTS = [sum(x[2] for x in _PLAN[:i]) for i in range(len(_PLAN))]
+_SCALE_SQL = "CASE " + " ".join(f"WHEN {{p}}%{_TURN}>={start} THEN {i}" for i, start in reversed(list(enumerate(_STARTS)))) + " END"
+_PICK = lambda k, s: f"CASE {s} " + " ".join(f"WHEN {i} THEN {x[k]}" for i, x in enumerate(_PLAN)) + " END"
+
+
+@query(oracle("LABEL", _RATIO + f""", o AS (SELECT wh, row_number() OVER (ORDER BY wh, {_U('image_path')}, image_path)-1 AS p, count(*) OVER () AS n FROM a),
+e AS (SELECT DISTINCT n, (n-1)//{_TURN}*{_TURN} + {_PICK(2, _SCALE_SQL.format(p='(n-1)'))} + CASE {_SCALE_SQL.format(p='(n-1)')} {' '.join(f'WHEN {i} THEN {x}' for i, x in enumerate(_STARTS))} END AS fin FROM o),
+w AS (SELECT p, wh FROM o UNION ALL SELECT p+o.n, wh FROM o JOIN e ON e.n=o.n WHERE p<fin-o.n), s AS (SELECT wh, p//{_TURN}*{len(_PLAN)}+{_SCALE_SQL.format(p='p')} AS batch, {_SCALE_SQL.format(p='p')} AS sc FROM w)
+SELECT batch, {_PICK(0, 'sc')} AS width, {_PICK(1, 'sc')} AS height, count(*) AS samples, round(least(avg(wh),480/{_PICK(1, 'sc')}),6) AS ratio FROM s GROUP BY batch, sc"""))
+def multi_scale_batches(spark, sf_dir):
+    return _round(D.multi_scale_batches(_images(spark, sf_dir), _PLAN), "ratio")
+
+
+@query(oracle("LABEL", """, m AS (SELECT min(xc) AS lx, max(xc) AS hx, min(yc) AS ly, max(yc) AS hy FROM f_label),
+c AS (SELECT line_no, least(greatest(floor((xc-lx)/greatest(hx-lx,1e-12)*19),0),18) AS i, least(greatest(floor((yc-ly)/greatest(hy-ly,1e-12)*19),0),18) AS j FROM f_label, m)
+SELECT line_no, round(ln(count(*) OVER (PARTITION BY i, j)),6) AS density FROM c"""))
+def label_density(spark, sf_dir):
+    return _round(D.log_density(fixture(spark, sf_dir, "LABEL"), "xc", "yc", 20).select("line_no", "density"), "density")
+
+
+_SPREAD = [(f"{k}_{c}", f, c) for c in ("xc", "yc", "w", "h") for k, f in (("mean", "avg"), ("sd", "stddev_pop"))]
+
+
+@query(oracle("LABEL", " SELECT cls, count(*) AS n, " + ", ".join(f"round({f}({c}),6) AS {name}" for name, f, c in _SPREAD) + " FROM f_label GROUP BY cls"))
+def label_spread(spark, sf_dir):
+    return _round(D.label_spread(fixture(spark, sf_dir, "LABEL")), *[name for name, _, _ in _SPREAD])
+
+
+@query(oracle("LABEL", ", n AS (SELECT DISTINCT 'kind'||cls AS label, cls AS place FROM f_label WHERE cls<>3), k AS (SELECT label, row_number() OVER (ORDER BY place)-1 AS k FROM n) SELECT 0 AS id, 'O' AS tag UNION ALL SELECT CAST(2*k+1 AS INT), 'B-'||upper(label) FROM k UNION ALL SELECT CAST(2*k+2 AS INT), 'I-'||upper(label) FROM k"))
+def tag_ids(spark, sf_dir):
+    labels = fixture(spark, sf_dir, "LABEL").select(F.when(F.col("cls") == 3, "Other").otherwise(F.concat(F.lit("kind"), F.col("cls").cast("string"))).alias("label"), F.col("cls").alias("place")).distinct()
+    return D.tag_map(labels)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.scans import running
+from ..operators.telemetry import parse_log
+
 CAMERA = "struct<file_path:string,roi:array<int>,id:int,direction:string,sleep_time:double>"
 ITEM = "struct<transcription:string,points:array<array<double>>,score:string>"
 
@@ -40,22 +43,21 @@ def read_candidates(spark: SparkSession, path: str) -> DataFrame:
     """fragment, rank, candidate of ragged lines."""
     parts = F.transform(F.split("line", ","), lambda x: F.trim(x))
     rows = _lines(spark, path).select(parts.alias("p")).filter(F.size("p") > 1)
-    return rows.select(F.col("p")[0].alias("fragment"), F.posexplode(F.slice("p", 2, 1000)).alias("rank", "candidate")).filter("candidate <> ''")
+    return rows.select(F.col("p")[0].alias("fragment"), F.posexplode(F.slice("p", F.lit(2), F.size("p") - 1)).alias("rank", "candidate")).filter("candidate <> ''")
 
 
 def read_app_log(spark: SparkSession, path: str) -> DataFrame:
     """Records of ``time - name - level - message`` logs; other lines belong to the record before them.
 
-    A log file is read whole as one row of lines: records never span files.
+    Files are split as usual: lines are in order of their block and their place in it, and records are
+    counted in two levels over blocks, so a file of any size is many tasks. Records never span files.
     """
-    shape = r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d),(\d+) - (\S+) - ([A-Z]+) - (.*)$"
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", "\r?\n").alias("ls"))
-    lines = whole.select("file", F.posexplode("ls").alias("no", "line"))
-    part = lambda i: F.nullif(F.regexp_extract("line", shape, i), F.lit(""))
-    w = Window.partitionBy("file").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
-    marked = lines.withColumns({"ts": F.try_to_timestamp(part(1), F.lit("yyyy-MM-dd HH:mm:ss")), "name": part(3), "level": part(4)})
-    record = marked.withColumn("record", F.sum(F.col("level").isNotNull().cast("int")).over(w))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", F.when(F.col("level").isNotNull(), part(5)).otherwise(F.col("line")).alias("t")))), lambda x: F.coalesce(x["t"], F.lit(""))), "\n")
+    raw = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("no"), F.regexp_replace("value", "\r$", "").alias("line")
+    )
+    marked = parse_log(raw).withColumnRenamed("logger", "name").withColumnRenamed("message", "said")
+    record = running(marked, "file", "block", ["no"], sums={"record": F.col("level").isNotNull().cast("int")})
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "no", F.when(F.col("level").isNotNull(), F.col("said")).otherwise(F.col("line")).alias("t")))), lambda x: F.coalesce(x["t"], F.lit(""))), "\n")
     return record.filter("record > 0").groupBy("file", "record").agg(F.min("ts").alias("ts"), F.max("name").alias("name"), F.max("level").alias("level"), F.regexp_replace(text, r"\s+$", "").alias("message"))
 
 
@@ -193,6 +195,9 @@ def index_shards(df: DataFrame, shard: str, order: str) -> DataFrame:
 
 
 def image_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Images by extension with their size and time; contents are not read."""
+    """Images by extension with their size and time, in order of path; contents are not read. No image is an error."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
-    return files.filter(F.lower("path").rlike(r"\.(jpg|jpeg|png|bmp|tif|tiff|rgb|gif|webp)$"))
+    found = files.filter(F.lower("path").rlike(r"\.(jpg|jpeg|png|bmp|tif|tiff|rgb|gif|webp)$"))
+    if found.isEmpty():
+        raise ValueError(f"no images in {path}")
+    return found.orderBy("path")
