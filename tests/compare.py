@@ -1,5 +1,6 @@
 """Compare a query's rows with those of its SQL in DuckDB."""
 
+import decimal
 import math
 import os
 
@@ -16,11 +17,13 @@ def connect(sf_dir):
 def plain(v):
     if v is None or (isinstance(v, float) and math.isnan(v)):
         return None
-    if isinstance(v, bool):
+    if isinstance(v, (bool, int)):
         return v
-    if isinstance(v, (int, float)):
+    if isinstance(v, (float, decimal.Decimal)):
         return round(float(v), 6) + 0.0
-    return str(v)[:19] if hasattr(v, "isoformat") else str(v)
+    if hasattr(v, "isoformat"):  # whole, to the microsecond; a zone is the session's, UTC
+        return v.replace(tzinfo=None).isoformat() if hasattr(v, "tzinfo") else v.isoformat()
+    return str(v)
 
 
 def rows_of(names, rows, cols):

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from portico.sources import readers as R
@@ -28,7 +29,17 @@ def test_gate_files(spark, tmp_path):
 def test_logs(spark, tmp_path):
     log = put(tmp_path, "l.txt", "2024-10-02 12:28:16,100 - LOGGER - INFO - top 36\n\n2024-10-02 12:28:15,100 - LOGGER - ERROR - outage\nTraceback\n  x\n")
     got = [(str(r["ts"]), r["level"], r["message"]) for r in R.read_app_log(spark, log).orderBy("record").collect()]
-    assert got == [("2024-10-02 12:28:16", "INFO", "top 36"), ("2024-10-02 12:28:15", "ERROR", "outage\nTraceback\n  x")]
+    assert got == [("2024-10-02 12:28:16.100000", "INFO", "top 36"), ("2024-10-02 12:28:15.100000", "ERROR", "outage\nTraceback\n  x")]
+    # Many splits of one file, with lines that belong to records of the split before.
+    lines = [f"2024-10-02 12:28:{k % 60:02d},{k % 1000:03d} - L - INFO - line {k}\n  more {k}\n" for k in range(400)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        many = R.read_app_log(spark, put(tmp_path, "many.txt", "".join(lines)))
+        assert many.count() == 400 and [r["message"] for r in many.orderBy("record").collect()] == [f"line {k}\n  more {k}" for k in range(400)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
     assert [r["seconds"] for r in R.read_run_log(spark, put(tmp_path, "r.txt", "took 1.25 s\nnothing\n")).collect()] == [1.25, None]
     gpu = R.read_gpu_csv(spark, put(tmp_path, "g.csv", "t, n, p, d, P0, 4, 3, 60, 23, 50, 8192, 4096\nt, n, p, d, P0, 4, 3, [N/A], 1, 2, 100, 50\n")).collect()
     assert (gpu[0]["ratio"], gpu[0]["used"]) == (0.5, 4096.0) and gpu[1]["temperature"] != gpu[1]["temperature"]
@@ -64,6 +75,11 @@ def test_imports(spark, tmp_path):
     assert [x["filename"] for x in R.read_table_dataset(spark, put(tmp_path, "t.jsonl", table), 5).collect()] == ["2"]
     put(tmp_path, "img/a.JPG", "x"), put(tmp_path, "img/b.txt", "x")
     assert R.image_inventory(spark, str(tmp_path / "img")).count() == 1
+    put(tmp_path, "none/b.txt", "x")
+    with pytest.raises(ValueError, match="no images"):
+        R.image_inventory(spark, str(tmp_path / "none"))
+    wide = "f," + ",".join(f"c{k}" for k in range(3000))
+    assert R.read_candidates(spark, put(tmp_path, "wide.csv", wide)).count() == 3000
 
 
 def test_writers(spark, tmp_path):
