@@ -48,7 +48,7 @@ class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         out = self[word] = xxhash.xxh64_intdigest(word)
         return out
