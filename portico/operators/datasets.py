@@ -201,10 +201,11 @@ def flatten_names(files: DataFrame) -> DataFrame:
 
 def fingerprint(files: DataFrame, buckets: int = 64) -> DataFrame:
     """One hash of a file list (path, size): of hashes of its buckets, so no task sees the whole list."""
-    b = F.pmod(F.xxhash64("path"), F.lit(buckets))
-    parts = files.withColumn("b", b).groupBy("b").agg(F.bit_xor(F.xxhash64("path", "size")).alias("x"), F.sum("size").alias("s"), F.count("*").alias("n"))
-    ordered = F.array_sort(F.collect_list(F.struct("b", "x", "s", "n")))
-    return parts.agg(F.sha2(F.to_json(ordered), 256).alias("fingerprint"), F.sum("n").alias("files"))
+    digest = lambda text, n: F.conv(F.substring(F.md5(text), 1, n), 16, 10).cast("long")
+    rows = files.select(F.pmod(digest(F.col("path"), 8), F.lit(buckets)).alias("b"), digest(F.concat_ws(":", "path", F.col("size").cast("string")), 15).alias("h"), "size")
+    parts = rows.groupBy("b").agg(F.bit_xor("h").alias("x"), F.sum("size").alias("s"), F.count("*").alias("n"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("b", "x", "s", "n"))), lambda p: F.concat_ws(":", *[p[c].cast("string") for c in ("b", "x", "s", "n")]))
+    return parts.agg(F.sha2(F.array_join(ordered, ","), 256).alias("fingerprint"), F.sum("n").alias("files"))
 
 
 def kmeans_anchors(labels: DataFrame, side: float, n: int = 9, least: float = 2.0, seed: int = 0) -> DataFrame:

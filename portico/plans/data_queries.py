@@ -116,7 +116,8 @@ def flat_names(spark, sf_dir):
     return D.flatten_names(fixture(spark, sf_dir, "LABEL").selectExpr("concat('d', line_no%3, '/', regexp_extract(image_path, '([^/]*)$', 1)) as path").distinct())
 
 
-@query()
+@query(oracle("LABEL", _IMG + """, h AS (SELECT ('0x'||substr(md5(image_path),1,8))::BIGINT%64 AS b, ('0x'||substr(md5(image_path||':'||width),1,15))::BIGINT AS h, width FROM im),
+p AS (SELECT b, bit_xor(h) AS x, sum(width) AS s, count(*) AS n FROM h GROUP BY b) SELECT sha256(string_agg(b||':'||x||':'||s||':'||n, ',' ORDER BY b)) AS fingerprint, CAST(sum(n) AS BIGINT) AS files FROM p"""))
 def dataset_fingerprint(spark, sf_dir):
     return D.fingerprint(_images(spark, sf_dir).select(F.col("image_path").alias("path"), F.col("width").alias("size")))
 

@@ -49,7 +49,11 @@ def _candidates(spark, sf_dir):
     return R.owner_candidates(dim.owner_codes(fixture(spark, sf_dir, "READ")))
 
 
-@query()
+@query(oracle("READ", f""", o AS (SELECT DISTINCT substr(true_code,1,4) AS owner FROM f_read WHERE regexp_matches(true_code,'^[A-Z]{{3}}U')),
+pr AS (SELECT DISTINCT owner, owner[CAST(i AS INT)]||owner[CAST(j AS INT)] AS p FROM o, (SELECT unnest(range(1,5)) AS i) a, (SELECT unnest(range(1,5)) AS j) b WHERE i<j),
+le AS (SELECT unnest(string_split('ABCDEFGHIJKLMNOPQRSTUVWXYZ','')) AS c), fr AS (SELECT owner, p AS fragment FROM pr UNION SELECT owner, unnest([c||p, p[1]||c||p[2], p||c]) FROM pr, le),
+sc AS (SELECT owner, fragment, 2*CASE WHEN length(fragment)=2 THEN 2 WHEN fragment IN (substr(owner,2), owner[1]||substr(owner,3), substr(owner,1,2)||owner[4], substr(owner,1,3)) THEN 3 ELSE 2 END/(length(fragment)+4) AS ratio FROM fr),
+k AS (SELECT *, row_number() OVER (PARTITION BY fragment ORDER BY ratio DESC, owner) AS r FROM sc) SELECT fragment, string_agg(owner, ',' ORDER BY r) AS owners FROM k WHERE r<={R.OWNERS} GROUP BY fragment"""))
 def owner_candidates(spark, sf_dir):
     return _candidates(spark, sf_dir).select("fragment", F.array_join("owners", ",").alias("owners"))
 
