@@ -122,12 +122,12 @@ def _shared_keys(n: Column, head: Column, apart: Column) -> Column:
     none = F.array().cast("array<string>")
     less = F.transform(_places(n), lambda i: _without(n, i))
     changed = F.transform(_places(n), lambda i: _named("s", i, _without(n, i)))
-    twice = F.flatten(F.transform(_places(n), lambda i: F.transform(F.filter(_places(n), lambda j: j > i), lambda j: _named("t", i, _named("", j, _without(_without(n, j), i))))))
+    twice = F.flatten(F.transform(less, lambda x, i: F.transform(F.filter(_places(x), lambda j: j > i), lambda j: _named("t", i, _named("", j, _without(x, j))))))
     wild = lambda x: F.transform(_places(x), lambda k: _named("w", k, _without(x, k)))
     plain = lambda kind, xs: F.transform(xs, lambda x: F.concat(F.lit(kind), x))
     itself = F.array(n)
     any_head = (
-        F.when(apart == 0, F.concat(changed, plain("=", itself)))
+        F.when(apart == 0, F.when(F.length(n) > 0, changed).otherwise(itself))
         .when(apart == 1, plain("d", itself)).when(apart == -1, plain("d", less)).otherwise(none)
     )
     same_head = (
@@ -136,7 +136,7 @@ def _shared_keys(n: Column, head: Column, apart: Column) -> Column:
         .when(apart == 2, plain("e", itself)).when(apart == -2, plain("e", F.flatten(F.transform(less, lambda x: F.transform(_places(x), lambda k: _without(x, k))))))
         .otherwise(none)
     )
-    return F.array_distinct(F.concat(plain("*|", any_head), F.transform(same_head, lambda x: F.concat(head, F.lit("|"), x))))
+    return F.concat(plain("*|", any_head), F.transform(same_head, lambda x: F.concat(head, F.lit("|"), x)))
 
 
 def match_against(codes: DataFrame, expected: DataFrame, code: str, reference: str) -> DataFrame:
@@ -162,7 +162,8 @@ def match_against(codes: DataFrame, expected: DataFrame, code: str, reference: s
 
     left, right = parts(codes.select(code).filter(F.col(code).isNotNull()), code), parts(expected.select(reference, "rank"), reference)
     lowest = keys(right, left, -1).groupBy("key").agg(F.min("rank").alias("rank"))
-    best = keys(left, right, 1).select(code, "key").join(lowest, "key").groupBy(code).agg(F.min("rank").alias("rank"))
+    # One row per key, dealt out evenly: hashed, it spares sorting the keys of both sides.
+    best = keys(left, right, 1).select(code, "key").join(lowest.hint("shuffle_hash"), "key").groupBy(code).agg(F.min("rank").alias("rank"))
     # Several expected codes may share a rank: the first that matches.
     named = best.join(expected.select(reference, "rank"), "rank").filter(C.code_matches(code, reference))
     first = named.groupBy(code).agg(F.min(reference).alias("matched"))
