@@ -9,6 +9,7 @@ from .minhash import OP4_SQL, op4_near_duplicates
 from .packing import op2_packed_sequences
 from .pieces import op8_merge_dropout
 from .quality import OP7_SQL, op7_quality_rules
+from .search import OP11_SQL, op11_ranked_search
 from .secrets import OP10_SQL, op10_secret_spans
 from .sharding import OP9_SQL, op9_hash_tree_shards
 from .warc import OP3_SQL, op3_content_archive
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_merge_dropout": op8_merge_dropout,
     "op9_hash_tree_shards": op9_hash_tree_shards,
     "op10_secret_spans": op10_secret_spans,
+    "op11_ranked_search": op11_ranked_search,
 }
 SQL = {
     "op3_content_archive": OP3_SQL,
@@ -33,4 +35,5 @@ SQL = {
     "op7_quality_rules": OP7_SQL,
     "op9_hash_tree_shards": OP9_SQL,
     "op10_secret_spans": OP10_SQL,
+    "op11_ranked_search": OP11_SQL,
 }
