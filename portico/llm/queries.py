@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .audio import op1_telephony_audio
 from .chat import OP5_SQL, op5_chat_masks
+from .divergence import OP13_SQL, op13_source_divergence
 from .licences import OP6_SQL, op6_license_scan
 from .minhash import OP4_SQL, op4_near_duplicates
 from .packing import op2_packed_sequences
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_hash_tree_shards": op9_hash_tree_shards,
     "op10_secret_spans": op10_secret_spans,
     "op11_ranked_search": op11_ranked_search,
+    "op13_source_divergence": op13_source_divergence,
 }
 SQL = {
     "op3_content_archive": OP3_SQL,
@@ -36,4 +38,5 @@ SQL = {
     "op9_hash_tree_shards": OP9_SQL,
     "op10_secret_spans": OP10_SQL,
     "op11_ranked_search": OP11_SQL,
+    "op13_source_divergence": OP13_SQL,
 }
