@@ -13,6 +13,7 @@ from .quality import OP7_SQL, op7_quality_rules
 from .search import OP11_SQL, op11_ranked_search
 from .secrets import OP10_SQL, op10_secret_spans
 from .sharding import OP9_SQL, op9_hash_tree_shards
+from .vectors import OP12_SQL, op12_exact_search
 from .warc import OP3_SQL, op3_content_archive
 
 QUERIES = {
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_hash_tree_shards": op9_hash_tree_shards,
     "op10_secret_spans": op10_secret_spans,
     "op11_ranked_search": op11_ranked_search,
+    "op12_exact_search": op12_exact_search,
     "op13_source_divergence": op13_source_divergence,
 }
 SQL = {
@@ -38,5 +40,6 @@ SQL = {
     "op9_hash_tree_shards": OP9_SQL,
     "op10_secret_spans": OP10_SQL,
     "op11_ranked_search": OP11_SQL,
+    "op12_exact_search": OP12_SQL,
     "op13_source_divergence": OP13_SQL,
 }
