@@ -11,7 +11,9 @@ Each task packs the rows of its own partition: no shuffle, no state but its open
 the ids of the partition's remainders. A partition is a file split, so its text, and with it the ids,
 is bounded by ``spark.sql.files.maxPartitionBytes``; a larger split means fewer partial windows. Ids
 are those of the ``tokenizers`` library for the given vocabulary; they are computed by ``tiktoken``
-over the merges of the same file, which is several times faster and is tested to agree.
+over the merges of the same file, which is several times faster and is tested to agree. Its pattern
+engine gives up on a run of about a million white space characters; such a text is encoded by
+``tokenizers`` itself, so that every text has its ids at any length.
 
 Defined cases: a null text is an empty one and gives the single id 0; repeated rows are packed
 each; an empty table gives no piece; a null id is kept; further columns are ignored. A text is
@@ -57,7 +59,24 @@ def encoder(path: str, added: bool = False):
     special = {x["content"]: x["id"] for x in content["added_tokens"]}
     ranks = {bytes(byte[c] for c in piece): i for piece, i in content["model"]["vocab"].items() if piece not in special}
     coding = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special if added else {})
-    return partial(coding.encode, allowed_special="all") if added else coding.encode_ordinary
+    quick = partial(coding.encode, allowed_special="all", disallowed_special=())  # without added there are none
+    library = None
+
+    def encode(text: str) -> list[int]:
+        nonlocal library
+        try:
+            return quick(text)
+        except ValueError as e:
+            if "stack size" not in str(e):
+                raise
+        if library is None:
+            from tokenizers import Tokenizer
+
+            library = Tokenizer.from_file(path)
+            library.encode_special_tokens = not added
+        return library.encode(text, add_special_tokens=False).ids
+
+    return encode
 
 
 class Packer:

@@ -5,11 +5,13 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from portico.llm import licences, packing, pieces, quality
 
 from .test_operators import docs
+from .test_queries import assert_packed, library_ids
 
 
 def test_frequent_lines_leave_the_text(spark):
@@ -101,3 +103,18 @@ def test_notices_inside_longer_documents(spark):
     rows = [(i, f"{own(i)}\n{body}\n{own(i + 50)}", "s") for i, (_, body) in enumerate(cases)] + [(100 + i, body, "s") for i, (_, body) in enumerate(cases)]
     got = {r["doc_id"]: r["licenses"] for r in licences.scan(docs(spark, rows, extra=True)).collect()}
     assert got == {i + at: name for i, (name, _) in enumerate(cases) for at in (0, 100)}
+
+
+def test_long_white_space_is_packed(spark):
+    """Runs of more than a million blanks, which the quick encoder gives up on, in the operator and in the pipeline's stage."""
+    import corpus_pipeline
+
+    texts = {1: " " * 1_200_000, 2: "\t" * 1_200_000 + "x", 3: "a" + " \n\t" * 400_000 + "<|endoftext|> b", 4: "plain"}
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    want = library_ids(texts)
+    for added in (True, False):
+        encode = packing.encoder(public_tokenizers.path(packing.VOCABULARY), added)
+        assert added is False or all([*encode(t), 0] == want[i] for i, t in texts.items())
+        assert 0 not in encode(texts[3]) or added
+    assert_packed(packing.packed_digests(packing.pack(df, public_tokenizers.path(packing.VOCABULARY), added=True)).collect(), want)
+    assert_packed(dict(corpus_pipeline.STAGES)["packing"](spark, df, "").select("*", F.crc32("ids").alias("ids_crc32")).collect(), want)
