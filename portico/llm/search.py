@@ -44,7 +44,7 @@ from .common import keep, shared_dir, slices, table
 BREAKS = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 TOP = 50
 #: Positions of a key, Bloom bits for a key, documents and cells of a block, queries and bytes of a query block.
-HASHES, BITS, DOCUMENTS, CELLS, ITEMS, ITEM_BYTES = 4, 12, 1024, 1 << 24, 256, 4 << 20
+HASHES, BITS, DOCUMENTS, CELLS, ITEMS, ITEM_BYTES = 4, 12, 1024, 1 << 23, 256, 4 << 20
 #: Query terms whose slices are unpacked at a time.
 TERMS = 2048
 LAST = np.iinfo(np.int64).max  # stands for a null key, in the order of keys
@@ -139,6 +139,7 @@ class Queries:
         self.terms = list(dict.fromkeys(t for q in each for t in q))
         self.place = {t: i for i, t in enumerate(self.terms)}
         self.each = [np.array(sorted(self.place[t] for t in q), np.int64) for q in each]
+        self.hashed = _hashes(self.terms)
 
     def weigh(self, documents: int, total: int, frequency: dict[bytes, int]) -> None:
         self.documents, self.total = documents, total
@@ -159,9 +160,9 @@ class Queries:
         norms = np.array([self.norm(n) for n in lengths.tolist()], np.int64)
         most = np.array([(1_000_000_000 << j) // ((1000 << j) + 20 * norms) for j in range(top + 1)])
         gain = np.diff(most, axis=0, prepend=0).astype(np.float32)  # below 10^6, so exact
-        out, hashed = np.zeros((len(self.each), size)), _hashes(self.terms)
+        out = np.zeros((len(self.each), size))
         for low in range(0, len(self.terms), TERMS):
-            part = hashed[low : low + TERMS]
+            part = self.hashed[low : low + TERMS]
             alive, share = np.arange(len(part)), np.zeros((len(part), size), np.float32)
             marks = np.full((len(part), bits.shape[1]), 255, np.uint8)
             for j in range(top + 1):
