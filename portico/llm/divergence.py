@@ -11,7 +11,8 @@ gives one row for each term and group, so that few rows are shuffled, once, by l
 share of a term in a group of c occurrences among N of kept terms is p = 1 + 10^9 (c + 5) div (N + 5V).
 Part ``term``: the ``top`` terms of a group whose share exceeds that of the language. Part ``pair``: the
 sum of the differences of shares for each two sources of a language; blocks of terms are tables of
-source by term, with no more than ``CELLS`` cells, and each block adds to all pairs.
+source by term, of about ``CELLS`` cells (more if there are many sources), and each block adds to all
+pairs.
 
 Defined cases: null text, lang or source is ''; a group without terms has N = 0; a language without
 kept terms gives pairs of value 0 and no terms; equal values are ranked by item in order of its bytes;
@@ -35,7 +36,7 @@ from .common import keep, shared_dir, slices, table
 BREAKS = r"\x00-\x40\x5B-\x60\x7B-\x7F"
 LEAST, TOP, SCALE, PRIOR = 30, 50, 1_000_000_000, 5
 #: Bytes of text handled at a time, rows of runs that a task gathers, cells of a block of sources and terms, sources of a tile.
-BYTES, ROWS, CELLS, TILE = 8 << 20, 2 << 20, 1 << 22, 128
+BYTES, ROWS, CELLS, TILE = 8 << 20, 2 << 20, 1 << 16, 128
 
 _CODES = np.arange(256, dtype=np.uint8)
 _LETTER = ((_CODES >= 65) & (_CODES <= 90)) | ((_CODES >= 97) & (_CODES <= 122)) | (_CODES >= 128)
@@ -176,7 +177,8 @@ def share(n: Column, total: Column, kinds: Column) -> Column:
 def _pairs(kept: DataFrame, groups: DataFrame) -> DataFrame:
     """lang, a, b (a before b) and the sum of the differences of their shares, by blocks of terms."""
     per = groups.groupBy("lang").agg(F.count("*").alias("sources"), F.max("kinds").alias("kinds"))
-    blocks = per.select("lang", F.greatest(F.lit(1), F.ceil(F.col("sources") * F.col("kinds") / CELLS)).cast("int").alias("blocks"))
+    terms = F.greatest(F.lit(1.0), CELLS / F.col("sources"), F.col("sources") / 8)  # many sources: fewer sums for each pair
+    blocks = per.select("lang", F.greatest(F.lit(1), F.ceil(F.col("kinds") / terms)).cast("int").alias("blocks"))
     sized = groups.join(blocks, "lang")
     alone = F.when(F.col("kinds") > 0, share(F.lit(0), F.col("total"), F.col("kinds"))).otherwise(F.lit(0))
     bare = sized.select("lang", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "source", F.lit(None).cast("string").alias("term"), alone.alias("p"))

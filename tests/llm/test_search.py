@@ -167,7 +167,7 @@ def test_audit_like_a_plain_version(spark, monkeypatch):
     rows += [(None, "en", "s1"), ("", "fr", "only"), ("aba", "it", "x"), (None, "it", "y"), ("z" * 200000 + " aba", "en", "s2"), *[("aba abb", "en", "copies")] * 60]
     df = spark.createDataFrame(rows, "text string, lang string, source string").withColumns({"term": F.lit(1), "n": F.lit("x"), "p": F.lit(2)})
     want = plain_audit(rows, 10, 7)
-    for cells, size, held in ((1 << 22, 8 << 20, 2 << 20), (64, 500, 20)):
+    for cells, size, held in ((1 << 16, 8 << 20, 2 << 20), (64, 500, 20)):
         monkeypatch.setattr(D, "CELLS", cells)
         monkeypatch.setattr(D, "BYTES", size)
         monkeypatch.setattr(D, "ROWS", held)
