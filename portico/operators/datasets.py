@@ -5,12 +5,13 @@ Labels are rows of image_path, cls, xc, yc, w, h and line_no.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scans import running
+from .scans import cut, ranged, running
 
 BOX = ["cls", "xc", "yc", "w", "h"]
 
@@ -35,6 +36,58 @@ def verify_labels(images: DataFrame, labels: DataFrame) -> DataFrame:
     return out.select("image_path", status.alias("status"), F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce(F.col("rows") - F.col("distinct_rows"), F.lit(0)).alias("duplicates"))
 
 
+#: Columns of a label line with landmarks: class, box, and four points.
+LANDMARKS = [*BOX, *(f"{c}{i}" for i in range(1, 5) for c in "xy")]
+
+
+def verify_landmarks(images: DataFrame, labels: DataFrame) -> DataFrame:
+    """Per image its status, as ``verify_labels``, by the rules for label lines with landmarks.
+
+    labels: image_path and ``fields``, the numbers of a line. Each line has 13 of them, none below -1 (a
+    point that is not there) and, but for the class, none above 1; equal lines make the file corrupt. A
+    line that holds no numbers (null, or a null among them) makes it corrupt too.
+    """
+    f = F.col("fields")
+    wrong = f.isNull() | (F.size(f) != len(LANDMARKS)) | F.exists(f, lambda x: x.isNull() | F.isnan(x) | (x < -1)) | F.exists(F.slice(f, 2, len(LANDMARKS)), lambda x: x > 1)
+    # As single precision, in which lines are compared.
+    per = labels.groupBy("image_path").agg(F.count("*").alias("rows"), F.max(F.coalesce(wrong, F.lit(True)).cast("int")).alias("bad"), F.count_distinct(F.transform(f, lambda x: x.cast("float"))).alias("__u"))
+    out = images.join(per, "image_path", "left")
+    corrupt = (F.col("width") < 10) | (F.col("height") < 10) | (F.coalesce("bad", F.lit(0)) == 1) | (F.col("rows") > F.col("__u"))
+    status = F.when(corrupt, "corrupt").when(F.col("rows") > 0, "found").when(F.col("labelled"), "empty").otherwise("missing")
+    return out.select("image_path", status.alias("status"), F.coalesce("rows", F.lit(0)).alias("rows"))
+
+
+def bucket_of(path: Column | str, buckets: int = 64) -> Column:
+    return F.pmod(F.conv(F.substring(F.md5(path), 1, 8), 16, 10).cast("long"), F.lit(buckets))
+
+
+def bucket_prints(files: DataFrame, buckets: int = 64) -> DataFrame:
+    """b, print of each bucket of a file list (image_path, and any columns that tell a change, such as sizes and times)."""
+    rest = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in sorted(files.columns) if c != "image_path"]
+    text = F.concat_ws("\x01", "image_path", *rest)
+    h = lambda start: F.conv(F.substring(F.md5(text), start, 15), 16, 10).cast("long")
+    parts = files.groupBy(bucket_of("image_path", buckets).alias("b")).agg(F.bit_xor(h(1)).alias("x"), F.sum(h(16).cast("decimal(38,0)")).alias("s"), F.count("*").alias("n"))
+    return parts.select("b", F.concat_ws(":", "x", "s", "n").alias("print"))
+
+
+def verify_changed(images: DataFrame, labels: DataFrame, before: tuple[DataFrame, DataFrame] | None = None, buckets: int = 64, verify=verify_labels) -> tuple[DataFrame, DataFrame]:
+    """What ``verify`` says of all images, and the prints of their buckets: together the ``before`` of the next call.
+
+    images tell of a change by their columns (sizes and times of image and label file). Only images of
+    buckets whose print is new or another one, and only their labels, are verified; the rest is taken from
+    before, whose buckets that are gone are left out.
+    """
+    prints = cut(bucket_prints(images, buckets))
+    if before is None:
+        return verify(images, labels), prints
+    verified, old = before
+    changed = prints.join(old.withColumnRenamed("print", "__old"), "b", "full_outer")
+    dirty = F.broadcast(changed.filter(~F.col("print").eqNullSafe(F.col("__old"))).select("b"))  # no more rows than ``buckets``
+    of = lambda df: df.withColumn("b", bucket_of("image_path", buckets))
+    again = verify(of(images).join(dirty, "b", "left_semi").drop("b"), of(labels).join(dirty, "b", "left_semi").drop("b"))
+    return of(verified).join(dirty, "b", "left_anti").drop("b").unionByName(again), prints
+
+
 def scan_summary(verified: DataFrame) -> DataFrame:
     n = lambda s: F.sum((F.col("status") == s).cast("int")).alias(s)
     return verified.agg(n("found"), n("missing"), n("empty"), n("corrupt"), F.count("*").alias("total"), F.sum("duplicates").alias("duplicates"))
@@ -76,21 +129,23 @@ def autosplit(images: DataFrame, weights: tuple[float, float, float] = (0.9, 0.1
     return images.withColumn("split", F.when(u < weights[0], "train").when(u < weights[0] + weights[1], "val").otherwise("test"))
 
 
-def weighted_sample(weights: DataFrame, key: str, k: int, seed: int = 0, bins: int = 256) -> DataFrame:
+def weighted_sample(weights: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
     """k draws with replacement in proportion to weight: draw, key.
 
-    Cumulative weights go in two levels over hashed slices; draws meet their interval by slice first.
+    Keys stand in an order by hash, cut in ranges. Draws are put into the order of the cumulative
+    weights; the last interval that begins at or before a draw is the one it falls into.
     """
-    w = weights.select(F.col(key).alias("__key"), "weight").withColumn("slice", F.floor(uniform("__key", seed) * bins)).withColumn("one", F.lit(0))
-    cum = running(w, "one", "slice", ["__key"], sums={"upto": F.col("weight")})
-    slices = cum.groupBy("slice").agg(F.max("upto").alias("high"))
-    ends = slices.agg(F.array_sort(F.collect_list(F.struct("high", "slice"))).alias("ends"))  # no more slices than ``bins``
-    draws = weights.sparkSession.range(k).select(F.col("id").alias("draw"), uniform("id", seed + 1).alias("u")).crossJoin(F.broadcast(ends))  # one row
-    drawn = draws.withColumn("x", F.col("u") * F.element_at("ends", -1)["high"])
-    # The place of a draw among the ends of the slices is the number of ends at or below it.
-    placed = drawn.select("draw", "x", F.get("ends", F.size(F.filter("ends", lambda e: e["high"] <= F.col("x"))))["slice"].alias("slice"))
-    hit = placed.join(cum, "slice").filter((F.col("x") >= F.col("upto") - F.col("weight")) & (F.col("x") < F.col("upto")))
-    return hit.select("draw", F.col("__key").alias(key))
+    w = weights.select(F.col(key).alias("__key"), "weight").withColumn("place", F.floor(uniform("__key", seed) * 256)).withColumn("one", F.lit(0))
+    cum = running(ranged(w, ["place", "__key"], "chunk"), "one", "chunk", ["place", "__key"], sums={"upto": F.col("weight")})
+    cum = cut(cum.select("__key", (F.col("upto") - F.col("weight")).alias("x"), "upto"))
+    total = cum.agg(F.max("upto").alias("total"))
+    draws = weights.sparkSession.range(k).select(F.col("id").alias("draw"), uniform("id", seed + 1).alias("u")).crossJoin(F.broadcast(total))  # one row
+    begun = cum.select(F.lit(None).cast("long").alias("draw"), "x", F.struct("x", "upto", "__key").alias("begun"))
+    both = begun.unionByName(draws.select("draw", (F.col("u") * F.col("total")).alias("x"), F.lit(None).cast(begun.schema["begun"].dataType).alias("begun")))
+    order = ["x", "mark", "tie"]
+    both = both.withColumns({"one": F.lit(0), "mark": F.col("draw").isNotNull().cast("int"), "tie": F.coalesce("draw", F.hash("begun.__key").cast("long"))})
+    placed = running(ranged(both, order, "chunk"), "one", "chunk", order, maxima={"last": F.col("begun")})
+    return placed.filter("draw IS NOT NULL AND x < last.upto").select("draw", F.col("last.__key").alias(key))
 
 
 def filter_dataset(labels: DataFrame, least: int = 0, classes: list[int] | None = None, single: bool = False) -> DataFrame:
@@ -101,20 +156,14 @@ def filter_dataset(labels: DataFrame, least: int = 0, classes: list[int] | None
     return out.withColumn("cls", F.lit(0)) if single else out
 
 
-def _ordered(images: DataFrame, value: str, slices: int = 1000) -> DataFrame:
+def _ordered(images: DataFrame, value: str) -> DataFrame:
     """images with ``k``, their place from 1 in the order of value, hash of the path and path.
 
-    The order is cut at quantiles of the value; a value that fills several of them (one camera's
-    pictures share a ratio) is cut further by the hash. Places come from counts of the cuts.
+    The whole order is cut in ranges, so equal values (one camera's pictures share a ratio) are spread too.
     """
-    cuts = images.agg(F.percentile_approx(value, [i / slices for i in range(1, slices)]).alias("q")).first()["q"] or []  # as many numbers as slices
-    bounds = F.array(*[F.lit(x) for x in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
-    parts = F.create_map(*[F.lit(x) for v in sorted(set(cuts)) if cuts.count(v) > 1 for x in (v, cuts.count(v))]) if len(set(cuts)) < len(cuts) else None
-    below, v = F.size(F.filter(bounds, lambda q: q < F.col(value))), F.col(value)
-    many = F.coalesce(F.try_element_at(parts, v), F.lit(1)) if parts is not None else F.lit(1)
-    placed = images.withColumn("__u", uniform("image_path")).withColumn("__one", F.lit(0))
-    chunk = (below * 2 + F.array_contains(bounds, v).cast("int")).cast("long") * slices + F.floor(F.col("__u") * many)
-    return running(placed.withColumn("__slice", chunk), "__one", "__slice", [value, "__u", "image_path"], sums={"k": F.lit(1)}).drop("__u", "__one", "__slice")
+    order = [value, "__u", "image_path"]
+    placed = ranged(images.withColumn("__u", uniform("image_path")), order, "__slice").withColumn("__one", F.lit(0))
+    return running(placed, "__one", "__slice", order, sums={"k": F.lit(1)}).drop("__u", "__one", "__slice")
 
 
 def rect_batches(images: DataFrame, n: int, side: int = 640, stride: int = 32, pad: float = 0.5) -> DataFrame:
@@ -168,6 +217,40 @@ def multi_scale_batches(images: DataFrame, plan: list[tuple[int, int, int]], wid
     return per.select("batch", "width", "height", "samples", F.least(F.col("mean"), F.lit(widest) / F.col("height")).alias("ratio"))
 
 
+def replica_batches(images: DataFrame, plan: list[tuple[int, int, int]], replicas: int = 1, seed: int = 0, shuffled: bool = True) -> DataFrame:
+    """replica, batch, position, width, height, place, image_path: what each replica sees, batch by batch, in one epoch.
+
+    Samples (shuffled by a hash of seed and path, else in order of path) are dealt to replicas in turn, as
+    many to each: the last ones to come are filled up with the first. A replica's samples fill the scales of
+    plan in turn; its last batch is filled up with its first samples. Its batches are shuffled by a hash
+    of seed and replica: ``batch`` counts in that order, ``place`` in the plan's.
+    """
+    turn, starts = sum(x[2] for x in plan), [sum(x[2] for x in plan[:i]) for i in range(len(plan))]
+    order = ["__u", "image_path"]
+    rows = images.select("image_path").withColumns({"__u": uniform("image_path", seed) if shuffled else F.lit(0.0), "__one": F.lit(0)})
+    placed = running(ranged(rows, order, "__slice"), "__one", "__slice", order, sums={"k": F.lit(1)}).select("image_path", (F.col("k") - 1).alias("k"))
+    total = placed.agg(F.count("*").alias("all"), F.ceil(F.count("*") / replicas).alias("own"))
+    size, start = F.array(*[F.lit(x[2]) for x in plan]), F.array(*map(F.lit, starts))
+    scale_of = lambda p: F.size(F.filter(start, lambda s: s <= p % turn)) - 1
+    rows = placed.crossJoin(F.broadcast(total))  # one row
+    seen = rows.select("image_path", "own", F.explode(F.sequence(F.col("k"), F.greatest(F.col("k"), F.col("own") * replicas - 1), F.col("all"))).alias("p"))
+    seen = seen.select("image_path", "own", (F.col("p") % replicas).cast("int").alias("replica"), F.floor(F.col("p") / replicas).alias("at"))
+    last = F.col("own") - 1
+    end = F.floor(last / turn) * turn + F.get(start, scale_of(last)) + F.get(size, scale_of(last))
+    # The last batch may need a replica's samples several times over.
+    seen = seen.select("image_path", "replica", F.explode(F.sequence(F.col("at"), F.greatest(F.col("at"), end - 1), F.col("own"))).alias("at"))
+    s = scale_of(F.col("at"))
+    seen = seen.withColumns({"__s": s, "place": (F.floor(F.col("at") / turn) * len(plan) + s).cast("long"), "position": (F.col("at") % turn - F.get(start, s)).cast("int")})
+    of = lambda i: F.get(F.array(*[F.lit(x[i]) for x in plan]), F.col("__s"))
+    seen = seen.select("replica", "place", "position", of(0).alias("width"), of(1).alias("height"), "image_path")
+    if not shuffled:
+        return seen.withColumn("batch", F.col("place"))
+    batches = seen.select("replica", "place").distinct().withColumn("__u", uniform(F.concat_ws("/", F.col("replica").cast("string"), F.col("place").cast("string")), seed + 1))
+    by = ["replica", "__u", "place"]
+    numbered = running(ranged(batches, by, "__slice"), "replica", "__slice", by[1:], sums={"n": F.lit(1)})
+    return seen.join(numbered.select("replica", "place", (F.col("n") - 1).alias("batch")), ["replica", "place"])
+
+
 def log_density(labels: DataFrame, x: str, y: str, n: int = 100) -> DataFrame:
     """labels with ``density``, the logarithm of the labels in their cell of an even grid of n edges each way."""
     ends = labels.agg(*[f(c).alias(f"__{k}_{c}") for c in (x, y) for k, f in (("low", F.min), ("high", F.max))])
@@ -208,15 +291,79 @@ def fingerprint(files: DataFrame, buckets: int = 64) -> DataFrame:
     return parts.agg(F.sha2(F.array_join(ordered, ","), 256).alias("fingerprint"), F.sum("n").alias("files"))
 
 
+def anchor_sizes(labels: DataFrame, side: float, least: float = 2.0) -> DataFrame:
+    """w, h in pixels of the labels that are ``least`` or more either way."""
+    return labels.select((F.col("w") * side).alias("w"), (F.col("h") * side).alias("h")).filter((F.col("w") >= least) | (F.col("h") >= least))
+
+
 def kmeans_anchors(labels: DataFrame, side: float, n: int = 9, least: float = 2.0, seed: int = 0) -> DataFrame:
-    """n anchor sizes by k-means over whitened label sizes, by area."""
-    sizes = labels.select((F.col("w") * side).alias("w"), (F.col("h") * side).alias("h")).filter((F.col("w") >= least) & (F.col("h") >= least))
-    sd = sizes.agg(F.stddev_pop("w").alias("sw"), F.stddev_pop("h").alias("sh")).first()
-    sw, sh = sd["sw"] or 1.0, sd["sh"] or 1.0
-    data = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(sizes.select((F.col("w") / sw).alias("a"), (F.col("h") / sh).alias("b")))
-    centres = KMeans(k=n, seed=seed).fit(data).clusterCenters()
-    rows = sorted(((float(a * sw), float(b * sh)) for a, b in centres), key=lambda x: x[0] * x[1])
-    return labels.sparkSession.createDataFrame([(i, w, h) for i, (w, h) in enumerate(rows)], "anchor int, w double, h double")
+    """anchor, w, h: n anchor sizes by k-means over whitened label sizes, by area.
+
+    With fewer distinct sizes than anchors, or a size that is the same for all, they are drawn at random
+    from seed, up to ``side``.
+    """
+    sizes = anchor_sizes(labels, side, least)
+    s = sizes.agg(F.stddev_pop("w").alias("sw"), F.stddev_pop("h").alias("sh"), F.count_distinct("w", "h").alias("n")).first()
+    if not s["sw"] or not s["sh"] or s["n"] < n:
+        drawn = np.sort(np.random.default_rng(seed).random(2 * n)).reshape(n, 2) * side
+        return _anchors(labels.sparkSession, drawn)
+    data = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(sizes.select((F.col("w") / s["sw"]).alias("a"), (F.col("h") / s["sh"]).alias("b")))
+    centres = np.array(KMeans(k=n, seed=seed).fit(data).clusterCenters())
+    return _anchors(labels.sparkSession, centres * np.array([s["sw"], s["sh"]]))
+
+
+def _anchors(spark: SparkSession, sizes: np.ndarray) -> DataFrame:
+    rows = sorted(((float(w), float(h)) for w, h in sizes), key=lambda x: (x[0] * x[1], x))
+    return spark.createDataFrame([(i, w, h) for i, (w, h) in enumerate(rows)], "anchor int, w double, h double")
+
+
+def _fit_of(w: Column, h: Column, a: Column, b: Column) -> Column:
+    """How far a size is from an anchor: the worse of its two ratios, 1 at best. A side of 0 fits nothing."""
+    return F.when((w > 0) & (h > 0), F.least(w / a, a / w, h / b, b / h)).otherwise(0.0)
+
+
+def anchor_scores(sizes: DataFrame, candidates: list[list[tuple[float, float]]], limit: float = 4.0) -> list[float]:
+    """The fitness of each set of anchors: the mean over sizes (w, h, and n how often) of the best fit, fits of 1/limit or less counting 0.
+
+    All sets, of as many anchors each, are data in one row and are scored in one pass over the sizes, by
+    code that stays the same for other sets. The sums are decimals, so their order is of no account.
+    """
+    one = sizes.sparkSession.createDataFrame([([(i, [float(x[0]) for x in c], [float(x[1]) for x in c]) for i, c in enumerate(candidates)],)], "cs array<struct<i: int, a: array<double>, b: array<double>>>")
+    rows = sizes.crossJoin(F.broadcast(one)).select("w", "h", "n", F.explode("cs").alias("c"))  # one row
+    fits = [_fit_of(F.col("w"), F.col("h"), F.get(F.col("c.a"), F.lit(k)), F.get(F.col("c.b"), F.lit(k))) for k in range(len(candidates[0]))]
+    rows = rows.select(F.col("c.i").alias("i"), "n", F.greatest(F.lit(0.0), *fits).alias("best"))
+    value = F.when(F.col("best") > 1 / limit, F.col("best")).otherwise(0.0).cast("decimal(18,15)")
+    found = {r["i"]: float(r["s"] / r["n"]) for r in rows.groupBy("i").agg(F.sum(value * F.col("n")).alias("s"), F.sum("n").alias("n")).collect()}  # one row a set
+    return [found.get(i, 0.0) for i in range(len(candidates))]
+
+
+#: How likely a side is changed, how much, and between which factors.
+MUTATION, SIGMA, FACTORS = 0.9, 0.1, (0.3, 3.0)
+
+
+def evolve_anchors(labels: DataFrame, anchors: DataFrame, side: float, generations: int = 50, mutants: int = 20, limit: float = 4.0, least: float = 2.0, seed: int = 0) -> tuple[DataFrame, list[float]]:
+    """Anchors refined by seeded mutation, and the fitness after each generation.
+
+    A generation's mutants are scored together; the fittest one is the parent of the next if it is fitter
+    than its parent. Equal sizes are counted once, before the first generation.
+    """
+    rng, spark = np.random.default_rng(seed), labels.sparkSession
+    sizes = cut(anchor_sizes(labels, side, least).groupBy("w", "h").agg(F.count("*").alias("n")))
+    parent = np.array([(r["w"], r["h"]) for r in anchors.orderBy("anchor").collect()])  # a handful of anchors
+    fitness = anchor_scores(sizes, [parent.tolist()], limit)
+    for _ in range(generations):
+        children = []
+        while len(children) < mutants:
+            changed = rng.random(parent.shape) < MUTATION
+            factor = np.clip(changed * rng.random() * rng.standard_normal(parent.shape) * SIGMA + 1, *FACTORS)
+            if (factor != 1).any():
+                children.append(np.maximum(parent * factor, 2.0))
+        scores = anchor_scores(sizes, [c.tolist() for c in children], limit)
+        best = int(np.argmax(scores))
+        if scores[best] > fitness[-1]:
+            parent = children[best]
+        fitness.append(max(scores[best], fitness[-1]))
+    return _anchors(spark, parent), fitness
 
 
 def anchor_fit(labels: DataFrame, anchors: list[tuple[float, float]], side: float, limit: float = 4.0) -> DataFrame:

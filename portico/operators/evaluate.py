@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.codes import to_half_width
 from .boxes import iou, overlap_join
 from .quads import quad_overlaps
-from .scans import cut, running
+from .scans import Rounds, ranged, running
 
 
 def candidate_matches(truth: DataFrame, found: DataFrame, least: float = 0.45) -> DataFrame:
@@ -28,8 +28,8 @@ def greedy_match(pairs: DataFrame, rounds: int | None = None) -> DataFrame:
     settles the best open pair of every image at least, so rounds end; with a bound on ``rounds`` a
     match that needs more fails.
     """
-    done = []
-    left = cut(pairs)
+    done, tables = [], Rounds(pairs.sparkSession)
+    (left,) = tables.put(left=pairs)
     while not left.isEmpty():
         if rounds is not None and len(done) >= rounds:
             raise RuntimeError(f"greedy_match: pairs are left after {rounds} rounds")
@@ -42,14 +42,15 @@ def greedy_match(pairs: DataFrame, rounds: int | None = None) -> DataFrame:
                 f"__n_{own}": F.count("*").over(level), f"__set_{own}": F.bit_xor(F.xxhash64(other)).over(level),
             })
             tied += [f"__n_{own}", f"__set_{own}"]
-        ranked = cut(ranked.filter((F.col("iou") == F.col("__top_gt_id")) & (F.col("iou") == F.col("__top_det_id"))))
+        (ranked,) = tables.put(ranked=ranked.filter((F.col("iou") == F.col("__top_gt_id")) & (F.col("iou") == F.col("__top_det_id"))))
         # Tied boxes with the same partners on both sides; complete if all their best pairs are here.
         groups = ranked.groupBy("image_id", "iou", *tied).agg(F.count("*").alias("__pairs")).filter("__pairs = __n_gt_id * __n_det_id AND __pairs > 1")
         both = ranked.join(groups, ["image_id", "iou", *tied], "left")
         best = F.expr("__rank_gt_id = __rank_det_id AND (__rank_gt_id = 1 OR __pairs IS NOT NULL)")
-        taken = cut(both.filter(best).select(*pairs.columns))
+        (taken,) = tables.put(**{f"taken{len(done)}": both.filter(best).select(*pairs.columns)})
         done.append(taken)
-        left = cut(left.join(taken.select("image_id", "gt_id"), ["image_id", "gt_id"], "left_anti").join(taken.select("image_id", "det_id"), ["image_id", "det_id"], "left_anti"))
+        (left,) = tables.put(left=left.join(taken.select("image_id", "gt_id"), ["image_id", "gt_id"], "left_anti").join(taken.select("image_id", "det_id"), ["image_id", "det_id"], "left_anti"))
+    tables.drop("left", "ranked")
     while len(done) > 1:
         done = [a.unionByName(b) for a, b in zip(done[::2], done[1::2], strict=False)] + done[len(done) // 2 * 2 :]
     return done[0] if done else pairs.limit(0)
@@ -71,14 +72,19 @@ def normalize_confusion(counts: DataFrame, least: float = 0.005) -> DataFrame:
     return counts.withColumn("share", F.when(share >= least, share))
 
 
+def _ranked(flags: DataFrame) -> DataFrame:
+    """flags with ``down``, by which they are in order, and ``slice``, their range of class and confidence."""
+    return ranged(flags.withColumn("down", -F.col("conf")), ["cls", "down", "seq"], "slice")
+
+
 def average_precision(flags: DataFrame, totals: DataFrame) -> DataFrame:
     """Per class recall and AP: the area, by trapezoids at 101 recall points, under the precision envelope.
 
     flags: cls, conf, seq, tp (0 or 1); totals: cls, n of ground truth boxes. Running counts go in two
-    levels over slices of confidence; after that each class is reduced to the first and last point of
+    levels over ranges of class and confidence; after that each class is reduced to the first and last point of
     each recall hundredth, so no task holds a whole class.
     """
-    ranked = flags.withColumns({"down": -F.col("conf"), "slice": F.floor((1 - F.col("conf")) * 1000)})
+    ranked = _ranked(flags)
     curve = running(ranked, "cls", "slice", ["down", "seq"], sums={"tps": F.col("tp"), "k": F.lit(1)}).join(totals, "cls")
     curve = curve.withColumns({"recall": F.col("tps") / F.col("n"), "precision": F.col("tps") / F.col("k"), "up": -F.col("k"), "back": -F.col("slice")})
     env = running(curve, "cls", "back", ["up"], maxima={"env": F.col("precision")})
@@ -130,7 +136,7 @@ def best_f1(flags: DataFrame, totals: DataFrame, width: float = 0.1, eps: float
     ``average_precision``; a class keeps the points next to each grid confidence only.
     """
     top = GRID - 1
-    ranked = flags.withColumns({"down": -F.col("conf"), "slice": F.floor((1 - F.col("conf")) * top)})
+    ranked = _ranked(flags)
     curve = running(ranked, "cls", "slice", ["down", "seq"], sums={"tps": F.col("tp"), "k": F.lit(1)}).join(totals, "cls")
     curve = curve.select("cls", "conf", "k", (F.col("tps") / (F.col("n") + eps)).alias("r"), (F.col("tps") / F.col("k")).alias("p"))
     # Between two grid confidences the highest and the lowest point matter; one on the grid is both.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scans import cut, previous, running, runs
+from .scans import Rounds, cut, previous, running, runs
 
 ORDER = ["ts", "frame_no"]
 
@@ -183,24 +183,57 @@ def boundaries_side(obs: DataFrame, enter: int = 10, idle: int = 3) -> DataFrame
     return per.select("direction", "stretch", F.explode(t).alias("t")).withColumn("n", F.row_number().over(order).cast("long")).select("direction", "n", "t")
 
 
-def suppress_adjacent(times: DataFrame, key: str, time: str = "t", least: float = 50.0) -> DataFrame:
+def _reached(rows: DataFrame, key: str, least: float) -> DataFrame:
+    """key, t of the rows (key, cluster, t) that are kept: the first of a cluster, and from each the first one more than least behind it.
+
+    Every row's successor is found by one scan over rows and limits. Then successors are doubled: after r
+    rounds all rows up to 2**r steps from a cluster's first are reached, so rounds are logarithmic.
+    """
+    by, rounds = F.floor(F.col("__at") / (least * 1000)), Rounds(rows.sparkSession)
+    own = running(rows.withColumn("__at", F.col("t")).withColumn("__c", by), key, "__c", ["t"], sums={"n": F.lit(1)}).select(key, "cluster", "t", "n")
+    (own,) = rounds.put(own=own)
+    points = own.select(key, "cluster", "t", "n", F.col("t").alias("__at"), F.lit(0).alias("__mark")).unionByName(own.select(key, "cluster", "t", "n", (F.col("t") + least).alias("__at"), F.lit(1).alias("__mark")))
+    upto = running(points.withColumn("__c", by), key, "__c", ["__at", "__mark", "n"], sums={"upto": 1 - F.col("__mark")}).filter("__mark = 1")
+    # The sum may be rounded the other way than the difference that counts: the rows next to the limit are looked at.
+    near = upto.select(key, "cluster", "t", "n", F.explode(F.expr("sequence(upto, upto + 2)")).alias("to"))
+    after = own.select(key, F.col("cluster").alias("__cluster"), F.col("t").alias("__t"), F.col("n").alias("to"))
+    jump = near.join(after, [key, "to"]).filter((F.col("__t") - F.col("t") > least) & (F.col("__cluster") == F.col("cluster"))).groupBy(key, "n").agg(F.min("to").alias("to"))
+    first = own.groupBy(key, "cluster").agg(F.min("n").alias("n")).select(key, "n")
+    jump, kept = rounds.put(jump=jump, kept=first)
+    while True:
+        new = kept.join(jump, [key, "n"]).select(key, F.col("to").alias("n")).distinct().join(kept, [key, "n"], "left_anti")
+        (new,) = rounds.put(new=new)
+        if new.isEmpty():
+            break
+        further = jump.select(key, F.col("n").alias("to"), F.col("to").alias("__to"))
+        kept, jump = rounds.put(kept=kept.unionByName(new), jump=jump.join(further, [key, "to"]).select(key, "n", F.col("__to").alias("to")))
+    rounds.drop("new", "jump")
+    return own.join(kept, [key, "n"], "left_semi").select(key, "t")
+
+
+def suppress_adjacent(times: DataFrame, key: str, time: str = "t", least: float = 50.0, fold: int = 1000) -> DataFrame:
     """key, n, time: boundaries more than ``least`` seconds from the last kept one, numbered from 0.
 
     A boundary that far behind its predecessor is kept whatever came before, so the boundaries fall
-    into clusters that are folded apart; gaps and numbers go in two levels over stretches of time.
+    into clusters. A cluster of up to ``fold`` of them is one array; longer ones, such as a busy lane's, go by
+    doubling of successors. Gaps and numbers go in two levels over stretches of time.
     """
     rows = cut(times.select(key, F.col(time).cast("double").alias("t")).distinct())  # some rows per vehicle, from many scans
-    rows = rows.withColumn("__c", F.floor(F.col("t") / (least * 1000)))
-    rows = previous(rows, key, "__c", ["t"], "t", "__p")
+    stretch = F.floor(F.col("t") / (least * 1000))
+    rows = previous(rows.withColumn("__c", stretch), key, "__c", ["t"], "t", "__p")
     apart = F.when(F.col("t") - F.col("__p") > least, 1).otherwise(0)
-    rows = running(rows, key, "__c", ["t"], sums={"cluster": apart})
-    lists = rows.groupBy(key, "cluster").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    fold = F.aggregate(
+    rows = cut(running(rows, key, "__c", ["t"], sums={"cluster": apart}).select(key, "cluster", "t"))
+    sizes = rows.groupBy(key, "cluster").agg(F.count("*").alias("__n"))
+    long = sizes.filter(F.col("__n") > fold).select(key, "cluster")
+    short = rows.join(long, [key, "cluster"], "left_anti").groupBy(key, "cluster").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    folded = F.aggregate(
         "ts", F.array().cast("array<double>"),
         lambda kept, t: F.when((F.size(kept) == 0) | (t - F.element_at(kept, -1) > least), F.concat(kept, F.array(t))).otherwise(kept),
     )
-    kept = lists.select(key, F.explode(fold).alias("t")).withColumn("__c", F.floor(F.col("t") / (least * 1000)))
-    out = running(kept, key, "__c", ["t"], sums={"n": F.lit(1)})
+    kept = short.select(key, F.explode(folded).alias("t"))
+    if not long.isEmpty():
+        kept = kept.unionByName(_reached(rows.join(long, [key, "cluster"], "left_semi"), key, least))
+    out = running(kept.withColumn("__c", stretch), key, "__c", ["t"], sums={"n": F.lit(1)})
     return out.select(key, (F.col("n") - 1).cast("int").alias("n"), F.col("t").alias(time))
 
 

@@ -124,7 +124,42 @@ def dataset_fingerprint(spark, sf_dir):
 
 @query()
 def anchor_clusters(spark, sf_dir):
-    return D.kmeans_anchors(fixture(spark, sf_dir, "LABEL"), 640.0, 4)
+    """Anchors by k-means and ten generations of mutation, with the fitness that they have."""
+    labels = fixture(spark, sf_dir, "LABEL")
+    anchors, scores = D.evolve_anchors(labels, D.kmeans_anchors(labels, 640.0, 4), 640.0, generations=10, mutants=8)
+    return anchors.withColumn("fitness", F.lit(scores[-1]))
+
+
+#: Anchors whose mutants are compared with SQL: sets of a parent and of sides changed by whole factors.
+_SETS = [[(40.0, 50.0), (80.0, 70.0), (160.0, 120.0)], [(44.0, 50.0), (80.0, 63.0), (176.0, 120.0)], [(40.0, 60.0), (90.0, 70.0), (150.0, 140.0)]]
+_BEST = lambda anchors: "greatest(" + ",".join(f"least(w/{a},{a}/w,h/{b},{b}/h)" for a, b in anchors) + ")"
+
+
+@query(oracle("LABEL", ", z AS (SELECT w*640 AS w, h*640 AS h FROM f_label WHERE w*640>=2 OR h*640>=2) " + " UNION ALL ".join(f"SELECT {i} AS candidate, round(avg(CASE WHEN w>0 AND h>0 AND {_BEST(a)}>0.25 THEN {_BEST(a)} ELSE 0 END),6) AS fitness FROM z" for i, a in enumerate(_SETS))))
+def anchor_mutants(spark, sf_dir):
+    sizes = D.anchor_sizes(fixture(spark, sf_dir, "LABEL"), 640.0).withColumn("n", F.lit(1))
+    return spark.createDataFrame([(i, round(x, 6)) for i, x in enumerate(D.anchor_scores(sizes, _SETS))], "candidate int, fitness double")
+
+
+_MARKS = """, ln AS (SELECT image_path, [CAST(cls AS DOUBLE), xc, yc, abs(w), h, 0.5, 0.5, 0.25, -1.0, -1.0, CASE WHEN line_no%23=0 THEN 1.5 ELSE 0.1 END, xc, yc] AS v, line_no FROM f_label),
+lm AS (SELECT image_path, CASE WHEN line_no%31=0 THEN v[:12] ELSE v END AS v FROM ln)"""
+
+
+@query(oracle("LABEL", _IMG + _MARKS + """, pr AS (SELECT image_path, count(*) AS rows, bool_or(len(v)<>13 OR list_min(v)<-1 OR list_max(v[2:])>1) AS bad, count(DISTINCT list_transform(v, lambda x: CAST(x AS FLOAT))) AS u FROM lm GROUP BY image_path)
+SELECT im.image_path, CASE WHEN width<10 OR height<10 OR coalesce(bad,false) OR rows>u THEN 'corrupt' WHEN rows>0 THEN 'found' WHEN labelled THEN 'empty' ELSE 'missing' END AS status, coalesce(rows,0) AS rows FROM im LEFT JOIN pr ON pr.image_path=im.image_path"""))
+def verified_landmarks(spark, sf_dir):
+    one = F.expr("array(cast(cls as double), xc, yc, abs(w), h, 0.5d, 0.5d, 0.25d, -1.0d, -1.0d, if(line_no%23=0, 1.5d, 0.1d), xc, yc)")
+    lines = fixture(spark, sf_dir, "LABEL").select("image_path", F.when(F.expr("line_no%31=0"), F.slice(one, 1, 12)).otherwise(one).alias("fields"))
+    return D.verify_landmarks(_images(spark, sf_dir), lines)
+
+
+@query(oracle("LABEL", _VERIFIED + " SELECT * FROM v"))
+def reverified_labels(spark, sf_dir):
+    """Verification of a whole set of which a part was verified before: rows of another width then, and some not there."""
+    images, labels = _images(spark, sf_dir), fixture(spark, sf_dir, "LABEL")
+    part = F.expr("crc32(image_path) % 40")
+    old = images.filter(part != 1).withColumn("width", F.when(part == 2, F.col("width") + 1).otherwise(F.col("width")))
+    return D.verify_changed(images, labels, D.verify_changed(old, labels))[0]
 
 
 _R = lambda a, b: f"least(least(w*640/{a},{a}/(w*640)),least(h*640/{b},{b}/(h*640)))"
