@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 ROWS = 1_000_000
 
 
-def _shared(spark: SparkSession) -> str:
+def shared(spark: SparkSession) -> str:
     """The checkpoint folder; without one a temporary one is set, in local mode only."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
@@ -32,7 +32,7 @@ def _shared(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """df from a checkpoint in the shared folder, so that rounds do not grow its lineage and lost executors cost nothing."""
-    _shared(df.sparkSession)
+    shared(df.sparkSession)
     return df.checkpoint()
 
 
@@ -40,7 +40,7 @@ class Rounds:
     """Tables of a loop in the shared folder. A new one of a name takes the place of the one before, whose files go."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.base, self.count, self.held = spark, f"{_shared(spark)}/rounds-{uuid.uuid4().hex}", 0, {}
+        self.spark, self.base, self.count, self.held = spark, f"{shared(spark)}/rounds-{uuid.uuid4().hex}", 0, {}
 
     def put(self, **tables: DataFrame) -> list[DataFrame]:
         """The tables, written and read again. Those they replace are deleted when all are written."""

@@ -138,21 +138,24 @@ def _normalized(x1: Column, y1: Column, w: Column, h: Column, width: Column, hei
 
 
 def import_visdrone(spark: SparkSession, path: str, sizes: DataFrame) -> DataFrame:
-    """Boxes of VisDrone files (left, top, width, height, score, class, ...); sizes has image, width, height."""
+    """Boxes of VisDrone files (left, top, width, height, score, class, ...); sizes has image, width, height.
+
+    An image's name is that of its file, or of a folder ``image=<name>`` that the file lies in.
+    """
     rows = _lines(spark, path).withColumn("n", F.transform(F.split("line", ","), lambda x: x.try_cast("double"))).filter(F.col("n")[4] != 0)
-    named = rows.withColumn("image", F.regexp_extract("file", r"([^/]*)\.txt$", 1)).join(sizes.withColumnsRenamed({"width": "__w", "height": "__h"}), "image")
+    named = rows.withColumn("image", F.coalesce(F.nullif(F.regexp_extract("file", r"/image=([^/]*)/[^/]*$", 1), F.lit("")), F.regexp_extract("file", r"([^/]*)\.txt$", 1))).join(sizes.withColumnsRenamed({"width": "__w", "height": "__h"}), "image")
     n = F.col("n")
     return named.select("image", (n[5] - 1).cast("int").alias("cls"), *_normalized(n[0], n[1], n[2], n[3], F.col("__w"), F.col("__h")))
 
 
 def import_coco(spark: SparkSession, path: str) -> DataFrame:
-    """Boxes of a COCO-style JSON file without crowds, clipped and normalized; classes by order of category id."""
+    """Boxes of COCO-style JSON files without crowds, clipped and normalized; classes by order of category id in their file."""
     schema = "images array<struct<id:long,file_name:string,width:double,height:double>>, categories array<struct<id:long,name:string>>, annotations array<struct<image_id:long,category_id:long,iscrowd:int,bbox:array<double>>>"
-    doc = spark.read.schema(schema).json(path, multiLine=True)
-    images = doc.select(F.explode("images").alias("i")).select("i.*")
-    order = doc.select(F.posexplode(F.array_sort("categories")).alias("cls", "c")).select("cls", F.col("c.id").alias("category_id"), "c.name")
-    boxes = doc.select(F.explode("annotations").alias("a")).select("a.*").filter(F.coalesce("iscrowd", F.lit(0)) == 0)
-    b = boxes.join(images.withColumnRenamed("id", "image_id"), "image_id").join(order, "category_id")
+    doc = spark.read.schema(schema).json(path, multiLine=True).select("*", F.col("_metadata.file_path").alias("file"))
+    images = doc.select("file", F.explode("images").alias("i")).select("file", "i.*")
+    order = doc.select("file", F.posexplode(F.array_sort("categories")).alias("cls", "c")).select("file", "cls", F.col("c.id").alias("category_id"), "c.name")
+    boxes = doc.select("file", F.explode("annotations").alias("a")).select("file", "a.*").filter(F.coalesce("iscrowd", F.lit(0)) == 0)
+    b = boxes.join(images.withColumnRenamed("id", "image_id"), ["file", "image_id"]).join(order, ["file", "category_id"])
     clip = lambda v, m: F.least(F.greatest(v, F.lit(0.0)), m)
     x1, y1 = clip(F.col("bbox")[0], F.col("width")), clip(F.col("bbox")[1], F.col("height"))
     x2, y2 = clip(F.col("bbox")[0] + F.col("bbox")[2], F.col("width")), clip(F.col("bbox")[1] + F.col("bbox")[3], F.col("height"))
