@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codes import to_half_width
@@ -218,61 +216,73 @@ def overlap_tables(truth: DataFrame, found: DataFrame, least: float = 0.5) -> tu
     return good, left, pairs
 
 
-def _image_credits(sigma: np.ndarray, tau: np.ndarray, same: np.ndarray, tr: float, tp: float, k: int, part: float) -> tuple[float, float, int]:
-    """Recall credit, precision credit and hits of one image; rows are truth, columns found."""
-    free_gt, free_det = np.ones(sigma.shape[0], bool), np.ones(sigma.shape[1], bool)
-    recall = precision = 0.0
-    hits = 0
-    strong, tight = sigma > tr, tau > tp
-    rows = np.flatnonzero((strong.sum(1) == 1) & (tight.sum(1) == 1))
-    for g in rows:  # one truth and one found quad have each other alone
-        s, t = int(np.argmax(strong[g])), int(np.argmax(tight[g]))
-        if strong[:, s].sum() == 1 and tight[:, t].sum() == 1:
-            recall, precision, hits = recall + 1, precision + 1, hits + int(same[g, s])
-            free_gt[g] = free_det[s] = False
-    for g in np.flatnonzero(free_gt):  # a truth in several found parts
-        parts = np.flatnonzero((tau[g] >= tp) & free_det)
-        if (sigma[g] > 0).sum() < k or not len(parts):
-            continue
-        alone = len(parts) == 1
-        if sigma[g, parts[0]] >= tr if alone else sigma[g, parts].sum() >= tr:
-            recall += 1 if alone else part
-            precision += 1 if alone else part * len(parts)
-            hits += int(same[g, parts[0]])
-            free_gt[g], free_det[parts] = False, False
-    for d in np.flatnonzero(free_det):  # several truths in one found quad
-        parts = np.flatnonzero((sigma[:, d] >= tp) & free_gt)
-        if (tau[:, d] > 0).sum() < k or not len(parts):
-            continue
-        alone = len(parts) == 1
-        if (tau[parts[0], d] >= tp and sigma[parts[0], d] >= tr) if alone else tau[parts, d].sum() >= tp:
-            recall += 1 if alone else part * len(parts)
-            precision += 1 if alone else part
-            hits += int(same[parts[0], d])
-            free_gt[parts], free_det[d] = False, False
-    return recall, precision, hits
+def _claims(pairs: DataFrame, own: str, other: str, alone: Column, together: Column, rounds: Rounds) -> tuple[DataFrame, DataFrame]:
+    """Quads (own) that lie in one or several free ones of the other side (other), each free one taken once.
+
+    In order of own, a quad looks at those of its pairs whose other is still free and takes them all if
+    ``alone`` (one pair) or ``together`` (an aggregate of several) holds. A quad that shares no free other
+    with an earlier open one can be settled at once; that is repeated until none is open. Gives credits
+    (image_id, own, n, same: taken with n others) and the taken pairs.
+    """
+    credits, taken, n = [], [], 0
+    (left,) = rounds.put(**{f"{own}_open": pairs})
+    while not left.isEmpty():
+        first = F.min(own).over(Window.partitionBy("image_id", other))
+        ready = left.withColumn("__first", first).groupBy("image_id", own).agg(
+            F.min((F.col("__first") == F.col(own)).cast("int")).alias("ready"), F.count("*").alias("n"), F.min_by("same", other).alias("same"), F.min_by(alone, other).alias("alone"), together.alias("together"),
+        ).filter("ready = 1")
+        (settled,) = rounds.put(**{f"{own}_settled{n}": ready.select("image_id", own, "n", "same", F.when(F.col("n") == 1, F.col("alone")).otherwise(F.col("together")).alias("won"))})
+        won = settled.filter("won")
+        (gone,) = rounds.put(**{f"{own}_gone{n}": left.join(won.select("image_id", own), ["image_id", own], "left_semi").select("image_id", "gt_id", "det_id")})
+        rest = left.join(settled.select("image_id", own), ["image_id", own], "left_anti").join(gone.select("image_id", other), ["image_id", other], "left_anti")
+        (left,) = rounds.put(**{f"{own}_open": rest})
+        credits.append(won.select("image_id", "n", "same"))
+        taken.append(gone)
+        n += 1
+    rounds.drop(f"{own}_open")
+    none = pairs.limit(0)
+    out, all_taken = none.select("image_id", F.lit(0).cast("long").alias("n"), "same"), none.select("image_id", "gt_id", "det_id")
+    for c, t in zip(credits, taken, strict=True):
+        out, all_taken = out.unionByName(c), all_taken.unionByName(t)
+    return out, all_taken
 
 
 def area_match_score(truth: DataFrame, found: DataFrame, tr: float = 0.7, tp: float = 0.6, part: float = 0.8, k: int = 2) -> DataFrame:
     """One row: area-match recall, precision and F, and the same end to end, by one-to-one, split and merged quads.
 
-    Texts are equal whatever their case. What depends on flags set before runs per image over its own
-    overlaps, as many as its quads have; sums and counts are aggregates.
+    Texts are equal whatever their case. First come pairs that have each other alone, then truths in
+    several found quads, then found quads over several truths; the last two by order-respecting rounds
+    over the overlaps. Sums of shares are those of hundredths, exact.
     """
     good, left, pairs = overlap_tables(truth, found)
     text = lambda df, i: df.select("image_id", i, F.lower(F.trim("text")).alias(f"__{i}"))
     rows = pairs.join(text(good, "gt_id"), ["image_id", "gt_id"]).join(text(left, "det_id"), ["image_id", "det_id"])
+    of = lambda i: Window.partitionBy("image_id", i)
+    count = lambda c, i: F.sum(c.cast("int")).over(of(i))
+    strong, tight = F.col("sigma") > tr, F.col("tau") > tp
     rows = rows.select("image_id", "gt_id", "det_id", "sigma", "tau", F.coalesce(F.col("__gt_id") == F.col("__det_id"), F.lit(False)).alias("same"))
-    schema = f"image_id {rows.schema['image_id'].dataType.simpleString()}, recall double, precision double, hits long"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        (g, gts), (d, dets) = (pd.factorize(pdf[c], sort=True) for c in ("gt_id", "det_id"))
-        tables = [np.zeros((len(gts), len(dets))) for _ in range(3)]
-        for table, c in zip(tables, ("sigma", "tau", "same"), strict=True):
-            table[g, d] = pdf[c]
-        return pd.DataFrame([(pdf["image_id"].iloc[0], *_image_credits(*tables, tr, tp, k, part))], columns=["image_id", "recall", "precision", "hits"])
-
-    sums = rows.groupBy("image_id").applyInPandas(run, schema).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("recall", "precision", "hits")])
+    rows = rows.withColumns({
+        "gs": count(strong, "gt_id"), "gt": count(tight, "gt_id"), "ds": count(strong, "det_id"), "dt": count(tight, "det_id"),
+        "kg": count(F.col("sigma") > 0, "gt_id"), "kd": count(F.col("tau") > 0, "det_id"),
+    })
+    rounds = Rounds(truth.sparkSession)
+    (rows,) = rounds.put(rows=rows)
+    pairing = rows.filter("gs = 1 AND gt = 1").groupBy("image_id", "gt_id").agg(
+        F.max((strong & (F.col("ds") == 1)).cast("int")).alias("a"), F.max((tight & (F.col("dt") == 1)).cast("int")).alias("b"), F.max(F.when(strong, F.struct("det_id", "same"))).alias("s"),
+    ).filter("a = 1 AND b = 1")
+    (one,) = rounds.put(one=pairing.select("image_id", "gt_id", "s.det_id", "s.same"))
+    without = lambda df, taken: df.join(taken.select("image_id", "gt_id"), ["image_id", "gt_id"], "left_anti").join(taken.select("image_id", "det_id"), ["image_id", "det_id"], "left_anti")
+    total = lambda c: F.sum(F.col(c).cast("decimal(10,2)"))
+    free = without(rows, one)
+    split, in_parts = _claims(free.filter((F.col("tau") >= tp) & (F.col("kg") >= k)), "gt_id", "det_id", F.col("sigma") >= tr, total("sigma") >= F.lit(tr).cast("decimal(10,2)"), rounds)
+    free = without(free, in_parts)
+    merged, _ = _claims(free.filter((F.col("sigma") >= tp) & (F.col("kd") >= k)), "det_id", "gt_id", (F.col("tau") >= tp) & (F.col("sigma") >= tr), total("tau") >= F.lit(tp).cast("decimal(10,2)"), rounds)
+    # A quad taken with several others counts ``part``, and so does each of these.
+    several = F.when(F.col("n") == 1, F.lit(1.0)).otherwise(F.col("n") * part)
+    single = F.when(F.col("n") == 1, F.lit(1.0)).otherwise(F.lit(part))
+    credit = lambda df, recall, precision: df.select(recall.alias("recall"), precision.alias("precision"), F.col("same").cast("long").alias("hits"))
+    credits = credit(one, F.lit(1.0), F.lit(1.0)).unionAll(credit(split, single, several)).unionAll(credit(merged, several, single))
+    sums = credits.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("recall", "precision", "hits")])
     s = sums.crossJoin(good.agg(F.count("*").alias("truths"))).crossJoin(left.agg(F.count("*").alias("founds")))  # one row each
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     f = lambda p, r: F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)

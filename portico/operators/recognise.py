@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import codes as C
+from .scans import Rounds
 
 #: Characters that readers confuse, in order of preference.
 DIGITS = {"0": "8", "5": "86", "6": "85", "8": "06", "9": "8", "1": "7", "7": "1"}
@@ -211,26 +211,44 @@ def fuse_pass_codes(readings: DataFrame, owners: DataFrame, sizes: DataFrame) ->
     return fuse_codes(readings, owners).join(fuse_size_types(readings, sizes), "pass_id", "full_outer")
 
 
+def first_container(readings: DataFrame, key: str, text: str, order: str, limit: float) -> DataFrame:
+    """key, text, joined: when each distinct text of a pass joins its first container; texts that never do are left out.
+
+    Time is (order, text). A text joins at its first reading after a similar text has joined, the first
+    reading of all joins at once: the least fixed point of that, found by rounds. A round compares texts
+    that have just joined (or joined earlier than known) with those that may still join earlier, by equal
+    characters in equal places. A text that joins at its first reading is settled.
+    """
+    rounds = Rounds(readings.sparkSession)
+    at = F.struct(F.col(order).alias("o"), F.col(text).alias("t"))
+    (seen,) = rounds.put(seen=readings.select(key, F.col(text).alias("t"), at.alias("at")).distinct())
+    (texts,) = rounds.put(texts=seen.groupBy(key, "t").agg(F.min("at").alias("first")))
+    seed = texts.groupBy(key).agg(F.min_by("t", "first").alias("t"), F.min("first").alias("joined"))
+    letters = lambda df: df.select("*", F.posexplode(F.split("t", "")).alias("place", "letter")).filter("letter <> ''")
+    (joined,) = rounds.put(joined=seed)
+    (new,) = rounds.put(new=seed)
+    while not new.isEmpty():
+        open_ = texts.join(joined, [key, "t"], "left").filter("joined IS NULL OR joined > first").select(key, "t", F.col("joined").alias("known"))
+        a = letters(new).select(key, F.col("t").alias("member"), F.col("joined").alias("m"), "place", "letter")
+        same = letters(open_).join(a, [key, "place", "letter"]).filter("member <> t AND (known IS NULL OR m < known)").groupBy(key, "t", "member", "m", "known").agg(F.count("*").alias("n"))
+        near = same.filter(F.col("n") >= limit * F.least(F.length("t"), F.length("member"))).groupBy(key, "t").agg(F.min("m").alias("m"), F.first("known").alias("known"))
+        found = seen.join(near, [key, "t"]).filter("at > m").groupBy(key, "t").agg(F.min("at").alias("joined"), F.first("known").alias("known")).filter("known IS NULL OR joined < known").drop("known")
+        (new,) = rounds.put(new=found)
+        (joined,) = rounds.put(joined=joined.join(new.select(key, "t"), [key, "t"], "left_anti").unionByName(new))
+    rounds.drop("new", "texts", "seen")
+    return joined.select(key, F.col("t").alias(text), "joined")
+
+
 def split_two(readings: DataFrame, limit: float = 0.6) -> DataFrame:
     """pass_id, container (1 or 2), voted: two containers on one vehicle told apart.
 
-    The first reading seeds the first; a reading that agrees in at least ``limit`` of the positions with
-    any member joins it, the rest are the second. Growth depends on order, so a pass is one group; a
-    pass has a few hundred frames at most.
+    The first reading seeds the first; a reading that agrees in at least ``limit`` (above 0) of the positions
+    with any member joins it, the rest are the second. Readings are in order of seq and text.
     """
     from .fusion import positional_vote
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        texts, members, side = pdf["text"].tolist(), [], []
-        for t in texts:
-            same = not members or any(sum(a == b for a, b in zip(t, m, strict=False)) >= limit * max(1, min(len(t), len(m))) for m in members)
-            if same and t not in members:
-                members.append(t)
-            side.append(1 if same else 2)
-        return pdf.assign(container=side)
-
     rows = readings.filter("text <> ''").select("pass_id", "seq", "text")
-    split = rows.groupBy("pass_id").applyInPandas(run, "pass_id long, seq long, text string, container int")
-    keyed = split.withColumn("k", F.concat_ws("/", "pass_id", "container"))
+    member = rows.join(first_container(rows, "pass_id", "text", "seq", limit), ["pass_id", "text"], "left")
+    own = F.coalesce(F.struct(F.col("seq").alias("o"), F.col("text").alias("t")) >= F.col("joined"), F.lit(False))
+    keyed = member.withColumn("k", F.concat_ws("/", "pass_id", F.when(own, 1).otherwise(2)))
     return positional_vote(keyed, "k", "text", "seq").select(F.split("k", "/")[0].cast("long").alias("pass_id"), F.split("k", "/")[1].cast("int").alias("container"), "voted")

@@ -248,9 +248,34 @@ def overlap_shares(spark, sf_dir):
     return E.overlap_tables(*_quads(spark, sf_dir))[2]
 
 
-@query()
+def _taken(step: str, source: str, own: str, other: str, alone: str, share: str, least: float) -> str:
+    """Quads in order of their number, each with what is left of its list: taken, with which others, and whether texts agree."""
+    return f""", {step}q AS (SELECT image_id, {own} AS o, row_number() OVER (PARTITION BY image_id ORDER BY {own}) AS k, list({{'x': {other}, 's': {share}, 'ok': {alone}, 'same': same}} ORDER BY {other}) AS ps FROM {source} GROUP BY image_id, {own}),
+{step}w AS (SELECT image_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS gone, CAST(NULL AS BIGINT) AS o, 0 AS n, false AS same, false AS won FROM (SELECT DISTINCT image_id FROM {step}q) z UNION ALL
+ SELECT image_id, k, CASE WHEN won THEN list_concat(gone, list_transform(ps, lambda p: p.x)) ELSE gone END, o, len(ps), ps[1].same, won FROM (SELECT *, CASE WHEN len(ps)=0 THEN false WHEN len(ps)=1 THEN ps[1].ok ELSE round(list_sum(list_transform(ps, lambda p: p.s)),6)>={least} END AS won FROM (
+  SELECT q.image_id, q.k, w.gone, q.o, list_filter(q.ps, lambda p: NOT list_contains(w.gone, p.x)) AS ps FROM {step}w w JOIN {step}q q ON q.image_id=w.image_id AND q.k=w.k+1) y) z),
+{step} AS (SELECT image_id, o, n, same FROM {step}w WHERE won), {step}x AS (SELECT image_id, unnest(gone) AS x FROM (SELECT image_id, max_by(gone, k) AS gone FROM {step}w GROUP BY image_id) z)"""
+
+
+_AREA = _MET + """, lf AS (SELECT * FROM f_found WHERE det_id NOT IN (SELECT det_id FROM pq WHERE ignore AND i/da>0.5)),
+pr AS (SELECT image_id, gt_id, det_id, round(i/ga,2) AS sigma, round(i/da,2) AS tau, lower(trim(truth))=lower(trim(found)) AS same FROM pq WHERE NOT ignore AND det_id IN (SELECT det_id FROM lf)),
+n AS (SELECT *, count(*) FILTER (sigma>0.7) OVER g AS gs, count(*) FILTER (tau>0.6) OVER g AS gt, count(*) FILTER (sigma>0.7) OVER d AS ds, count(*) FILTER (tau>0.6) OVER d AS dt, count(*) FILTER (sigma>0) OVER g AS kg, count(*) FILTER (tau>0) OVER d AS kd
+ FROM pr WINDOW g AS (PARTITION BY image_id, gt_id), d AS (PARTITION BY image_id, det_id)),
+one AS (SELECT image_id, gt_id, max(det_id) FILTER (sigma>0.7) AS det_id, bool_or(same) FILTER (sigma>0.7) AS same FROM n WHERE gs=1 AND gt=1 GROUP BY image_id, gt_id HAVING bool_or(sigma>0.7 AND ds=1) AND bool_or(tau>0.6 AND dt=1)),
+fr AS (SELECT * FROM n WHERE (image_id, gt_id) NOT IN (SELECT (image_id, gt_id) FROM one) AND (image_id, det_id) NOT IN (SELECT (image_id, det_id) FROM one)),
+f2 AS (SELECT * FROM fr WHERE tau>=0.6 AND kg>=2)""" + _taken("sp", "f2", "gt_id", "det_id", "sigma>=0.7", "sigma", 0.7) + """,
+f3 AS (SELECT * FROM fr WHERE sigma>=0.6 AND kd>=2 AND (image_id, gt_id) NOT IN (SELECT (image_id, o) FROM sp) AND (image_id, det_id) NOT IN (SELECT (image_id, x) FROM spx))""" + _taken("mg", "f3", "det_id", "gt_id", "tau>=0.6 AND sigma>=0.7", "tau", 0.6) + """,
+cr AS (SELECT 1.0::DOUBLE AS recall, 1.0::DOUBLE AS precision, same FROM one UNION ALL SELECT CASE WHEN n=1 THEN 1 ELSE 0.8 END, CASE WHEN n=1 THEN 1 ELSE 0.8*n END, same FROM sp UNION ALL SELECT CASE WHEN n=1 THEN 1 ELSE 0.8*n END, CASE WHEN n=1 THEN 1 ELSE 0.8 END, same FROM mg),
+su AS (SELECT coalesce(sum(recall),0) AS rc, coalesce(sum(precision),0) AS pc, count(*) FILTER (same) AS hits, (SELECT count(*) FROM f_quad WHERE NOT ignore) AS truths, (SELECT count(*) FROM lf) AS founds FROM cr),
+sh AS (SELECT *, rc/truths AS r, pc/founds AS p, hits/truths AS re, hits/founds AS pe FROM su)
+SELECT truths, founds, hits, round(rc,6) AS recall_credit, round(r,6) AS recall, round(p,6) AS precision, round(CASE WHEN p+r>0 THEN 2*p*r/(p+r) ELSE 0 END,6) AS f_score, round(CASE WHEN rc>0 THEN 1-hits/rc ELSE 1 END,6) AS sequence_error,
+ round(re,6) AS recall_e2e, round(pe,6) AS precision_e2e, round(CASE WHEN pe+re>0 THEN 2*pe*re/(pe+re) ELSE 0 END,6) AS f_score_e2e FROM sh"""
+
+
+@query(oracle("QUAD FOUND", _AREA).replace("WITH ", "WITH RECURSIVE ", 1))
 def area_match(spark, sf_dir):
-    return E.area_match_score(*_quads(spark, sf_dir))
+    got = E.area_match_score(*_quads(spark, sf_dir))
+    return _round(got, *[c for c in got.columns if c not in ("truths", "founds", "hits")])
 
 
 @query(oracle("BOX", """, r AS (SELECT det_id, image_id, conf AS obj, [conf,1-conf,abs(x1)-floor(abs(x1))] AS sc FROM f_box), u AS (SELECT image_id, det_id, obj, unnest(sc) AS s, generate_subscripts(sc,1)-1 AS cls FROM r)

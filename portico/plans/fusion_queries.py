@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import codes as C
 from ..operators import dimensions as dim
 from ..operators import recognise as R
+from .code_queries import _COMPLETE, _VOTE
 from .fixtures import fixture, oracle
 from .registry import query
 
@@ -68,7 +69,14 @@ def fused_codes(spark, sf_dir):
     return R.fuse_pass_codes(fixture(spark, sf_dir, "READ"), _candidates(spark, sf_dir), dim.size_candidates(spark))
 
 
-@query()
+_SPLIT = f""", rd AS (SELECT pass_id-pass_id%2 AS pass_id, seq*2+pass_id%2 AS seq, {_COMPLETE('text')} AS text FROM f_read), rk AS (SELECT *, row_number() OVER (PARTITION BY pass_id ORDER BY seq, text) AS k FROM rd WHERE text<>''),
+w AS (SELECT pass_id, k, seq, text, [text] AS members, 1 AS container FROM rk WHERE k=1 UNION ALL
+ SELECT pass_id, k, seq, text, CASE WHEN same THEN list_append(members, text) ELSE members END, CASE WHEN same THEN 1 ELSE 2 END FROM (
+  SELECT rk.pass_id, rk.k, rk.seq, rk.text, w.members, len(list_filter(w.members, lambda m: list_sum(list_transform(range(1, least(length(m), length(rk.text))+1), lambda i: CASE WHEN m[i]=rk.text[i] THEN 1 ELSE 0 END))>=0.6::DOUBLE*least(length(m), length(rk.text))))>0 AS same
+  FROM w JOIN rk ON rk.pass_id=w.pass_id AND rk.k=w.k+1) z), sp AS (SELECT pass_id*10+container AS pass_id, seq, text FROM w)"""
+
+
+@query(oracle("READ", _SPLIT + _VOTE.format(t="text", f="sp") + " SELECT pass_id//10 AS pass_id, CAST(pass_id%10 AS INT) AS container, voted FROM v").replace("WITH ", "WITH RECURSIVE ", 1))
 def two_containers(spark, sf_dir):
     r = fixture(spark, sf_dir, "READ").select((F.col("pass_id") - F.col("pass_id") % 2).alias("pass_id"), (F.col("seq") * 2 + F.col("pass_id") % 2).alias("seq"), C.complete_code("text").alias("text"))
     return R.split_two(r)
