@@ -8,11 +8,13 @@ whose word counts rule out every template are dropped before bigrams are made. A
 its best template at or above the threshold; ties go to the earlier template.
 
 Notices inside longer documents, wrapped over lines or behind comment marks, are found by windows:
-runs of as many words as a template (of ``TEMPLATES`` or the full ``TEXTS``) has, at a stride of a
-twentieth of it, so a full copy agrees to 97 per cent at least. A window can reach the threshold only
-if the document has ``t / (2 - t)`` of the template's bigrams; others are not cut. Of overlapping
-windows the one that shares more bigrams counts. A licence found by windows only is one more of
-``n_licensed``. Bigrams of windows are compared by 64-bit hash.
+all runs of bigrams that begin and end with one of the template's (a window that reaches the threshold
+still does without other bigrams at its ends) and have as many distinct ones as the size bounds allow.
+Counts run along from each beginning: a bigram is new to the window if it was last seen before it. A
+beginning gives its best window; of overlapping windows the one that shares more bigrams counts. A
+licence found by windows only is one more of ``n_licensed``. Windows are looked at only if the document
+has ``t / (2 - t)`` of a template's bigrams, and bigrams are made only of texts that hold one of the words
+without which no template can have so many. Bigrams of windows are compared by 64-bit hash.
 
 Everything happens inside the row: no shuffle, no join, nothing that a hot key could slow down.
 
@@ -53,6 +55,12 @@ TEMPLATES = [
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)"),
     ("All-rights-reserved", "All rights reserved."),
 ]
 _AS_IS = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
@@ -64,6 +72,7 @@ TEXTS = [
     ("BSD-2-Clause", f"{_BSD} {_AS_IS}"),
     ("BSD-3-Clause", f"{_BSD} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {_AS_IS}"),
     ("Unlicense", 'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
     *[(name, (_STORED / f"{name}.txt").read_text(encoding="utf-8")) for name in ("Apache-2.0", "GPL-2.0", "GPL-3.0")],
 ]
 WORD = r"[\p{L}\p{N}]+"
@@ -92,32 +101,75 @@ def _longs(grams: list[str]) -> Column:
     return F.expr(f"array({', '.join(f'{h - (h >> 63 << 64)}L' for h in hashes)})")
 
 
+def needed_words(templates: list[tuple[str, str]], threshold: int = THRESHOLD) -> list[str]:
+    """Words of which a text that reaches the threshold with any template has one at least.
+
+    Of each template so many words are taken that without them too few of its bigrams are left: those
+    taken before first, then those of five letters or more that are in most of the bigrams left.
+    """
+    chosen: list[str] = []
+    for _, body in templates:
+        grams = {tuple(g.split(" ")) for g in _bigrams(body)}
+        left = {g for g in grams if not set(g) & set(chosen)}
+        while len(left) >= bounds(len(grams), threshold)[0]:
+            count: dict[str, int] = {}
+            for g in left:
+                for w in set(g):
+                    count[w] = count.get(w, 0) + 1
+            best = max(count, key=lambda w: (len(w) >= 5, count[w], len(w), w))
+            chosen.append(best)
+            left = {g for g in left if best not in g}
+    return chosen
+
+
 def with_notices(df: DataFrame, words: str, templates: list[tuple[str, str]], threshold: int, out: str) -> DataFrame:
-    """df with the windows of its array of words that are a licence: structs of permille and the template's number."""
-    known = [(len(_words(body)) - 1, _bigrams(body)) for _, body in templates]
+    """df with the windows of its array of words that are a licence: structs of both, permille, p, e (places of bigrams) and i, the template's number."""
+    known = [_bigrams(body) for _, body in templates]
     listed = F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(bounds(len(g), threshold)[0]).alias("low"), F.lit(n).alias("n"), F.lit(max(1, n // 20)).alias("step"), _longs(g).alias("g"))
-        for i, (n, g) in enumerate(known)
+        F.struct(F.lit(i).alias("i"), F.lit(bounds(len(g), threshold)[0]).alias("low"), F.lit(bounds(len(g), threshold)[1]).alias("high"), _longs(g).alias("g")) for i, g in enumerate(known)
     ])
-    every, least = _longs(sorted({x for _, g in known for x in g})), min(bounds(len(g), threshold)[0] for _, g in known)
-    ends = F.size(words) - 1
-    pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(ends, F.lit(0))), F.slice(words, F.lit(2), F.greatest(ends, F.lit(0))), lambda a, b: F.xxhash64(F.concat(a, F.lit(" "), b)))
-    out_df = df.withColumn("__hashes", pairs).withColumn("__common", F.array_intersect("__hashes", every))
+    every, least = _longs(sorted({x for g in known for x in g})), min(bounds(len(g), threshold)[0] for g in known)
+    may = F.arrays_overlap(words, F.array(*map(F.lit, needed_words(templates, threshold))))
+    out_df = df.withColumn("__may", F.when(may, F.col(words)).otherwise(F.array().cast("array<string>")))
+    ends = F.greatest(F.size("__may") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("__may", F.lit(1), ends), F.slice("__may", F.lit(2), ends), lambda a, b: F.xxhash64(F.concat(a, F.lit(" "), b)))
+    out_df = out_df.withColumn("__hashes", pairs).withColumn("__common", F.array_intersect("__hashes", every))
     near = F.filter(listed, lambda t: F.size(F.array_intersect(F.col("__common"), t["g"])) >= t["low"])
-    out_df = out_df.withColumn("__near", F.when(F.size("__common") >= least, near))
-
-    def windows(t: Column) -> Column:
-        last = F.greatest(F.size("__hashes") - t["n"] + 1, F.lit(1))
-
-        def window(p: Column) -> Column:
-            part = F.slice("__hashes", p, t["n"])
-            both, size = F.size(F.array_intersect(part, t["g"])), F.size(F.array_distinct(part)) + F.size(t["g"])
-            return F.struct(both.alias("both"), F.floor(F.lit(2000) * both / size).cast("int").alias("permille"), p.alias("p"), (p + t["n"]).alias("e"), t["i"].alias("i"))
-
-        starts = F.array_distinct(F.concat(F.sequence(F.lit(1), last, t["step"]), F.array(last)))
-        return F.filter(F.transform(starts, window), lambda x: x["permille"] >= threshold * 10)
-
-    out_df = out_df.withColumn("__windows", F.flatten(F.transform("__near", windows)))
+    none = F.array().cast("array<struct<i:int,low:int,high:int,g:array<bigint>>>")
+    out_df = out_df.withColumn("__near", F.when(F.size("__common") >= least, near).otherwise(none))
+    # Where each bigram was seen before, by sorting; only of documents that are near a template. What lambdas
+    # use several times is bound as the one element of an array, else it would be computed anew each time.
+    placed = F.array_sort(F.transform(F.when(F.size("__near") > 0, F.col("__hashes")), lambda h, i: F.struct(h.alias("h"), (i + 1).alias("q"))))
+
+    def linked(placed: Column) -> Column:
+        before = lambda k: F.get(placed, k - 1)
+        seen = F.transform(placed, lambda x, k: F.struct(x["q"].alias("q"), F.when((k > 0) & (before(k)["h"] == x["h"]), before(k)["q"]).otherwise(0).alias("seen"), x["h"].alias("h")))
+        return F.struct(F.array_sort(seen).alias("grams"), F.size(F.filter(seen, lambda x: x["seen"] > 0)).alias("repeats"))
+
+    out_df = out_df.withColumn("__linked", F.get(F.transform(F.array(placed), linked), F.lit(0)))
+
+    def windows(doc: Column, t: Column) -> Column:
+        marked = F.transform(doc["grams"], lambda x: F.struct(x["q"].alias("q"), x["seen"].alias("seen"), F.array_contains(t["g"], x["h"]).alias("own")))
+        return F.flatten(F.transform(F.array(marked), lambda m: F.transform(F.filter(m, lambda x: x["own"]), lambda s: window(t, m, s["q"], doc["repeats"]))))
+
+    def window(t: Column, marked: Column, p: Column, repeats: Column) -> Column:
+        start = F.struct(F.lit(0).alias("both"), F.lit(0).alias("size"), F.struct(F.lit(0).alias("permille"), F.lit(0).alias("both"), F.lit(0).alias("e")).alias("best"))
+
+        def step(acc: Column, x: Column) -> Column:
+            new = (x["seen"] < p).cast("int")
+            both, size = acc["both"] + F.when(x["own"], new).otherwise(0), acc["size"] + new
+            permille = F.floor(F.lit(2000) * both / (size + F.size(t["g"]))).cast("int")
+            # The longest of the best: counts never fall.
+            better = x["own"] & (size <= t["high"]) & (permille >= acc["best"]["permille"])
+            return F.struct(both.alias("both"), size.alias("size"), F.when(better, F.struct(permille.alias("permille"), both.alias("both"), (x["q"] + 1).alias("e"))).otherwise(acc["best"]).alias("best"))
+
+        # No window has more bigrams than distinct ones and the document's repeats.
+        run = F.slice(marked, p, t["high"] + repeats)
+        return F.aggregate(run, start, step, lambda acc: F.struct(acc["best"]["both"].alias("both"), acc["best"]["permille"].alias("permille"), p.alias("p"), acc["best"]["e"].alias("e"), t["i"].alias("i")))
+
+    every_window = F.flatten(F.transform(F.array("__linked"), lambda doc: F.flatten(F.transform("__near", lambda t: windows(doc, t)))))
+    found = F.filter(every_window, lambda x: x["permille"] >= threshold * 10)
+    out_df = out_df.withColumn("__windows", found)
     beaten = lambda x: F.exists("__windows", lambda y: (y["p"] < x["e"]) & (x["p"] < y["e"]) & (F.struct(y["both"], y["permille"]) > F.struct(x["both"], x["permille"])))
     best = F.filter("__windows", lambda x: ~beaten(x))
     return out_df.withColumn(out, F.coalesce(best, F.array().cast(out_df.schema["__windows"].dataType)))
@@ -135,9 +187,11 @@ def scan(df: DataFrame, text: str = "text", templates: list[tuple[str, str]] | N
     ])
     lines = F.filter(F.split(F.col(text), "\n", -1), lambda x: x.rlike(WORD))
     out = df.drop(*COLUMNS).withColumn("__lines", F.coalesce(lines, F.array().cast("array<string>")))
-    out = out.withColumn("__units", F.when(F.size("__lines") > 1, F.concat("__lines", F.array(F.col(text)))).otherwise(F.col("__lines")))
-    words = F.transform("__units", lambda u: F.regexp_extract_all(F.regexp_replace(F.lower(u), "licence", "license"), F.lit(WORD), F.lit(0)))
-    fit = F.filter(words, lambda w: (F.size(w) > least) & (F.size(F.array_distinct(w)) - 1 <= most))
+    words = F.transform("__lines", lambda u: F.regexp_extract_all(F.regexp_replace(F.lower(u), "licence", "license"), F.lit(WORD), F.lit(0)))
+    # No word spans lines: the text's words are those of its lines.
+    out = out.withColumn("__line_words", words).withColumn("__text_words", F.flatten("__line_words"))
+    out = out.withColumn("__units", F.when(F.size("__lines") > 1, F.concat("__line_words", F.array("__text_words"))).otherwise(F.col("__line_words")))
+    fit = F.filter("__units", lambda w: (F.size(w) > least) & (F.size(F.array_distinct(w)) - 1 <= most))
     pairs = F.transform(fit, lambda w: F.array_distinct(F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))))
 
     def best(g):
@@ -151,8 +205,7 @@ def scan(df: DataFrame, text: str = "text", templates: list[tuple[str, str]] | N
     noticed = [*(templates or TEMPLATES), *([] if templates else TEXTS)]
     all_names = F.array(*[F.lit(name) for name, _ in noticed])
     out = out.withColumn("__names", F.array_distinct(F.transform("__found", lambda x: F.element_at(names, (1000 - x % 1000).cast("int")))))
-    text_words = F.regexp_extract_all(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), "licence", "license"), F.lit(WORD), F.lit(0))
-    out = with_notices(out.withColumn("__text_words", text_words), "__text_words", noticed, threshold, "__notices")
+    out = with_notices(out, "__text_words", noticed, threshold, "__notices")
     more = F.filter("__notices", lambda x: ~F.array_contains("__names", F.element_at(all_names, x["i"] + 1)))
     out = out.withColumn("__more", more).withColumn("__more_names", F.array_distinct(F.transform("__more", lambda x: F.element_at(all_names, x["i"] + 1))))
     by_window = F.coalesce(F.array_max(F.transform("__more", lambda x: x["permille"])), F.lit(0))
