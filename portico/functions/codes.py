@@ -198,9 +198,13 @@ def filter_vocabulary(text: Column | str, kind: str) -> Column:
     return F.regexp_replace(F.lower(c) if kind == "lower" else c, VOCABULARIES[kind], "")
 
 
+#: Fixed value: the characters that a file name gives up.
+SPECIAL = r"[|@#!¡·$€%&()=?¿^*;:,¨´><+]"
+
+
 def clean_name(text: Column | str) -> Column:
     """Special characters as underscores."""
-    return F.regexp_replace(_c(text), r"[|@#!¡·$€%&()=?¿^*;:,¨´><+]", "_")
+    return F.regexp_replace(_c(text), SPECIAL, "_")
 
 
 def has_cjk(text: Column | str) -> Column:
