@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import codes as C
 from ..operators import dimensions as dim
 from ..operators import recognise as R
-from .code_queries import _COMPLETE, _VOTE
+from .code_queries import _COMPLETE, _HEAD, _NUMBER, _VALID, _VOTE
 from .fixtures import fixture, oracle
 from .registry import query
 
@@ -50,16 +50,43 @@ def _candidates(spark, sf_dir):
     return R.owner_candidates(dim.owner_codes(fixture(spark, sf_dir, "READ")))
 
 
-@query(oracle("READ", f""", o AS (SELECT DISTINCT substr(true_code,1,4) AS owner FROM f_read WHERE regexp_matches(true_code,'^[A-Z]{{3}}U')),
+_OWNERS = f""", o AS (SELECT DISTINCT substr(true_code,1,4) AS owner FROM f_read WHERE regexp_matches(true_code,'^[A-Z]{{3}}U')),
 pr AS (SELECT DISTINCT owner, owner[CAST(i AS INT)]||owner[CAST(j AS INT)] AS p FROM o, (SELECT unnest(range(1,5)) AS i) a, (SELECT unnest(range(1,5)) AS j) b WHERE i<j),
 le AS (SELECT unnest(string_split('ABCDEFGHIJKLMNOPQRSTUVWXYZ','')) AS c), fr AS (SELECT owner, p AS fragment FROM pr UNION SELECT owner, unnest([c||p, p[1]||c||p[2], p||c]) FROM pr, le),
 sc AS (SELECT owner, fragment, 2*CASE WHEN length(fragment)=2 THEN 2 WHEN fragment IN (substr(owner,2), owner[1]||substr(owner,3), substr(owner,1,2)||owner[4], substr(owner,1,3)) THEN 3 ELSE 2 END/(length(fragment)+4) AS ratio FROM fr),
-k AS (SELECT *, row_number() OVER (PARTITION BY fragment ORDER BY ratio DESC, owner) AS r FROM sc) SELECT fragment, string_agg(owner, ',' ORDER BY r) AS owners FROM k WHERE r<={R.OWNERS} GROUP BY fragment"""))
+k AS (SELECT *, row_number() OVER (PARTITION BY fragment ORDER BY ratio DESC, owner) AS r FROM sc)"""
+
+
+@query(oracle("READ", _OWNERS + f" SELECT fragment, string_agg(owner, ',' ORDER BY r) AS owners FROM k WHERE r<={R.OWNERS} GROUP BY fragment"))
 def owner_candidates(spark, sf_dir):
     return _candidates(spark, sf_dir).select("fragment", F.array_join("owners", ",").alias("owners"))
 
 
-@query()
+def _swaps(text: str, table: dict[str, str], n: int) -> str:
+    """text with one confused character replaced, by place and then by preference."""
+    pairs = "[" + ", ".join(f"{{'a': '{k}', 'b': '{c}'}}" for k, v in table.items() for c in v) + "]"
+    one = f"list_transform(list_filter({pairs}, lambda p: p.a={text}[i]), lambda p: substr({text},1,i-1)||p.b||substr({text},i+1))"
+    return f"flatten(list_transform(range(1,{n + 1}), lambda i: {one}))"
+
+
+_TAG = lambda items, kind: f"list_transform({items}, lambda x: {{'code': x, 'kind': '{kind}'}})"
+#: Ranked tries of each distinct code; the first valid one wins.
+_REPAIRED = _OWNERS + f""", ca AS (SELECT fragment, list(owner ORDER BY r) AS owners FROM k WHERE r<={R.OWNERS} GROUP BY fragment),
+c0 AS (SELECT DISTINCT text AS code, {_HEAD('text')} AS head, {_NUMBER('text')} AS num FROM f_read),
+c1 AS (SELECT *, regexp_replace(head,'[0-9]','','g') AS letters FROM c0),
+c2 AS (SELECT *, CASE WHEN contains(letters,'U') THEN regexp_extract(letters,'^(.*)U',1) ELSE letters END AS stem FROM c1),
+c3 AS (SELECT c2.*, coalesce(ca.owners, CAST([] AS VARCHAR[])) AS owners, coalesce(ca.owners[1],'') AS first, substr(num,1,6) AS six, stem||'U' AS full_head FROM c2 LEFT JOIN ca ON ca.fragment=c2.stem),
+c4 AS (SELECT *, CASE WHEN length(num)>=7 THEN {_swaps('six', R.DIGITS, 6)} ELSE CAST([] AS VARCHAR[]) END AS digits, CASE WHEN length(stem)=3 THEN {_swaps('full_head', R.LETTERS, 4)} ELSE CAST([] AS VARCHAR[]) END AS heads FROM c3),
+c5 AS (SELECT *, list_concat(list_concat(CASE WHEN length(num)=8 THEN {_TAG("[first||substr(num,1,7), first||substr(num,2,7)]", 'number error')} ELSE [] END, {_TAG("list_transform(digits, lambda d: first||d||substr(num,7,1))", 'number error')}),
+ list_concat({_TAG("list_transform(list_concat(heads, owners), lambda h: h||num)", 'owner code error')},
+ {_TAG("flatten(list_transform(list_concat(list_concat(owners[1:1], heads), owners[2:" + str(R.OWNERS) + "+1]), lambda h: list_transform(digits, lambda d: h||d||substr(num,7,1))))", 'owner code and number error')})) AS tries FROM c4),
+c6 AS (SELECT *, list_filter(tries, lambda t: {_VALID('t.code')})[1] AS won, {_VALID('code')} AS good, {_COMPLETE('(first||six)')} AS set_digit, CASE WHEN first=head THEN 'check error' ELSE 'owner code and check error' END AS kind FROM c5),
+rp AS (SELECT code, CASE WHEN good OR length(num)<6 OR len(owners)=0 THEN code WHEN length(num)<7 THEN set_digit ELSE coalesce(won.code, set_digit) END AS repaired,
+ CASE WHEN good THEN 1 WHEN length(num)<6 OR len(owners)=0 THEN 0 ELSE 2 END AS flag,
+ CASE WHEN good THEN 'good code' WHEN length(num)<6 THEN 'number error' WHEN len(owners)=0 THEN 'owner code error' WHEN length(num)<7 THEN kind ELSE coalesce(won.kind, kind) END AS info FROM c6)"""
+
+
+@query(oracle("READ", _REPAIRED + " SELECT * FROM rp"))
 def repaired_codes(spark, sf_dir):
     return R.repair_codes(fixture(spark, sf_dir, "READ").select(F.col("text").alias("code")).distinct(), _candidates(spark, sf_dir))
 
