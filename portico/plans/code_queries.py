@@ -155,20 +155,24 @@ def plate_pass(spark, sf_dir):
     return fusion.plate_pass(good)
 
 
-@query(oracle("READ", f"""
+#: The repair of each distinct size-type, as table sr.
+_SIZE_REPAIR = f"""
 , dm(code,place) AS (VALUES {", ".join(f"('{r[0]}',{i})" for i, r in enumerate(dim.SIZE_TYPES))}),
 dp AS (SELECT DISTINCT code, place, unnest([code,substr(code,2),code[1]||substr(code,3),substr(code,1,2)||code[4],substr(code,1,3)]) AS fragment FROM dm),
 c AS (SELECT fragment, code AS candidate, row_number() OVER (PARTITION BY fragment ORDER BY place)-1 AS rank FROM dp WHERE regexp_full_match(fragment,'{"|".join("".join(x) for n in (3, 4) for x in itertools.combinations(C.LIVE, n))}')),
 d AS (SELECT DISTINCT size_text AS code FROM f_read),
 f AS (SELECT d.code, list(c.candidate ORDER BY c.rank) FILTER (c.candidate IS NOT NULL) AS l FROM d LEFT JOIN c ON c.fragment=d.code GROUP BY d.code),
 f4 AS (SELECT d.code, min_by(c.candidate,c.rank) AS x FROM d JOIN c ON c.fragment=substr(d.code,1,4) GROUP BY d.code),
-f3 AS (SELECT d.code, min_by(c.candidate,c.rank) AS x FROM d JOIN c ON c.fragment=substr(d.code,1,3) GROUP BY d.code)
-SELECT f.code, CASE WHEN f.code IN ({_LIST}) THEN f.code WHEN l IS NOT NULL AND length(f.code)=3 AND list_contains(l,f.code||'1') THEN f.code||'1'
+f3 AS (SELECT d.code, min_by(c.candidate,c.rank) AS x FROM d JOIN c ON c.fragment=substr(d.code,1,3) GROUP BY d.code),
+sr AS (SELECT f.code, CASE WHEN f.code IN ({_LIST}) THEN f.code WHEN l IS NOT NULL AND length(f.code)=3 AND list_contains(l,f.code||'1') THEN f.code||'1'
  WHEN l IS NOT NULL AND length(f.code)=3 AND f.code[1]='2' AND list_contains(l,'2'||f.code) THEN '2'||f.code
  WHEN l IS NOT NULL AND length(f.code)=3 AND f.code[1]='5' AND list_contains(l,'4'||f.code) THEN '4'||f.code
  WHEN l IS NOT NULL THEN l[1] WHEN f4.x IS NOT NULL THEN f4.x WHEN f3.x IS NOT NULL THEN f3.x WHEN length(f.code)=4 THEN f.code ELSE '22G1' END AS repaired,
  CASE WHEN f.code IN ({_LIST}) THEN 1 WHEN l IS NOT NULL OR f4.x IS NOT NULL OR f3.x IS NOT NULL THEN 2 ELSE 0 END AS flag
-FROM f LEFT JOIN f4 ON f4.code=f.code LEFT JOIN f3 ON f3.code=f.code"""))
+FROM f LEFT JOIN f4 ON f4.code=f.code LEFT JOIN f3 ON f3.code=f.code)"""
+
+
+@query(oracle("READ", _SIZE_REPAIR + " SELECT * FROM sr"))
 def size_type_repair(spark, sf_dir):
     distinct = fixture(spark, sf_dir, "READ").select(F.col("size_text").alias("code")).distinct()
     return fusion.repair_size_types(distinct, dim.size_candidates(spark))

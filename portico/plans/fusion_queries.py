@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import codes as C
 from ..operators import dimensions as dim
 from ..operators import recognise as R
-from .code_queries import _COMPLETE, _HEAD, _NUMBER, _VALID, _VOTE
+from .code_queries import _COMPLETE, _HEAD, _NUMBER, _SIZE_REPAIR, _VALID, _VOTE
 from .fixtures import fixture, oracle
 from .registry import query
 
@@ -91,9 +91,34 @@ def repaired_codes(spark, sf_dir):
     return R.repair_codes(fixture(spark, sf_dir, "READ").select(F.col("text").alias("code")).distinct(), _candidates(spark, sf_dir))
 
 
-@query()
+_WHOLE = "".join((C.FIRST, C.SECOND, C.THIRD, C.FOURTH))
+_VOTES = f""", vr AS (SELECT pass_id, text AS code, seq AS o, repaired, flag, {_HEAD('text')} AS head, substr({_NUMBER('text')},1,6) AS six, {_VALID('text')} AS valid FROM f_read JOIN rp ON rp.code=f_read.text WHERE text<>''),
+vo AS (SELECT *, regexp_full_match(head,'[A-Za-z]{{3}}U') AS owner_ok, regexp_full_match(six,'[0-9]{{6}}') AS number_ok, {_COMPLETE('(head||six)')} AS whole FROM vr),
+vs AS (SELECT pass_id, code, 0.0::DOUBLE AS w, 'read' AS kind, o*4 AS o FROM vo
+ UNION ALL SELECT pass_id, CASE WHEN valid OR (owner_ok AND number_ok AND length(code)=11) THEN code WHEN owner_ok AND number_ok THEN whole ELSE repaired END,
+  CASE WHEN valid THEN {R.VALID} WHEN owner_ok AND number_ok AND length(code)=11 THEN {R.FORMED} WHEN owner_ok AND number_ok THEN {R.COMPLETED} WHEN flag<>0 THEN {R.REPAIRED} ELSE 0 END,
+  CASE WHEN valid THEN 'good' WHEN owner_ok AND number_ok AND length(code)=11 THEN 'voted' WHEN owner_ok AND number_ok THEN 'repair' WHEN flag<>0 THEN 'repair' ELSE 'read' END, o*4+1 FROM vo
+ UNION ALL SELECT pass_id, whole, {R.COMPLETION}, 'read', o*4+2 FROM vo WHERE NOT valid AND owner_ok AND number_ok AND length(code)=11
+ UNION ALL SELECT a.pass_id, {_COMPLETE('(a.part||b.part)')}, {R.COMPOSED}, 'repair', 1099511627776 FROM
+  (SELECT pass_id, max_by(part,(n,-o)) AS part FROM (SELECT pass_id, head AS part, count(*) FILTER (NOT number_ok) AS n, min(o) AS o FROM vo WHERE owner_ok GROUP BY pass_id, head) z GROUP BY pass_id HAVING max(n)>0) a JOIN
+  (SELECT pass_id, max_by(part,(n,-o)) AS part FROM (SELECT pass_id, six AS part, count(*) FILTER (NOT owner_ok) AS n, min(o) AS o FROM vo WHERE number_ok GROUP BY pass_id, six) z GROUP BY pass_id HAVING max(n)>0) b ON a.pass_id=b.pass_id),
+vt AS (SELECT pass_id, code, round(sum(w),9) AS w, min(o) AS o, bool_or(kind='good') AS good, bool_or(kind='voted') AS voted, bool_or(kind='repair') AS repair FROM vs GROUP BY pass_id, code),
+vf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pass_id ORDER BY w DESC, o) AS k FROM vt) z WHERE k=1),
+vg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pass_id ORDER BY w DESC, o) AS k FROM (SELECT pass_id, code, CASE WHEN good THEN w+1 ELSE w END AS w, o, good, voted, repair FROM vt WHERE pass_id IN (SELECT pass_id FROM vf WHERE voted)) y) z WHERE k=1),
+vh AS (SELECT * FROM vg UNION ALL SELECT * FROM vf WHERE pass_id NOT IN (SELECT pass_id FROM vg)),
+al AS (SELECT pass_id, any_value(repaired) AS repaired, any_value(flag) AS flag FROM vr GROUP BY pass_id HAVING count(*)=1),
+fc AS (SELECT vh.pass_id, CASE WHEN al.pass_id IS NOT NULL THEN al.repaired ELSE vh.code END AS code, CASE WHEN al.pass_id IS NOT NULL THEN al.flag WHEN good THEN 1 WHEN voted THEN -1 WHEN repair THEN 2 ELSE 0 END AS outcome,
+ CASE WHEN al.pass_id IS NULL THEN w WHEN al.flag=1 THEN 1.0 WHEN al.flag=2 THEN 0.5 ELSE 0 END AS score FROM vh LEFT JOIN al ON al.pass_id=vh.pass_id)""" + _SIZE_REPAIR.replace(", c AS (", ", szc AS (").replace("\nc AS (", "\nszc AS (").replace("JOIN c ON", "JOIN szc c ON").replace("\nd AS (", "\nszd AS (").replace("FROM d ", "FROM szd d ").replace("\nf AS (", "\nszf AS (").replace("FROM f LEFT", "FROM szf f LEFT") + f""",
+sz AS (SELECT pass_id, size_text AS code, CASE WHEN flag=1 OR regexp_full_match(size_text,'{_WHOLE}') THEN {R.VALID} ELSE 0 END AS w, seq*2 AS o FROM f_read JOIN sr ON sr.code=size_text
+ UNION ALL SELECT pass_id, repaired, CASE WHEN NOT (flag=1 OR regexp_full_match(size_text,'{_WHOLE}')) AND flag=2 THEN {R.REPAIRED} ELSE 0 END, seq*2+1 FROM f_read JOIN sr ON sr.code=size_text),
+sy AS (SELECT pass_id, code, round(sum(w),9) AS w, min(o) AS o FROM sz GROUP BY pass_id, code),
+fs AS (SELECT pass_id, code AS size_type, w AS size_score FROM (SELECT *, row_number() OVER (PARTITION BY pass_id ORDER BY w DESC, o) AS k FROM sy) z WHERE k=1)"""
+
+
+@query(oracle("READ", _REPAIRED + _VOTES + " SELECT coalesce(fc.pass_id, fs.pass_id) AS pass_id, fc.code, CAST(outcome AS INT) AS outcome, round(score,6) AS score, size_type, round(size_score,6) AS size_score FROM fc FULL JOIN fs ON fs.pass_id=fc.pass_id"))
 def fused_codes(spark, sf_dir):
-    return R.fuse_pass_codes(fixture(spark, sf_dir, "READ"), _candidates(spark, sf_dir), dim.size_candidates(spark))
+    fused = R.fuse_pass_codes(fixture(spark, sf_dir, "READ"), _candidates(spark, sf_dir), dim.size_candidates(spark))
+    return fused.withColumns({"score": F.round("score", 6), "size_score": F.round("size_score", 6)})
 
 
 _SPLIT = f""", rd AS (SELECT pass_id-pass_id%2 AS pass_id, seq*2+pass_id%2 AS seq, {_COMPLETE('text')} AS text FROM f_read), rk AS (SELECT *, row_number() OVER (PARTITION BY pass_id ORDER BY seq, text) AS k FROM rd WHERE text<>''),
