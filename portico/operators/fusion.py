@@ -140,8 +140,9 @@ def _shared_keys(n: Column, head: Column, apart: Column) -> Column:
 
 
 def match_against(codes: DataFrame, expected: DataFrame, code: str, reference: str) -> DataFrame:
-    """code, matched, found: the first expected code by rank that matches, else null.
+    """code, matched, found, distance: the first expected code by rank that matches, else null, and the edits to it.
 
+    Where nothing matches, the distance is that to the last expected code, and null without any.
     Numbers match by keys that say where they were changed, so that equal keys are a match: no edit
     distance is computed and of each key only the lowest rank is kept before the join. Rows grow with
     the codes, not with their pairs. Keys are made for lengths that the other side has; there are no
@@ -167,7 +168,9 @@ def match_against(codes: DataFrame, expected: DataFrame, code: str, reference: s
     # Several expected codes may share a rank: the first that matches.
     named = best.join(expected.select(reference, "rank"), "rank").filter(C.code_matches(code, reference))
     first = named.groupBy(code).agg(F.min(reference).alias("matched"))
-    return codes.select(code).join(first, code, "left").withColumn("found", F.col("matched").isNotNull())
+    last = expected.agg(F.max_by(reference, F.struct("rank", reference)).alias("__last"))
+    out = codes.select(code).join(first, code, "left").withColumn("found", F.col("matched").isNotNull()).crossJoin(F.broadcast(last))  # one row
+    return out.withColumn("distance", C.code_distance(F.col(code), F.coalesce("matched", "__last"))).drop("__last")
 
 
 def pick_nearest(tokens: DataFrame, key: str, least: float | None = None) -> DataFrame:

@@ -192,8 +192,9 @@ e AS (SELECT true_code, {_HEAD('true_code')} AS h, {_NUMBER('true_code')} AS n,
 p AS (SELECT text, true_code, rank FROM a JOIN e ON a.h=e.h WHERE levenshtein(a.n,e.n)<=2
  UNION SELECT text, true_code, rank FROM a JOIN e ON substr(a.n,1,3)=substr(e.n,1,3) WHERE levenshtein(a.n,e.n)<=1
  UNION SELECT text, true_code, rank FROM a JOIN e ON right(a.n,3)=right(e.n,3) WHERE levenshtein(a.n,e.n)<=1),
-m AS (SELECT text, min_by(true_code,(rank,true_code)) AS matched FROM p GROUP BY text)
-SELECT a.text, m.matched, m.matched IS NOT NULL AS found FROM a LEFT JOIN m ON m.text=a.text"""))
+m AS (SELECT text, min_by(true_code,(rank,true_code)) AS matched FROM p GROUP BY text),
+z AS (SELECT a.text, m.matched, coalesce(m.matched, (SELECT max_by(true_code,(rank,true_code)) FROM e)) AS ref FROM a LEFT JOIN m ON m.text=a.text)
+SELECT text, matched, matched IS NOT NULL AS found, CAST(levenshtein({_HEAD('text')},{_HEAD('ref')})+levenshtein({_NUMBER('text')},{_NUMBER('ref')}) AS INT) AS distance FROM z"""))
 def fuzzy_reconciliation(spark, sf_dir):
     r = fixture(spark, sf_dir, "READ")
     expected = r.groupBy("true_code").agg(F.min("pass_id").alias("rank"))

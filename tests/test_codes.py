@@ -81,6 +81,10 @@ def test_reconciliation_like_all_pairs(spark, rng):
     want = {a: min(((k, b) for b, k in right if matches(a, b)), default=(0, None))[1] for a in left}
     got = fusion.match_against(spark.createDataFrame([(x,) for x in left], "code string"), spark.createDataFrame(right, "ref string, rank int"), "code", "ref").collect()
     assert {r["code"]: r["matched"] for r in got} == want
+    last = max((k, b) for b, k in right)[1]  # what an unmatched code is compared with in the end
+    for r in got:
+        a, b = split(r["code"]), split(last if r["matched"] is None else r["matched"])
+        assert r["distance"] == distance(a[0], b[0]) + distance(a[1], b[1])
 
 
 def test_vote_like_a_plain_count(spark):
