@@ -28,7 +28,32 @@ def stitched_tokens(spark, sf_dir):
     return out.select("frame_id", F.array_join(F.transform("tokens", lambda t: t["text"]), ",").alias("joined"))
 
 
-@query()
+_LIVE = "".join(C.LIVE)
+
+
+def _vote_of(name: str, column: str) -> str:
+    """The vote over lists of texts; in the last place missing characters don't count."""
+    return f""", {name}l AS (SELECT pass_id, unnest(range(1,len({column})+1)) AS seq, unnest({column}) AS t FROM gd), {name}m AS (SELECT pass_id, max(length(t)) AS n FROM {name}l WHERE t<>'' GROUP BY pass_id),
+{name}c AS (SELECT l.pass_id, p, n, substr(t,CAST(p AS INT),1) AS ch, count(*) AS k, min(seq) AS first FROM {name}l l JOIN {name}m m ON m.pass_id=l.pass_id, LATERAL (SELECT unnest(range(1,m.n+1)) AS p) u WHERE t<>'' GROUP BY l.pass_id, p, n, ch),
+{name} AS (SELECT pass_id, string_agg(ch,'' ORDER BY p) AS voted FROM (SELECT *, row_number() OVER (PARTITION BY pass_id,p ORDER BY k DESC, first) AS r FROM {name}c WHERE NOT (p=n AND ch='')) z WHERE r=1 GROUP BY pass_id)"""
+
+
+#: Tokens of a pass in order, split codes joined, then what is scored about as high as the last one accepted.
+_GATED = f""", tk AS (SELECT pass_id, seq, {{'t': text, 's': CAST(score AS DOUBLE)}} AS whole, {{'t': substr(text,1,4), 's': CAST(score AS DOUBLE)}} AS head, {{'t': substr(text,5), 's': CAST(score AS DOUBLE)}} AS number, {{'t': size_text, 's': CAST(score AS DOUBLE)}} AS size, {{'t': 'XYZU', 's': CAST(score AS DOUBLE)}} AS other FROM f_read),
+tl AS (SELECT pass_id, flatten(list(CASE WHEN seq%3=1 AND pass_id%5=0 THEN [other, head, number, size] WHEN seq%3=0 THEN [whole, size] WHEN seq%3=1 THEN [head, number, size] ELSE [size, number, head] END ORDER BY seq)) AS ts FROM tk GROUP BY pass_id),
+st AS (SELECT pass_id, ts, 0 AS k, CAST([] AS STRUCT(t VARCHAR, s DOUBLE)[]) AS outs, '' AS head, '' AS digits FROM tl UNION ALL
+ SELECT pass_id, ts, k+1, CASE WHEN emit THEN list_append(outs, {{'t': CASE WHEN is_head THEN ts[k+1].t||digits ELSE head||ts[k+1].t END, 's': ts[k+1].s}}) ELSE outs END, CASE WHEN is_head AND NOT emit THEN ts[k+1].t ELSE '' END, CASE WHEN is_digits THEN head||ts[k+1].t ELSE '' END FROM (
+  SELECT *, (is_head AND digits<>'') OR (NOT is_head AND NOT is_digits) AS emit FROM (
+   SELECT *, NOT is_head AND regexp_full_match(head||ts[k+1].t,'[0-9]{{6,7}}') AS is_digits FROM (SELECT *, length(ts[k+1].t)=4 AND contains(ts[k+1].t,'U') AS is_head FROM st WHERE k<len(ts)) a) b) c),
+so AS (SELECT pass_id, outs FROM st WHERE k=len(ts)),
+ga AS (SELECT pass_id, outs, 0 AS k, CAST([] AS VARCHAR[]) AS codes, 0.0::DOUBLE AS bc, CAST([] AS VARCHAR[]) AS sizes, 0.0::DOUBLE AS bs FROM so UNION ALL
+ SELECT pass_id, outs, k+1, CASE WHEN is_code THEN list_append(codes, outs[k+1].t) ELSE codes END, CASE WHEN is_code THEN outs[k+1].s ELSE bc END, CASE WHEN is_size THEN list_append(sizes, outs[k+1].t) ELSE sizes END, CASE WHEN is_size THEN outs[k+1].s ELSE bs END FROM (
+  SELECT *, regexp_full_match(outs[k+1].t,'[A-Za-z]{{3}}U[0-9]*|[A-Za-z]{{2}}U[0-9]+|[A-Za-z]U[0-9]+|U[0-9]+') AND length(outs[k+1].t)>5 AND outs[k+1].s>bc-0.1::DOUBLE AS is_code, regexp_full_match(outs[k+1].t,'{_LIVE}') AND outs[k+1].s>bs-0.1::DOUBLE AS is_size FROM ga WHERE k<len(outs)) a),
+gd AS (SELECT pass_id, codes, sizes FROM ga WHERE k=len(outs))""" + _vote_of("vc", "codes") + _vote_of("vz", "sizes") + f""",
+fr AS (SELECT gd.pass_id AS frame_id, {_COMPLETE('vc.voted')} AS code, vz.voted AS size_type FROM gd LEFT JOIN vc ON vc.pass_id=gd.pass_id LEFT JOIN vz ON vz.pass_id=gd.pass_id)"""
+
+
+@query(oracle("READ", _GATED + " SELECT frame_id, CASE WHEN length(code)=11 THEN code ELSE '' END AS code, CASE WHEN length(size_type)=4 THEN size_type ELSE '' END AS size_type FROM fr").replace("WITH ", "WITH RECURSIVE ", 1))
 def frame_results(spark, sf_dir):
     passes = _frames(spark, sf_dir).groupBy("pass_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", "tokens"))), lambda x: x["tokens"])).alias("tokens"))
     stitched = R.stitch_tokens(passes.withColumnRenamed("pass_id", "frame_id"))
