@@ -237,15 +237,20 @@ _CODE, _PLATE = "'ABCU'||lpad(CAST(seg AS {STR}),7,'0')", "'冀A'||lpad(CAST(seg
 _VIEWS = {"left": ("sides", "side"), "right": ("sides", "side"), "front": ("faces", "face"), "rear": ("faces", "face")}
 
 
-@query(oracle("OBS", _LANES + ", anc AS (SELECT * FROM sides WHERE side='top')" + "".join(_attached(f"a_{v}", t, "b.seg", f"b.{c}='{v}'") for v, (t, c) in _VIEWS.items())
-  + _attached("a_code", "faces", _CODE.format(STR="VARCHAR").replace("seg", "b.seg"), "b.face='rear'") + _attached("a_plate", "faces", _PLATE.format(STR="VARCHAR").replace("seg", "b.seg"), "b.face='front'") + """
+#: Readings have times of their own: they begin and end some time after the pass that they were made from, and some passes have none.
+_READ_AT = ", rdc AS (SELECT lane, face, seg, start_ts + INTERVAL 40 MINUTE AS start_ts, end_ts + INTERVAL 25 MINUTE AS end_ts FROM faces WHERE seg%5<>0 AND start_ts + INTERVAL 40 MINUTE <= end_ts + INTERVAL 25 MINUTE)"
+
+
+@query(oracle("OBS", _LANES + _READ_AT + ", anc AS (SELECT * FROM sides WHERE side='top')" + "".join(_attached(f"a_{v}", t, "b.seg", f"b.{c}='{v}'") for v, (t, c) in _VIEWS.items())
+  + _attached("a_code", "rdc", _CODE.format(STR="VARCHAR").replace("seg", "b.seg"), "b.face='rear'") + _attached("a_plate", "rdc", _PLATE.format(STR="VARCHAR").replace("seg", "b.seg"), "b.face='front'") + """
 SELECT anc.lane, anc.pass_no, l.v AS seg_left, r.v AS seg_right, f.v AS seg_front, e.v AS seg_rear, c.v AS code, p.v AS plate, l.v IS NOT NULL AND r.v IS NOT NULL AND f.v IS NOT NULL AND e.v IS NOT NULL AS complete
 FROM anc LEFT JOIN a_left l USING (lane,pass_no) LEFT JOIN a_right r USING (lane,pass_no) LEFT JOIN a_front f USING (lane,pass_no) LEFT JOIN a_rear e USING (lane,pass_no) LEFT JOIN a_code c USING (lane,pass_no) LEFT JOIN a_plate p USING (lane,pass_no)"""))
 def vehicle_records(spark, sf_dir):
     sides, faces = _lanes(spark, sf_dir)
     part = lambda df, v: df.filter(F.col("direction") == v).select("lane", "start_ts", "end_ts", "seg")
     views = {v: part(sides if t == "sides" else faces, v) for v, (t, _) in _VIEWS.items()}
-    read = {"ocr": (views["rear"].withColumn("code", F.expr(_CODE.format(STR="STRING"))), ["code"]), "plate": (views["front"].withColumn("plate", F.expr(_PLATE.format(STR="STRING"))), ["plate"])}
+    later = lambda df: df.filter("seg % 5 <> 0").withColumns({"start_ts": F.expr("start_ts + interval 40 minutes"), "end_ts": F.expr("end_ts + interval 25 minutes")}).filter("start_ts <= end_ts")
+    read = {"ocr": (later(views["rear"]).withColumn("code", F.expr(_CODE.format(STR="STRING"))), ["code"]), "plate": (later(views["front"]).withColumn("plate", F.expr(_PLATE.format(STR="STRING"))), ["plate"])}
     anchors = sides.filter("direction = 'top'").select("lane", "pass_no", "start_ts", "end_ts")
     return P.vehicle_records(anchors, views, read).drop("start_ts", "end_ts")
 
