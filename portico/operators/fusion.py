@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,45 +23,136 @@ def decode_size_types(readings: DataFrame, dimension: DataFrame, code: str = "si
     return out.withColumns({"length_feet": C.decoded(code, "length"), "second_size": C.decoded(code, "height"), "type_group": C.decoded(code, "group")})
 
 
-def positional_vote(readings: DataFrame, key: str, text: str, order: str, blank_last: bool = True) -> DataFrame:
+class _Cells:
+    """Votes of keys numbered from 0: key, place, character plus one (0: the end of a text, at its length), readings, first."""
+
+    def __init__(self, k: np.ndarray, p: np.ndarray, ch: np.ndarray, n: np.ndarray, first: np.ndarray):
+        self.columns = k, p, ch, n, first
+
+    @classmethod
+    def of(cls, k: np.ndarray, texts: pa.Array, n: np.ndarray, first: np.ndarray) -> _Cells:
+        """A null text ends before its first place."""
+        size = pc.fill_null(pc.utf8_length(texts), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        letters = np.frombuffer("".join(t for t in texts.to_pylist() if t).encode("utf-32-le"), np.uint32).astype(np.int64)
+        long = np.maximum(size, 0)
+        row = np.repeat(np.arange(len(size)), long)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(long) - long, long)
+        both = lambda x, y: np.concatenate([x, y])
+        return cls(both(k, k[row]), both(size, place), both(np.zeros(len(size), np.int64), letters + 1), both(n, n[row]), both(first, first[row]))
+
+    def __add__(self, other: _Cells) -> _Cells:
+        return _Cells(*[np.concatenate(x) for x in zip(self.columns, other.columns, strict=True)])
+
+    def where(self, ok: np.ndarray) -> _Cells:
+        return _Cells(*[x[ok] for x in self.columns])
+
+    def summed(self) -> _Cells:
+        k, p, ch, n, first = self.columns
+        order = np.lexsort((ch, p, k))
+        k, p, ch, n, first = (x[order] for x in (k, p, ch, n, first))
+        start = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (p[1:] != p[:-1]) | (ch[1:] != ch[:-1])]))
+        return _Cells(k[start], p[start], ch[start], np.add.reduceat(n, start), np.minimum.reduceat(first, start))
+
+    def voted(self, keys: int, blank_last: bool, most: int | None) -> list[str | None]:
+        """The vote of each key; the cells are summed. With ``most`` up to the end of the first text, and no more places."""
+        k, p, ch, n, first = self.columns
+        rank = np.unique(first, return_inverse=True)[1]
+        cut = np.full(keys, np.iinfo(np.int64).max)
+        none = np.zeros(keys, bool)
+        if most is not None:
+            ends = np.flatnonzero(ch == 0)
+            ends = ends[np.lexsort((p[ends], rank[ends], k[ends]))]
+            size = p[ends[np.searchsorted(k[ends], np.arange(keys))]]
+            none = (size < 0) & (np.bincount(k[ends], n[ends], keys) <= 2)
+            cut = np.where(size < 0, most, np.minimum(size, most))
+        end, letter = (ch == 0) & (p > 0), ch > 0
+        longest = np.zeros(keys, np.int64)
+        np.maximum.at(longest, k[end], p[end])
+        total = np.bincount(k[end], n[end], keys).astype(np.int64)
+        lk, lp, lc, ln, lr = (x[letter] for x in (k, p, ch, n, rank))
+        # Letters of a place are neighbours; the most frequent one comes first, then the first seen.
+        order = np.lexsort((lc, lr, -ln, lp, lk))
+        lk, lp, lc, ln, lr = (x[order] for x in (lk, lp, lc, ln, lr))
+        if len(lk):
+            start = np.flatnonzero(np.concatenate([[True], (lk[1:] != lk[:-1]) | (lp[1:] != lp[:-1])]))
+            said = np.add.reduceat(ln, start)
+            lk, lp, lc, ln, lr = (x[start] for x in (lk, lp, lc, ln, lr))
+            # When the first text was at its end: the least so far of each key, as later keys lie lower.
+            ranks, before = int(rank.max()) + 1, np.cumsum(longest + 1) - longest - 1
+            least = np.minimum.accumulate(rank[end] + (keys - k[end]) * ranks)
+            at = np.searchsorted(before[k[end]] + p[end], before[lk] + lp, "right") - 1
+            since = least[np.maximum(at, 0)] - (keys - lk) * ranks
+            blanks = total[lk] - said
+            blank = (blanks > 0) & ((blanks > ln) | ((blanks == ln) & (since < lr)))
+            if not blank_last:
+                blank &= lp < longest[lk] - 1
+            left = ~blank & (lp < cut[lk])
+            lk, lc = lk[left], lc[left]
+        text = (lc - 1).astype("<u4").tobytes().decode("utf-32-le")
+        to = np.cumsum(np.bincount(lk, minlength=keys)).tolist()
+        return [None if no else text[i:j] for i, j, no in zip([0, *to], to, none.tolist(), strict=False)]
+
+
+def _voted(readings: DataFrame, keys: list[str], text: str, order: str, blank_last: bool, most: int | None) -> DataFrame:
+    """keys, voted. Equal texts of a key are counted first; of the key that a task is at it holds one row per place and character."""
+    spark = readings.sparkSession
+    names = [f"__k{i}" for i in range(len(keys))]
+    counted = readings.groupBy(*[F.col(c).alias(n) for n, c in zip(names, keys, strict=True)], F.col(text).alias("__t")).agg(F.count("*").alias("__n"), F.min(order).alias("__first"))
+    dealt = counted.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), names[0]).sortWithinPartitions(*names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = held = None  # the key that may go on in the next batch, and its cells
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = [batch.column(i) for i in range(len(names))]
+            seen = [pa.concat_arrays([x, y]) for x, y in zip(last, own, strict=True)] if last else own
+            new = np.zeros(len(seen[0]), bool)
+            for x in seen:
+                there = np.asarray(x.is_valid().to_numpy(zero_copy_only=False))
+                new[1:] |= pc.fill_null(pc.not_equal(x[1:], x[:-1]), False).to_numpy(zero_copy_only=False) | (there[1:] != there[:-1])
+            at = np.cumsum(new)
+            begin = np.concatenate([[0], np.flatnonzero(new)])
+            column = lambda name: batch.column(batch.schema.get_field_index(name))
+            cells = _Cells.of(at[len(at) - batch.num_rows :], column("__t"), column("__n").to_numpy(zero_copy_only=False), column("__first").to_numpy(zero_copy_only=False))
+            cells = (held + cells if last else cells).summed()
+            k, keep = cells.columns[0], int(at[-1])
+            if keep:
+                yield pa.RecordBatch.from_arrays([*[x.take(pa.array(begin[:-1])) for x in seen], pa.array(cells.where(k < keep).voted(keep, blank_last, most), pa.string())], names=[*names, "voted"])
+            last, held = [x[len(x) - 1 :] for x in seen], cells.where(k == keep)
+            held.columns[0][:] = 0
+        if last:
+            yield pa.RecordBatch.from_arrays([*last, pa.array(held.voted(1, blank_last, most), pa.string())], names=[*names, "voted"])
+
+    kinds = ", ".join(f"{n} {dealt.schema[n].dataType.simpleString()}" for n in names)
+    return dealt.mapInArrow(run, f"{kinds}, voted string").withColumnsRenamed(dict(zip(names, keys, strict=True)))
+
+
+def positional_vote(readings: DataFrame, key: str | list[str], text: str, order: str, blank_last: bool = True) -> DataFrame:
     """key, voted: at every position the most frequent character, the first seen on ties.
 
     Readings that are too short vote blank; with ``blank_last`` off they do not at the last position.
-    Counting starts in the map tasks: what is shuffled is one row per pass, position and character,
-    however many readings a pass has, and then one array of those per pass.
+    Counting of equal readings starts in the map tasks; a task takes its passes in turn and holds one row
+    per position and character, however many readings a pass has. With several keys the first one deals the rows.
     """
-    # A reading votes its characters and marks behind its end where its blanks begin.
-    said = readings.filter(F.length(text) > 0).select(key, F.col(order).alias("o"), F.concat(F.split(text, ""), F.array(F.lit(""))).alias("c"))
-    counted = said.select(key, "o", F.posexplode("c").alias("p", "ch")).groupBy(key, "p", "ch").agg(F.count("*").alias("n"), F.min("o").alias("first"))
-    votes = counted.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("p", (-F.col("n")).alias("m"), "first", "ch"))).alias("v"))
-    v, longest = F.col("v"), F.element_at("v", -1)["p"]
-    total = lambda found: -F.aggregate(found, F.lit(0).cast("long"), lambda n, x: n + x["m"])
-    letters = lambda p: F.filter(v, lambda x: (x["p"] == p) & (x["ch"] != ""))
-
-    def best(p: Column) -> Column:
-        top = F.get(letters(p), F.lit(0))
-        blanks = total(letters(F.lit(0))) - total(letters(p))
-        since = F.array_min(F.transform(F.filter(v, lambda x: (x["ch"] == "") & (x["p"] <= p)), lambda x: x["first"]))
-        blank = (blanks > 0) & ((blanks > -top["m"]) | ((blanks == -top["m"]) & (since < top["first"])))
-        return F.when(blank if blank_last else blank & (p < longest - 1), "").otherwise(top["ch"])
-
-    return votes.select(key, F.array_join(F.transform(F.sequence(F.lit(0), longest - 1), best), "").alias("voted"))
+    return _voted(readings.filter(F.length(text) > 0), [key] if isinstance(key, str) else key, text, order, blank_last, None)
 
 
 def vote_code(readings: DataFrame, key: str, text: str, order: str, most: int = 10) -> DataFrame:
     """key, voted: the vote over the first reading's positions, ``most`` of them; up to two readings give the first."""
-    first = readings.groupBy(key).agg(F.min_by(text, order).alias("first"), F.count("*").alias("k"))
-    n = F.least(F.length("first"), F.lit(most))
-    voted = positional_vote(readings.join(first.select(key, n.alias("n")), key).withColumn("t", F.substring(F.col(text), F.lit(1), F.col("n"))), key, "t", order)
-    cut = F.substring(F.col("first"), F.lit(1), n)
-    return first.join(voted, key, "left").select(key, F.when(F.col("k") <= 2, cut).otherwise(F.coalesce("voted", F.lit(""))).alias("voted"))
+    return _voted(readings, [key], text, order, True, most)
+
+
+def stacked_votes(readings: DataFrame, key: str, texts: list[Column], order: str, blank_last: bool = True) -> DataFrame:
+    """key and v0, v1, ...: votes over several texts of a reading, apart, in one run; null where none was read."""
+    rows = readings.select(key, order, F.posexplode(F.array(*texts)).alias("__kind", "__text"))
+    voted = positional_vote(rows, [key, "__kind"], "__text", order, blank_last)
+    return voted.groupBy(key).agg(*[F.max(F.when(F.col("__kind") == i, F.col("voted"))).alias(f"v{i}") for i in range(len(texts))])
 
 
 def pass_vote(readings: DataFrame) -> DataFrame:
     """Number and size-type of each pass, voted apart over non-empty parts."""
-    number = positional_vote(readings, "pass_id", "text", "seq").withColumnRenamed("voted", "number")
-    size = positional_vote(readings, "pass_id", "size_text", "seq").withColumnRenamed("voted", "size_type")
-    both = number.join(size, "pass_id", "full_outer")
+    both = stacked_votes(readings, "pass_id", [F.col("text"), F.col("size_text")], "seq").withColumnsRenamed({"v0": "number", "v1": "size_type"})
     return both.select("pass_id", F.concat(F.coalesce("number", F.lit("")), F.coalesce("size_type", F.lit(""))).alias("voted"), "number", "size_type")
 
 
