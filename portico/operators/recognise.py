@@ -30,7 +30,7 @@ def stitch_tokens(frames: DataFrame, key: str = "frame_id") -> DataFrame:
     def step(acc: Column, t: Column) -> Column:
         text = F.concat(acc["head"], t["text"])
         is_head = (F.length(t["text"]) == 4) & F.contains(t["text"], F.lit("U"))
-        is_digits = ~is_head & text.rlike("^[0-9]{6,7}$")
+        is_digits = ~is_head & F.length(text).between(6, 8) & text.rlike("^[0-9]{6,7}$")  # the length first: it spares most searches
         done = F.when(is_head, F.concat(t["text"], acc["digits"])).otherwise(text)
         emit = (is_head & (acc["digits"] != "")) | (~is_head & ~is_digits)
         return F.struct(
@@ -48,9 +48,8 @@ def gate_readings(frames: DataFrame, key: str = "frame_id", slack: float = 0.1)
     add = lambda kept, ok, t: F.when(ok, F.concat(kept, F.array(t["text"]))).otherwise(kept)
 
     def step(acc: Column, t: Column) -> Column:
-        part = C.code_flags(t["text"])["is_part"]
-        code = part & (F.length(t["text"]) > 5) & (t["score"] > acc["best_code"] - slack)
-        size = C.is_live_size_type(t["text"]) & (t["score"] > acc["best_size"] - slack)
+        code = (F.length(t["text"]) > 5) & (t["score"] > acc["best_code"] - slack) & C.code_flags(t["text"])["is_part"]
+        size = F.length(t["text"]).between(4, 5) & (t["score"] > acc["best_size"] - slack) & C.is_live_size_type(t["text"])
         return F.struct(
             add(acc["codes"], code, t).alias("codes"), F.when(code, t["score"]).otherwise(acc["best_code"]).alias("best_code"),
             add(acc["sizes"], size, t).alias("sizes"), F.when(size, t["score"]).otherwise(acc["best_size"]).alias("best_size"),
@@ -64,11 +63,12 @@ def frame_result(gated: DataFrame, key: str = "frame_id") -> DataFrame:
     """key, code, size_type: votes of the gated texts, the check digit set, blank unless of full length."""
     from .fusion import positional_vote
 
-    def vote(column: str) -> DataFrame:
-        rows = gated.select(key, F.posexplode(column).alias("seq", "text"))
-        return positional_vote(rows, key, "text", "seq", blank_last=False).withColumnRenamed("voted", column)
-
-    both = gated.select(key).join(vote("codes"), key, "left").join(vote("sizes"), key, "left")
+    # One run of votes for both kinds; a blank of a third kind keeps frames that nothing was read in.
+    marked = lambda kind, texts: F.transform(texts, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("text")))
+    rows = gated.select(key, F.posexplode(F.concat(marked(0, "codes"), marked(1, "sizes"), marked(2, F.array(F.lit(" "))))).alias("seq", "r"))
+    voted = positional_vote(rows.select(key, "seq", "r.kind", "r.text"), [key, "kind"], "text", "seq", blank_last=False)
+    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("voted")))
+    both = voted.groupBy(key).agg(of(0).alias("codes"), of(1).alias("sizes"))
     code = C.complete_code("codes")
     return both.select(key, F.when(F.length(code) == 11, code).otherwise("").alias("code"), F.when(F.length("sizes") == 4, F.col("sizes")).otherwise("").alias("size_type"))
 
