@@ -227,8 +227,8 @@ SELECT 'both' AS kind, text FROM (SELECT text FROM a INTERSECT SELECT text FROM
 def shared_readings(spark, sf_dir):
     """Texts that were read in places of both kinds, and those read in even places only."""
     r = fixture(spark, sf_dir, "READ")
-    a, b = (r.filter(F.col("seq") % 2 == k).select("text") for k in (0, 1))
-    return a.intersect(b).select(F.lit("both").alias("kind"), "text").unionByName(a.exceptAll(a.intersect(b)).distinct().join(b, "text", "left_anti").select(F.lit("even").alias("kind"), "text"))
+    kinds = r.groupBy("text").agg(F.max(F.col("seq") % 2 == 0).alias("a"), F.max(F.col("seq") % 2 == 1).alias("b"))
+    return kinds.filter("a").select(F.when(F.col("b"), "both").otherwise("even").alias("kind"), "text")
 
 
 @query(oracle("READ", """, w AS (SELECT pass_id, min_by(text, seq) AS first, count(*) AS k FROM f_read GROUP BY pass_id),
