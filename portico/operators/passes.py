@@ -146,12 +146,18 @@ def complete_only(parts: DataFrame, key: list[str], required: list[str]) -> Data
     return kinds.filter(F.size(F.array_except(F.array(*map(F.lit, required)), "kinds")) == 0).select(*key)
 
 
+def vehicle_name(n: Column, prefix: str = "V") -> Column:
+    """prefix and the number in four digits, or in as many as it has."""
+    digits = n.cast("string")
+    return F.concat(F.lit(prefix), F.lpad(digits, F.greatest(F.length(digits), F.lit(4)), F.lit("0")))
+
+
 def number_vehicles(new: DataFrame, existing: DataFrame, prefix: str = "V") -> DataFrame:
-    """vehicle: prefix and a four-digit number that continues the largest of channel and day."""
+    """vehicle: prefix and a number of four digits or more that continues the largest of channel and day."""
     last = existing.groupBy("channel", "day").agg(F.max(F.regexp_extract("vehicle", "([0-9]+)$", 1).cast("int")).alias("last"))
     n = F.row_number().over(Window.partitionBy("channel", "day").orderBy("ts", "pass_no"))
     out = new.withColumn("__n", n).join(last, ["channel", "day"], "left")
-    return out.withColumn("vehicle", F.concat(F.lit(prefix), F.lpad((F.col("__n") + F.coalesce("last", F.lit(0))).cast("string"), 4, "0"))).drop("__n", "last")
+    return out.withColumn("vehicle", vehicle_name(F.col("__n") + F.coalesce("last", F.lit(0)), prefix)).drop("__n", "last")
 
 
 def archive_keys(df: DataFrame) -> DataFrame:

@@ -107,10 +107,10 @@ _PASS = _SEG + """, d AS (SELECT direction AS channel, row_number() OVER (PARTIT
 @query(oracle("OBS", _PASS + """, n AS (SELECT *, strftime(ts,'%y%m%d') AS day, strftime(ts,'%H%M%S') AS clock FROM d),
 e AS (SELECT channel, day, max(pass_no) AS last FROM n WHERE pass_no%4=0 GROUP BY channel, day),
 m AS (SELECT n.*, row_number() OVER (PARTITION BY n.channel, n.day ORDER BY ts, pass_no) AS k FROM n WHERE pass_no%4<>0)
-SELECT m.channel, m.day, m.clock, m.pass_no, 'V'||lpad(CAST(k+coalesce(last,0) AS VARCHAR),4,'0') AS vehicle FROM m LEFT JOIN e ON e.channel=m.channel AND e.day=m.day"""))
+SELECT m.channel, m.day, m.clock, m.pass_no, 'V'||CASE WHEN k+coalesce(last,0)<10000 THEN lpad(CAST(k+coalesce(last,0) AS VARCHAR),4,'0') ELSE CAST(k+coalesce(last,0) AS VARCHAR) END AS vehicle FROM m LEFT JOIN e ON e.channel=m.channel AND e.day=m.day"""))
 def vehicle_numbers(spark, sf_dir):
     p = P.archive_keys(P.passes(fixture(spark, sf_dir, "OBS")).select(F.col("direction").alias("channel"), "pass_no", F.col("start_ts").alias("ts")))
-    old = p.filter("pass_no % 4 = 0").select("channel", "day", F.concat(F.lit("V"), F.lpad(F.col("pass_no").cast("string"), 4, "0")).alias("vehicle"))
+    old = p.filter("pass_no % 4 = 0").select("channel", "day", P.vehicle_name(F.col("pass_no")).alias("vehicle"))
     return P.number_vehicles(p.filter("pass_no % 4 <> 0"), old).select("channel", "day", "clock", "pass_no", "vehicle")
 
 
