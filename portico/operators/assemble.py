@@ -106,14 +106,18 @@ def try_confusions(codes: DataFrame, owners: DataFrame) -> DataFrame:
     Letters are tried first, by place and preference. owners (owner) has 26**3 rows at most.
     """
     c = F.col("code")
-    swapped = lambda text, table, n: F.transform(_swapped(text, table, n), lambda x: x)
-    heads = F.transform(swapped(F.substring(c, 1, 3), LETTERS, 3), lambda x, i: F.struct(i.alias("rank"), F.concat(x, F.substring(c, F.lit(4), F.length(c))).alias("try"), F.lit(True).alias("letter")))
-    numbers = F.transform(swapped(F.substring(c, 5, 6), DIGITS, 6), lambda x, i: F.struct((i + 1000).alias("rank"), F.concat(F.substring(c, 1, 4), x, F.substring(c, F.lit(11), F.length(c))).alias("try"), F.lit(False).alias("letter")))
-    tries = codes.filter(~C.is_valid_code("code")).select("code", F.explode(F.concat(heads, numbers)).alias("t")).select("code", "t.*").filter(C.is_valid_code("try"))
+    # A changed character leaves a code as well formed as it was, and what it adds to the sum is known.
+    wrong = c.rlike("^[A-Z]{4}[0-9]{7}$") & ~C.is_valid_code("code")
+    right = lambda xs: F.filter(xs, lambda x: (F.col("__sum") + x["d"]) % 11 % 10 == F.col("__end"))
+    heads = F.transform(right(_swapped(F.substring(c, 1, 3), LETTERS, 3, 1)), lambda x, i: F.struct(i.alias("rank"), F.concat(x["s"], F.substring(c, F.lit(4), F.length(c))).alias("try"), F.lit(True).alias("letter")))
+    numbers = F.transform(right(_swapped(F.substring(c, 5, 6), DIGITS, 6, 5)), lambda x, i: F.struct((i + 1000).alias("rank"), F.concat(F.substring(c, 1, 4), x["s"], F.substring(c, F.lit(11), F.length(c))).alias("try"), F.lit(False).alias("letter")))
+    rows = codes.select("code", F.when(wrong, C.weighted_sum(c)).alias("__sum"), F.when(wrong, F.substring(c, 11, 1).try_cast("int")).alias("__end"))
+    tries = rows.select("code", F.explode_outer(F.when(F.col("__sum").isNotNull(), F.concat(heads, numbers))).alias("t")).select("code", "t.*")
     known = F.broadcast(owners.select(F.col("owner").alias("__owner")).distinct())
-    good = tries.join(known, F.substring("try", 1, 4) == F.col("__owner"), "left").filter(~F.col("letter") | F.col("__owner").isNotNull())
-    first = good.groupBy("code").agg(F.min_by("try", "rank").alias("fixed"))
-    return codes.select("code").join(first, "code", "left").select("code", F.coalesce("fixed", "code").alias("fixed"))
+    found = tries.join(known, F.substring("try", 1, 4) == F.col("__owner"), "left")
+    good = ~F.col("letter") | F.col("__owner").isNotNull()
+    first = found.groupBy("code").agg(F.min_by(F.when(good, F.col("try")), F.when(good, F.col("rank"))).alias("fixed"))
+    return first.select("code", F.coalesce("fixed", "code").alias("fixed"))
 
 
 def plate_mask_decode(rows: DataFrame, probs: str = "probs", provinces: dict[int, list[int]] | None = None, close: tuple[int, int, float] = CLOSE) -> DataFrame:

@@ -171,7 +171,7 @@ def plate_pass(readings: DataFrame, best: int = 3) -> DataFrame:
 
 
 def repair_size_types(codes: DataFrame, candidates: DataFrame, default: str = "22G1") -> DataFrame:
-    """code, repaired, flag (1 known, 2 repaired, 0 guessed) of distinct codes.
+    """codes with repaired and flag (1 known, 2 repaired, 0 guessed).
 
     candidates (fragment, rank, candidate) is a fixed list, so its three look-ups are broadcast.
     """
@@ -192,7 +192,7 @@ def repair_size_types(codes: DataFrame, candidates: DataFrame, default: str = "2
         .otherwise(F.coalesce(F.get("own", F.lit(0)), F.get("four", F.lit(0)), F.get("three", F.lit(0)), F.when(F.length(c) == 4, c), F.lit(default)))
     )
     found = F.col("own").isNotNull() | F.col("four").isNotNull() | F.col("three").isNotNull()
-    return out.select("code", repaired.alias("repaired"), F.when(known, 1).when(found, 2).otherwise(0).alias("flag"))
+    return out.select(*codes.columns, repaired.alias("repaired"), F.when(known, 1).when(found, 2).otherwise(0).alias("flag"))
 
 
 def _without(s: Column, i: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from portico.operators import fusion, passes
+from portico.operators import fusion, passes, recognise
 from portico.plans import QUERIES, fixtures
 
 
@@ -46,3 +46,31 @@ def test_readings_are_dealt_by_their_number(spark, monkeypatch):
     monkeypatch.setattr(fixtures, "LINES", 100)
     r = fixtures.fixture(spark, "/root/testdata/sf0.001", "READ")
     assert r.rdd.getNumPartitions() >= r.count() // 100
+
+
+def lines(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [l_")
+
+
+def test_repairs_read_lines_no_more_than_they_need(spark):
+    sf = "/root/testdata/sf0.001"
+    assert lines(QUERIES["fused_codes"](spark, sf)) == 1  # the size-types; the codes are in a table
+    assert lines(QUERIES["confused_codes"](spark, sf)) == 2  # codes and owners
+
+
+def test_repair_keeps_what_stands_beside_a_code(spark):
+    owners = spark.createDataFrame([("ABC", ["ABCU"])], "fragment string, owners array<string>")
+    codes = spark.createDataFrame([(1, "ABCU1234560", 4), (2, "ABCU1234560", 5), (2, None, 6)], "pass_id int, code string, n int")
+    got = recognise.repair_codes(codes, owners).drop("info").collect()
+    assert {(r["pass_id"], r["n"]) for r in got} == {(1, 4), (2, 5), (2, 6)} and len({(r["code"], r["repaired"], r["flag"]) for r in got}) == 2
+
+
+def test_short_passes_are_split_without_rounds(spark, monkeypatch):
+    rows = [(p, i, "".join("ABCDEFGHIJ"[(p + i * k) % 10] if (i + k) % 3 else "X" for k in range(8))) for p in range(20) for i in range(12)]
+    df = spark.createDataFrame(rows, "pass_id long, seq long, text string")
+    split = lambda: sorted(map(tuple, recognise.split_two(df).collect()))
+    with monkeypatch.context() as m:
+        m.setattr(recognise, "FOLDED", 5)
+        by_rounds = split()
+    monkeypatch.setattr(recognise, "_by_rounds", None)
+    assert split() == by_rounds and len(by_rounds) > 20
