@@ -118,7 +118,7 @@ SELECT doc_id, md5(translate(text,'ＡＢ０１　','AB01 ')) AS half, length(re
 def text_cleanup(spark, sf_dir):
     t = fixture(spark, sf_dir, "TEXTS")
     return t.select(
-        "doc_id", F.md5(C.to_half_width("text")).alias("half"), *[F.length(C.filter_vocabulary("text", k)).cast("long").alias(f"{k}_chars") for k in ("lower", "upper", "digit")],
+        "doc_id", F.md5(C.to_half_width("text")).alias("half"), *[C.vocabulary_length("text", k).cast("long").alias(f"{k}_chars") for k in ("lower", "upper", "digit")],
         F.md5(C.clean_name("text")).alias("cleaned"), C.has_cjk("text").alias("cjk"), C.text_width("text").cast("long").alias("width"),
     )
 

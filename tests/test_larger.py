@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from portico.functions import codes
 from portico.operators import fusion, passes, recognise
 from portico.plans import QUERIES, fixtures
 
@@ -74,3 +75,11 @@ def test_short_passes_are_split_without_rounds(spark, monkeypatch):
         by_rounds = split()
     monkeypatch.setattr(recognise, "_by_rounds", None)
     assert split() == by_rounds and len(by_rounds) > 20
+
+
+def test_vocabulary_lengths(spark):
+    df = spark.createDataFrame([("Ab 12-é漢İ\n",), ("kK\u212aÅ\u212bIı",), ("",), (None,), ("zZ9" * 50,)], "t string")
+    for kind in codes.VOCABULARIES:
+        for r in df.select(codes.vocabulary_length("t", kind).alias("a"), F.length(codes.filter_vocabulary("t", kind)).alias("b")).collect():
+            assert r["a"] == r["b"]
+    assert [r["w"] for r in df.select(codes.text_width("t").alias("w")).collect()] == [7, 5, 0, None, 75]
