@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,12 +33,24 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/portico-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, path: str) -> DataFrame:
-    """Write df under path and read it back: cuts lineage, survives lost executors."""
-    df.write.mode("overwrite").parquet(path)
+def keep(df: DataFrame, path: str, **options: str) -> DataFrame:
+    """Write df under path and read it back: cuts lineage, survives lost executors. options are the writer's."""
+    df.write.mode("overwrite").options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
+    """Jobs inside send ``most`` rows at a time to Python: a batch is counted by rows, so with large ones it is large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
     """Delete tables that ``keep`` wrote and that no DataFrame in use reads any more."""
     for path in paths:

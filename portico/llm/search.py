@@ -15,7 +15,8 @@ rows marks every document that has it, and some that don't. ``search`` answers a
 A query's terms are counted once each. A term weighs w = floor(1000 ln((2N+2)/(2df+1))); a document of
 n terms has m = 50 + 50nN div L, and scores the sum of w * (10^9 tf div (1000 tf + 20 m)).
 
-Blocks are written with their texts, so that scoring moves no text between tasks: all that is shuffled
+Blocks are written with their texts, in small row groups, and go to Python one at a time, so that a task
+holds some MB of them however large its file is. Scoring moves no text between tasks: all that is shuffled
 are frequencies of query terms and at most ``k`` rows of each query and task. Queries are taken
 ``ITEMS`` at a time (or fewer, if their texts are long); the driver holds one such block, its term
 weights and k candidates of each query; its answers are written before the next block.
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import keep, shared_dir, slices, table
+from .common import arrow_rows, keep, shared_dir, slices, table
 
 #: Fixed value: the characters that are no part of a term, as the body of a pattern's negated class.
 BREAKS = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
@@ -47,6 +48,12 @@ TOP = 50
 HASHES, BITS, DOCUMENTS, CELLS, ITEMS, ITEM_BYTES = 4, 12, 1024, 1 << 23, 256, 4 << 20
 #: Query terms whose slices are unpacked at a time.
 TERMS = 2048
+#: Keys of a block whose positions are marked at a time.
+KEYS = 1 << 16
+#: Texts and blocks that a task sends to Python at once. A block has up to some MB.
+TEXTS, BLOCKS = 64, 1
+#: The index's row groups end after some MB, whatever a block's size: the writer would look after a hundred rows only, and readers hold a group.
+WRITER = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.enable.dictionary": "false"}
 LAST = np.iinfo(np.int64).max  # stands for a null key, in the order of keys
 
 _LETTERS = bytes((b + 32 if 65 <= b <= 90 else b) if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -79,26 +86,44 @@ def positions(hashed: np.ndarray, at: np.ndarray | int, rows: int) -> np.ndarray
 BLOCK = "size int, rows int, top int, total long, keys binary, lengths binary, bits binary, vocabulary binary, frequencies binary, ids array<{key}>, texts array<string>"
 
 
+class _Open:
+    """A block that is being filled: a document's terms are numbers in its vocabulary, its counts are not held."""
+
+    def __init__(self):
+        self.docs, self.place, self.which, self.reach = [], {}, [], []
+
+    def add(self, o: int, key: object, text: str, counts: Counter) -> None:
+        """o: the order key."""
+        place = self.place
+        self.which.append(np.fromiter((place.setdefault(t, len(place)) for t in counts), np.int32, len(counts)))
+        self.reach.append(np.fromiter((level(n) for n in counts.values()), np.int8, len(counts)))
+        self.docs.append((o, key, text, counts.total()))
+
+    def closed(self, rows: int) -> dict:
+        """Columns stand in order of key."""
+        order = sorted(range(len(self.docs)), key=lambda i: self.docs[i][0])
+        docs, vocabulary = [self.docs[i] for i in order], list(self.place)
+        which, reach = np.concatenate([self.which[i] for i in order]), np.concatenate([self.reach[i] for i in order])
+        column = np.repeat(np.arange(len(docs)), [len(self.which[i]) for i in order])
+        hashed, marks = _hashes(vocabulary), np.zeros((rows, len(docs)), bool)
+        for j in range(int(reach.max()) + 1):
+            there = np.flatnonzero(reach >= j)
+            for i in range(0, len(there), KEYS):
+                own = there[i : i + KEYS]
+                marks[positions(hashed[which[own]], j, rows), column[own][:, None]] = True
+        lengths = np.array([d[3] for d in docs], np.int64)
+        return {
+            "size": len(docs), "rows": rows, "top": int(reach.max()), "total": int(lengths.sum()), "keys": np.array([d[0] for d in docs], np.int64).tobytes(), "lengths": lengths.tobytes(),
+            "bits": np.packbits(marks, axis=1).tobytes(), "vocabulary": b" ".join(vocabulary), "frequencies": np.bincount(which, minlength=len(vocabulary)).astype(np.int64).tobytes(), "ids": [d[1] for d in docs], "texts": [d[2] for d in docs],
+        }
+
+
 def _block(docs: list[tuple], rows: int) -> dict:
-    """docs: (order key, id, text, counts); columns stand in order of key."""
-    docs = sorted(docs, key=lambda d: d[0])
-    seen: Counter = Counter()
+    """docs: (order key, id, text, counts)."""
+    block = _Open()
     for d in docs:
-        seen.update(d[3].keys())
-    vocabulary = list(seen)
-    place = {t: i for i, t in enumerate(vocabulary)}
-    which = np.fromiter((place[t] for d in docs for t in d[3]), np.int64)
-    reach = np.fromiter((level(n) for d in docs for n in d[3].values()), np.int64)
-    column = np.repeat(np.arange(len(docs)), [len(d[3]) for d in docs])
-    hashed, marks = _hashes(vocabulary), np.zeros((rows, len(docs)), bool)
-    for j in range(int(reach.max()) + 1):
-        there = reach >= j
-        marks[positions(hashed[which[there]], j, rows), column[there][:, None]] = True
-    lengths = np.array([sum(d[3].values()) for d in docs], np.int64)
-    return {
-        "size": len(docs), "rows": rows, "top": int(reach.max()), "total": int(lengths.sum()), "keys": np.array([d[0] for d in docs], np.int64).tobytes(), "lengths": lengths.tobytes(),
-        "bits": np.packbits(marks, axis=1).tobytes(), "vocabulary": b" ".join(vocabulary), "frequencies": np.fromiter(seen.values(), np.int64, len(seen)).tobytes(), "ids": [d[1] for d in docs], "texts": [d[2] for d in docs],
-    }
+        block.add(*d)
+    return block.closed(rows)
 
 
 def build(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -111,8 +136,8 @@ def build(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     arrow = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        table_of = lambda c: pa.RecordBatch.from_pylist([_block(held.pop(c), BITS << c)], arrow)
+        held: dict[int, _Open] = {}
+        table_of = lambda c: pa.RecordBatch.from_pylist([held.pop(c).closed(BITS << c)], arrow)
         for batch in batches:
             for i, j in slices(batch, [len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(1)]):
                 part = batch.slice(i, j - i)
@@ -122,8 +147,8 @@ def build(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                         continue
                     keys = sum(level(n) + 1 for n in counts.values())
                     c = max(4, (keys - 1).bit_length())
-                    held.setdefault(c, []).append((LAST if k is None else k, k, t, counts))
-                    if len(held[c]) >= max(1, min(DOCUMENTS, CELLS // (BITS << c))):
+                    held.setdefault(c, _Open()).add(LAST if k is None else k, k, t, counts)
+                    if len(held[c].docs) >= max(1, min(DOCUMENTS, CELLS // (BITS << c))):
                         yield table_of(c)
         for c in sorted(held):
             yield table_of(c)
@@ -333,17 +358,19 @@ def query_blocks(queries: DataFrame, item: str, text: str) -> Iterator[list]:
 def ranked(documents: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", k: int = TOP) -> DataFrame:
     """item, rank, key and score of the k highest-scoring documents of each query."""
     spark, place = documents.sparkSession, shared_dir(documents.sparkSession)
-    index = keep(numbered(build(documents, key, text)), f"{place}/index")
+    with arrow_rows(spark, TEXTS):
+        index = keep(numbered(build(documents, key, text)), f"{place}/index", **WRITER)
     kinds = queries.schema[item].dataType.simpleString(), documents.schema[key].dataType.simpleString()
     schema = f"`{item}` {kinds[0]}, rank int, `{key}` {kinds[1]}, score long"
     spark.createDataFrame([], schema).write.parquet(f"{place}/answers")
     for block in query_blocks(queries, item, item_text):
-        found = search(index, [t for _, t in block], k)
-        w = Window.partitionBy("q").orderBy(F.desc("score"), "o", "block", "place")
-        best = found.withColumn("rank", F.row_number().over(w).cast("int")).filter(F.col("rank") <= k)
-        names = spark.createDataFrame([(n, i) for n, (i, _) in enumerate(block)], f"q long, item {kinds[0]}")
-        best = best.join(F.broadcast(names), "q")  # at most ITEMS rows
-        best.select(F.col("item").alias(item), "rank", F.col("id").alias(key), "score").write.mode("append").parquet(f"{place}/answers")
+        with arrow_rows(spark, BLOCKS):
+            found = search(index, [t for _, t in block], k)
+            w = Window.partitionBy("q").orderBy(F.desc("score"), "o", "block", "place")
+            best = found.withColumn("rank", F.row_number().over(w).cast("int")).filter(F.col("rank") <= k)
+            names = spark.createDataFrame([(n, i) for n, (i, _) in enumerate(block)], f"q long, item {kinds[0]}")
+            best = best.join(F.broadcast(names), "q")  # at most ITEMS rows
+            best.select(F.col("item").alias(item), "rank", F.col("id").alias(key), "score").write.mode("append").parquet(f"{place}/answers")
     return spark.read.schema(schema).parquet(f"{place}/answers")
 
 

@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +68,36 @@ def test_ranked_of_nothing(spark):
     assert S.ranked(df, items).count() == S.ranked(df.limit(0), items).count() == S.ranked(docs(spark, [(1, "a", "s")]), items.limit(0)).count() == 0
 
 
+def test_large_blocks_are_stored_and_sent_a_few_at_a_time(spark, tmp_path, monkeypatch):
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(S, "DOCUMENTS", 1)
+    monkeypatch.setattr(S, "WRITER", S.WRITER | {"parquet.block.size": str(1 << 16)})
+    monkeypatch.setattr(S, "shared_dir", lambda _: f"{tmp_path}/x")
+    rng, name = np.random.default_rng(3), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    rows = [(i, " ".join(f"{x:x}" for x in rng.integers(0, 1 << 40, 3000).tolist())) for i in range(60)]
+    df, items = docs(spark, [(i, t, "s") for i, t in rows]).coalesce(1), [(1, rows[7][1][:300]), (2, rows[9][1][-300:])]
+    assert sorted((tuple(r) for r in S.ranked(df, spark.createDataFrame(items, "item_id int, text string")).collect()), key=str) == plain_ranked(rows, items, 50)
+    assert spark.conf.get(name) == before
+    for f in (tmp_path / "x" / "index").glob("*.parquet"):
+        m = pq.ParquetFile(f).metadata
+        assert max(m.row_group(i).num_rows for i in range(m.num_row_groups)) <= 8
+    with S.arrow_rows(spark, 2):
+        count = spark.range(9, numPartitions=1).mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in bs), "n long").collect()
+    assert max(r["n"] for r in count) == 2
+
+
+def test_an_open_block_holds_numbers_of_terms():
+    a, b = Counter({b"x": 3, b"y": 1}), Counter({b"y": 9, b"z": 1})
+    block = S._Open()
+    block.add(5, 5, "x x x y", a)
+    block.add(2, 2, "y z", b)
+    assert [x.dtype for x in (*block.which, *block.reach)] == [np.int32, np.int32, np.int8, np.int8]
+    r = block.closed(64)
+    assert r["ids"] == [2, 5] and r["vocabulary"] == b"x y z" and np.frombuffer(r["frequencies"], np.int64).tolist() == [1, 2, 1] and np.frombuffer(r["lengths"], np.int64).tolist() == [10, 4]
+
+
 def test_bounds_are_never_too_low():
     rng, q = np.random.default_rng(3), S.Queries(["a b c", "b d", ""])
     texts = [" ".join(rng.choice(list("abcdef"), int(rng.integers(1, 40)))) for _ in range(200)]
