@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import codes as C
+from . import nearest
 
 
 def decode_size_types(readings: DataFrame, dimension: DataFrame, code: str = "size_text") -> DataFrame:
@@ -195,77 +196,43 @@ def repair_size_types(codes: DataFrame, candidates: DataFrame, default: str = "2
     return out.select(*codes.columns, repaired.alias("repaired"), F.when(known, 1).when(found, 2).otherwise(0).alias("flag"))
 
 
-def _without(s: Column, i: Column) -> Column:
-    """s without its i-th character."""
-    return F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s)))
-
-
-def _places(s: Column) -> Column:
-    """The numbers of the characters of s."""
-    return F.filter(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: i <= F.length(s))
-
-
-def _named(kind: str, place: Column, text: Column) -> Column:
-    return F.concat(F.lit(kind), place.cast("string"), F.lit("."), text)
-
-
-def _shared_keys(n: Column, head: Column, apart: Column) -> Column:
-    """Keys of a number for partners that are ``apart`` characters longer: equal keys are a match.
-
-    One edit under any heads: the same place changed, or a character more. Two under equal heads: two
-    places changed; one left out on each side; a character more and one place changed; two more.
-    """
-    none = F.array().cast("array<string>")
-    less = F.transform(_places(n), lambda i: _without(n, i))
-    changed = F.transform(_places(n), lambda i: _named("s", i, _without(n, i)))
-    twice = F.flatten(F.transform(less, lambda x, i: F.transform(F.filter(_places(x), lambda j: j > i), lambda j: _named("t", i, _named("", j, _without(x, j))))))
-    wild = lambda x: F.transform(_places(x), lambda k: _named("w", k, _without(x, k)))
-    plain = lambda kind, xs: F.transform(xs, lambda x: F.concat(F.lit(kind), x))
-    itself = F.array(n)
-    any_head = (
-        F.when(apart == 0, F.when(F.length(n) > 0, changed).otherwise(itself))
-        .when(apart == 1, plain("d", itself)).when(apart == -1, plain("d", less)).otherwise(none)
-    )
-    same_head = (
-        F.when(apart == 0, F.concat(twice, plain("x", less)))
-        .when(apart == 1, wild(n)).when(apart == -1, F.flatten(F.transform(less, wild)))
-        .when(apart == 2, plain("e", itself)).when(apart == -2, plain("e", F.flatten(F.transform(less, lambda x: F.transform(_places(x), lambda k: _without(x, k))))))
-        .otherwise(none)
-    )
-    return F.concat(plain("*|", any_head), F.transform(same_head, lambda x: F.concat(head, F.lit("|"), x)))
+#: Codes of one head from which on they meet by parts of their numbers as well.
+LARGE = 1_000_000
 
 
 def match_against(codes: DataFrame, expected: DataFrame, code: str, reference: str) -> DataFrame:
     """code, matched, found, distance: the first expected code by rank that matches, else null, and the edits to it.
 
     Where nothing matches, the distance is that to the last expected code, and null without any.
-    Numbers match by keys that say where they were changed, so that equal keys are a match: no edit
-    distance is computed and of each key only the lowest rank is kept before the join. Rows grow with
-    the codes, not with their pairs. Keys are made for lengths that the other side has; there are no
-    more lengths than a code can have, so their list is broadcast.
+    Codes meet the expected ones three times, with the best so far: by head (and by the middle part of the number
+    where a head has many codes), by the first part of the number and by the last one. Keys that say where a number was
+    changed are made inside a task (``nearest``), so a code is shuffled three times, not once for each key.
     """
-    def parts(df: DataFrame, name: str) -> DataFrame:
-        return df.withColumns({"__head": C.split_head(name), "__number": C.split_number(name)}).withColumn("__n", F.length("__number"))
-
-    # A row becomes some dozen keys: dealt out in full first, as a few small partitions would be joined.
-    tasks = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def keys(df: DataFrame, other: DataFrame, sign: int) -> DataFrame:
-        lengths = F.broadcast(other.select(F.col("__n").alias("__other")).distinct())
-        apart = df.withColumn("__apart", F.explode(F.sequence(F.lit(-2), F.lit(2)))).withColumn("__other", F.col("__n") + F.col("__apart")).join(lengths, "__other")
-        apart = apart.repartition(tasks, "__number", "__apart").withColumn("__key", F.explode(_shared_keys(F.col("__number"), F.col("__head"), F.col("__apart"))))
-        # Which side is the longer one is a part of the key.
-        return apart.withColumn("key", F.concat((F.col("__apart") * sign).cast("string"), F.col("__key")))
-
-    left, right = parts(codes.select(code).filter(F.col(code).isNotNull()), code), parts(expected.select(reference, "rank"), reference)
-    lowest = keys(right, left, -1).groupBy("key").agg(F.min("rank").alias("rank"))
-    # One row per key, dealt out evenly: hashed, it spares sorting the keys of both sides.
-    best = keys(left, right, 1).select(code, "key").join(lowest.hint("shuffle_hash"), "key").groupBy(code).agg(F.min("rank").alias("rank"))
-    # Several expected codes may share a rank: the first that matches.
-    named = best.join(expected.select(reference, "rank"), "rank").filter(C.code_matches(code, reference))
-    first = named.groupBy(code).agg(F.min(reference).alias("matched"))
+    bucket = lambda *of: F.pmod(F.xxhash64(*of), F.lit(nearest.BUCKETS)).cast("int")
+    head, number = C.split_head, C.split_number
+    # All parts take the same columns of both sides and filter late, so that each side is shuffled once.
+    left, right = codes.select(F.col(code).alias("code")), expected.select(F.col(reference).alias("reference"), "rank")
+    # One row: there are no more lengths than a code can have.
+    lengths = F.broadcast(left.agg(F.collect_set(F.length(number("code"))).alias("__lengths")))
+    # There are few heads of many rows, at most as many as all rows divided by LARGE.
+    many = lambda df, c, rows: df.groupBy(F.coalesce(head(c), F.lit("")).alias("__head")).agg(F.count(rows).alias("n")).filter(F.col("n") >= LARGE).select("__head")
+    large = F.broadcast(many(left, "code", "code").union(many(right, "reference", "rank")).distinct().withColumn("__large", F.lit(True)))
+
+    def by_head(df: DataFrame, c: str, cut: Callable[[Column], Column]) -> DataFrame:
+        known = df.withColumns({"__head": head(c), "__number": number(c)}).join(large, "__head", "left")
+        return known.withColumn("__bucket", F.when(F.coalesce("__large", F.lit(False)), cut(F.col("__number"))).otherwise(F.array(bucket("__head"))))
+
+    right = right.crossJoin(lengths)
+    met = by_head(left, "code", lambda n: F.array(bucket("__head", nearest.own_block(n, "middle")))).select("code", F.col("__bucket")[0].alias("__bucket"))
+    parts = by_head(right, "reference", lambda n: F.transform(nearest.partner_blocks(n, "middle", F.col("__lengths")), lambda b: bucket("__head", b)))
+    met = nearest.step(met, parts.select("reference", "rank", F.explode(F.array_distinct("__bucket")).alias("__bucket")), head, number, False)
+    for at in ("first", "last"):
+        parts = F.transform(nearest.partner_blocks(number("reference"), at, F.col("__lengths")), lambda b: bucket(b))
+        parts = right.select("reference", "rank", F.explode(F.array_distinct(parts)).alias("__bucket"))
+        met = nearest.step(met.withColumn("__bucket", bucket(nearest.own_block(number("code"), at))), parts, head, number, True)
+
     last = expected.agg(F.max_by(reference, F.struct("rank", reference)).alias("__last"))
-    out = codes.select(code).join(first, code, "left").withColumn("found", F.col("matched").isNotNull()).crossJoin(F.broadcast(last))  # one row
+    out = met.select(F.col("code").alias(code), F.col("reference").alias("matched")).withColumn("found", F.col("matched").isNotNull()).crossJoin(F.broadcast(last))  # one row
     return out.withColumn("distance", C.code_distance(F.col(code), F.coalesce("matched", "__last"))).drop("__last")
 
 

@@ -196,7 +196,7 @@ m AS (SELECT text, min_by(true_code,(rank,true_code)) AS matched FROM p GROUP BY
 z AS (SELECT a.text, m.matched, coalesce(m.matched, (SELECT max_by(true_code,(rank,true_code)) FROM e)) AS ref FROM a LEFT JOIN m ON m.text=a.text)
 SELECT text, matched, matched IS NOT NULL AS found, CAST(levenshtein({_HEAD('text')},{_HEAD('ref')})+levenshtein({_NUMBER('text')},{_NUMBER('ref')}) AS INT) AS distance FROM z"""))
 def fuzzy_reconciliation(spark, sf_dir):
-    r = fixture(spark, sf_dir, "READ")
+    r = fixture(spark, sf_dir, "READ", numbered=False)
     expected = r.groupBy("true_code").agg(F.min("pass_id").alias("rank"))
     return fusion.match_against(r.select("text").distinct(), expected, "text", "true_code")
 

@@ -6,6 +6,7 @@ import random
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from portico.functions import codes as C
 from portico.operators import boxes, dimensions, fusion, passes, recognise, scans
@@ -87,6 +88,40 @@ def test_reconciliation_like_all_pairs(spark, rng):
         assert r["distance"] == distance(a[0], b[0]) + distance(a[1], b[1])
 
 
+def test_reconciliation_by_parts_and_of_long_numbers(spark, monkeypatch):
+    """Heads of many rows are cut by parts of their numbers; numbers may be too long for one whole number as a key."""
+    split = lambda c: (c.rstrip("0123456789"), c[len(c.rstrip("0123456789")) :])
+    matches = lambda a, b: distance(split(a)[1], split(b)[1]) <= (2 if split(a)[0] == split(b)[0] else 1)
+    for large, letters, least, most in ((1, "012", 0, 10), (1_000_000, "0123456789", 17, 30)):
+        monkeypatch.setattr(fusion, "LARGE", large)
+        rng = random.Random(most)
+        seeds = ["".join(rng.choice(letters) for _ in range(rng.randint(least, most))) for _ in range(20)]
+
+        def make(rng=rng, seeds=seeds, letters=letters):
+            s = rng.choice(seeds)
+            for _ in range(rng.randint(0, 3)):
+                i = rng.randint(0, len(s))
+                s = s[:i] + rng.choice([rng.choice(letters), rng.choice(letters) + s[i : i + 1], ""]) + s[i + 1 :]
+            return rng.choice(["AB", "ABU", ""]) + s
+
+        left, right = sorted({make() for _ in range(120)}), [(make(), rng.randint(0, 30)) for _ in range(40)]
+        want = {a: min(((k, b) for b, k in right if matches(a, b)), default=(0, None))[1] for a in left}
+        assert 20 < sum(b is not None for b in want.values())
+        got = fusion.match_against(spark.createDataFrame([(x,) for x in left], "code string"), spark.createDataFrame(right, "ref string, rank int"), "code", "ref").collect()
+        assert {r["code"]: r["matched"] for r in got} == want
+
+
+def test_reconciliation_shuffles_codes_and_no_keys(spark):
+    """A code of seven digits has 35 keys and an expected one 84: rows are shuffled a few times each."""
+    code = F.concat(F.lit("ABCU"), F.lpad((F.col("id") * 7919 % 10_000_000).cast("string"), 7, "0"))
+    codes, expected = spark.range(500).select(code.alias("code")), spark.range(0, 1000, 4).select(code.alias("ref"), F.col("id").alias("rank"))
+    store, java = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+    stages = lambda: {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (at.apply(i) for at in [store.stageList(None, False, False, spark.sparkContext._gateway.new_array(java.double, 0), java.java.util.ArrayList())] for i in range(at.size()))}
+    before = stages()
+    assert len(fusion.match_against(codes, expected, "code", "ref").collect()) == 500
+    assert 0 < sum(n for k, n in stages().items() if k not in before) < 8 * 750
+
+
 def test_vote_like_a_plain_count(spark):
     rng = random.Random(6)
     rows = [(rng.randint(0, 30), k, "".join(rng.choice("AB1é漢") for _ in range(rng.randint(0, 6)))) for k in range(400)]
